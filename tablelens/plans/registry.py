@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelens.sources.tables import DIRTY_SQL, dirty_lineitem, table
+from tablelens.sources.tables import dirty_lineitem, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,58 +42,14 @@ def round_doubles(df: DataFrame, k: int = 6) -> DataFrame:
     return df.select(*out)
 
 
-def R(expr: str) -> str:
-    """SQL side of round_doubles."""
-    return f"(round(({expr}), 6) + 0.0)"
-
-
 def T_(spark, sf, name):
     return table(spark, sf, name)
 
 
-LINEITEM_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-                "l_extendedprice", "l_discount", "l_tax"]
-DIRTY = f"({DIRTY_SQL})"
-
-
-def sql_long(src: str, cols: list[str], cast: str = "DOUBLE") -> str:
-    """(column, value) rows for the listed columns, nulls kept."""
-    parts = [f"SELECT '{c}' AS \"column\", CAST({c} AS {cast}) AS value FROM {src}" for c in cols]
-    return " UNION ALL ".join(parts)
-
-
-def sql_numeric_profile(src: str, cols: list[str]) -> str:
-    return f"""
-WITH long AS ({sql_long(src, cols)}),
-s AS (
-  SELECT "column", count(value) AS cnt, count(*) AS rows_, avg(value) AS mean,
-         stddev_samp(value) AS std, min(value) AS mn, max(value) AS mx,
-         quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS median,
-         quantile_cont(value, 0.75) AS q75,
-         CASE WHEN count(value) < 3 THEN NULL WHEN var_pop(value) = 0 THEN 0.0 ELSE skewness(value) END AS skew,
-         CASE WHEN count(value) < 4 THEN NULL WHEN var_pop(value) = 0 THEN 0.0 ELSE kurtosis(value) END AS kurt,
-         count(DISTINCT value) AS uniq
-  FROM long GROUP BY "column"),
-o AS (
-  SELECT l."column", count(*) FILTER (WHERE l.value < s.q25 - 1.5 * (s.q75 - s.q25)
-                                        OR l.value > s.q75 + 1.5 * (s.q75 - s.q25)) AS outliers
-  FROM long l JOIN s USING ("column") GROUP BY l."column")
-SELECT s."column", s.cnt AS "count", {R('s.mean')} AS mean, {R('s.median')} AS median, {R('s.std')} AS std,
-       {R('s.mn')} AS "min", {R('s.mx')} AS "max", {R('s.q25')} AS q25, {R('s.q75')} AS q75,
-       {R('s.skew')} AS skewness, {R('s.kurt')} AS kurtosis,
-       s.rows_ - s.cnt AS missing_count, {R('(s.rows_ - s.cnt) * 100.0 / s.rows_')} AS missing_pct,
-       CASE WHEN s.cnt > 0 THEN o.outliers END AS outliers, s.uniq AS unique_count,
-       CASE WHEN s.cnt = 0 THEN 'No valid numeric data' END AS error
-FROM s JOIN o USING ("column")
-"""
-
-
-# ------------------------------------------------------------------ flagship
-
-from tablelens.operators import profile as P  # noqa: E402
+def dirty(spark, sf):
+    return dirty_lineitem(spark, sf)
 
 
-@register("u1_univariate_numeric_lineitem", sql_numeric_profile("lineitem", LINEITEM_NUM))
-def q_u1_lineitem(spark, sf):
-    """U1+U2 for every numeric lineitem column: moments, exact quartiles, IQR outliers."""
-    return P.univariate_numeric(T_(spark, sf, "lineitem"))
+# the catalogs register themselves on import
+from tablelens.plans import catalog_profile  # noqa: E402,F401
+from tablelens.plans import catalog_pairs  # noqa: E402,F401
