@@ -62,3 +62,18 @@ def empty_like(spark, schema: str) -> DataFrame:
 
 def is_float(dt: T.DataType) -> bool:
     return isinstance(dt, (T.FloatType, T.DoubleType))
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back: cuts
+    the lineage (a lost executor recomputes from the files, not from the
+    source) and lets several later passes reuse one shuffle result."""
+    from tablelens.session import scratch_path
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def per_column(rows) -> dict:
+    """Small per-column statistics (one row per column) as a dict keyed by column."""
+    return {r["column"]: r for r in rows}

@@ -36,10 +36,12 @@ SMALL_LIMIT = 2_000_000
 _PID, _PN, _BEFORE, _TOTAL, _CUM = "_tl_pid", "_tl_pn", "_tl_before", "_tl_total", "_tl_cum"
 
 
-def value_counts(long_df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """(keys..., value, n) over non-null values; map-side combined."""
-    return (long_df.where(F.col(value).isNotNull())
-            .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")))
+def value_counts(long_df: DataFrame, keys: Sequence[str], value: str = "value",
+                 weight: str | None = None) -> DataFrame:
+    """(keys..., value, n) over non-null values; map-side combined. With
+    ``weight`` the input is already counted and the weights are summed."""
+    agg = F.sum(weight).alias("n") if weight else F.count(F.lit(1)).alias("n")
+    return long_df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(agg)
 
 
 def largest_group(long_df: DataFrame, keys: Sequence[str], value: str = "value") -> int:
@@ -99,19 +101,22 @@ def average_ranks(long_df: DataFrame, keys: Sequence[str], value: str = "value",
 
 def quantiles(long_df: DataFrame, keys: Sequence[str], value: str = "value",
               probs: Sequence[float] = (0.25, 0.5, 0.75), method: str = "auto",
-              small_limit: int = SMALL_LIMIT, accuracy: int = 10000) -> DataFrame:
+              small_limit: int = SMALL_LIMIT, accuracy: int = 10000,
+              weight: str | None = None) -> DataFrame:
     """(keys..., quantiles array<double>) in the order of ``probs``; exact unless
-    ``method='approx'`` (``percentile_approx`` with the given accuracy)."""
+    ``method='approx'`` (``percentile_approx`` with the given accuracy).
+    ``weight`` names a count column when the rows are already counted."""
     probs = [float(p) for p in probs]
     parr = F.array(*[F.lit(p) for p in probs])
     plan = _choose(long_df, keys, value, method, small_limit)
-    if plan == "approx":
+    if plan == "approx" and weight is None:
         return long_df.groupBy(*keys).agg(
             F.percentile_approx(value, parr, accuracy).cast("array<double>").alias("quantiles"))
-    if plan == "small":
+    if plan in ("small", "approx"):
+        freq = F.col(weight) if weight else F.lit(1)
         return (long_df.where(F.col(value).isNotNull()).groupBy(*keys)
-                .agg(F.percentile(F.col(value), parr).alias("quantiles")))
-    counts = value_counts(long_df, keys, value)
+                .agg(F.percentile(F.col(value), parr, freq).alias("quantiles")))
+    counts = value_counts(long_df, keys, value, weight)
     ranged, part = _ranged(counts, keys, value)
     totals = part.select(*keys, _TOTAL).dropDuplicates(list(keys))
     h = F.col("p") * (F.col(_TOTAL) - 1)

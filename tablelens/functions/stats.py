@@ -75,23 +75,15 @@ def adjusted_skewness(c: Column) -> Column:
     """Bias-adjusted sample skewness G1 (pandas/DuckDB ``skew``); 0.0 for a
     constant column, null below three values."""
     n = F.count(c).cast("double")
-    g1 = F.skewness(c)
-    return (
-        F.when(n < 3, F.lit(None).cast("double"))
-        .when(F.var_pop(c) == 0, F.lit(0.0))
-        .otherwise(g1 * F.sqrt(n * (n - 1)) / (n - 2))
-    )
+    g1 = F.skewness(c)  # null exactly when the variance is zero (or no value)
+    return F.when(n >= 3, F.coalesce(g1 * F.sqrt(n * (n - 1)) / (n - 2), F.lit(0.0)))
 
 
 def adjusted_kurtosis(c: Column) -> Column:
     """Bias-adjusted excess kurtosis G2; 0.0 for a constant column, null below four values."""
     n = F.count(c).cast("double")
-    g2 = F.kurtosis(c)
-    return (
-        F.when(n < 4, F.lit(None).cast("double"))
-        .when(F.var_pop(c) == 0, F.lit(0.0))
-        .otherwise((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
-    )
+    g2 = F.kurtosis(c)  # null exactly when the variance is zero (or no value)
+    return F.when(n >= 4, F.coalesce((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6), F.lit(0.0)))
 
 
 def correlation_strength(r: Column) -> Column:

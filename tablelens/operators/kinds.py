@@ -63,6 +63,11 @@ def dtype_summary(df: DataFrame) -> DataFrame:
     return column_kinds(df).select("column", "dtype")
 
 
+# a text can only be one of the dates above if it has this shape; testing it
+# first spares the (costly) failing parses on ordinary text
+DATE_SHAPE = r"^\s*(\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{4}|\d{8})([ T]\d{2}:\d{2}:\d{2})?\s*$"
+
+
 def _stack(df: DataFrame, cols: Sequence[str], exprs) -> DataFrame:
     """One wide aggregation row → one row per column."""
     structs = [F.struct(F.lit(c).alias("column"), *[e(c).alias(n) for n, e in exprs]) for c in cols]
@@ -95,7 +100,7 @@ def conversion_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
     cols = list(cols) if cols is not None else categorical_columns(df)
 
     def as_date(c):
-        return F.coalesce(*[F.try_to_timestamp(F.col(c), F.lit(f)) for f in DATE_FORMATS])
+        return to_datetime(c)
 
     return _stack(df, cols, [
         ("rows", lambda c: F.count(F.lit(1))),
@@ -123,7 +128,9 @@ def coercion_rules(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
 
 
 def to_datetime(c: str):
-    return F.coalesce(*[F.try_to_timestamp(F.col(c), F.lit(f)) for f in DATE_FORMATS])
+    """Text → timestamp by the first of ``DATE_FORMATS`` that parses the whole value."""
+    col = F.col(c)
+    return F.when(col.rlike(DATE_SHAPE), F.coalesce(*[F.try_to_timestamp(col, F.lit(f)) for f in DATE_FORMATS]))
 
 
 def apply_conversions(df: DataFrame, decisions: dict[str, str]) -> DataFrame:

@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelens.functions.frames import agg_by_column, numeric_long, string_long, wide_row, with_row
-from tablelens.functions.quantiles import quantiles
+from tablelens.functions.frames import agg_by_column, numeric_long, per_column, string_long
+from tablelens.functions.quantiles import SMALL_LIMIT, quantiles
+from tablelens.functions.quantiles import value_counts as qvalue_counts
 from tablelens.functions.stats import adjusted_kurtosis, adjusted_skewness, num, to_number
 from tablelens.operators import kinds as K
 
@@ -143,47 +144,99 @@ def iqr_bounds(df: DataFrame, cols: Sequence[str], method: str = "auto", k: floa
                     (F.col("q75") + k * iqr).alias("upper"))
 
 
-def outlier_counts(df: DataFrame, cols: Sequence[str], bounds: DataFrame) -> DataFrame:
-    """Values strictly outside the fences, per column. The fences travel as
-    one broadcast row; the table itself is read once, wide."""
-    row = wide_row(bounds, cols, ["lower", "upper"])
-    joined = with_row(df.select(*cols), row)
-    return agg_by_column(joined, cols, [
-        ("outliers", lambda c: F.count_if((F.col(c) < F.col(f"{c}__lower")) | (F.col(c) > F.col(f"{c}__upper")))),
-    ])
+def fences(df: DataFrame, cols: Sequence[str], method: str = "auto", k: float = 1.5) -> dict:
+    """Quartiles and Tukey fences per column, fetched (one row per column)."""
+    return per_column(iqr_bounds(df, cols, method, k).collect())
+
+
+def _lit(v):
+    return F.lit(v).cast("double")
+
+
+def outlier_counts(df: DataFrame, cols: Sequence[str], bounds: dict | None = None) -> DataFrame:
+    """Values strictly outside the fences, per column (fences as literals)."""
+    bounds = bounds if bounds is not None else fences(df, cols)
+    return agg_by_column(df, cols, [("outliers", lambda c: _outside(c, bounds))])
+
+
+def _outside(c: str, bounds: dict):
+    b = bounds.get(c)
+    if b is None or b["lower"] is None:
+        return F.lit(0).cast("long")
+    return F.count_if((F.col(c) < _lit(b["lower"])) | (F.col(c) > _lit(b["upper"])))
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, method: str = "auto",
                      rule: str | None = None) -> DataFrame:
-    """Count, mean, std, min, q25, median, q75, max, skewness, kurtosis per numeric column."""
+    """Count, mean, std, min, q25, median, q75, max, skewness, kurtosis
+    per numeric column. Exact quartiles first (one row per column), then one
+    aggregation pass for everything else."""
     view, cols = _numeric_view(df, cols, rule)
-    m = moments(view, cols)
-    q = quartiles(view, cols, method)
-    return (m.join(q, "column", "left")
-            .select("column", "count", "mean", "std", "min", "q25", "median", "q75", "max", "skewness", "kurtosis"))
+    q = per_column(quartiles(view, cols, method).collect())
+
+    def qv(c, f):
+        return _lit(q[c][f] if c in q else None)
+
+    return agg_by_column(view, cols, [
+        ("count", lambda c: F.count(c)),
+        ("mean", lambda c: F.avg(c)),
+        ("std", lambda c: F.stddev_samp(c)),
+        ("min", lambda c: F.min(c)),
+        ("q25", lambda c: qv(c, "q25")),
+        ("median", lambda c: qv(c, "median")),
+        ("q75", lambda c: qv(c, "q75")),
+        ("max", lambda c: F.max(c)),
+        ("skewness", lambda c: adjusted_skewness(F.col(c))),
+        ("kurtosis", lambda c: adjusted_kurtosis(F.col(c))),
+    ])
 
 
 def univariate_numeric(df: DataFrame, cols: Sequence[str] | None = None, method: str = "auto",
                        rule: str | None = "majority_non_null") -> DataFrame:
     """U1 (+U2) for many columns at once: one row per column with count, mean,
     median, std, min, max, q25, q75, skewness, kurtosis, missing count and % of
-    rows, IQR outliers, distinct values; ``error`` when a column has no value."""
+    rows, IQR outliers, distinct values; ``error`` when a column has no value.
+
+    Plan: one shuffle builds the distinct ``(column, value, n)`` table (kept
+    for its three uses: distinct counts, exact quartiles, plan choice); then
+    ONE aggregation over the table computes the moments and counts the values
+    outside the fences, which enter as literals (one row per column fetched)."""
     view, cols = _numeric_view(df, cols, rule)
+    if not cols:
+        return agg_by_column(view, cols, [])
+    counts = qvalue_counts(numeric_long(view, cols), ["column"]).persist()
+    try:
+        uniq = {r["column"]: r["d"] for r in counts.groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
+        if method == "auto":
+            method = "percentile" if max(uniq.values(), default=0) <= SMALL_LIMIT else "distributed"
+        qs = per_column(quantiles(counts, ["column"], "value", (0.25, 0.5, 0.75), method=method,
+                                  weight="n").collect())
+    finally:
+        counts.unpersist()
+    b = {}
+    for c, r in qs.items():
+        q1, q2, q3 = r["quantiles"]
+        b[c] = {"q25": q1, "median": q2, "q75": q3, "lower": q1 - 1.5 * (q3 - q1), "upper": q3 + 1.5 * (q3 - q1)}
+
+    def bv(c, f):
+        return _lit(b[c][f] if c in b else None)
+
     m = agg_by_column(view, cols, [
         ("count", lambda c: F.count(c)),
         ("mean", lambda c: F.avg(c)),
+        ("median", lambda c: bv(c, "median")),
         ("std", lambda c: F.stddev_samp(c)),
         ("min", lambda c: F.min(c)),
         ("max", lambda c: F.max(c)),
+        ("q25", lambda c: bv(c, "q25")),
+        ("q75", lambda c: bv(c, "q75")),
         ("skewness", lambda c: adjusted_skewness(F.col(c))),
         ("kurtosis", lambda c: adjusted_kurtosis(F.col(c))),
         ("rows", lambda c: F.count(F.lit(1))),
-        ("unique_count", lambda c: F.count_distinct(c)),
+        ("outliers", lambda c: _outside(c, b)),
+        ("unique_count", lambda c: F.lit(int(uniq.get(c, 0))).cast("long")),
     ])
-    b = iqr_bounds(view, cols, method)
-    o = outlier_counts(view, cols, b)
-    out = m.join(b, "column", "left").join(o, "column", "left")
-    return out.select(
+    return m.select(
         "column", "count", "mean", "median", "std", "min", "max", "q25", "q75", "skewness", "kurtosis",
         (F.col("rows") - F.col("count")).alias("missing_count"),
         F.try_divide((F.col("rows") - F.col("count")) * 100.0, F.col("rows")).alias("missing_pct"),

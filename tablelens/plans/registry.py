@@ -53,3 +53,4 @@ def dirty(spark, sf):
 # the catalogs register themselves on import
 from tablelens.plans import catalog_profile  # noqa: E402,F401
 from tablelens.plans import catalog_pairs  # noqa: E402,F401
+from tablelens.plans import catalog_clean  # noqa: E402,F401

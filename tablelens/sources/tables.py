@@ -8,8 +8,28 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: tables with at least this many rows are spread over the cluster when the
+#: scan alone would give fewer tasks than there are cores
+SPREAD_MIN_ROWS = 100_000
+
+
+def spread(df: DataFrame, min_rows: int = SPREAD_MIN_ROWS) -> DataFrame:
+    """Spread the rows over ``defaultParallelism`` partitions when the scan
+    yields fewer (a few big files or one big row group). A scan of many files
+    is returned unchanged, so at cluster scale this is a no-op; the row count
+    of a parquet scan comes from its footers. The rows are hashed on their
+    position in the scan, which a re-run reproduces (no sort is needed, as a
+    round-robin repartition would add for a retried task)."""
+    from pyspark.sql import functions as F
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target or df.count() < min_rows:
+        return df
+    return df.repartition(target, F.monotonically_increasing_id())
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, balance: bool = True) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if balance else df
 
 
 # The dirty view: the same SQL text runs on Spark and DuckDB.
@@ -30,10 +50,9 @@ SELECT * FROM base UNION ALL SELECT * FROM base WHERE l_orderkey % 17 = 0
 
 def dirty_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with nulls, a sentinel, an all-null column and repeated rows."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity",
+    li = table(spark, sf_dir, "lineitem", balance=False).select("l_orderkey", "l_linenumber", "l_quantity",
                                                  "l_returnflag", "l_partkey", "l_suppkey")
     view = f"lineitem_dirty_src_{abs(hash(sf_dir))}"
     li.createOrReplaceTempView(view)
     df = spark.sql(DIRTY_SQL.replace("FROM lineitem)", f"FROM {view})"))
-    # VARCHAR(n) is read as string; keep the view's types plain
-    return df.select(*[df[c] for c in df.columns])
+    return spread(df)
