@@ -55,3 +55,4 @@ from tablelens.plans import catalog_profile  # noqa: E402,F401
 from tablelens.plans import catalog_pairs  # noqa: E402,F401
 from tablelens.plans import catalog_clean  # noqa: E402,F401
 from tablelens.plans import catalog_charts  # noqa: E402,F401
+from tablelens.plans import catalog_more  # noqa: E402,F401
