@@ -191,3 +191,20 @@ def q_n5(spark, sf):
 def q_n6(spark, sf):
     """The nine-section summary with a numeric target."""
     return N.executive_summary(T_(spark, sf, "orders"), "o_totalprice")
+
+
+# ------------------------------------------------------------------ streaming
+
+@register("p4_running_profile_stream_events", f"""
+WITH long AS ({long("events", ["event_id", "user_id", "value"])})
+SELECT "column", count(*) AS rows, count(value) AS "count", count(*) - count(value) AS missing,
+  {R('avg(value)')} AS mean, {R('stddev_samp(value)')} AS std, {R('min(value)')} AS "min", {R('max(value)')} AS "max"
+FROM long GROUP BY "column"
+""")
+def q_stream(spark, sf):
+    """Streaming: the one-pass numeric profile of events maintained by Structured Streaming (all files, availableNow)."""
+    from tablelens.streaming import profile as SP
+    src = T_(spark, sf, "events")
+    stream = SP.read_stream(spark, sf, src.schema, glob="events.parquet")
+    name = "tl_stream_" + scratch_path(spark, "s").rsplit("-", 1)[-1]
+    return SP.profile_once(spark, SP.running_numeric_profile(stream), name, scratch_path(spark, "stream-ckpt"))
