@@ -36,12 +36,21 @@ def table_counts(df: DataFrame, approx: bool = False) -> DataFrame:
                   *[distinct(F.col(c)).alias(f"nd__{c}") for c in texts])
 
 
+ALL_CHECKS = ("min_rows", "min_cols", "all_null", "duplicates", "high_cardinality")
+
+
 def validate(df: DataFrame, min_rows: int = MIN_ROWS, min_cols: int = MIN_COLS,
-             high_cardinality: float = HIGH_CARDINALITY, approx: bool = False) -> DataFrame:
-    """V1–V6: one row per issue; no row means the table is valid."""
+             high_cardinality: float = HIGH_CARDINALITY, approx: bool = False,
+             checks: tuple[str, ...] = ALL_CHECKS) -> DataFrame:
+    """V1–V6: one row per issue; no row means the table is valid. ``checks``
+    picks a subset (V1 ``min_rows`` … V5 ``high_cardinality``)."""
     texts = K.categorical_columns(df)
     ncols = len(df.columns)
-    stats = table_counts(df, approx).crossJoin(duplicate_rows(df))
+    stats = table_counts(df, approx)
+    if "duplicates" in checks:  # the only check that needs a shuffle of whole rows
+        stats = stats.crossJoin(duplicate_rows(df))
+    else:
+        stats = stats.withColumn("duplicate_rows", F.lit(0).cast("long"))
     issue = "struct<check:string,column:string,value:double,message:string>"
 
     def mk(check, column, value, message, cond):
@@ -68,10 +77,39 @@ def validate(df: DataFrame, min_rows: int = MIN_ROWS, min_cols: int = MIN_COLS,
         items.append(mk("high_cardinality", c, F.col(f"nd__{c}"),
                         F.lit(f"Column '{c}' has very high cardinality (unique ≈ rows)."),
                         F.col(f"nd__{c}") >= high_cardinality * rows))
+    names = ["min_rows", "min_cols", "all_null", "duplicates"] + ["high_cardinality"] * len(texts)
+    items = [i for i, nme in zip(items, names) if nme in checks]
+    if not items:
+        return df.sparkSession.createDataFrame([], "check string, column string, value double, message string")
     arr = F.filter(F.array(*[i.cast(issue) for i in items]), lambda x: x.isNotNull())
     return stats.select(F.inline(arr))
 
 
+def check_min_rows(df: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+    """V1."""
+    return validate(df, min_rows=min_rows, checks=("min_rows",))
+
+
+def check_min_cols(df: DataFrame, min_cols: int = MIN_COLS) -> DataFrame:
+    """V2."""
+    return validate(df, min_cols=min_cols, checks=("min_cols",))
+
+
+def check_all_null(df: DataFrame) -> DataFrame:
+    """V3."""
+    return validate(df, checks=("all_null",))
+
+
+def check_duplicates(df: DataFrame) -> DataFrame:
+    """V4."""
+    return validate(df, checks=("duplicates",))
+
+
+def check_cardinality(df: DataFrame, high_cardinality: float = HIGH_CARDINALITY, approx: bool = False) -> DataFrame:
+    """V5."""
+    return validate(df, high_cardinality=high_cardinality, approx=approx, checks=("high_cardinality",))
+
+
 def is_valid(issues: DataFrame) -> bool:
     """V6 verdict (an action on the small issues table)."""
     return issues.isEmpty()

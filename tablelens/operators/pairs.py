@@ -38,21 +38,44 @@ def _num(df: DataFrame, c: str):
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, diagonal: bool = True) -> DataFrame:
     """Long (col_a, col_b, i, j, r, n) for every pair i <= j of numeric
-    columns (i == j only with ``diagonal``), one aggregation for all pairs."""
+    columns (i == j only with ``diagonal``), pairwise-complete rows.
+
+    Two passes: column means and null counts (one row fetched), then ONE
+    aggregation of plain sums of the mean-shifted values — Σa, Σb, Σab, Σa²,
+    Σb² per pair over its complete rows. The shift keeps the sums free of
+    cancellation; for columns without nulls the per-pair sums are the same
+    expression for every pair, so Spark computes each once."""
     cols = list(cols) if cols is not None else K.numeric_columns(df)
-    v = df.select(*[_num(df, c).alias(c) for c in cols])
+    schema = "col_a string, col_b string, i int, j int, r double, n long"
     pairs = [(i, j) for i in range(len(cols)) for j in range(i if diagonal else i + 1, len(cols))]
     if not pairs:
-        return df.sparkSession.createDataFrame(
-            [], "col_a string, col_b string, i int, j int, r double, n long")
+        return df.sparkSession.createDataFrame([], schema)
+    v = df.select(*[_num(df, c).alias(c) for c in cols])
+    first = v.agg(F.count(F.lit(1)).alias("_rows"), *[F.avg(c).alias(f"m{k}") for k, c in enumerate(cols)],
+                  *[F.count(c).alias(f"n{k}") for k, c in enumerate(cols)]).first()
+    rows = first["_rows"]
+    full = [first[f"n{k}"] == rows for k in range(len(cols))]
+    x = [F.col(c) - F.lit(float(first[f"m{k}"] or 0.0)) for k, c in enumerate(cols)]
     structs = []
     for i, j in pairs:
-        a, b = F.col(cols[i]), F.col(cols[j])
+        if full[i] and full[j]:
+            a, b, n = x[i], x[j], F.count(F.lit(1))
+        else:
+            both = F.col(cols[i]).isNotNull() & F.col(cols[j]).isNotNull()
+            a, b = F.when(both, x[i]), F.when(both, x[j])
+            n = F.count(a)
         structs.append(F.struct(
-            F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
-            F.lit(i).alias("i"), F.lit(j).alias("j"),
-            pearson(a, b).alias("r"), F.count(F.when(a.isNotNull() & b.isNotNull(), 1)).alias("n")))
-    return v.agg(F.array(*structs).alias("_s")).select(F.inline("_s"))
+            F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"), F.lit(i).alias("i"), F.lit(j).alias("j"),
+            n.alias("n"), F.sum(a).alias("sa"), F.sum(b).alias("sb"), F.sum(a * b).alias("sab"),
+            F.sum(a * a).alias("saa"), F.sum(b * b).alias("sbb")))
+    sums = v.agg(F.array(*structs).alias("_s")).select(F.inline("_s"))
+    n = F.col("n").cast("double")
+    cov = F.col("sab") - F.col("sa") * F.col("sb") / n
+    va = F.col("saa") - F.col("sa") * F.col("sa") / n
+    vb = F.col("sbb") - F.col("sb") * F.col("sb") / n
+    r = F.when((n >= 2) & (va > 0) & (vb > 0), cov / F.sqrt(va * vb))
+    r = F.when(r > 1.0, F.lit(1.0)).when(r < -1.0, F.lit(-1.0)).otherwise(r)
+    return sums.select("col_a", "col_b", "i", "j", r.alias("r"), F.col("n").cast("long").alias("n"))
 
 
 def correlation_pairs(df: DataFrame, cols: Sequence[str] | None = None,
