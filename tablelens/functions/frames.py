@@ -15,9 +15,11 @@ from tablelens.functions.stats import num
 
 def agg_by_column(df: DataFrame, cols: Sequence[str],
                   exprs: Sequence[tuple[str, Callable[[str], Column]]],
-                  group: Sequence[str] = ()) -> DataFrame:
+                  group: Sequence[str] = (), source: DataFrame | None = None) -> DataFrame:
     """Run every ``expr(c)`` for every column in ONE aggregation, then return
-    one row per column (and group): ``(*group, column, name...)``."""
+    one row per column (and group): ``(*group, column, name...)``. ``source``
+    replaces ``df`` as the aggregated frame when extra columns are needed."""
+    df = source if source is not None else df
     if not cols:
         fields = ", ".join(f"{n} double" for n, _ in exprs)
         return df.sparkSession.createDataFrame([], f"column string{', ' + fields if fields else ''}")

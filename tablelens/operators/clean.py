@@ -136,6 +136,48 @@ def conversions(df: DataFrame) -> dict[str, str]:
     return {r["column"]: r["conversion"] for r in K.coercion_rules(df, texts).collect()}
 
 
+def _fill_stats(df: DataFrame) -> tuple[dict, dict, int]:
+    """Fill values, missing counts and the row count in as few passes as the
+    size allows: one value-count shuffle for the text modes, and one
+    aggregation for missing counts (plus medians by ``percentile`` when the
+    table is too small to hold a group of more than ``SMALL_LIMIT`` values;
+    otherwise medians come from the distributed quantile helper)."""
+    from tablelens.functions.quantiles import SMALL_LIMIT
+    texts, nums = K.categorical_columns(df), K.numeric_columns(df)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    rows = df.count()
+    small = rows <= SMALL_LIMIT
+    exprs = [F.count(F.lit(1)).alias("_rows")]
+    for k, c in enumerate(df.columns):
+        v = num(c, types[c]) if c in nums else F.col(c)
+        exprs.append((F.count(F.lit(1)) - F.count(v)).alias(f"miss{k}"))
+        if small and c in nums:
+            exprs.append(F.percentile(v, F.lit(0.5)).alias(f"med{k}"))
+    one = df.agg(*exprs).first()
+    missing = {c: int(one[f"miss{k}"]) for k, c in enumerate(df.columns)}
+    fills: dict[str, dict] = {}
+    if nums:
+        if small:
+            meds = {c: one[f"med{k}"] for k, c in enumerate(df.columns) if c in nums}
+        else:
+            q = quantiles(numeric_long(df, nums), ["column"], "value", (0.5,)).collect()
+            meds = {r["column"]: r["quantiles"][0] for r in q}
+        for c in nums:
+            m = meds.get(c)
+            fills[c] = {"kind": "numeric", "fill": m, "fill_text": None,
+                        "detail": f"Filled with median: {m:.2f}" if m is not None else "Filled with median: nan"}
+    if texts:
+        vc = value_counts(df, texts)
+        w = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
+        modes = {r["column"]: r["value"] for r in
+                 vc.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).collect()}
+        for c in texts:
+            m = modes.get(c)
+            fills[c] = {"kind": "categorical", "fill": None, "fill_text": m if m is not None else UNKNOWN,
+                        "detail": f"Filled with mode: {m}" if m is not None else "Filled with 'Unknown'"}
+    return fills, missing, rows
+
+
 def clean(df: DataFrame, fill: bool = True, dedupe: bool = True, cap: bool = True,
           convert: bool = True, materialize_dedupe: bool = True) -> Cleaned:
     """The whole pipeline with per-stage switches, plus the C6 audit as rows
@@ -143,32 +185,55 @@ def clean(df: DataFrame, fill: bool = True, dedupe: bool = True, cap: bool = Tru
 
     Like a fitted imputer, each stage first computes its per-column statistics
     (fill values, fences, conversion decisions: one row per column), then
-    applies them as literals. The deduplicated table is read three times
-    (fences, capped counts, output), so it is written once to the shared
-    checkpoint folder instead of being recomputed by three shuffles."""
+    applies them as literals. Passes over the data: the fill statistics (an
+    aggregation and a value-count shuffle), the deduplication (written once to
+    the shared checkpoint folder, since three later passes read it), the
+    quartiles, and ONE aggregation that both counts the values to cap and
+    decides the type conversions."""
     spark = df.sparkSession
     audit_rows: list[tuple] = []
     out = df
+    rows = None
     if fill:
-        fv = per_column(fill_values(out).collect())
-        miss = per_column(_missing_counts(out).collect())
+        fv, miss, rows = _fill_stats(out)
         for c in out.columns:
             if c in fv:
-                audit_rows.append(("missing", c, fv[c]["detail"], int(miss[c]["missing"])))
+                audit_rows.append(("missing", c, fv[c]["detail"], miss[c]))
         out = fill_missing(out, fv)
     if dedupe:
-        before = out.count()
+        before = rows if rows is not None else out.count()
         out = out.dropDuplicates()
         if materialize_dedupe:
             out = materialize(out, "deduped")
         audit_rows.append(("duplicates", None, "Removed duplicate rows", before - out.count()))
+    nums, texts = K.numeric_columns(out), K.categorical_columns(out)
+    types = {f.name: f.dataType for f in out.schema.fields}
+    bounds = {}
+    if cap and nums:
+        v = out.select(*[num(c, types[c]).alias(c) for c in nums])
+        bounds = per_column(iqr_bounds(v, nums).collect())
+    # one pass: values outside the fences (numeric) and the conversion counts (text)
+    stats = []
+    if cap:
+        for c in nums:
+            b = bounds.get(c)
+            if b is not None and b["lower"] is not None:
+                x = num(c, types[c])
+                stats.append(F.count_if((x < _lit(b["lower"])) | (x > _lit(b["upper"]))).alias(f"cap__{c}"))
+    conv_cols = texts if convert else []
+    if conv_cols:
+        rules = K.conversion_exprs(conv_cols)
+        stats += [e.alias(f"{n}__{c}") for c, n, e in rules]
+    row = out.agg(*stats).first() if stats else None
     if cap:
-        out, counts = cap_outliers(out)
-        for r in counts.collect():
-            if r["capped"] > 0:
-                audit_rows.append(("outliers", r["column"], f"Capped {r['capped']} outliers", int(r["capped"])))
-    if convert:
-        dec = conversions(out)
+        for c in nums:
+            k = row[f"cap__{c}"] if row is not None and f"cap__{c}" in row.asDict() else 0
+            if k:
+                audit_rows.append(("outliers", c, f"Capped {k} outliers", int(k)))
+        out, _ = cap_outliers(out, bounds)
+    if conv_cols:
+        dec = {c: K.conversion_word(row[f"numeric__{c}"], row[f"datetime__{c}"], row[f"non_null__{c}"])
+               for c in conv_cols}
         out = K.apply_conversions(out, dec)
         for c, d in dec.items():
             audit_rows.append(("conversion", c, d, None))

@@ -111,6 +111,23 @@ def conversion_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
     ])
 
 
+def conversion_exprs(cols: Sequence[str]):
+    """(column, name, aggregate) triples deciding the all-or-nothing conversion."""
+    out = []
+    for c in cols:
+        out += [(c, "non_null", F.count(F.col(c))), (c, "numeric", F.count(to_number(c))),
+                (c, "datetime", F.count(to_datetime(c)))]
+    return out
+
+
+def conversion_word(numeric: int, datetime: int, non_null: int) -> str:
+    if numeric == non_null:
+        return "Converted to numeric"
+    if datetime == non_null:
+        return "Converted to datetime"
+    return "Kept as categorical"
+
+
 def coercion_rules(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """T2–T5 for every string column in one pass: which rule calls it numeric,
     and what the cleaning conversion does with it."""

@@ -39,6 +39,16 @@ def _round(c, decimals):
 
 # ---------------------------------------------------------------- P1, P2, P3
 
+def _with_raw(view: DataFrame, df: DataFrame, texts: Sequence[str]) -> DataFrame:
+    """The numeric view plus the raw text of ``texts`` (same rows, one projection)."""
+    if not texts:
+        return view
+    types = {f.name: f.dataType for f in df.schema.fields}
+    cols = view.columns
+    return df.select(*[(to_number(c) if isinstance(types[c], T.StringType) else num(c, types[c])).alias(c)
+                       for c in cols], *[F.col(c).alias(f"{c}__raw") for c in texts])
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Repeats of a whole row, first occurrence not counted (nulls equal)."""
     g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
@@ -201,6 +211,14 @@ def univariate_numeric(df: DataFrame, cols: Sequence[str] | None = None, method:
     for its three uses: distinct counts, exact quartiles, plan choice); then
     ONE aggregation over the table computes the moments and counts the values
     outside the fences, which enter as literals (one row per column fetched)."""
+    texts: list[str] = []
+    if cols is None and rule == "majority_non_null":
+        # text columns join speculatively: values that are not numbers become
+        # null and vanish from the value-count shuffle; the majority rule is
+        # then read off the same final aggregation (no separate pass)
+        cols = K.numeric_columns(df) + K.categorical_columns(df)
+        texts = K.categorical_columns(df)
+        rule = None
     view, cols = _numeric_view(df, cols, rule)
     if not cols:
         return agg_by_column(view, cols, [])
@@ -210,7 +228,7 @@ def univariate_numeric(df: DataFrame, cols: Sequence[str] | None = None, method:
         if method == "auto":
             method = "percentile" if max(uniq.values(), default=0) <= SMALL_LIMIT else "distributed"
         qs = per_column(quantiles(counts, ["column"], "value", (0.25, 0.5, 0.75), method=method,
-                                  weight="n").collect())
+                                  weight="n").collect()) if uniq else {}
     finally:
         counts.unpersist()
     b = {}
@@ -235,7 +253,10 @@ def univariate_numeric(df: DataFrame, cols: Sequence[str] | None = None, method:
         ("rows", lambda c: F.count(F.lit(1))),
         ("outliers", lambda c: _outside(c, b)),
         ("unique_count", lambda c: F.lit(int(uniq.get(c, 0))).cast("long")),
-    ])
+        ("non_null_raw", lambda c: F.count(F.col(f"{c}__raw")) if c in texts else F.count(F.col(c))),
+    ], source=_with_raw(view, df, texts))
+    if texts:  # majority of the non-null text values are numbers
+        m = m.where(~F.col("column").isin(texts) | (F.col("count") > 0.5 * F.col("non_null_raw")))
     return m.select(
         "column", "count", "mean", "median", "std", "min", "max", "q25", "q75", "skewness", "kurtosis",
         (F.col("rows") - F.col("count")).alias("missing_count"),
