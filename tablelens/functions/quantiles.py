@@ -82,10 +82,12 @@ def _ranged(counts: DataFrame, keys: Sequence[str], value: str):
 
 
 def average_ranks(long_df: DataFrame, keys: Sequence[str], value: str = "value",
-                  method: str = "auto", small_limit: int = SMALL_LIMIT) -> DataFrame:
+                  method: str = "auto", small_limit: int = SMALL_LIMIT,
+                  weight: str | None = None) -> DataFrame:
     """(keys..., value, n, rank): 1-based average rank of each distinct value
-    within its key (ties share the mean of their positions)."""
-    counts = value_counts(long_df, keys, value)
+    within its key (ties share the mean of their positions). ``weight`` names
+    a count column when the rows are already counted."""
+    counts = value_counts(long_df, keys, value, weight)
     plan = _choose(long_df, keys, value, method, small_limit)
     if plan != "large":
         w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablelens.functions.stats import num
 from tablelens.operators import kinds as K
 from tablelens.operators import pairs as B
 from tablelens.operators import profile as P
@@ -210,8 +211,18 @@ def _overview(df: DataFrame, target: str | None, with_dups: bool):
     nums, cats = K.numeric_columns(df), K.categorical_columns(df)
     ms = P.missing_summary(df).first()
     info = P.dataset_info(df).first() if with_dups else None
-    desc = {r["column"]: r for r in P.describe_numeric(df, nums[:3]).collect()} if nums else {}
-    catp = {r["column"]: r for r in P.univariate_categorical(df, cats[:3]).collect()} if cats else {}
+    types = {f.name: f.dataType for f in df.schema.fields}
+    # only mean, std and skewness are read: one moments pass, no quartiles
+    desc = {r["column"]: r for r in P.moments(df.select(*[num(c, types[c]).alias(c) for c in nums[:3]]),
+                                               nums[:3]).collect()} if nums else {}
+    # distinct count and mode of the first text columns from one value-count shuffle
+    catp = {}
+    if cats:
+        vc = P.value_counts(df, cats[:3])
+        for r in vc.groupBy("column").agg(
+                F.count(F.lit(1)).alias("unique_count"),
+                F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("most_frequent")).collect():
+            catp[r["column"]] = r
     strong, moderate = _pairs(df) if len(nums) > 1 else ([], [])
     tgt = G.target_summary(df, target).first() if target and target in df.columns else None
     return nums, cats, ms, info, desc, catp, strong, moderate, tgt

@@ -134,26 +134,27 @@ def pearson_test(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def spearman_r(v: DataFrame, method: str = "auto") -> DataFrame:
-    """rho and n of columns x, y (doubles) over complete rows, from exact average ranks."""
+    """rho and n of columns x, y (doubles) over complete rows, from exact average ranks.
+
+    The complete rows are shuffled once, into distinct ``(x, y, w)`` pairs;
+    the ranks of each side are computed from that (smaller) table and joined
+    back onto it. Average ranks of n rows always sum to n(n+1)/2, so one pass
+    of plain weighted sums gives rho."""
     comp = v.where(F.col("x").isNotNull() & F.col("y").isNotNull())
     pairs = comp.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
-    long = comp.select(F.inline(F.array(F.struct(F.lit("x").alias("column"), F.col("x").alias("value")),
-                                        F.struct(F.lit("y").alias("column"), F.col("y").alias("value")))))
-    ranks = average_ranks(long, ["column"], "value", method=method)
+    long = pairs.select("w", F.inline(F.array(F.struct(F.lit("x").alias("column"), F.col("x").alias("value")),
+                                              F.struct(F.lit("y").alias("column"), F.col("y").alias("value")))))
+    ranks = average_ranks(long, ["column"], "value", method=method, weight="w")
     rx = ranks.where(F.col("column") == "x").select(F.col("value").alias("x"), F.col("rank").alias("rx"))
     ry = ranks.where(F.col("column") == "y").select(F.col("value").alias("y"), F.col("rank").alias("ry"))
     joined = pairs.join(rx, "x").join(ry, "y")
-    nn = F.sum("w")
-    # ranks of n complete rows average (n+1)/2 on both sides: centre before squaring
-    stats = joined.agg(nn.alias("n"), F.sum(F.col("w") * F.col("rx")).alias("sx"),
-                       F.sum(F.col("w") * F.col("ry")).alias("sy"))
-    c = joined.crossJoin(F.broadcast(stats)).select(
-        "w", (F.col("rx") - (F.col("n") + 1) / 2.0).alias("dx"),
-        (F.col("ry") - (F.col("n") + 1) / 2.0).alias("dy"), "n")
-    agg = c.agg(F.first("n").alias("n"), F.sum(F.col("w") * F.col("dx") * F.col("dy")).alias("sxy"),
-                F.sum(F.col("w") * F.col("dx") * F.col("dx")).alias("sxx"),
-                F.sum(F.col("w") * F.col("dy") * F.col("dy")).alias("syy"))
-    rho = F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx") * F.col("syy")))
+    agg = joined.agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("rx") * F.col("ry")).alias("sxy"),
+                     F.sum(F.col("w") * F.col("rx") * F.col("rx")).alias("sxx"),
+                     F.sum(F.col("w") * F.col("ry") * F.col("ry")).alias("syy"))
+    n = F.col("n").cast("double")
+    m2 = n * ((n + 1) / 2.0) * ((n + 1) / 2.0)
+    rho = F.try_divide(F.col("sxy") - m2, F.sqrt((F.col("sxx") - m2) * (F.col("syy") - m2)))
+    rho = F.when((F.col("sxx") - m2 > 0) & (F.col("syy") - m2 > 0), rho)
     return agg.select(F.coalesce("n", F.lit(0)).cast("long").alias("n"),
                       F.when(rho > 1.0, 1.0).when(rho < -1.0, -1.0).otherwise(rho).alias("rho"))
 
