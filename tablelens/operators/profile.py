@@ -9,6 +9,7 @@ before the shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -39,16 +40,6 @@ def _round(c, decimals):
 
 # ---------------------------------------------------------------- P1, P2, P3
 
-def _with_raw(view: DataFrame, df: DataFrame, texts: Sequence[str]) -> DataFrame:
-    """The numeric view plus the raw text of ``texts`` (same rows, one projection)."""
-    if not texts:
-        return view
-    types = {f.name: f.dataType for f in df.schema.fields}
-    cols = view.columns
-    return df.select(*[(to_number(c) if isinstance(types[c], T.StringType) else num(c, types[c])).alias(c)
-                       for c in cols], *[F.col(c).alias(f"{c}__raw") for c in texts])
-
-
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Repeats of a whole row, first occurrence not counted (nulls equal)."""
     g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
@@ -176,94 +167,114 @@ def _outside(c: str, bounds: dict):
     return F.count_if((F.col(c) < _lit(b["lower"])) | (F.col(c) > _lit(b["upper"])))
 
 
-def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, method: str = "auto",
-                     rule: str | None = None) -> DataFrame:
-    """Count, mean, std, min, q25, median, q75, max, skewness, kurtosis
-    per numeric column. Exact quartiles first (one row per column), then one
-    aggregation pass for everything else."""
-    view, cols = _numeric_view(df, cols, rule)
-    q = per_column(quartiles(view, cols, method).collect())
-
-    def qv(c, f):
-        return _lit(q[c][f] if c in q else None)
+_SUMMARY_SCHEMA = ("column string, count long, mean double, median double, std double, min double, max double, "
+                   "q25 double, q75 double, skewness double, kurtosis double, missing_count long, "
+                   "missing_pct double, outliers long, unique_count long, error string")
 
-    return agg_by_column(view, cols, [
-        ("count", lambda c: F.count(c)),
-        ("mean", lambda c: F.avg(c)),
-        ("std", lambda c: F.stddev_samp(c)),
-        ("min", lambda c: F.min(c)),
-        ("q25", lambda c: qv(c, "q25")),
-        ("median", lambda c: qv(c, "median")),
-        ("q75", lambda c: qv(c, "q75")),
-        ("max", lambda c: F.max(c)),
-        ("skewness", lambda c: adjusted_skewness(F.col(c))),
-        ("kurtosis", lambda c: adjusted_kurtosis(F.col(c))),
-    ])
 
+def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, method: str = "auto",
+                    rule: str | None = "majority_non_null") -> DataFrame:
+    """Every U1 statistic of many numeric columns from ONE scan of the table.
 
-def univariate_numeric(df: DataFrame, cols: Sequence[str] | None = None, method: str = "auto",
-                       rule: str | None = "majority_non_null") -> DataFrame:
-    """U1 (+U2) for many columns at once: one row per column with count, mean,
-    median, std, min, max, q25, q75, skewness, kurtosis, missing count and % of
-    rows, IQR outliers, distinct values; ``error`` when a column has no value.
+    The scan feeds one shuffle into the counted table ``(column, value,
+    raw_null, n)`` (partial aggregation collapses repeated values map-side),
+    which is kept for the rest: a pass for totals, nulls, extremes and distinct
+    counts; the exact quartiles (weighted ``percentile``, or the range-partitioned
+    plan for big groups); a pass for the central moments (two-pass, shifted by
+    the exact mean) and the values outside the fences. The answer has one row
+    per column, assembled from those small results.
 
-    Plan: one shuffle builds the distinct ``(column, value, n)`` table (kept
-    for its three uses: distinct counts, exact quartiles, plan choice); then
-    ONE aggregation over the table computes the moments and counts the values
-    outside the fences, which enter as literals (one row per column fetched)."""
+    With ``rule='majority_non_null'`` and no explicit columns, text columns
+    join speculatively as numbers (non-numbers become null and cost nothing in
+    the shuffle) and are kept when most of their non-null values convert."""
+    spark = df.sparkSession
+    types = {f.name: f.dataType for f in df.schema.fields}
     texts: list[str] = []
-    if cols is None and rule == "majority_non_null":
-        # text columns join speculatively: values that are not numbers become
-        # null and vanish from the value-count shuffle; the majority rule is
-        # then read off the same final aggregation (no separate pass)
-        cols = K.numeric_columns(df) + K.categorical_columns(df)
-        texts = K.categorical_columns(df)
-        rule = None
-    view, cols = _numeric_view(df, cols, rule)
+    if cols is None:
+        cols = K.numeric_columns(df)
+        if rule == "majority_non_null":
+            texts = K.categorical_columns(df)
+            cols = cols + texts
+    cols = list(cols)
     if not cols:
-        return agg_by_column(view, cols, [])
-    counts = qvalue_counts(numeric_long(view, cols), ["column"]).persist()
+        return spark.createDataFrame([], _SUMMARY_SCHEMA)
+    structs = []
+    for c in cols:
+        raw = F.col(c)
+        val = to_number(c) if isinstance(types[c], T.StringType) else num(c, types[c])
+        structs.append(F.struct(F.lit(c).alias("column"), val.alias("value"), raw.isNull().alias("raw_null")))
+    long = df.select(F.inline(F.array(*structs)))
+    counts = long.groupBy("column", "value", "raw_null").agg(F.count(F.lit(1)).alias("n")).persist()
     try:
-        uniq = {r["column"]: r["d"] for r in counts.groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
+        v, n = F.col("value"), F.col("n")
+        present = v.isNotNull()
+        a = {r["column"]: r for r in counts.groupBy("column").agg(
+            F.sum(n).alias("rows"), F.sum(F.when(present, n)).alias("count"),
+            F.sum(F.when(~F.col("raw_null"), n)).alias("non_null_raw"),
+            F.sum(F.when(present, n * v)).alias("s1"), F.min(v).alias("min"), F.max(v).alias("max"),
+            F.count(v).alias("unique")).collect()}
+        empty = {"rows": 0, "count": 0, "non_null_raw": 0, "s1": None, "min": None, "max": None, "unique": 0}
+        a = {c: (a[c].asDict() if c in a else dict(empty)) for c in cols}
+        keep = [c for c in cols if c not in texts or (a[c]["count"] or 0) > 0.5 * (a[c]["non_null_raw"] or 0)]
+        present_counts = counts.where(present & F.col("column").isin(keep))
+        biggest = max([a[c]["unique"] for c in keep], default=0)
         if method == "auto":
-            method = "percentile" if max(uniq.values(), default=0) <= SMALL_LIMIT else "distributed"
-        qs = per_column(quantiles(counts, ["column"], "value", (0.25, 0.5, 0.75), method=method,
-                                  weight="n").collect()) if uniq else {}
+            method = "percentile" if biggest <= SMALL_LIMIT else "distributed"
+        qs = per_column(quantiles(present_counts, ["column"], "value", (0.25, 0.5, 0.75), method=method,
+                                  weight="n").collect()) if biggest else {}
+        lits = []
+        for c in keep:
+            cnt = a[c]["count"] or 0
+            mean = a[c]["s1"] / cnt if cnt else None
+            q = qs.get(c)
+            q1, q2, q3 = q["quantiles"] if q else (None, None, None)
+            lo = q1 - 1.5 * (q3 - q1) if q else None
+            hi = q3 + 1.5 * (q3 - q1) if q else None
+            lits.append((c, mean, lo, hi, q1, q2, q3))
+        lit_df = spark.createDataFrame(lits, "column string, mean double, lo double, hi double, "
+                                             "q1 double, q2 double, q3 double")
+        d = v - F.col("mean")
+        b = {r["column"]: r for r in present_counts.join(F.broadcast(lit_df.select("column", "mean", "lo", "hi")),
+                                                          "column").groupBy("column").agg(
+            F.sum(n * d * d).alias("m2"), F.sum(n * d * d * d).alias("m3"), F.sum(n * d * d * d * d).alias("m4"),
+            F.sum(F.when((v < F.col("lo")) | (v > F.col("hi")), n).otherwise(0)).alias("outliers")).collect()}
     finally:
         counts.unpersist()
-    b = {}
-    for c, r in qs.items():
-        q1, q2, q3 = r["quantiles"]
-        b[c] = {"q25": q1, "median": q2, "q75": q3, "lower": q1 - 1.5 * (q3 - q1), "upper": q3 + 1.5 * (q3 - q1)}
+    rows = []
+    for c, mean, lo, hi, q1, q2, q3 in lits:
+        r, m = a[c], b.get(c)
+        cnt, total = int(r["count"] or 0), int(r["rows"] or 0)
+        std = skew = kurt = None
+        if m is not None and cnt >= 2:
+            std = math.sqrt(max(m["m2"], 0.0) / (cnt - 1))
+        if m is not None and cnt >= 3:
+            m2, m3 = m["m2"] / cnt, m["m3"] / cnt
+            skew = 0.0 if m2 <= 0 else math.sqrt(cnt * (cnt - 1)) / (cnt - 2) * m3 / m2 ** 1.5
+        if m is not None and cnt >= 4:
+            m2, m4 = m["m2"] / cnt, m["m4"] / cnt
+            kurt = 0.0 if m2 <= 0 else (cnt - 1) / ((cnt - 2) * (cnt - 3)) * ((cnt + 1) * (m4 / (m2 * m2) - 3) + 6)
+        missing = total - cnt
+        rows.append((c, cnt, mean, q2, std, r["min"], r["max"], q1, q3, skew, kurt, missing,
+                     missing * 100.0 / total if total else None,
+                     int(m["outliers"]) if (m is not None and cnt > 0 and lo is not None) else None,
+                     int(r["unique"] or 0), "No valid numeric data" if cnt == 0 else None))
+    return spark.createDataFrame(rows, _SUMMARY_SCHEMA)
 
-    def bv(c, f):
-        return _lit(b[c][f] if c in b else None)
 
-    m = agg_by_column(view, cols, [
-        ("count", lambda c: F.count(c)),
-        ("mean", lambda c: F.avg(c)),
-        ("median", lambda c: bv(c, "median")),
-        ("std", lambda c: F.stddev_samp(c)),
-        ("min", lambda c: F.min(c)),
-        ("max", lambda c: F.max(c)),
-        ("q25", lambda c: bv(c, "q25")),
-        ("q75", lambda c: bv(c, "q75")),
-        ("skewness", lambda c: adjusted_skewness(F.col(c))),
-        ("kurtosis", lambda c: adjusted_kurtosis(F.col(c))),
-        ("rows", lambda c: F.count(F.lit(1))),
-        ("outliers", lambda c: _outside(c, b)),
-        ("unique_count", lambda c: F.lit(int(uniq.get(c, 0))).cast("long")),
-        ("non_null_raw", lambda c: F.count(F.col(f"{c}__raw")) if c in texts else F.count(F.col(c))),
-    ], source=_with_raw(view, df, texts))
-    if texts:  # majority of the non-null text values are numbers
-        m = m.where(~F.col("column").isin(texts) | (F.col("count") > 0.5 * F.col("non_null_raw")))
-    return m.select(
-        "column", "count", "mean", "median", "std", "min", "max", "q25", "q75", "skewness", "kurtosis",
-        (F.col("rows") - F.col("count")).alias("missing_count"),
-        F.try_divide((F.col("rows") - F.col("count")) * 100.0, F.col("rows")).alias("missing_pct"),
-        F.when(F.col("count") > 0, F.col("outliers")).alias("outliers"),
-        "unique_count",
-        F.when(F.col("count") == 0, F.lit("No valid numeric data")).alias("error"))
+def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, method: str = "auto",
+                     rule: str | None = None) -> DataFrame:
+    """Count, mean, std, min, q25, median, q75, max, skewness, kurtosis
+    per numeric column (one scan; see :func:`numeric_summary`)."""
+    return numeric_summary(df, cols, method, rule).select(
+        "column", "count", "mean", "std", "min", "q25", "median", "q75", "max", "skewness", "kurtosis")
+
+
+def univariate_numeric(df: DataFrame, cols: Sequence[str] | None = None, method: str = "auto",
+                       rule: str | None = "majority_non_null") -> DataFrame:
+    """U1 (+U2) for many columns at once: one row per column with count, mean,
+    median, std, min, max, q25, q75, skewness, kurtosis, missing count and % of
+    rows, IQR outliers, distinct values; ``error`` when a column has no value."""
+    return numeric_summary(df, cols, method, rule if cols is None else None)
 
 
 # ---------------------------------------------------------------- P8, P9, U3
