@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -122,50 +123,81 @@ def scatter_trend(df: DataFrame, x: str, y: str) -> DataFrame:
 
 # ---------------------------------------------------------------- B1, B2, B3
 
-def pearson_test(df: DataFrame, a: str, b: str) -> DataFrame:
-    """B1 + B3: r, pairs used, two-sided p, strength."""
-    x, y = _num(df, a), _num(df, b)
-    v = df.select(x.alias("x"), y.alias("y"))
-    r = v.agg(pearson(F.col("x"), F.col("y")).alias("r"),
-              F.count(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1)).alias("n"))
-    return r.select(F.lit(a).alias("column1"), F.lit(b).alias("column2"), "n", "r",
-                    special.p_correlation(F.col("r"), F.col("n")).alias("p_value"),
-                    correlation_strength(F.col("r")).alias("strength"))
+def _strength(r):
+    if r is None:
+        return "weak"
+    a = abs(r)
+    return "strong" if a > 0.7 else "moderate" if a > 0.3 else "weak"
+
 
+def _association(p):
+    if p is None:
+        return "weak"
+    return "strong" if p < 0.001 else "moderate" if p < 0.05 else "weak"
 
-def spearman_r(v: DataFrame, method: str = "auto") -> DataFrame:
-    """rho and n of columns x, y (doubles) over complete rows, from exact average ranks.
 
-    The complete rows are shuffled once, into distinct ``(x, y, w)`` pairs;
-    the ranks of each side are computed from that (smaller) table and joined
-    back onto it. Average ranks of n rows always sum to n(n+1)/2, so one pass
-    of plain weighted sums gives rho."""
+def _nan_none(x):
+    return None if x is None or (isinstance(x, float) and math.isnan(x)) else x
+
+
+def pearson_test(df: DataFrame, a: str, b: str) -> DataFrame:
+    """B1 + B3: r, pairs used, two-sided p, strength. One aggregation; the p of
+    the single result row is computed where the row lands."""
+    x, y = _num(df, a), _num(df, b)
+    v = df.select(x.alias("x"), y.alias("y"))
+    row = v.agg(pearson(F.col("x"), F.col("y")).alias("r"),
+                F.count(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1)).alias("n")).first()
+    r, n = row["r"], int(row["n"])
+    p = _nan_none(special.t_two_sided_from_r(r, n)) if r is not None else None
+    return df.sparkSession.createDataFrame(
+        [(a, b, n, r, p, _strength(r))],
+        "column1 string, column2 string, n long, r double, p_value double, strength string")
+
+
+def spearman_r(v: DataFrame, method: str = "auto") -> tuple[int, float | None]:
+    """(n, rho) of columns x, y (doubles) over complete rows, from exact average ranks.
+
+    The complete rows are shuffled once, into distinct ``(x, y, w)`` pairs
+    (kept while in use); the ranks of each side come from that smaller table
+    and join back onto it. Average ranks of n rows always sum to n(n+1)/2, so
+    one pass of plain weighted sums gives rho."""
+    from tablelens.functions.quantiles import SMALL_LIMIT
     comp = v.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    pairs = comp.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
-    long = pairs.select("w", F.inline(F.array(F.struct(F.lit("x").alias("column"), F.col("x").alias("value")),
-                                              F.struct(F.lit("y").alias("column"), F.col("y").alias("value")))))
-    ranks = average_ranks(long, ["column"], "value", method=method, weight="w")
-    rx = ranks.where(F.col("column") == "x").select(F.col("value").alias("x"), F.col("rank").alias("rx"))
-    ry = ranks.where(F.col("column") == "y").select(F.col("value").alias("y"), F.col("rank").alias("ry"))
-    joined = pairs.join(rx, "x").join(ry, "y")
-    agg = joined.agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("rx") * F.col("ry")).alias("sxy"),
-                     F.sum(F.col("w") * F.col("rx") * F.col("rx")).alias("sxx"),
-                     F.sum(F.col("w") * F.col("ry") * F.col("ry")).alias("syy"))
-    n = F.col("n").cast("double")
-    m2 = n * ((n + 1) / 2.0) * ((n + 1) / 2.0)
-    rho = F.try_divide(F.col("sxy") - m2, F.sqrt((F.col("sxx") - m2) * (F.col("syy") - m2)))
-    rho = F.when((F.col("sxx") - m2 > 0) & (F.col("syy") - m2 > 0), rho)
-    return agg.select(F.coalesce("n", F.lit(0)).cast("long").alias("n"),
-                      F.when(rho > 1.0, 1.0).when(rho < -1.0, -1.0).otherwise(rho).alias("rho"))
+    pairs = comp.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w")).persist()
+    try:
+        if method == "auto" and pairs.count() <= SMALL_LIMIT:
+            method = "window"  # no side can have more distinct values than there are pairs
+        long = pairs.select("w", F.inline(F.array(
+            F.struct(F.lit("x").alias("column"), F.col("x").alias("value")),
+            F.struct(F.lit("y").alias("column"), F.col("y").alias("value")))))
+        ranks = average_ranks(long, ["column"], "value", method=method, weight="w")
+        rx = ranks.where(F.col("column") == "x").select(F.col("value").alias("x"), F.col("rank").alias("rx"))
+        ry = ranks.where(F.col("column") == "y").select(F.col("value").alias("y"), F.col("rank").alias("ry"))
+        joined = pairs.join(rx, "x").join(ry, "y")
+        row = joined.agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("rx") * F.col("ry")).alias("sxy"),
+                         F.sum(F.col("w") * F.col("rx") * F.col("rx")).alias("sxx"),
+                         F.sum(F.col("w") * F.col("ry") * F.col("ry")).alias("syy")).first()
+    finally:
+        pairs.unpersist()
+    n = int(row["n"] or 0)
+    if n < 2:
+        return n, None
+    m2 = n * ((n + 1) / 2.0) ** 2
+    vx, vy = row["sxx"] - m2, row["syy"] - m2
+    if vx <= 0 or vy <= 0:
+        return n, None
+    rho = (row["sxy"] - m2) / math.sqrt(vx * vy)
+    return n, max(-1.0, min(1.0, rho))
 
 
 def spearman_test(df: DataFrame, a: str, b: str, method: str = "auto") -> DataFrame:
     """B2: Spearman rho (average ranks on ties) over complete rows and its p."""
     v = df.select(_num(df, a).alias("x"), _num(df, b).alias("y"))
-    s = spearman_r(v, method)
-    return s.select(F.lit(a).alias("column1"), F.lit(b).alias("column2"), "n", "rho",
-                    special.p_correlation(F.col("rho"), F.col("n")).alias("p_value"),
-                    correlation_strength(F.col("rho")).alias("strength"))
+    n, rho = spearman_r(v, method)
+    p = _nan_none(special.t_two_sided_from_r(rho, n)) if rho is not None else None
+    return df.sparkSession.createDataFrame(
+        [(a, b, n, rho, p, _strength(rho))],
+        "column1 string, column2 string, n long, rho double, p_value double, strength string")
 
 
 # ---------------------------------------------------------------- B4, B5, B6, G8
@@ -188,46 +220,56 @@ def contingency(df: DataFrame, a: str, b: str, zeros: bool = False) -> DataFrame
     return dense.select(F.col("a").alias(a), F.col("b").alias(b), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def _margins(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """cells (a, b, n) → cells with row/col totals, and one row (N, r, c)."""
-    ra = cells.groupBy("a").agg(F.sum("n").alias("ra"))
-    cb = cells.groupBy("b").agg(F.sum("n").alias("cb"))
-    tot = cells.agg(F.sum("n").alias("nn"), F.count_distinct("a").alias("r"), F.count_distinct("b").alias("c"))
-    full = cells.join(ra, "a").join(cb, "b").crossJoin(F.broadcast(tot))
-    return full, tot
-
-
-def _two_by_two(full: DataFrame, tot: DataFrame) -> DataFrame:
-    """The four cells of a 2×2 table with expected counts (empty unless r = c = 2)."""
-    ok = tot.where((F.col("r") == 2) & (F.col("c") == 2))
-    rows = full.select("a", "ra").distinct().crossJoin(F.broadcast(ok))
-    cols = full.select("b", "cb").distinct()
-    cells = rows.crossJoin(cols).join(full.select("a", "b", "n"), ["a", "b"], "left")
-    return cells.select("a", "b", F.coalesce("n", F.lit(0)).alias("o"),
-                        (F.col("ra") * F.col("cb") / F.col("nn")).alias("e"))
+def chi_square_stats(cells: DataFrame) -> dict:
+    """B5 on a long contingency table ``(a, b, n)`` of observed (non-zero) cells:
+    n, dof, chi2 and p, with Yates' continuity correction when dof = 1.
+
+    chi2 = N · (Σ o² / (r_i · c_j) − 1) needs only observed cells and margins;
+    the 2×2 case lists its four cells (zeros included) from the margins."""
+    cells = cells.persist()
+    try:
+        ra = cells.groupBy("a").agg(F.sum("n").alias("ra"))
+        cb = cells.groupBy("b").agg(F.sum("n").alias("cb"))
+        tot = cells.agg(F.sum("n").alias("nn"), F.count_distinct("a").alias("r"),
+                        F.count_distinct("b").alias("c")).first()
+        total, r, c = int(tot["nn"] or 0), int(tot["r"]), int(tot["c"])
+        dof = (r - 1) * (c - 1)
+        if total == 0:
+            return {"n": 0, "dof": dof, "chi2": None, "p_value": None}
+        if dof == 0:
+            return {"n": total, "dof": 0, "chi2": 0.0, "p_value": 1.0}
+        if dof == 1:  # 2×2: the four cells, zeros included, from the margins (bounded)
+            rows = {x["a"]: x["ra"] for x in ra.collect()}
+            cols = {x["b"]: x["cb"] for x in cb.collect()}
+            obs = {(x["a"], x["b"]): x["n"] for x in cells.collect()}
+            chi2 = 0.0
+            for ka, na in rows.items():
+                for kb, nb in cols.items():
+                    e = na * nb / total
+                    d = abs(obs.get((ka, kb), 0) - e)
+                    chi2 += (d - min(0.5, d)) ** 2 / e
+        else:
+            s = cells.join(ra, "a").join(cb, "b").agg(
+                F.sum(F.col("n") * F.col("n") / (F.col("ra") * F.col("cb"))).alias("s")).first()["s"]
+            chi2 = max(total * s - total, 0.0)
+    finally:
+        cells.unpersist()
+    return {"n": total, "dof": dof, "chi2": chi2, "p_value": _nan_none(special.chi2_sf(chi2, dof))}
 
 
 def chi_square(cells: DataFrame) -> DataFrame:
-    """Chi-square statistic, dof and p of a long contingency table
-    ``(a, b, n)``; Yates' continuity correction when dof = 1."""
-    full, tot = _margins(cells)
-    plain = full.agg(F.sum(F.col("n") * F.col("n") / (F.col("ra") * F.col("cb"))).alias("s"))
-    diff = F.abs(F.col("o") - F.col("e"))
-    adj = diff - F.least(F.lit(0.5), diff)
-    yates = _two_by_two(full, tot).agg(F.sum(adj * adj / F.col("e")).alias("y"))
-    res = tot.crossJoin(plain).crossJoin(yates)
-    dof = ((F.col("r") - 1) * (F.col("c") - 1)).cast("long")
-    chi2 = F.when(dof == 1, F.col("y")).otherwise(F.col("nn") * F.col("s") - F.col("nn"))
-    chi2 = F.when(dof == 0, F.lit(0.0)).otherwise(F.greatest(chi2, F.lit(0.0)))
-    out = res.select(F.col("nn").alias("n"), dof.alias("dof"), chi2.alias("chi2"))
-    return out.select("n", "dof", "chi2", special.p_chi2(F.col("chi2"), F.col("dof")).alias("p_value"))
+    """B5 as a one-row DataFrame (n, dof, chi2, p_value)."""
+    st = chi_square_stats(cells)
+    return cells.sparkSession.createDataFrame([(st["n"], st["dof"], st["chi2"], st["p_value"])],
+                                              "n long, dof long, chi2 double, p_value double")
 
 
 def chi_square_test(df: DataFrame, a: str, b: str) -> DataFrame:
     """B5 + B6 on two columns."""
-    cs = chi_square(contingency(df, a, b).select(F.col(a).alias("a"), F.col(b).alias("b"), "n"))
-    return cs.select(F.lit(a).alias("column1"), F.lit(b).alias("column2"), "n", "dof", "chi2", "p_value",
-                     association_strength(F.col("p_value")).alias("association"))
+    st = chi_square_stats(contingency(df, a, b).select(F.col(a).alias("a"), F.col(b).alias("b"), "n"))
+    return df.sparkSession.createDataFrame(
+        [(a, b, st["n"], st["dof"], st["chi2"], st["p_value"], _association(st["p_value"]))],
+        "column1 string, column2 string, n long, dof long, chi2 double, p_value double, association string")
 
 
 # ---------------------------------------------------------------- B7, B8, M2
@@ -267,25 +309,32 @@ def group_statistics(df: DataFrame, cat: str, value: str, method: str = "auto")
 
 def anova_oneway(df: DataFrame, cat: str, value: str) -> DataFrame:
     """One-way ANOVA F and p of a numeric column across categories
-    (complete rows); null when undefined (one group, or no spread inside)."""
+    (complete rows); null when undefined (one group, or no spread inside).
+    Group (n, mean, variance) in one aggregation, then SSB and SSW in a second
+    over the (small) group table."""
     v = df.select(F.col(cat).cast("string").alias("g"), _num(df, value).alias("x")).where(
         F.col("g").isNotNull() & F.col("x").isNotNull())
     groups = v.groupBy("g").agg(F.count("x").alias("n"), F.avg("x").alias("m"),
-                                F.coalesce(F.var_samp("x"), F.lit(0.0)).alias("s2"))
-    grand = groups.agg(F.sum("n").alias("nn"), F.count(F.lit(1)).alias("k"),
-                       (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand_mean"))
-    parts = groups.crossJoin(F.broadcast(grand)).agg(
-        F.first("nn").alias("nn"), F.first("k").alias("k"),
-        F.sum(F.col("n") * (F.col("m") - F.col("grand_mean")) * (F.col("m") - F.col("grand_mean"))).alias("ssb"),
-        F.sum((F.col("n") - 1) * F.col("s2")).alias("ssw"))
-    d1 = F.col("k") - 1
-    d2 = F.col("nn") - F.col("k")
-    f = F.when((F.col("k") >= 2) & (d2 > 0),
-               F.try_divide(F.col("ssb") / d1, F.col("ssw") / d2))
-    out = parts.select(F.lit(cat).alias("column1"), F.lit(value).alias("column2"),
-                       F.col("nn").alias("n"), F.col("k").alias("groups"),
-                       d1.alias("df_between"), d2.alias("df_within"), f.alias("f"))
-    return out.withColumn("p_value", special.p_f(F.col("f"), F.col("df_between"), F.col("df_within")))
+                                F.coalesce(F.var_samp("x"), F.lit(0.0)).alias("s2")).persist()
+    try:
+        g = groups.agg(F.sum("n").alias("nn"), F.count(F.lit(1)).alias("k"),
+                       (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand")).first()
+        total, k = int(g["nn"] or 0), int(g["k"])
+        f = p = None
+        if total:
+            ss = groups.agg(
+                F.sum(F.col("n") * (F.col("m") - F.lit(g["grand"])) * (F.col("m") - F.lit(g["grand"]))).alias("ssb"),
+                F.sum((F.col("n") - 1) * F.col("s2")).alias("ssw")).first()
+            d1, d2 = k - 1, total - k
+            if k >= 2 and d2 > 0 and ss["ssw"] > 0:
+                f = (ss["ssb"] / d1) / (ss["ssw"] / d2)
+                p = _nan_none(special.f_sf(f, d1, d2))
+    finally:
+        groups.unpersist()
+    return df.sparkSession.createDataFrame(
+        [(cat, value, total, k, k - 1, total - k, f, p)],
+        "column1 string, column2 string, n long, groups long, df_between long, df_within long, "
+        "f double, p_value double")
 
 
 def groupby_grid(df: DataFrame, max_cats: int = 3, max_nums: int = 3, method: str = "auto") -> DataFrame:
