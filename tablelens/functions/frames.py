@@ -41,23 +41,6 @@ def string_long(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) ->
     return df.select(*keep, F.inline(F.array(*pairs)))
 
 
-def wide_row(long_stats: DataFrame, cols: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """Pivot a per-column stats table ``(column, f...)`` into ONE row with
-    columns ``{column}__{f}`` (pivot values are given, so no extra job)."""
-    piv = long_stats.groupBy().pivot("column", list(cols)).agg(*[F.first(f).alias(f) for f in fields])
-    if len(fields) == 1:  # Spark names single-agg pivot columns by the value alone
-        piv = piv.select(*[F.col(f"`{c}`").alias(f"{c}__{fields[0]}") for c in cols])
-    else:
-        piv = piv.select(*[F.col(f"`{c}_{f}`").alias(f"{c}__{f}") for c in cols for f in fields])
-    return piv
-
-
-def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
-    """Attach a one-row statistics table to every row (broadcast cross join;
-    one row, so the broadcast size does not grow with the data)."""
-    return df.crossJoin(F.broadcast(row))
-
-
 def empty_like(spark, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 

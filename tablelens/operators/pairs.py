@@ -211,13 +211,19 @@ def contingency(df: DataFrame, a: str, b: str, zeros: bool = False) -> DataFrame
     cells = pair.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     if not zeros:
         return cells.select(F.col("a").alias(a), F.col("b").alias(b), "n")
-    ra = cells.select("a").distinct()
-    cb = cells.select("b").distinct()
     size = cells.agg(F.count_distinct("a").alias("r"), F.count_distinct("b").alias("c")).first()
     if size["r"] * size["c"] > DENSE_LIMIT:
         raise ValueError(f"dense table has {size['r'] * size['c']} cells (> {DENSE_LIMIT}); use zeros=False")
-    dense = ra.join(cb, how="cross").join(cells, ["a", "b"], "left")
-    return dense.select(F.col("a").alias(a), F.col("b").alias(b), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    # the crosstab: one row per a-value, one column per b-value (the b-values,
+    # at most DENSE_LIMIT / r of them, are fetched), empty cells 0, back to long
+    bvals = [r["b"] for r in cells.select("b").distinct().orderBy("b").collect()]
+    if not bvals:
+        return cells.select(F.col("a").alias(a), F.col("b").alias(b), "n")
+    wide = cells.groupBy("a").pivot("b", bvals).agg(F.first("n")).na.fill(0)
+    names = [c for c in wide.columns if c != "a"]
+    pairs_ = [F.struct(F.lit(v).alias("b"), F.col(f"`{c}`").cast("long").alias("n")) for v, c in zip(bvals, names)]
+    dense = wide.select("a", F.inline(F.array(*pairs_)))
+    return dense.select(F.col("a").alias(a), F.col("b").alias(b), "n")
 
 
 def chi_square_stats(cells: DataFrame) -> dict:
@@ -358,10 +364,12 @@ def bivariate(df: DataFrame, col1: str, col2: str, method: str = "auto") -> Data
         p = pearson_test(v, col1, col2)
         s = spearman_test(v, col1, col2, method).select(
             F.col("rho").alias("spearman_r"), F.col("p_value").alias("spearman_p"))
-        return p.crossJoin(s).select(
-            "column1", "column2", F.lit("numeric_numeric").alias("type"), "n",
-            F.col("r").alias("pearson_r"), F.col("p_value").alias("pearson_p"), "spearman_r", "spearman_p",
-            F.col("strength").alias("correlation_strength"))
+        pr, sr = p.first(), s.first()
+        return df.sparkSession.createDataFrame(
+            [(col1, col2, "numeric_numeric", pr["n"], pr["r"], pr["p_value"], sr["spearman_r"], sr["spearman_p"],
+              pr["strength"])],
+            "column1 string, column2 string, type string, n long, pearson_r double, pearson_p double, "
+            "spearman_r double, spearman_p double, correlation_strength string")
     if not n1 and not n2:
         return chi_square_test(v, col1, col2).select(
             "column1", "column2", F.lit("categorical_categorical").alias("type"), "n", "chi2", "p_value", "dof",

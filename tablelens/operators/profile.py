@@ -62,7 +62,7 @@ def dataset_info(df: DataFrame) -> DataFrame:
     size = F.col("n_rows") * width + F.coalesce(F.col("_var"), F.lit(0))
     info = base.select("n_rows", F.lit(len(df.columns)).alias("n_cols"), size.cast("long").alias("size_bytes"),
                        (size / (1024.0 * 1024.0)).alias("memory_mb"))
-    return info.crossJoin(duplicate_rows(df))
+    return info.withColumn("duplicate_rows", duplicate_rows(df).scalar())
 
 
 def missing_per_column(df: DataFrame) -> DataFrame:
@@ -89,8 +89,8 @@ def missing_summary(df: DataFrame) -> DataFrame:
     m = missing_per_column(df)
     n = len(df.columns)
     rows = df.agg(F.count(F.lit(1)).alias("n_rows"))
-    tot = m.agg(F.sum("missing").cast("long").alias("total_missing"))
-    return rows.crossJoin(tot).select(
+    tot = m.agg(F.sum("missing").cast("long")).scalar()
+    return rows.withColumn("total_missing", tot).select(
         "n_rows", F.lit(n).alias("n_cols"), (F.col("n_rows") * n).alias("cells"), "total_missing",
         F.try_divide(F.col("total_missing") * 100.0, F.col("n_rows") * n).alias("missing_pct"))
 
@@ -292,12 +292,11 @@ def top_values(df: DataFrame, cols: Sequence[str] | None = None, k: int | None =
     asc) with % of ALL rows (nulls in the denominator); k=None keeps every value."""
     cols = list(cols) if cols is not None else K.categorical_columns(df)
     vc = value_counts(df, cols)
-    rows = df.agg(F.count(F.lit(1)).alias("_rows"))
+    rows = df.agg(F.count(F.lit(1))).scalar()  # a scalar subquery, computed once
     if k is not None:
         w = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
         vc = vc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    out = vc.crossJoin(F.broadcast(rows)).withColumn(
-        "pct", _round(F.try_divide(F.col("n") * 100.0, F.col("_rows")), decimals))
+    out = vc.withColumn("pct", _round(F.try_divide(F.col("n") * 100.0, rows), decimals))
     sel = ["column"] + (["rank"] if k is not None else []) + ["value", "n", "pct"]
     return out.select(*sel)
 

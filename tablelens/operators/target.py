@@ -167,27 +167,32 @@ def association_residuals(df: DataFrame, target: str, feature: str) -> DataFrame
     cells included; its size is checked first), the smallest cell count and
     the reading of both."""
     cells = B.contingency(df, feature, target, zeros=True).select(
-        F.col(feature).alias("a"), F.col(target).alias("b"), "n")
-    test = B.chi_square(cells.where(F.col("n") > 0))
-    ra = cells.groupBy("a").agg(F.sum("n").alias("ra"))
-    cb = cells.groupBy("b").agg(F.sum("n").alias("cb"))
-    tot = cells.agg(F.sum("n").alias("total"))
-    e = F.col("ra") * F.col("cb") / F.col("total")
-    full = cells.join(ra, "a").join(cb, "b").crossJoin(F.broadcast(tot)).select(
-        "n", e.alias("e"), "total")
-    # the residual as first defined on proportions, and the plain Pearson residual
-    prop = (F.col("n") / F.col("total") - F.col("e") / F.col("total")) / F.sqrt(F.col("e") / F.col("total"))
-    plain = (F.col("n") - F.col("e")) / F.sqrt(F.col("e"))
-    res = full.agg(F.min(prop).alias("min_residual"), F.max(prop).alias("max_residual"),
-                   F.max(plain).alias("max_pearson_residual"), F.min("n").alias("min_count"))
-    p = F.col("p_value")
-    mx = F.abs(F.col("max_residual"))
-    return test.crossJoin(res).select(
-        F.lit(target).alias("target"), F.lit(feature).alias("feature"), "chi2", "p_value", "dof",
-        F.when(p < 0.001, "very strong").when(p < 0.05, "strong").otherwise("weak").alias("association"),
-        "min_residual", "max_residual", "max_pearson_residual",
-        F.when(mx > 2, "strong").when(mx > 1, "moderate").otherwise("weak").alias("pattern"),
-        F.col("min_count").cast("long").alias("min_count"), (F.col("min_count") < 5).alias("small_counts"))
+        F.col(feature).alias("a"), F.col(target).alias("b"), "n").persist()
+    try:
+        st = B.chi_square_stats(cells.where(F.col("n") > 0))
+        ra = cells.groupBy("a").agg(F.sum("n").alias("ra"))
+        cb = cells.groupBy("b").agg(F.sum("n").alias("cb"))
+        total = float(st["n"] or 0)
+        e = F.col("ra") * F.col("cb") / F.lit(total)
+        full = cells.join(ra, "a").join(cb, "b").select("n", e.alias("e"))
+        # the residual as first defined on proportions, and the plain Pearson residual
+        prop = (F.col("n") / total - F.col("e") / total) / F.sqrt(F.col("e") / total)
+        plain = (F.col("n") - F.col("e")) / F.sqrt(F.col("e"))
+        res = full.agg(F.min(prop).alias("mn"), F.max(prop).alias("mx"), F.max(plain).alias("mp"),
+                       F.min("n").alias("mc")).first()
+    finally:
+        cells.unpersist()
+    p = st["p_value"]
+    assoc = None if p is None else "very strong" if p < 0.001 else "strong" if p < 0.05 else "weak"
+    mx = res["mx"]
+    pattern = None if mx is None else "strong" if abs(mx) > 2 else "moderate" if abs(mx) > 1 else "weak"
+    mc = int(res["mc"]) if res["mc"] is not None else None
+    return df.sparkSession.createDataFrame(
+        [(target, feature, st["chi2"], p, st["dof"], assoc, res["mn"], mx, res["mp"], pattern, mc,
+          None if mc is None else mc < 5)],
+        "target string, feature string, chi2 double, p_value double, dof long, association string, "
+        "min_residual double, max_residual double, max_pearson_residual double, pattern string, "
+        "min_count long, small_counts boolean")
 
 
 # ---------------------------------------------------------------- G9
@@ -328,8 +333,8 @@ def target_summary(df: DataFrame, target: str) -> DataFrame:
     top = vc.agg(F.count(F.lit(1)).alias("unique"),
                  F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("most_common"),
                  F.max("n").alias("most_common_count"))
-    rows = df.agg(F.count(F.lit(1)).alias("rows"))
-    pct = F.try_divide(F.col("most_common_count") * 100.0, F.col("rows"))
-    return top.crossJoin(rows).select(
+    rows = df.agg(F.count(F.lit(1))).scalar()
+    pct = F.try_divide(F.col("most_common_count") * 100.0, rows)
+    return top.select(
         F.lit(target).alias("target"), F.lit("categorical").alias("type"), "unique", "most_common",
         pct.alias("most_common_pct"), (pct > 50).alias("imbalanced"))
