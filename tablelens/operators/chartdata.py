@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelens.functions.frames import per_column
-from tablelens.functions.quantiles import quantiles
+from tablelens.functions.quantiles import SMALL_LIMIT, quantiles
 from tablelens.functions.stats import num, to_number
 from tablelens.operators import kinds as K
 from tablelens.operators.profile import quartiles
@@ -93,27 +93,47 @@ def box_stats(df: DataFrame, cols: Sequence[str] | None = None, method: str = "a
 
 
 def grouped_box(df: DataFrame, category: str, column: str, method: str = "auto") -> DataFrame:
-    """Box statistics of a numeric column per category. The per-category
-    fences join back by broadcast only when the number of categories is below
-    ``BROADCAST_GROUPS`` (checked); otherwise a shuffle join on the category."""
+    """Box statistics of a numeric column per category.
+
+    The rows are first counted per ``(category, value)`` (partial aggregation:
+    a category holding a third of the table becomes one row per distinct
+    value); quartiles, whiskers and outlier counts all come from that table.
+    The per-category fences join back by broadcast when there are at most
+    ``BROADCAST_GROUPS`` categories (checked), otherwise by a shuffle join of
+    the counted table."""
     v = df.select(F.col(category).cast("string").alias("category"), _value(df, column).alias("v")).where(
         F.col("category").isNotNull())
-    q = quantiles(v, ["category"], "v", (0.25, 0.5, 0.75), method=method)
-    fences = q.select("category", F.col("quantiles")[0].alias("q1"), F.col("quantiles")[1].alias("median"),
-                      F.col("quantiles")[2].alias("q3"))
-    fences = fences.select("*", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lower_fence"),
-                           (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("upper_fence"))
-    groups = v.select("category").distinct().count()
-    side = F.broadcast(fences) if groups <= BROADCAST_GROUPS else fences
-    j = v.join(side, "category", "left")
-    inside = (F.col("v") >= F.col("lower_fence")) & (F.col("v") <= F.col("upper_fence"))
-    agg = j.groupBy("category").agg(
-        F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
-        F.first("lower_fence").alias("lower_fence"), F.first("upper_fence").alias("upper_fence"),
-        F.min(F.when(inside, F.col("v"))).alias("whisker_low"), F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
-        F.count_if((F.col("v") < F.col("lower_fence")) | (F.col("v") > F.col("upper_fence"))).alias("outliers"),
-        F.min("v").alias("min"), F.max("v").alias("max"), F.count("v").alias("n"))
-    return agg.withColumnRenamed("category", category)
+    counts = v.where(F.col("v").isNotNull()).groupBy("category", "v").agg(F.count(F.lit(1)).alias("n")).persist()
+    try:
+        # one small job sizes both decisions: the number of categories (broadcast
+        # or not) and the most distinct values in one category (quantile plan)
+        size = counts.groupBy("category").agg(F.count(F.lit(1)).alias("d")).agg(
+            F.count(F.lit(1)).alias("groups"), F.max("d").alias("largest")).first()
+        groups, largest = int(size["groups"]), int(size["largest"] or 0)
+        if method == "auto":
+            method = "percentile" if largest <= SMALL_LIMIT else "distributed"
+        q = quantiles(counts, ["category"], "v", (0.25, 0.5, 0.75), method=method, weight="n")
+        fences = q.select("category", F.col("quantiles")[0].alias("q1"), F.col("quantiles")[1].alias("median"),
+                          F.col("quantiles")[2].alias("q3"))
+        fences = fences.select("*", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lower_fence"),
+                               (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("upper_fence"))
+        side = F.broadcast(fences) if groups <= BROADCAST_GROUPS else fences
+        j = counts.join(side, "category")
+        x, n = F.col("v"), F.col("n")
+        inside = (x >= F.col("lower_fence")) & (x <= F.col("upper_fence"))
+        agg = j.groupBy("category").agg(
+            F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
+            F.first("lower_fence").alias("lower_fence"), F.first("upper_fence").alias("upper_fence"),
+            F.min(F.when(inside, x)).alias("whisker_low"), F.max(F.when(inside, x)).alias("whisker_high"),
+            F.sum(F.when((x < F.col("lower_fence")) | (x > F.col("upper_fence")), n).otherwise(0))
+            .cast("long").alias("outliers"),
+            F.min(x).alias("min"), F.max(x).alias("max"), F.sum(n).cast("long").alias("n"))
+        rows = agg.collect()  # one row per category, kept as the answer
+    finally:
+        counts.unpersist()
+    schema = (f"`{category}` string, q1 double, median double, q3 double, lower_fence double, upper_fence double, "
+              "whisker_low double, whisker_high double, outliers long, min double, max double, n long")
+    return df.sparkSession.createDataFrame([tuple(r) for r in rows], schema)
 
 
 def density(df: DataFrame, column: str, grid: int = 100, fine_bins: int = 512) -> DataFrame:
@@ -193,6 +213,8 @@ def time_series(df: DataFrame, date_col: str, value_col: str) -> DataFrame:
         if isinstance(dt, T.DateType) else F.col(date_col)
     vt = df.schema[value_col].dataType
     val = num(value_col, vt) if K.kind_of(vt) == "numeric" else F.col(value_col)
-    return (df.select(d.alias(date_col), val.alias(value_col))
+    # equal (date, value) rows are interchangeable; their scan position breaks
+    # the tie so the range-partitioned sort can split a run of them
+    return (df.select(d.alias(date_col), val.alias(value_col), F.monotonically_increasing_id().alias("_pos"))
             .where(F.col(date_col).isNotNull() & F.col(value_col).isNotNull())
-            .orderBy(date_col, value_col))
+            .orderBy(date_col, value_col, "_pos").drop("_pos"))
