@@ -9,6 +9,7 @@ from tablelens.operators import pairs as B
 from tablelens.operators import profile as P
 from tablelens.operators import target as G
 from tablelens.plans.catalog_profile import numeric_profile_sql, top_sql
+from tablelens.plans.catalog_pairs import anova_sql
 from tablelens.plans.registry import T_, dirty, register
 from tablelens.plans.sqlgen import DIRTY, R, long
 from tablelens.session import scratch_path
@@ -157,19 +158,68 @@ def q_n2(spark, sf):
     return N.correlation_findings(T_(spark, sf, "lineitem"))
 
 
-@register("n1_distribution_findings_numeric")
+def _lines(parts: list[tuple[str, str | None]]) -> str:
+    """Numbered finding lines from (sql text, sql condition) pairs."""
+    body = " UNION ALL ".join(
+        f"SELECT {k} AS k, {txt} AS finding FROM s" + (f" WHERE {cond}" if cond else "")
+        for k, (txt, cond) in enumerate(parts))
+    return body
+
+
+N1_NUM_SQL = f"""
+WITH v AS (SELECT l_extendedprice AS x FROM lineitem),
+q AS (SELECT quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM v),
+s AS (SELECT avg(x) AS mean, stddev_samp(x) AS sd, skewness(x) AS sk, kurtosis(x) AS ku, count(*) AS rows_,
+             (SELECT count(*) FROM v, q WHERE x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS o FROM v),
+l AS ({_lines([
+    ("'Distribution Analysis for l_extendedprice:'", None),
+    ("printf('Mean: %.2f, Standard Deviation: %.2f', mean, sd)", None),
+    ("printf('Distribution is %s-skewed (skewness: %.2f)', CASE WHEN sk > 0 THEN 'right' ELSE 'left' END, sk)", "abs(sk) > 1"),
+    ("printf('Distribution is approximately normal (skewness: %.2f)', sk)", "abs(sk) <= 1"),
+    ("printf('Distribution has %s tails (kurtosis: %.2f)', CASE WHEN ku > 0 THEN 'heavy-tailed' ELSE 'light-tailed' END, ku)", "abs(ku) > 3"),
+    ("printf('%d outliers detected (%.1f%% of data)', o, o * 100.0 / rows_)", "o > 0"),
+])})
+SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS seq, 'distribution' AS topic, finding FROM l
+"""
+
+N1_TEXT_SQL = f"""
+WITH vc AS (SELECT o_orderpriority AS v, count(*) AS n FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1),
+s AS (SELECT (SELECT count(*) FROM vc) AS u, (SELECT v FROM vc ORDER BY n DESC, v LIMIT 1) AS top,
+             (SELECT max(n) FROM vc) * 100.0 / (SELECT count(*) FROM orders) AS pct),
+l AS ({_lines([
+    ("'Distribution Analysis for o_orderpriority:'", None),
+    ("u || ' unique categories'", None),
+    ("printf('Most common: ''%s'' (%.1f%% of data)', top, pct)", None),
+    ("'High concentration in one category - potential class imbalance'", "pct > 50"),
+    ("'Well-distributed categories - good for analysis'", "pct < 20"),
+])})
+SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS seq, 'distribution' AS topic, finding FROM l
+"""
+
+
+@register("n1_distribution_findings_numeric", N1_NUM_SQL)
 def q_n1(spark, sf):
     """A numeric column's distribution in words (sentences; checked in unit tests)."""
     return N.distribution_findings(T_(spark, sf, "lineitem"), "l_extendedprice")
 
 
-@register("n1_distribution_findings_text")
+@register("n1_distribution_findings_text", N1_TEXT_SQL)
 def q_n1_text(spark, sf):
     """A text column's distribution in words."""
     return N.distribution_findings(T_(spark, sf, "orders"), "o_orderpriority")
 
 
-@register("n3_bivariate_findings_lineitem")
+@register("n3_bivariate_findings_lineitem", f"""
+WITH s AS ({anova_sql("lineitem", "l_returnflag", "l_quantity")}),
+l AS ({_lines([
+    ("'Bivariate Analysis: l_quantity vs l_returnflag'", None),
+    ("printf('ANOVA F-statistic: %.3f', f)", None),
+    ("printf('Statistical significance: p = %.3f', p_value)", None),
+    ("'Statistically significant difference between groups (p < 0.05)'", "p_value < 0.05"),
+    ("'No statistically significant difference between groups (p ≥ 0.05)'", "p_value >= 0.05"),
+])})
+SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS seq, 'bivariate' AS topic, finding FROM l
+""")
 def q_n3(spark, sf):
     """A pair test in words."""
     return N.bivariate_findings(T_(spark, sf, "lineitem"), "l_quantity", "l_returnflag")

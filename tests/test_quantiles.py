@@ -50,3 +50,27 @@ def test_spearman_matches_pandas(spark):
     want = pdf["x"].rank().corr(pdf["y"].rank())
     for method in ("window", "distributed"):
         assert spearman_test(df, "x", "y", method=method).first()["rho"] == pytest.approx(want, rel=1e-12)
+
+
+def test_profile_plans_agree(spark):
+    """The one-scan profile gives the same answer through both quantile plans."""
+    from tablelens.operators.profile import numeric_summary
+    from tablelens.sources.tables import dirty_lineitem
+    d = dirty_lineitem(spark, "/root/testdata/sf0.001")
+    a = {r["column"]: r.asDict() for r in numeric_summary(d, method="percentile").collect()}
+    b = {r["column"]: r.asDict() for r in numeric_summary(d, method="distributed").collect()}
+    assert a.keys() == b.keys()
+    for c in a:
+        for k, x in a[c].items():
+            assert (x == pytest.approx(b[c][k])) if isinstance(x, float) else x == b[c][k], (c, k)
+
+
+def test_grouped_box_plans_agree(spark):
+    from tablelens.operators.chartdata import grouped_box
+    from tablelens.sources.tables import table
+    o = table(spark, "/root/testdata/sf0.001", "orders")
+    a = sorted(tuple(r) for r in grouped_box(o, "o_orderpriority", "o_totalprice", method="percentile").collect())
+    b = sorted(tuple(r) for r in grouped_box(o, "o_orderpriority", "o_totalprice", method="distributed").collect())
+    assert len(a) == len(b)
+    for x, y in zip(a, b):
+        assert x[0] == y[0] and x[1:] == pytest.approx(y[1:])
