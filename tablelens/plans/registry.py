@@ -57,3 +57,4 @@ from tablelens.plans import catalog_clean  # noqa: E402,F401
 from tablelens.plans import catalog_charts  # noqa: E402,F401
 from tablelens.plans import catalog_more  # noqa: E402,F401
 from tablelens.plans import catalog_parts  # noqa: E402,F401
+from tablelens.plans import catalog_text  # noqa: E402,F401

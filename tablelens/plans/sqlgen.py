@@ -51,16 +51,16 @@ def p_corr_cte(name: str, src: str, r: str = "r", n: str = "n") -> str:
 
 
 def p_chi2_expr(x: str, dof: str) -> str:
-    """Scalar subquery: upper tail of chi-square(dof) at x, integer dof."""
+    """Scalar subquery: upper tail of chi-square(dof) at x, integer dof.
+
+    Even dof: the finite Poisson sum. Odd dof: 1 - P(dof/2, x/2) with the
+    all-positive series P(a, z) = sum_k exp((a+k) ln z - z - lnGamma(a+k+1)),
+    summed far enough past its peak at k ~ z."""
     even = f"exp(-({x}) / 2) * (SELECT sum(exp(i * ln(({x}) / 2) - lgamma(i + 1))) FROM range(0, CAST({dof} // 2 AS BIGINT)) t(i))"
-    # odd dof: erfc(sqrt(x/2)) + exp(-x/2) * sum_{j=1}^{(dof-1)/2} (x/2)^(j-1/2) / Gamma(j+1/2)
-    z = f"sqrt(({x}) / 2)"
-    erf = (f"(2 / sqrt(pi()) * (SELECT sum(CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END * "
-           f"exp((2 * k + 1) * ln({z}) - lgamma(k + 1)) / (2 * k + 1)) FROM range(0, 200) t(k)))")
-    erfc = f"(CASE WHEN {z} > 5.5 THEN 0.0 WHEN {z} = 0 THEN 1.0 ELSE 1 - {erf} END)"
-    odd_tail = (f"coalesce((SELECT sum(exp((j - 0.5) * ln(({x}) / 2) - lgamma(j + 0.5))) "
-                f"FROM range(1, CAST(({dof} - 1) // 2 + 1 AS BIGINT)) t(j)), 0)")
-    odd = f"({erfc} + exp(-({x}) / 2) * {odd_tail})"
+    z, a = f"(({x}) / 2.0)", f"(({dof}) / 2.0)"
+    lower = (f"(SELECT sum(exp(({a} + k) * ln({z}) - {z} - lgamma({a} + k + 1))) "
+             f"FROM range(0, CAST(greatest(200, {z} + 20 * sqrt({z}) + 100) AS BIGINT)) t(k))")
+    odd = f"greatest(0.0, 1 - {lower})"
     return (f"(CASE WHEN {x} IS NULL THEN NULL WHEN {dof} <= 0 THEN 1.0 WHEN {x} <= 0 THEN 1.0 "
             f"WHEN {dof} % 2 = 0 THEN {even} ELSE {odd} END)")
 

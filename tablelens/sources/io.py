@@ -56,7 +56,12 @@ def read_table(spark: SparkSession, path: str, sep: str = ",", null_tokens=CSV_N
         cols = raw.columns
     except Exception as e:  # surfaced as the reference does
         raise ValueError(f"Error reading CSV: {e}") from e
-    text = raw.select(*[F.when(~F.col(f"`{c}`").isin(list(null_tokens)), F.col(f"`{c}`")).alias(c) for c in cols])
+    # a dot in a name means struct access to Spark; header names keep their
+    # text otherwise
+    names = [c.replace(".", "_") for c in cols]
+    text = raw.select(*[F.when(~F.col(f"`{c}`").isin(list(null_tokens)), F.col(f"`{c}`")).alias(n)
+                        for c, n in zip(cols, names)])
+    cols = names
     types = _decide(text)
 
     def cast(c):

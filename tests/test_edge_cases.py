@@ -121,3 +121,15 @@ def test_unknown_fill_and_audit(spark):
     assert audit[("duplicates", None)]["n"] > 0
     vals = {r["e"] for r in res.table.collect()}
     assert vals == {"Unknown"}
+
+
+def test_read_table_tokens_and_types(spark, tmp_path):
+    from tablelens.sources.io import read_table
+    p = tmp_path / "t.csv"
+    p.write_text("a,b.c,d,e,f\n1,2.5,x,True,NA\n2,?,y,False,\n3,4,,True,null\n")
+    df = read_table(spark, str(p))
+    types = dict(df.dtypes)
+    assert df.columns == ["a", "b_c", "d", "e", "f"]
+    assert types["a"] == "bigint" and types["b_c"] == "string" and types["e"] == "boolean" and types["f"] == "string"
+    rows = df.orderBy("a").collect()
+    assert rows[1]["b_c"] == "?" and rows[2]["d"] is None and all(r["f"] is None for r in rows)
