@@ -231,7 +231,42 @@ def q_n4(spark, sf):
     return N.target_findings(T_(spark, sf, "orders"), "o_totalprice", "o_orderpriority")
 
 
-@register("n5_dataset_findings_orders")
+N5_SQL = f"""
+WITH s AS (
+  SELECT (count(*) * 6 - count(o_orderkey) - count(o_custkey) - count(o_orderstatus) - count(o_totalprice)
+          - count(o_orderdate) - count(o_orderpriority)) * 100.0 / (count(*) * 6) AS mp,
+         count(*) AS rows_, count(DISTINCT o_totalprice) AS tu, avg(o_totalprice) AS tm, stddev_samp(o_totalprice) AS ts,
+         skewness(o_orderkey) AS s0, skewness(o_custkey) AS s1, skewness(o_totalprice) AS s2,
+         count(DISTINCT o_orderstatus) AS u0, count(DISTINCT o_orderpriority) AS u1,
+         (abs(corr(o_orderkey, o_custkey)) > 0.7)::INT + (abs(corr(o_orderkey, o_totalprice)) > 0.7)::INT
+           + (abs(corr(o_custkey, o_totalprice)) > 0.7)::INT AS strong,
+         (abs(corr(o_orderkey, o_custkey)) BETWEEN 0.3 AND 0.7 AND abs(corr(o_orderkey, o_custkey)) > 0.3)::INT
+           + (abs(corr(o_orderkey, o_totalprice)) > 0.3 AND abs(corr(o_orderkey, o_totalprice)) <= 0.7)::INT
+           + (abs(corr(o_custkey, o_totalprice)) > 0.3 AND abs(corr(o_custkey, o_totalprice)) <= 0.7)::INT AS moderate
+  FROM orders),
+l AS ({_lines([
+    ("printf('Data Quality Alert: %.1f%% of values are missing, indicating potential data collection issues.', mp)", "mp > 10"),
+    ("printf('Data Quality: %.1f%% missing values detected, consider imputation strategies.', mp)", "mp > 5 AND mp <= 10"),
+    ("printf('Data Quality: Excellent data completeness with only %.1f%% missing values.', mp)", "mp <= 5"),
+    ("'Target Variable Analysis: o_totalprice is numeric with ' || tu || ' unique values.'", None),
+    ("printf('Target Statistics: Mean = %.2f, Std = %.2f', tm, ts)", None),
+    ("'Numeric Analysis: 3 numeric variables available for statistical analysis.'", None),
+    ("printf('Distribution Alert: o_orderkey shows %s skewness (%.2f), indicating non-normal distribution.', CASE WHEN s0 > 0 THEN 'right' ELSE 'left' END, s0)", "abs(s0) > 1"),
+    ("printf('Distribution Alert: o_custkey shows %s skewness (%.2f), indicating non-normal distribution.', CASE WHEN s1 > 0 THEN 'right' ELSE 'left' END, s1)", "abs(s1) > 1"),
+    ("printf('Distribution Alert: o_totalprice shows %s skewness (%.2f), indicating non-normal distribution.', CASE WHEN s2 > 0 THEN 'right' ELSE 'left' END, s2)", "abs(s2) > 1"),
+    ("'Categorical Analysis: 2 categorical variables with varying cardinality levels.'", None),
+    ("printf('High Cardinality: o_orderstatus has %d unique values (%.1f%% of rows), consider grouping or feature engineering.', u0, u0 * 100.0 / rows_)", "u0 > rows_ * 0.8"),
+    ("printf('High Cardinality: o_orderpriority has %d unique values (%.1f%% of rows), consider grouping or feature engineering.', u1, u1 * 100.0 / rows_)", "u1 > rows_ * 0.8"),
+    ("'Strong Relationships: ' || strong || ' variable pairs show strong correlation (|r| > 0.7), indicating potential multicollinearity.'", "strong > 0"),
+    ("'Moderate Relationships: ' || moderate || ' variable pairs show moderate correlation (0.3 < |r| < 0.7), suggesting interesting patterns to explore.'", "moderate > 0"),
+    ("'Target-Focused Analysis: With o_totalprice as the target variable, focus on identifying key drivers and predictive patterns for better outcomes.'", None),
+])})
+SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS seq, 'dataset' AS topic,
+  row_number() OVER (ORDER BY k) || '. ' || finding AS finding FROM l
+"""
+
+
+@register("n5_dataset_findings_orders", N5_SQL)
 def q_n5(spark, sf):
     """Numbered dataset findings with a target."""
     return N.dataset_findings(T_(spark, sf, "orders"), "o_totalprice")
