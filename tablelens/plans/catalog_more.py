@@ -225,7 +225,35 @@ def q_n3(spark, sf):
     return N.bivariate_findings(T_(spark, sf, "lineitem"), "l_quantity", "l_returnflag")
 
 
-@register("n4_target_findings_orders")
+N4_SQL = f"""
+WITH g AS (SELECT o_orderpriority AS c, count(o_totalprice) AS n, avg(o_totalprice) AS mean, stddev_samp(o_totalprice) AS std
+           FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1),
+s AS (SELECT arg_max(c, mean) AS best, max(mean) AS bm, arg_min(c, mean) AS worst, min(mean) AS wm, avg(std) AS ms,
+             arg_min(c, abs(std / mean)) AS stable, arg_max(c, abs(std / mean)) AS unstable, min(n) AS mn FROM g),
+l AS ({_lines([
+    ("'Target Variable Impact Analysis: o_orderpriority → o_totalprice'", None),
+    ("'Pointer 1: Statistical Impact on Target Variable'", None),
+    ("'o_orderpriority shows significant impact on o_totalprice'", None),
+    ("printf('Best performing category: %s (mean: %.2f)', best, bm)", None),
+    ("printf('Worst performing category: %s (mean: %.2f)', worst, wm)", None),
+    ("printf('Impact range: %.2f units difference', bm - wm)", None),
+    ("printf('High impact: Range exceeds average variability (%.2f)', ms)", "bm - wm > ms"),
+    ("'Moderate impact: Range within normal variability'", "bm - wm <= ms"),
+    ("'Pointer 2: Strategic Implications for Target Variable'", None),
+    ("'Most stable category: ' || stable || ' (lowest variability)'", None),
+    ("'Least stable category: ' || unstable || ' (highest variability)'", None),
+    ("'Warning: Some categories have small sample sizes (min: ' || mn || ')'", "mn < 30"),
+    ("'Good sample sizes: All categories have adequate data (min: ' || mn || ')'", "mn >= 30"),
+    ("'Action: Focus on improving ' || worst || ' category performance'", "bm - wm > 2 * ms"),
+    ("'Opportunity: ' || best || ' category shows best practices to replicate'", "bm - wm > 2 * ms"),
+    ("'Observation: o_orderpriority has moderate influence on o_totalprice'", "bm - wm <= 2 * ms"),
+    ("'Next step: Investigate other factors for stronger impact'", "bm - wm <= 2 * ms"),
+])})
+SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS seq, 'target' AS topic, finding FROM l
+"""
+
+
+@register("n4_target_findings_orders", N4_SQL)
 def q_n4(spark, sf):
     """Numeric target by text feature in words."""
     return N.target_findings(T_(spark, sf, "orders"), "o_totalprice", "o_orderpriority")
