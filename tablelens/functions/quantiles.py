@@ -5,9 +5,10 @@ group in one aggregation buffer; that is fine for a few million values and
 fails for a 100 TB column. Both functions here take a *long* table
 ``(keys..., value)`` and pick a plan by the size of the biggest group:
 
-* small (approximate distinct count per key <= ``small_limit``): the built-in
-  ``percentile`` with partial aggregation, or a window per key over the
-  distinct values;
+* small (a table of at most ``small_limit`` rows, known from a cheap row count;
+  or a counted table whose largest key has at most ``small_limit`` distinct
+  values): the built-in ``percentile`` with partial aggregation (weighted by
+  the counts when they exist), or a window per key over the distinct values;
 * large: the distinct ``(keys, value, n)`` table is range-partitioned on
   ``(keys, value)`` (balanced by Spark's sampler, so a key holding a third of
   all rows spans many partitions), written once to the shared checkpoint
@@ -16,6 +17,10 @@ fails for a 100 TB column. Both functions here take a *long* table
   totals (one row per partition and key) are combined by a window, and a
   quantile only reads the partitions that hold its ranks.
 
+Without a row hint, the distinct ``(keys, value, n)`` table is built once
+(partial aggregation, one shuffle), written to the shared folder, sized, and
+used by whichever plan follows — one scan of the input in every case.
+
 Quantiles use linear interpolation between the order statistics at
 ``floor(p*(n-1))`` and ``ceil(p*(n-1))`` (pandas' default, DuckDB
 ``quantile_cont``, Spark ``percentile``).
@@ -51,16 +56,23 @@ def largest_group(long_df: DataFrame, keys: Sequence[str], value: str = "value")
     return int(row["m"] or 0)
 
 
-def _choose(long_df, keys, value, method, small_limit):
-    if method in ("percentile", "window", "approx"):
-        return "small" if method != "approx" else "approx"
+def _counted(long_df: DataFrame, keys: Sequence[str], value: str, weight: str | None,
+             method: str, small_limit: int, rows_hint: int | None):
+    """Pick the plan. Returns (plan, counts) where counts is the distinct
+    ``(keys, value, n)`` table when it was built (written once to the shared
+    folder, so sizing it and using it cost one scan of the input)."""
+    if method in ("percentile", "window"):
+        return "small", None
+    if method == "approx":
+        return "approx", None
+    if method == "auto" and rows_hint is not None and rows_hint <= small_limit:
+        return "small", None  # no group can hold more values than the table has rows
+    from tablelens.functions.frames import materialize
+    counts = materialize(value_counts(long_df, keys, value, weight), "counts")
     if method == "distributed":
-        return "large"
-    # a table with fewer rows than the limit cannot have a larger group; the
-    # row count of a parquet scan comes from footers, so this test is cheap
-    if long_df.count() <= small_limit:
-        return "small"
-    return "small" if largest_group(long_df, keys, value) <= small_limit else "large"
+        return "large", counts
+    largest = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("d")).agg(F.max("d")).first()[0] or 0
+    return ("small" if largest <= small_limit else "large"), counts
 
 
 def _ranged(counts: DataFrame, keys: Sequence[str], value: str):
@@ -83,12 +95,13 @@ def _ranged(counts: DataFrame, keys: Sequence[str], value: str):
 
 def average_ranks(long_df: DataFrame, keys: Sequence[str], value: str = "value",
                   method: str = "auto", small_limit: int = SMALL_LIMIT,
-                  weight: str | None = None) -> DataFrame:
+                  weight: str | None = None, rows_hint: int | None = None) -> DataFrame:
     """(keys..., value, n, rank): 1-based average rank of each distinct value
     within its key (ties share the mean of their positions). ``weight`` names
-    a count column when the rows are already counted."""
-    counts = value_counts(long_df, keys, value, weight)
-    plan = _choose(long_df, keys, value, method, small_limit)
+    a count column when the rows are already counted; ``rows_hint`` (the
+    input's row count, when known cheaply) lets small inputs skip the sizing."""
+    plan, built = _counted(long_df, keys, value, weight, method, small_limit, rows_hint)
+    counts = built if built is not None else value_counts(long_df, keys, value, weight)
     if plan != "large":
         w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
         cum = F.sum("n").over(w)
@@ -104,21 +117,25 @@ def average_ranks(long_df: DataFrame, keys: Sequence[str], value: str = "value",
 def quantiles(long_df: DataFrame, keys: Sequence[str], value: str = "value",
               probs: Sequence[float] = (0.25, 0.5, 0.75), method: str = "auto",
               small_limit: int = SMALL_LIMIT, accuracy: int = 10000,
-              weight: str | None = None) -> DataFrame:
+              weight: str | None = None, rows_hint: int | None = None) -> DataFrame:
     """(keys..., quantiles array<double>) in the order of ``probs``; exact unless
     ``method='approx'`` (``percentile_approx`` with the given accuracy).
-    ``weight`` names a count column when the rows are already counted."""
+    ``weight`` names a count column when the rows are already counted;
+    ``rows_hint`` is the input's row count when it is known cheaply (a parquet
+    scan counts from its footers): at most ``small_limit`` rows go straight to
+    ``percentile``; otherwise the counted table is built once and sized."""
     probs = [float(p) for p in probs]
     parr = F.array(*[F.lit(p) for p in probs])
-    plan = _choose(long_df, keys, value, method, small_limit)
+    plan, built = _counted(long_df, keys, value, weight, method, small_limit, rows_hint)
     if plan == "approx" and weight is None:
         return long_df.groupBy(*keys).agg(
             F.percentile_approx(value, parr, accuracy).cast("array<double>").alias("quantiles"))
     if plan in ("small", "approx"):
-        freq = F.col(weight) if weight else F.lit(1)
-        return (long_df.where(F.col(value).isNotNull()).groupBy(*keys)
+        src, freq = (built, F.col("n")) if built is not None else (
+            long_df, F.col(weight) if weight else F.lit(1))
+        return (src.where(F.col(value).isNotNull()).groupBy(*keys)
                 .agg(F.percentile(F.col(value), parr, freq).alias("quantiles")))
-    counts = value_counts(long_df, keys, value, weight)
+    counts = built if built is not None else value_counts(long_df, keys, value, weight)
     ranged, part = _ranged(counts, keys, value)
     totals = part.select(*keys, _TOTAL).dropDuplicates(list(keys))
     h = F.col("p") * (F.col(_TOTAL) - 1)

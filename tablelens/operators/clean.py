@@ -55,7 +55,7 @@ def fill_values(df: DataFrame) -> DataFrame:
             .otherwise(F.concat(F.lit("Filled with mode: "), F.col("value"))).alias("detail"))
         parts.append(t)
     if nums:
-        med = quantiles(numeric_long(df, nums), ["column"], "value", (0.5,))
+        med = quantiles(numeric_long(df, nums), ["column"], "value", (0.5,), rows_hint=df.count())
         allc = spark.createDataFrame([(c,) for c in nums], "column string")
         m = allc.join(med, "column", "left").select(
             "column", F.lit("numeric").alias("kind"), F.col("quantiles")[0].alias("fill"),
@@ -160,7 +160,7 @@ def _fill_stats(df: DataFrame) -> tuple[dict, dict, int]:
         if small:
             meds = {c: one[f"med{k}"] for k, c in enumerate(df.columns) if c in nums}
         else:
-            q = quantiles(numeric_long(df, nums), ["column"], "value", (0.5,)).collect()
+            q = quantiles(numeric_long(df, nums), ["column"], "value", (0.5,), rows_hint=rows).collect()
             meds = {r["column"]: r["quantiles"][0] for r in q}
         for c in nums:
             m = meds.get(c)

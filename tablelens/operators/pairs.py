@@ -300,7 +300,8 @@ def grouped_stats(df: DataFrame, cats: Sequence[str], nums: Sequence[str],
            "min": F.min("value"), "max": F.max("value"), "var": F.var_samp("value")}
     base = long.groupBy(*keys).agg(*[fns[s].alias(s) for s in stats if s in fns])
     if "median" in stats:
-        med = quantiles(long, keys, "value", (0.5,), method=method).select(
+        hint = df.count() if method == "auto" else None
+        med = quantiles(long, keys, "value", (0.5,), method=method, rows_hint=hint).select(
             *keys, F.col("quantiles")[0].alias("median"))
         base = base.join(med, keys, "left")
     return base.select(*keys, *stats)

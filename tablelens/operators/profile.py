@@ -132,7 +132,8 @@ def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def quartiles(df: DataFrame, cols: Sequence[str], method: str = "auto") -> DataFrame:
     """(column, q25, median, q75) exact."""
-    q = quantiles(numeric_long(df, cols), ["column"], "value", (0.25, 0.5, 0.75), method=method)
+    hint = df.count() if method == "auto" else None
+    q = quantiles(numeric_long(df, cols), ["column"], "value", (0.25, 0.5, 0.75), method=method, rows_hint=hint)
     return q.select("column", F.col("quantiles")[0].alias("q25"), F.col("quantiles")[1].alias("median"),
                     F.col("quantiles")[2].alias("q75"))
 

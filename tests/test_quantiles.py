@@ -74,3 +74,19 @@ def test_grouped_box_plans_agree(spark):
     assert len(a) == len(b)
     for x, y in zip(a, b):
         assert x[0] == y[0] and x[1:] == pytest.approx(y[1:])
+
+
+@pytest.mark.parametrize("limit", [10, 10**9])
+def test_auto_plan_from_counted_table(data, limit):
+    """No row hint: the counted table is built once and sized; both outcomes agree with pandas."""
+    pdf, df = data
+    probs = [0.25, 0.5, 0.75]
+    got = {r["g"]: r["quantiles"] for r in quantiles(df, ["g"], "v", probs, method="auto", small_limit=limit).collect()}
+    for key, grp in pdf.groupby("g"):
+        assert got[key] == pytest.approx(grp["v"].dropna().quantile(probs).tolist(), rel=1e-12)
+    ranks = average_ranks(df, ["g"], "v", method="auto", small_limit=limit).toPandas()
+    for key, grp in pdf.groupby("g"):
+        vals = grp["v"].dropna()
+        want = dict(zip(vals, vals.rank()))
+        for value, r in ranks[ranks.g == key].set_index("v")["rank"].items():
+            assert r == pytest.approx(want[value])
