@@ -36,11 +36,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder for intermediate tables.
 
     The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (tests, a laptop) do we pick a fresh local folder of our own.
+    AND the master is local (tests, a laptop) do we pick a fresh local folder
+    of our own. On a cluster an unset folder is an error, never a
+    machine-local fallback.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="tablelens-ckpt-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach "
+                               "(intermediate tables are written there)")
+        path = tempfile.mkdtemp(prefix="tablelens-ckpt-")  # single machine only
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
