@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelens.functions.frames import per_column
+from tablelens.functions.frames import materialize, per_column
 from tablelens.functions.quantiles import SMALL_LIMIT, quantiles
 from tablelens.functions.stats import num, to_number
 from tablelens.operators import kinds as K
@@ -103,37 +103,34 @@ def grouped_box(df: DataFrame, category: str, column: str, method: str = "auto")
     the counted table."""
     v = df.select(F.col(category).cast("string").alias("category"), _value(df, column).alias("v")).where(
         F.col("category").isNotNull())
-    counts = v.where(F.col("v").isNotNull()).groupBy("category", "v").agg(F.count(F.lit(1)).alias("n")).persist()
-    try:
-        # one small job sizes both decisions: the number of categories (broadcast
-        # or not) and the most distinct values in one category (quantile plan)
-        size = counts.groupBy("category").agg(F.count(F.lit(1)).alias("d")).agg(
-            F.count(F.lit(1)).alias("groups"), F.max("d").alias("largest")).first()
-        groups, largest = int(size["groups"]), int(size["largest"] or 0)
-        if method == "auto":
-            method = "percentile" if largest <= SMALL_LIMIT else "distributed"
-        q = quantiles(counts, ["category"], "v", (0.25, 0.5, 0.75), method=method, weight="n")
-        fences = q.select("category", F.col("quantiles")[0].alias("q1"), F.col("quantiles")[1].alias("median"),
-                          F.col("quantiles")[2].alias("q3"))
-        fences = fences.select("*", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lower_fence"),
-                               (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("upper_fence"))
-        side = F.broadcast(fences) if groups <= BROADCAST_GROUPS else fences
-        j = counts.join(side, "category")
-        x, n = F.col("v"), F.col("n")
-        inside = (x >= F.col("lower_fence")) & (x <= F.col("upper_fence"))
-        agg = j.groupBy("category").agg(
-            F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
-            F.first("lower_fence").alias("lower_fence"), F.first("upper_fence").alias("upper_fence"),
-            F.min(F.when(inside, x)).alias("whisker_low"), F.max(F.when(inside, x)).alias("whisker_high"),
-            F.sum(F.when((x < F.col("lower_fence")) | (x > F.col("upper_fence")), n).otherwise(0))
-            .cast("long").alias("outliers"),
-            F.min(x).alias("min"), F.max(x).alias("max"), F.sum(n).cast("long").alias("n"))
-        rows = agg.collect()  # one row per category, kept as the answer
-    finally:
-        counts.unpersist()
-    schema = (f"`{category}` string, q1 double, median double, q3 double, lower_fence double, upper_fence double, "
-              "whisker_low double, whisker_high double, outliers long, min double, max double, n long")
-    return df.sparkSession.createDataFrame([tuple(r) for r in rows], schema)
+    # written once to the shared folder: read by the sizing job, the quartiles
+    # and the final aggregation, and the answer stays a lazy DataFrame
+    counts = materialize(v.where(F.col("v").isNotNull()).groupBy("category", "v")
+                         .agg(F.count(F.lit(1)).alias("n")), "box-counts")
+    # one small job sizes both decisions: the number of categories (broadcast
+    # or not) and the most distinct values in one category (quantile plan)
+    size = counts.groupBy("category").agg(F.count(F.lit(1)).alias("d")).agg(
+        F.count(F.lit(1)).alias("groups"), F.max("d").alias("largest")).first()
+    groups, largest = int(size["groups"]), int(size["largest"] or 0)
+    if method == "auto":
+        method = "percentile" if largest <= SMALL_LIMIT else "distributed"
+    q = quantiles(counts, ["category"], "v", (0.25, 0.5, 0.75), method=method, weight="n")
+    fences = q.select("category", F.col("quantiles")[0].alias("q1"), F.col("quantiles")[1].alias("median"),
+                      F.col("quantiles")[2].alias("q3"))
+    fences = fences.select("*", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lower_fence"),
+                           (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("upper_fence"))
+    side = F.broadcast(fences) if groups <= BROADCAST_GROUPS else fences
+    j = counts.join(side, "category")
+    x, n = F.col("v"), F.col("n")
+    inside = (x >= F.col("lower_fence")) & (x <= F.col("upper_fence"))
+    agg = j.groupBy("category").agg(
+        F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
+        F.first("lower_fence").alias("lower_fence"), F.first("upper_fence").alias("upper_fence"),
+        F.min(F.when(inside, x)).alias("whisker_low"), F.max(F.when(inside, x)).alias("whisker_high"),
+        F.sum(F.when((x < F.col("lower_fence")) | (x > F.col("upper_fence")), n).otherwise(0))
+        .cast("long").alias("outliers"),
+        F.min(x).alias("min"), F.max(x).alias("max"), F.sum(n).cast("long").alias("n"))
+    return agg.withColumnRenamed("category", category)
 
 
 def density(df: DataFrame, column: str, grid: int = 100, fine_bins: int = 512) -> DataFrame:

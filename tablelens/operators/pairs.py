@@ -29,6 +29,8 @@ from tablelens.operators import kinds as K
 
 #: largest dense contingency table (cells) we enumerate to list zero cells
 DENSE_LIMIT = 1_000_000
+#: most column values of a dense table (Spark's pivot limit, as for its crosstab)
+PIVOT_LIMIT = 10_000
 
 
 def _num(df: DataFrame, c: str):
@@ -212,8 +214,9 @@ def contingency(df: DataFrame, a: str, b: str, zeros: bool = False) -> DataFrame
     if not zeros:
         return cells.select(F.col("a").alias(a), F.col("b").alias(b), "n")
     size = cells.agg(F.count_distinct("a").alias("r"), F.count_distinct("b").alias("c")).first()
-    if size["r"] * size["c"] > DENSE_LIMIT:
-        raise ValueError(f"dense table has {size['r'] * size['c']} cells (> {DENSE_LIMIT}); use zeros=False")
+    if size["r"] * size["c"] > DENSE_LIMIT or size["c"] > PIVOT_LIMIT:
+        raise ValueError(f"dense table of {size['r']} × {size['c']} is too large (cells > {DENSE_LIMIT} "
+                         f"or columns > {PIVOT_LIMIT}); use zeros=False")
     # the crosstab: one row per a-value, one column per b-value (the b-values,
     # at most DENSE_LIMIT / r of them, are fetched), empty cells 0, back to long
     bvals = [r["b"] for r in cells.select("b").distinct().orderBy("b").collect()]
