@@ -321,3 +321,16 @@ def q_stream(spark, sf):
     stream = SP.read_stream(spark, sf, src.schema, glob="events.parquet")
     name = "tl_stream_" + scratch_path(spark, "s").rsplit("-", 1)[-1]
     return SP.profile_once(spark, SP.running_numeric_profile(stream), name, scratch_path(spark, "stream-ckpt"))
+
+
+@register("p8_running_value_counts_stream_events", """
+SELECT 'event_type' AS "column", event_type AS value, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY 2
+""")
+def q_stream_vc(spark, sf):
+    """Streaming: value counts of a text column maintained by Structured Streaming (all files, availableNow)."""
+    from tablelens.streaming import profile as SP
+    src = T_(spark, sf, "events")
+    stream = SP.read_stream(spark, sf, src.schema, glob="events.parquet")
+    name = "tl_stream_" + scratch_path(spark, "s").rsplit("-", 1)[-1]
+    return SP.profile_once(spark, SP.running_value_counts(stream, ["event_type"]), name,
+                           scratch_path(spark, "stream-ckpt"))
