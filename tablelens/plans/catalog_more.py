@@ -300,12 +300,6 @@ def q_n5(spark, sf):
     return N.dataset_findings(T_(spark, sf, "orders"), "o_totalprice")
 
 
-@register("n6_executive_summary_orders")
-def q_n6(spark, sf):
-    """The nine-section summary with a numeric target."""
-    return N.executive_summary(T_(spark, sf, "orders"), "o_totalprice")
-
-
 # ------------------------------------------------------------------ streaming
 
 @register("p4_running_profile_stream_events", f"""
