@@ -8,7 +8,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablelens.functions.stats import num
 
@@ -41,14 +40,6 @@ def string_long(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) ->
     return df.select(*keep, F.inline(F.array(*pairs)))
 
 
-def empty_like(spark, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-
-def is_float(dt: T.DataType) -> bool:
-    return isinstance(dt, (T.FloatType, T.DoubleType))
-
-
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back: cuts
     the lineage (a lost executor recomputes from the files, not from the

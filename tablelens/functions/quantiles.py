@@ -49,13 +49,6 @@ def value_counts(long_df: DataFrame, keys: Sequence[str], value: str = "value",
     return long_df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(agg)
 
 
-def largest_group(long_df: DataFrame, keys: Sequence[str], value: str = "value") -> int:
-    """Approximate number of distinct values in the largest group (one small action)."""
-    per_key = long_df.groupBy(*keys).agg(F.approx_count_distinct(value).alias("d"))
-    row = per_key.agg(F.max("d").alias("m")).first()
-    return int(row["m"] or 0)
-
-
 def _counted(long_df: DataFrame, keys: Sequence[str], value: str, weight: str | None,
              method: str, small_limit: int, rows_hint: int | None):
     """Pick the plan. Returns (plan, counts) where counts is the distinct

@@ -18,13 +18,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablelens.functions import special
-from tablelens.functions.frames import numeric_long
 from tablelens.functions.quantiles import average_ranks, quantiles
-from tablelens.functions.stats import (association_strength, correlation_strength, num, pearson,
-                                       to_number, without_sentinels)
+from tablelens.functions.stats import num, pearson
 from tablelens.operators import kinds as K
 
 #: largest dense contingency table (cells) we enumerate to list zero cells

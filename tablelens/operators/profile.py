@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 
 from tablelens.functions.frames import agg_by_column, numeric_long, per_column, string_long
 from tablelens.functions.quantiles import SMALL_LIMIT, quantiles
-from tablelens.functions.quantiles import value_counts as qvalue_counts
 from tablelens.functions.stats import adjusted_kurtosis, adjusted_skewness, num, to_number
 from tablelens.operators import kinds as K
 
@@ -97,26 +96,6 @@ def missing_summary(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- P4–P6, U1, U2
 
-def _numeric_view(df: DataFrame, cols: Sequence[str] | None, rule: str | None):
-    """Numeric columns as doubles; with a rule, string columns that pass it are
-    converted too (T2 for profile/univariate)."""
-    if cols is None:
-        cols = K.numeric_columns(df)
-        if rule:
-            strings = K.categorical_columns(df)
-            if strings:
-                ok = [r["column"] for r in K.coercion_rules(df, strings).collect() if r[rule]]
-                cols = cols + ok
-    types = {f.name: f.dataType for f in df.schema.fields}
-    exprs = []
-    for c in cols:
-        if isinstance(types[c], T.StringType):
-            exprs.append(to_number(c).alias(c))
-        else:
-            exprs.append(num(c, types[c]).alias(c))
-    return df.select(*exprs), list(cols)
-
-
 def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, count, mean, std, min, max, skewness, kurtosis) — one pass."""
     return agg_by_column(df, cols, [

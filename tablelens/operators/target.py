@@ -14,9 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tablelens.functions import special
 from tablelens.functions.frames import agg_by_column
 from tablelens.functions.stats import adjusted_skewness, num, pearson
 from tablelens.operators import kinds as K

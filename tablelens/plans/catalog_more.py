@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tablelens.operators import findings as N
 from tablelens.operators import pairs as B
 from tablelens.operators import profile as P

@@ -10,7 +10,7 @@ from tablelens.operators import clean as C
 from tablelens.operators import kinds as K
 from tablelens.operators import pairs as B
 from tablelens.operators import profile as P
-from tablelens.plans.catalog_clean import CLEAN_BASE, D, _clip, mode_sql
+from tablelens.plans.catalog_clean import CLEAN_BASE, D, _clip
 from tablelens.plans.catalog_pairs import LI_NUM, STRENGTH, chi_sql, corr_sql
 from tablelens.plans.catalog_profile import DUCK_TYPE
 from tablelens.plans.registry import T_, dirty, register

@@ -11,7 +11,7 @@ from tablelens.plans.catalog_charts import hist_sql
 from tablelens.plans.catalog_pairs import anova_sql, chi_sql
 from tablelens.plans.catalog_profile import numeric_profile_sql, schema_sql, top_sql
 from tablelens.plans.registry import T_, register
-from tablelens.plans.sqlgen import R, long, to_number
+from tablelens.plans.sqlgen import R, long
 
 
 @register("p8_top_values_documents", top_sql("documents", ["text", "lang", "source"], 5))
