@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tablelens.functions.stats import num
 from tablelens.operators import kinds as K
+from tablelens.operators import texts as X
 from tablelens.operators.profile import duplicate_rows
 
 # The thresholds of the checks.
@@ -61,21 +62,21 @@ def validate(df: DataFrame, min_rows: int = MIN_ROWS, min_cols: int = MIN_COLS,
     empty = [F.when(F.col(f"nn__{c}") == 0, F.lit(c)) for c in df.columns]
     empty_list = F.filter(F.array(*empty), lambda x: x.isNotNull()) if empty else F.array().cast("array<string>")
     items = [
-        mk("min_rows", None, rows, F.format_string(f"Too few rows: %d rows (less than {min_rows}).", rows),
-           rows < min_rows),
+        mk("min_rows", None, rows,
+           F.format_string(X.printf(X.ISSUE_MIN_ROWS), rows.cast("string"), F.lit(str(min_rows))), rows < min_rows),
         mk("min_cols", None, F.lit(ncols),
-           F.lit(f"Too few columns: {ncols} columns (need at least {min_cols})."), F.lit(ncols < min_cols)),
+           F.lit(X.ISSUE_MIN_COLS.format(cols=ncols, limit=min_cols)), F.lit(ncols < min_cols)),
         mk("all_null", None, F.size(empty_list),
-           F.concat(F.lit("Columns with all nulls: ["),
-                    F.array_join(F.transform(empty_list, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "),
-                    F.lit("]")),
+           F.format_string(X.printf(X.ISSUE_ALL_NULL),
+                           F.array_join(F.transform(empty_list, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", ")),
            F.size(empty_list) > 0),
         mk("duplicates", None, F.col("duplicate_rows"),
-           F.format_string("Found %d duplicate rows.", F.col("duplicate_rows")), F.col("duplicate_rows") > 0),
+           F.format_string(X.printf(X.ISSUE_DUPLICATES), F.col("duplicate_rows").cast("string")),
+           F.col("duplicate_rows") > 0),
     ]
     for c in texts:
         items.append(mk("high_cardinality", c, F.col(f"nd__{c}"),
-                        F.lit(f"Column '{c}' has very high cardinality (unique ≈ rows)."),
+                        F.lit(X.ISSUE_CARDINALITY.format(column=c)),
                         F.col(f"nd__{c}") >= high_cardinality * rows))
     names = ["min_rows", "min_cols", "all_null", "duplicates"] + ["high_cardinality"] * len(texts)
     items = [i for i, nme in zip(items, names) if nme in checks]

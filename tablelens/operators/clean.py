@@ -25,6 +25,7 @@ from tablelens.functions.frames import materialize, numeric_long, per_column
 from tablelens.functions.quantiles import quantiles
 from tablelens.functions.stats import num
 from tablelens.operators import kinds as K
+from tablelens.operators import texts as X
 from tablelens.operators.profile import iqr_bounds, value_counts
 
 UNKNOWN = "Unknown"
@@ -51,8 +52,8 @@ def fill_values(df: DataFrame) -> DataFrame:
         t = allc.join(mode, "column", "left").select(
             "column", F.lit("categorical").alias("kind"), F.lit(None).cast("double").alias("fill"),
             F.coalesce("value", F.lit(UNKNOWN)).alias("fill_text"),
-            F.when(F.col("value").isNull(), F.lit("Filled with 'Unknown'"))
-            .otherwise(F.concat(F.lit("Filled with mode: "), F.col("value"))).alias("detail"))
+            F.when(F.col("value").isNull(), F.lit(X.FILL_UNKNOWN))
+            .otherwise(F.format_string(X.printf(X.FILL_MODE), F.col("value"))).alias("detail"))
         parts.append(t)
     if nums:
         med = quantiles(numeric_long(df, nums), ["column"], "value", (0.5,), rows_hint=df.count())
@@ -60,8 +61,8 @@ def fill_values(df: DataFrame) -> DataFrame:
         m = allc.join(med, "column", "left").select(
             "column", F.lit("numeric").alias("kind"), F.col("quantiles")[0].alias("fill"),
             F.lit(None).cast("string").alias("fill_text"),
-            F.concat(F.lit("Filled with median: "),
-                     F.coalesce(F.format_string("%.2f", F.col("quantiles")[0]), F.lit("nan"))).alias("detail"))
+            F.coalesce(F.format_string(X.printf(X.FILL_MEDIAN), F.col("quantiles")[0]),
+                       F.lit(X.FILL_MEDIAN.replace("{value:.2f}", "nan"))).alias("detail"))
         parts.append(m)
     out = parts[0]
     for p in parts[1:]:
@@ -165,7 +166,7 @@ def _fill_stats(df: DataFrame) -> tuple[dict, dict, int]:
         for c in nums:
             m = meds.get(c)
             fills[c] = {"kind": "numeric", "fill": m, "fill_text": None,
-                        "detail": f"Filled with median: {m:.2f}" if m is not None else "Filled with median: nan"}
+                        "detail": X.FILL_MEDIAN.format(value=m if m is not None else float("nan"))}
     if texts:
         vc = value_counts(df, texts)
         w = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
@@ -174,7 +175,7 @@ def _fill_stats(df: DataFrame) -> tuple[dict, dict, int]:
         for c in texts:
             m = modes.get(c)
             fills[c] = {"kind": "categorical", "fill": None, "fill_text": m if m is not None else UNKNOWN,
-                        "detail": f"Filled with mode: {m}" if m is not None else "Filled with 'Unknown'"}
+                        "detail": X.FILL_MODE.format(value=m) if m is not None else X.FILL_UNKNOWN}
     return fills, missing, rows
 
 
@@ -205,7 +206,7 @@ def clean(df: DataFrame, fill: bool = True, dedupe: bool = True, cap: bool = Tru
         out = out.dropDuplicates()
         if materialize_dedupe:
             out = materialize(out, "deduped")
-        audit_rows.append(("duplicates", None, "Removed duplicate rows", before - out.count()))
+        audit_rows.append(("duplicates", None, X.DUPLICATES_REMOVED, before - out.count()))
     nums, texts = K.numeric_columns(out), K.categorical_columns(out)
     types = {f.name: f.dataType for f in out.schema.fields}
     bounds = {}
@@ -229,7 +230,7 @@ def clean(df: DataFrame, fill: bool = True, dedupe: bool = True, cap: bool = Tru
         for c in nums:
             k = row[f"cap__{c}"] if row is not None and f"cap__{c}" in row.asDict() else 0
             if k:
-                audit_rows.append(("outliers", c, f"Capped {k} outliers", int(k)))
+                audit_rows.append(("outliers", c, X.CAPPED.format(n=k), int(k)))
         out, _ = cap_outliers(out, bounds)
     if conv_cols:
         dec = {c: K.conversion_word(row[f"numeric__{c}"], row[f"datetime__{c}"], row[f"non_null__{c}"])

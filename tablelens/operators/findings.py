@@ -2,9 +2,10 @@
 
 All numbers come from the distributed operators, each reduced to a handful of
 rows (one per column, pair or test) before it reaches the driver; the
-sentences are then formatted in Python so that numbers print exactly as
-Python's ``format`` prints them (Java's formatter rounds some halves the other
-way). No table row passes through the driver.
+sentences are then formatted in Python from the fixed texts in
+:mod:`tablelens.operators.texts`, so that numbers print exactly as Python's
+``format`` prints them (Java's formatter rounds some halves the other way).
+No table row passes through the driver.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from tablelens.operators import kinds as K
 from tablelens.operators import pairs as B
 from tablelens.operators import profile as P
 from tablelens.operators import target as G
+from tablelens.operators import texts as X
 
 SCHEMA = "seq int, topic string, finding string"
 
@@ -25,6 +27,10 @@ def _rows(spark, topic: str, lines: list[str]) -> DataFrame:
     return spark.createDataFrame([(i + 1, topic, s) for i, s in enumerate(lines)], SCHEMA)
 
 
+def _side(x: float) -> str:
+    return "right" if x > 0 else "left"
+
+
 # ---------------------------------------------------------------- N1
 
 def distribution_findings(df: DataFrame, column: str) -> DataFrame:
@@ -32,30 +38,30 @@ def distribution_findings(df: DataFrame, column: str) -> DataFrame:
     spark = df.sparkSession
     if column not in df.columns:
         raise ValueError(f"Column '{column}' not found")
-    lines = [f"Distribution Analysis for {column}:"]
+    lines = [X.N1_HEAD.format(column=column)]
     if K.kind_of(df.schema[column].dataType) == "numeric":
         u = P.univariate_numeric(df, [column], rule=None).first()
-        rows = df.count()
-        lines.append(f"Mean: {u['mean']:.2f}, Standard Deviation: {u['std']:.2f}")
+        rows = u["count"] + u["missing_count"]
+        lines.append(X.N1_MEAN_STD.format(mean=u["mean"], std=u["std"]))
         sk, ku = u["skewness"], u["kurtosis"]
         if sk is not None and abs(sk) > 1:
-            lines.append(f"Distribution is {'right' if sk > 0 else 'left'}-skewed (skewness: {sk:.2f})")
+            lines.append(X.N1_SKEWED.format(side=_side(sk), skew=sk))
         elif sk is not None:
-            lines.append(f"Distribution is approximately normal (skewness: {sk:.2f})")
+            lines.append(X.N1_NORMAL.format(skew=sk))
         if ku is not None and abs(ku) > 3:
-            lines.append(f"Distribution has {'heavy-tailed' if ku > 0 else 'light-tailed'} tails (kurtosis: {ku:.2f})")
+            lines.append(X.N1_TAILS.format(kind="heavy-tailed" if ku > 0 else "light-tailed", kurt=ku))
         if u["outliers"]:
-            lines.append(f"{u['outliers']} outliers detected ({u['outliers'] / rows * 100:.1f}% of data)")
+            lines.append(X.N1_OUTLIERS.format(n=u["outliers"], pct=u["outliers"] / rows * 100))
     else:
         u = P.univariate_categorical(df.select(F.col(column).cast("string").alias(column)), [column]).first()
         rows = u["total_count"] + u["missing_count"]
         pct = (u["most_frequent_count"] or 0) / rows * 100 if rows else 0.0
-        lines.append(f"{u['unique_count']} unique categories")
-        lines.append(f"Most common: '{u['most_frequent']}' ({pct:.1f}% of data)")
+        lines.append(X.N1_UNIQUE.format(n=u["unique_count"]))
+        lines.append(X.N1_TOP.format(value=u["most_frequent"], pct=pct))
         if pct > 50:
-            lines.append("High concentration in one category - potential class imbalance")
+            lines.append(X.N1_IMBALANCE)
         elif pct < 20:
-            lines.append("Well-distributed categories - good for analysis")
+            lines.append(X.N1_SPREAD)
     return _rows(spark, "distribution", lines)
 
 
@@ -71,17 +77,17 @@ def _pairs(df: DataFrame):
 def correlation_findings(df: DataFrame) -> DataFrame:
     """Counts of strong and moderate pairs with the first three of each."""
     strong, moderate = _pairs(df)
-    lines = ["Correlation Analysis Insights:"]
+    lines = [X.N2_HEAD]
     if strong:
-        lines.append(f"{len(strong)} strong correlations found (|r| > 0.7)")
-        lines += [f"  - {r['pair']}: r = {r['r']:.3f}" for r in strong[:3]]
-        lines.append("Strong correlations may indicate multicollinearity")
+        lines.append(X.N2_STRONG.format(n=len(strong)))
+        lines += [X.N2_PAIR.format(pair=r["pair"], r=r["r"]) for r in strong[:3]]
+        lines.append(X.N2_STRONG_NOTE)
     if moderate:
-        lines.append(f"{len(moderate)} moderate correlations found (0.3 < |r| < 0.7)")
-        lines += [f"  - {r['pair']}: r = {r['r']:.3f}" for r in moderate[:3]]
-        lines.append("Moderate correlations suggest interesting relationships to explore")
+        lines.append(X.N2_MODERATE.format(n=len(moderate)))
+        lines += [X.N2_PAIR.format(pair=r["pair"], r=r["r"]) for r in moderate[:3]]
+        lines.append(X.N2_MODERATE_NOTE)
     if not strong and not moderate:
-        lines.append("No significant correlations found - variables appear independent")
+        lines.append(X.N2_NONE)
     return _rows(df.sparkSession, "correlation", lines)
 
 
@@ -90,33 +96,23 @@ def correlation_findings(df: DataFrame) -> DataFrame:
 def bivariate_findings(df: DataFrame, col1: str, col2: str) -> DataFrame:
     """The pair test in words (statistic, strength, significance at 0.05)."""
     r = B.bivariate(df, col1, col2).first().asDict()
-    lines = [f"Bivariate Analysis: {col1} vs {col2}"]
+    lines = [X.N3_HEAD.format(a=col1, b=col2)]
     t = r["type"]
     if t == "numeric_numeric":
         pr, p = r["pearson_r"], r["pearson_p"]
-        lines += [f"Pearson correlation: r = {pr:.3f}", f"Correlation strength: {r['correlation_strength']}",
-                  f"Statistical significance: p = {p:.3f}"]
-        lines.append("Statistically significant relationship (p < 0.05)" if p < 0.05
-                     else "No statistically significant relationship (p ≥ 0.05)")
-        if abs(pr) > 0.7:
-            lines.append("Strong linear relationship - good for predictive modeling")
-        elif abs(pr) > 0.3:
-            lines.append("Moderate linear relationship - worth investigating further")
-        else:
-            lines.append("Weak linear relationship - may need non-linear analysis")
+        lines += [X.N3_PEARSON.format(r=pr), X.N3_STRENGTH.format(strength=r["correlation_strength"]),
+                  X.N3_P.format(p=p), X.N3_REL_SIG if p < 0.05 else X.N3_REL_NOT]
+        lines.append(X.N3_LINEAR_STRONG if abs(pr) > 0.7 else X.N3_LINEAR_MODERATE if abs(pr) > 0.3
+                     else X.N3_LINEAR_WEAK)
     elif t == "categorical_categorical":
         p = r["p_value"]
-        lines += [f"Chi-square statistic: {r['chi2']:.3f}", f"Association strength: {r['association_strength']}",
-                  f"Statistical significance: p = {p:.3f}"]
-        lines.append("Statistically significant association (p < 0.05)" if p < 0.05
-                     else "No statistically significant association (p ≥ 0.05)")
+        lines += [X.N3_CHI2.format(chi2=r["chi2"]), X.N3_ASSOCIATION.format(strength=r["association_strength"]),
+                  X.N3_P.format(p=p), X.N3_ASSOC_SIG if p < 0.05 else X.N3_ASSOC_NOT]
     else:
         f, p = r["anova_f"], r["anova_p"]
-        lines.append(f"ANOVA F-statistic: {f:.3f}" if f is not None else "ANOVA F-statistic: undefined")
+        lines.append(X.N3_ANOVA.format(f=f) if f is not None else X.N3_ANOVA_UNDEFINED)
         if p is not None:
-            lines.append(f"Statistical significance: p = {p:.3f}")
-            lines.append("Statistically significant difference between groups (p < 0.05)" if p < 0.05
-                         else "No statistically significant difference between groups (p ≥ 0.05)")
+            lines += [X.N3_P.format(p=p), X.N3_GROUPS_SIG if p < 0.05 else X.N3_GROUPS_NOT]
     return _rows(df.sparkSession, "bivariate", lines)
 
 
@@ -125,82 +121,61 @@ def bivariate_findings(df: DataFrame, col1: str, col2: str) -> DataFrame:
 def target_findings(df: DataFrame, target: str, feature: str) -> DataFrame:
     """Two-part reading of a feature against the target, by kind pair."""
     kind = G.target_analysis_type(df, target, feature)
-    lines = [f"Target Variable Impact Analysis: {feature} → {target}"]
+    lines = [X.N4_HEAD.format(feature=feature, target=target)]
     if kind == "numeric_target_categorical_feature":
         r = G.category_impact(df, target, feature).first()
-        lines += ["Pointer 1: Statistical Impact on Target Variable",
-                  f"{feature} shows significant impact on {target}",
-                  f"Best performing category: {r['best_category']} (mean: {r['best_mean']:.2f})",
-                  f"Worst performing category: {r['worst_category']} (mean: {r['worst_mean']:.2f})",
-                  f"Impact range: {r['impact_range']:.2f} units difference"]
-        ms = r["mean_std"]
-        lines.append(f"High impact: Range exceeds average variability ({ms:.2f})" if r["impact"] == "high"
-                     else "Moderate impact: Range within normal variability")
-        lines += ["Pointer 2: Strategic Implications for Target Variable",
-                  f"Most stable category: {r['most_stable']} (lowest variability)",
-                  f"Least stable category: {r['least_stable']} (highest variability)"]
-        lines.append(f"Warning: Some categories have small sample sizes (min: {r['min_count']})" if r["small_sample"]
-                     else f"Good sample sizes: All categories have adequate data (min: {r['min_count']})")
+        lines += [X.N4_NC_P1, X.N4_NC_IMPACT.format(feature=feature, target=target),
+                  X.N4_NC_BEST.format(category=r["best_category"], mean=r["best_mean"]),
+                  X.N4_NC_WORST.format(category=r["worst_category"], mean=r["worst_mean"]),
+                  X.N4_NC_RANGE.format(range=r["impact_range"]),
+                  X.N4_NC_HIGH.format(std=r["mean_std"]) if r["impact"] == "high" else X.N4_NC_MODERATE,
+                  X.N4_NC_P2, X.N4_NC_STABLE.format(category=r["most_stable"]),
+                  X.N4_NC_UNSTABLE.format(category=r["least_stable"]),
+                  (X.N4_NC_SMALL if r["small_sample"] else X.N4_NC_GOOD).format(n=r["min_count"])]
         if r["action"]:
-            lines += [f"Action: Focus on improving {r['worst_category']} category performance",
-                      f"Opportunity: {r['best_category']} category shows best practices to replicate"]
+            lines += [X.N4_NC_ACTION.format(category=r["worst_category"]),
+                      X.N4_NC_OPPORTUNITY.format(category=r["best_category"])]
         else:
-            lines += [f"Observation: {feature} has moderate influence on {target}",
-                      "Next step: Investigate other factors for stronger impact"]
+            lines += [X.N4_NC_OBSERVATION.format(feature=feature, target=target), X.N4_NC_NEXT]
     elif kind == "categorical_target_numeric_feature":
         r = G.class_separation(df, target, feature).first()
-        lines += ["Pointer 1: Feature Distribution Impact on Target Variable",
-                  f"{feature} varies significantly across {target} categories",
-                  f"Highest feature values: {r['highest_class']} (mean: {r['highest_mean']:.2f})",
-                  f"Lowest feature values: {r['lowest_class']} (mean: {r['lowest_mean']:.2f})",
-                  f"Feature range: {r['feature_range']:.2f} units difference",
-                  "Pointer 2: Predictive Power and Decision Thresholds"]
+        lines += [X.N4_CN_P1, X.N4_CN_VARIES.format(feature=feature, target=target),
+                  X.N4_CN_HIGHEST.format(category=r["highest_class"], mean=r["highest_mean"]),
+                  X.N4_CN_LOWEST.format(category=r["lowest_class"], mean=r["lowest_mean"]),
+                  X.N4_CN_RANGE.format(range=r["feature_range"]), X.N4_CN_P2]
         if r["classes"] == 2:
-            lines.append(f"Separation strength: {r['cohens_d']:.2f} (Cohen's d)")
-            lines.append({"strong": "Strong separation: Feature is highly predictive",
-                          "moderate": "Moderate separation: Feature has good predictive power",
-                          "weak": "Weak separation: Feature has limited predictive power"}[r["separation"]])
-            lines.append(f"Suggested threshold: {r['threshold']:.2f} for classification")
+            lines.append(X.N4_CN_D.format(d=r["cohens_d"]))
+            lines.append({"strong": X.N4_CN_STRONG, "moderate": X.N4_CN_MODERATE,
+                          "weak": X.N4_CN_WEAK}[r["separation"]])
+            lines.append(X.N4_CN_THRESHOLD.format(t=r["threshold"]))
         else:
-            lines += [f"Multi-class analysis: {r['classes']} target categories",
-                      f"Feature discrimination: {r['feature_range']:.2f} range across categories"]
-            lines.append("High discrimination: Feature strongly differentiates target categories"
-                         if r["discrimination"] == "high" else
-                         "Moderate discrimination: Feature provides some differentiation")
+            lines += [X.N4_CN_MULTI.format(n=r["classes"]), X.N4_CN_DISCRIMINATION.format(range=r["feature_range"]),
+                      X.N4_CN_HIGH if r["discrimination"] == "high" else X.N4_CN_SOME]
     elif kind == "categorical_target_categorical_feature":
         r = G.association_residuals(df, target, feature).first()
-        lines += ["Pointer 1: Association Strength Between Variables", f"Chi-square statistic: {r['chi2']:.3f}",
-                  f"P-value: {r['p_value']:.3f}", f"Degrees of freedom: {r['dof']}"]
-        lines.append({"very strong": "Very strong association: Highly significant relationship",
-                      "strong": "Strong association: Statistically significant relationship",
-                      "weak": "Weak association: No significant relationship"}[r["association"]])
-        lines += ["Pointer 2: Practical Implications for Target Variable",
-                  f"Association strength range: {r['min_residual']:.2f} to {r['max_residual']:.2f} (standardized residuals)"]
-        lines.append({"strong": "Strong patterns: Some feature-target combinations are highly over-represented",
-                      "moderate": "Moderate patterns: Some feature-target combinations show notable associations",
-                      "weak": "Weak patterns: Feature-target combinations are mostly random"}[r["pattern"]])
-        lines.append(f"Warning: Some cells have small counts (min: {r['min_count']}) - results may be unreliable"
-                     if r["small_counts"] else "Good sample sizes: All combinations have adequate data")
+        lines += [X.N4_CC_P1, X.N4_CC_CHI2.format(chi2=r["chi2"]), X.N4_CC_P.format(p=r["p_value"]),
+                  X.N4_CC_DOF.format(dof=r["dof"]),
+                  {"very strong": X.N4_CC_VERY_STRONG, "strong": X.N4_CC_STRONG,
+                   "weak": X.N4_CC_WEAK}[r["association"]],
+                  X.N4_CC_P2, X.N4_CC_RANGE.format(lo=r["min_residual"], hi=r["max_residual"]),
+                  {"strong": X.N4_CC_PATTERN_STRONG, "moderate": X.N4_CC_PATTERN_MODERATE,
+                   "weak": X.N4_CC_PATTERN_WEAK}[r["pattern"]],
+                  X.N4_CC_SMALL.format(n=r["min_count"]) if r["small_counts"] else X.N4_CC_GOOD]
     else:
         r = G.correlation_reading(df, target, feature).first()
         c = r["correlation"]
-        lines += ["Pointer 1: Linear Relationship Strength", f"Correlation coefficient: {c:.3f}",
-                  f"Relationship: {r['strength']} {r['direction']} linear relationship"]
-        lines.append({"high": "High predictive power: Feature strongly predicts target variable",
-                      "moderate": "Moderate predictive power: Feature has some predictive value",
-                      "low": "Low predictive power: Feature has limited linear relationship"}[r["predictive_power"]])
-        lines.append("Pointer 2: Strategic Implications and Next Steps")
+        lines += [X.N4_NN_P1, X.N4_NN_R.format(r=c),
+                  X.N4_NN_RELATION.format(strength=r["strength"], direction=r["direction"]),
+                  {"high": X.N4_NN_HIGH, "moderate": X.N4_NN_MODERATE, "low": X.N4_NN_LOW}[r["predictive_power"]],
+                  X.N4_NN_P2]
         if r["key_driver"]:
-            lines.append(f"Action: {feature} is a key driver of {target}")
-            lines.append(f"Strategy: Increase {feature} to improve {target}" if c > 0
-                         else f"Strategy: Decrease {feature} to improve {target}")
+            lines.append(X.N4_NN_DRIVER.format(feature=feature, target=target))
+            lines.append((X.N4_NN_INCREASE if c > 0 else X.N4_NN_DECREASE).format(feature=feature, target=target))
         else:
-            lines += [f"Investigation: {feature} has limited direct impact on {target}",
-                      "Next step: Consider non-linear relationships or interaction effects"]
-        lines.append(f"Explained variance: {r['r_squared']:.1%} of {target} variance explained by {feature}")
-        lines.append({"high": "High explanatory power: Feature accounts for majority of target variation",
-                      "moderate": "Moderate explanatory power: Feature explains significant portion of target variation",
-                      "low": "Low explanatory power: Feature explains limited target variation"}[r["explanatory_power"]])
+            lines += [X.N4_NN_LIMITED.format(feature=feature, target=target), X.N4_NN_NONLINEAR]
+        lines.append(X.N4_NN_EXPLAINED.format(r2=r["r_squared"], target=target, feature=feature))
+        lines.append({"high": X.N4_NN_EXPLAIN_HIGH, "moderate": X.N4_NN_EXPLAIN_MODERATE,
+                      "low": X.N4_NN_EXPLAIN_LOW}[r["explanatory_power"]])
     return _rows(df.sparkSession, "target", lines)
 
 
@@ -234,46 +209,30 @@ def dataset_findings(df: DataFrame, target: str | None = None) -> DataFrame:
     nums, cats, ms, _, desc, catp, strong, moderate, tgt = _overview(df, target, False)
     rows = ms["n_rows"]
     mp = ms["missing_pct"] or 0.0
-    out = []
-    if mp > 10:
-        out.append(f"Data Quality Alert: {mp:.1f}% of values are missing, indicating potential data collection issues.")
-    elif mp > 5:
-        out.append(f"Data Quality: {mp:.1f}% missing values detected, consider imputation strategies.")
-    else:
-        out.append(f"Data Quality: Excellent data completeness with only {mp:.1f}% missing values.")
+    out = [(X.N5_MISSING_ALERT if mp > 10 else X.N5_MISSING_SOME if mp > 5 else X.N5_MISSING_LOW).format(pct=mp)]
     if tgt is not None:
-        out.append(f"Target Variable Analysis: {target} is {tgt['type']} with {tgt['unique']} unique values.")
-        if tgt["type"] == "numeric":
-            out.append(f"Target Statistics: Mean = {tgt['mean']:.2f}, Std = {tgt['std']:.2f}")
-        else:
-            out.append(f"Target Distribution: Most common value is '{tgt['most_common']}'")
+        out.append(X.N5_TARGET.format(target=target, kind=tgt["type"], n=tgt["unique"]))
+        out.append(X.N5_TARGET_STATS.format(mean=tgt["mean"], std=tgt["std"]) if tgt["type"] == "numeric"
+                   else X.N5_TARGET_MODE.format(value=tgt["most_common"]))
     if nums:
-        out.append(f"Numeric Analysis: {len(nums)} numeric variables available for statistical analysis.")
+        out.append(X.N5_NUMERIC.format(n=len(nums)))
         for c in nums[:3]:
             sk = desc[c]["skewness"] if c in desc else None
             if sk is not None and abs(sk) > 1:
-                out.append(f"Distribution Alert: {c} shows {'right' if sk > 0 else 'left'} skewness ({sk:.2f}), "
-                           "indicating non-normal distribution.")
+                out.append(X.N5_SKEW.format(column=c, side=_side(sk), skew=sk))
     if cats:
-        out.append(f"Categorical Analysis: {len(cats)} categorical variables with varying cardinality levels.")
+        out.append(X.N5_CATEGORICAL.format(n=len(cats)))
         for c in cats[:3]:
             u = catp[c]["unique_count"] if c in catp else 0
             if u > rows * 0.8:
-                out.append(f"High Cardinality: {c} has {u} unique values ({u / rows * 100:.1f}% of rows), "
-                           "consider grouping or feature engineering.")
+                out.append(X.N5_CARDINALITY.format(column=c, n=u, pct=u / rows * 100))
     if strong:
-        out.append(f"Strong Relationships: {len(strong)} variable pairs show strong correlation (|r| > 0.7), "
-                   "indicating potential multicollinearity.")
+        out.append(X.N5_STRONG.format(n=len(strong)))
     if moderate:
-        out.append(f"Moderate Relationships: {len(moderate)} variable pairs show moderate correlation "
-                   "(0.3 < |r| < 0.7), suggesting interesting patterns to explore.")
-    if target:
-        out.append(f"Target-Focused Analysis: With {target} as the target variable, focus on identifying key "
-                   "drivers and predictive patterns for better outcomes.")
-    else:
-        out.append(f"Business Impact: Dataset contains {rows} records across {len(df.columns)} dimensions, "
-                   "suitable for comprehensive analysis and modeling.")
-    return _rows(df.sparkSession, "dataset", [f"{i}. {s}" for i, s in enumerate(out, 1)])
+        out.append(X.N5_MODERATE.format(n=len(moderate)))
+    out.append(X.N5_TARGET_FOCUS.format(target=target) if target
+               else X.N5_BUSINESS.format(rows=rows, cols=len(df.columns)))
+    return _rows(df.sparkSession, "dataset", [X.N5_ITEM.format(i=i, text=s) for i, s in enumerate(out, 1)])
 
 
 def executive_summary(df: DataFrame, target: str | None = None) -> DataFrame:
@@ -281,76 +240,66 @@ def executive_summary(df: DataFrame, target: str | None = None) -> DataFrame:
     statistics, relations, top features, recommendations, actions)."""
     nums, cats, ms, info, desc, catp, strong, moderate, tgt = _overview(df, target, True)
     rows, mp = ms["n_rows"], ms["missing_pct"] or 0.0
-    s = ["Executive Summary", f"Your dataset contains {rows:,} records across {len(df.columns)} variables."]
-    s.append(f"The analysis focuses on {target} as the target variable, helping identify key patterns and relationships."
-             if target else "This is a comprehensive exploratory analysis to understand data patterns and relationships.")
-    s.append("Data Quality Assessment")
-    s.append("Excellent Data Quality: Less than 5% missing values" if mp < 5 else
-             "Good Data Quality: Some missing values present but manageable" if mp < 15 else
-             "Data Quality Concerns: High percentage of missing values detected")
-    s += [f"Missing Values: {mp:.1f}% of all data points", f"Duplicate Rows: {info['duplicate_rows']:,} records",
-          f"Memory Usage: {info['memory_mb']:.2f} MB", "Variable Overview",
-          f"Numeric Variables: {len(nums)} columns for statistical analysis",
-          f"Categorical Variables: {len(cats)} columns for grouping and classification"]
+    s = [X.N6_TITLE, X.N6_SIZE.format(rows=rows, cols=len(df.columns)),
+         X.N6_FOCUS.format(target=target) if target else X.N6_EXPLORE, X.N6_QUALITY,
+         X.N6_QUALITY_EXCELLENT if mp < 5 else X.N6_QUALITY_GOOD if mp < 15 else X.N6_QUALITY_POOR,
+         X.N6_MISSING.format(pct=mp), X.N6_DUPLICATES.format(n=info["duplicate_rows"]),
+         X.N6_MEMORY.format(mb=info["memory_mb"]), X.N6_VARIABLES,
+         X.N6_NUMERIC_COUNT.format(n=len(nums)), X.N6_CATEGORICAL_COUNT.format(n=len(cats))]
     if nums:
-        s.append(f"  - Key numeric variables: {', '.join(nums[:3])}{'...' if len(nums) > 3 else ''}")
+        s.append(X.N6_KEY_NUMERIC.format(names=", ".join(nums[:3]), more="..." if len(nums) > 3 else ""))
     if cats:
-        s.append(f"  - Key categorical variables: {', '.join(cats[:3])}{'...' if len(cats) > 3 else ''}")
+        s.append(X.N6_KEY_CATEGORICAL.format(names=", ".join(cats[:3]), more="..." if len(cats) > 3 else ""))
     ranking = []
     if tgt is not None:
-        s += [f"Target Variable Analysis: {target}", f"Type: {tgt['type'].title()}", f"Unique Values: {tgt['unique']:,}"]
+        s += [X.N6_TARGET.format(target=target), X.N6_TYPE.format(kind=tgt["type"].title()),
+              X.N6_UNIQUE.format(n=tgt["unique"])]
         if tgt["type"] == "numeric":
-            s += [f"Range: {tgt['min']:.2f} to {tgt['max']:.2f}", f"Average: {tgt['mean']:.2f} (±{tgt['std']:.2f})"]
-            s.append(f"Distribution: {tgt['skew_direction']}-skewed (non-normal)" if tgt["skewed"]
-                     else "Distribution: Approximately normal")
+            s += [X.N6_RANGE.format(lo=tgt["min"], hi=tgt["max"]), X.N6_AVERAGE.format(mean=tgt["mean"], std=tgt["std"]),
+                  X.N6_SKEWED.format(side=tgt["skew_direction"]) if tgt["skewed"] else X.N6_NORMAL]
             ranking = G.feature_ranking(df, target, 3).collect()
         else:
-            s.append(f"Most Common: '{tgt['most_common']}' ({tgt['most_common_pct']:.1f}% of data)")
-            s.append("Class Imbalance: One category dominates the data" if tgt["imbalanced"]
-                     else "Balanced Distribution: Good variety across categories")
-    s.append("Key Statistical Findings")
+            s += [X.N6_MOST_COMMON.format(value=tgt["most_common"], pct=tgt["most_common_pct"]),
+                  X.N6_IMBALANCE if tgt["imbalanced"] else X.N6_BALANCED]
+    s.append(X.N6_FINDINGS)
     if nums:
-        s.append("Numeric Variables")
-        s += [f"{c}: Average = {desc[c]['mean']:.2f}, Variability = {desc[c]['std']:.2f}"
+        s.append(X.N6_NUMERIC)
+        s += [X.N6_NUMERIC_LINE.format(column=c, mean=desc[c]["mean"], std=desc[c]["std"])
               for c in nums[:3] if c in desc and desc[c]["mean"] is not None and desc[c]["std"] is not None]
     if cats:
-        s.append("Categorical Variables")
-        s += [f"{c}: {catp[c]['unique_count']} categories, most common: '{catp[c]['most_frequent']}'"
+        s.append(X.N6_CATEGORICAL)
+        s += [X.N6_CATEGORICAL_LINE.format(column=c, n=catp[c]["unique_count"], value=catp[c]["most_frequent"])
               for c in cats[:3] if c in catp]
-    s.append("Relationship Analysis")
+    s.append(X.N6_RELATIONS)
     if strong:
-        s.append(f"Strong Relationships Found: {len(strong)} variable pairs show strong correlation")
-        s += [f"  - {r['pair']}: r = {r['r']:.3f}" for r in strong[:2]]
+        s.append(X.N6_STRONG.format(n=len(strong)))
+        s += [X.N6_PAIR.format(pair=r["pair"], r=r["r"]) for r in strong[:2]]
     if moderate:
-        s.append(f"Moderate Relationships: {len(moderate)} variable pairs show moderate correlation")
-        s += [f"  - {r['pair']}: r = {r['r']:.3f}" for r in moderate[:2]]
+        s.append(X.N6_MODERATE.format(n=len(moderate)))
+        s += [X.N6_PAIR.format(pair=r["pair"], r=r["r"]) for r in moderate[:2]]
     if not strong and not moderate:
-        s.append("Independent Variables: No strong correlations found - variables appear independent")
+        s.append(X.N6_INDEPENDENT)
     if tgt is not None:
-        s.append(f"Target-Focused Insights for {target}")
+        s.append(X.N6_TARGET_INSIGHTS.format(target=target))
         if ranking:
-            s.append("Top Features Affecting Target Variable:")
-            for r in ranking:
-                s.append(f"{r['rank']}. {r['feature']}: Correlation = {r['value']:.3f}" if r["impact_type"] == "Correlation"
-                         else f"{r['rank']}. {r['feature']}: Range effect = {r['value']:.2f}")
-    s.append("Recommendations")
+            s.append(X.N6_TOP_FEATURES)
+            s += [(X.N6_FEATURE_CORR if r["impact_type"] == "Correlation" else X.N6_FEATURE_RANGE)
+                  .format(rank=r["rank"], feature=r["feature"], value=r["value"]) for r in ranking]
+    s.append(X.N6_RECOMMENDATIONS)
     if mp > 10:
-        s.append("Data Collection: Address missing data issues before modeling")
+        s.append(X.N6_COLLECT)
     if target:
-        s.append(f"Modeling Focus: Use {target} as target for predictive modeling")
+        s.append(X.N6_MODELING.format(target=target))
         if ranking:
-            s.append(f"Key Predictor: {ranking[0]['feature']} shows strongest relationship with target")
+            s.append(X.N6_PREDICTOR.format(feature=ranking[0]["feature"]))
     if strong:
-        s.append("Multicollinearity: Consider feature selection to address highly correlated variables")
+        s.append(X.N6_MULTICOLLINEARITY)
     if nums and cats:
-        s.append("Mixed Analysis: Combine numeric and categorical approaches for comprehensive insights")
-    s += ["Next Steps: Consider advanced modeling techniques based on your specific goals", "Quick Action Items",
-          "1. Review Data Quality: Check the data quality assessment above",
-          "2. Explore Relationships: Use the correlation analysis to identify key patterns"]
+        s.append(X.N6_MIXED)
+    s += [X.N6_NEXT, X.N6_ACTIONS, X.N6_ACTION_1, X.N6_ACTION_2]
     if target:
-        s.append(f"3. Focus on Target: Analyze how other variables relate to {target}")
-    s += ["4. Generate Visualizations: Use the advanced visualization tabs for deeper insights",
-          "5. Export Results: Download the summary and statistics for further analysis"]
+        s.append(X.N6_ACTION_3.format(target=target))
+    s += [X.N6_ACTION_4, X.N6_ACTION_5]
     return _rows(df.sparkSession, "summary", s)
 
 
@@ -363,11 +312,11 @@ def one_paragraph(df: DataFrame) -> DataFrame:
     rows = df.count()
     cats = K.categorical_columns(df)[:3]
     top = P.top_values(df, cats, 3, None).orderBy("column", "rank").collect() if cats else []
-    s = f"The dataset has {rows} rows and {len(df.columns)} columns. "
-    miss = [(r["column"], r["missing"]) for r in ms if r["missing"] > 0]
+    s = X.N7_SIZE.format(rows=rows, cols=len(df.columns))
+    miss = [X.N7_ITEM.format(name=r["column"], n=r["missing"]) for r in ms if r["missing"] > 0]
     if miss:
-        s += "Columns with missing values: " + ", ".join(f"{c}({n})" for c, n in miss) + ". "
+        s += X.N7_MISSING.format(items=", ".join(miss))
     for c in cats:
-        vals = ", ".join(f"{r['value']}({r['n']})" for r in top if r["column"] == c)
-        s += f"Top values for {c}: {vals}. "
+        s += X.N7_TOP.format(column=c, items=", ".join(X.N7_ITEM.format(name=r["value"], n=r["n"])
+                                                        for r in top if r["column"] == c))
     return _rows(df.sparkSession, "paragraph", [s])

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelens.functions.stats import is_numeric_type, to_number, without_sentinels
+from tablelens.operators import texts as X
 
 # Date formats tried when a text column is tested as dates.
 DATE_FORMATS = [
@@ -122,10 +123,10 @@ def conversion_exprs(cols: Sequence[str]):
 
 def conversion_word(numeric: int, datetime: int, non_null: int) -> str:
     if numeric == non_null:
-        return "Converted to numeric"
+        return X.TO_NUMERIC
     if datetime == non_null:
-        return "Converted to datetime"
-    return "Kept as categorical"
+        return X.TO_DATETIME
+    return X.KEPT
 
 
 def coercion_rules(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -138,9 +139,9 @@ def coercion_rules(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
         F.when(F.col("rows") > 0, F.col("numeric_no_sentinel") / F.col("rows") > 0.5)
         .otherwise(False).alias("majority_rows"),
         (F.col("numeric") > 0).alias("any_value"),
-        F.when(F.col("numeric") == F.col("non_null"), "Converted to numeric")
-        .when(F.col("datetime") == F.col("non_null"), "Converted to datetime")
-        .otherwise("Kept as categorical").alias("conversion"),
+        F.when(F.col("numeric") == F.col("non_null"), X.TO_NUMERIC)
+        .when(F.col("datetime") == F.col("non_null"), X.TO_DATETIME)
+        .otherwise(X.KEPT).alias("conversion"),
     )
 
 
@@ -155,9 +156,9 @@ def apply_conversions(df: DataFrame, decisions: dict[str, str]) -> DataFrame:
     out = []
     for c in df.columns:
         d = decisions.get(c)
-        if d == "Converted to numeric":
+        if d == X.TO_NUMERIC:
             out.append(to_number(c).alias(c))
-        elif d == "Converted to datetime":
+        elif d == X.TO_DATETIME:
             out.append(to_datetime(c).alias(c))
         else:
             out.append(F.col(c))

@@ -19,6 +19,7 @@ from tablelens.functions.frames import agg_by_column
 from tablelens.functions.stats import adjusted_skewness, num, pearson
 from tablelens.operators import kinds as K
 from tablelens.operators import pairs as B
+from tablelens.operators import texts as X
 
 # Name fragments that mark a likely target column.
 TARGET_NAMES = ["target", "label", "y", "class", "category", "outcome", "result", "prediction"]
@@ -44,7 +45,7 @@ def detect_targets(df: DataFrame) -> DataFrame:
     rows = []
     for c in df.columns:
         if any(t in c.lower() for t in TARGET_NAMES):
-            rows.append((c, "Common target variable naming pattern", "high"))
+            rows.append((c, X.TARGET_BY_NAME, "high"))
     named = spark.createDataFrame(rows, "column string, reason string, confidence string").withColumn(
         "seq", F.lit(0))
     texts, nums = K.categorical_columns(df), K.numeric_columns(df)
@@ -56,15 +57,14 @@ def detect_targets(df: DataFrame) -> DataFrame:
         d = F.count_distinct(F.col(c))
         items.append(F.when((d >= 2) & (d <= 10), F.struct(
             F.lit(1).alias("seq"), F.lit(c).alias("column"),
-            F.format_string("Categorical variable with %d unique values (potential classification target)", d)
-            .alias("reason"), F.lit("medium").alias("confidence"))))
+            F.format_string(X.printf(X.TARGET_BY_CLASSES), d.cast("string")).alias("reason"),
+            F.lit("medium").alias("confidence"))))
     for c in nums:
         v = num(c, types[c])
         mn, mx = F.min(v), F.max(v)
         items.append(F.when((mn >= 0) & (mx <= 1000), F.struct(
             F.lit(2).alias("seq"), F.lit(c).alias("column"),
-            F.format_string("Numeric variable with range %.2f to %.2f (potential regression target)",
-                            mn.cast("double"), mx.cast("double")).alias("reason"),
+            F.format_string(X.printf(X.TARGET_BY_RANGE), mn.cast("double"), mx.cast("double")).alias("reason"),
             F.lit("low").alias("confidence"))))
     found = df.agg(F.filter(F.array(*items), lambda x: x.isNotNull()).alias("_s")).select(F.inline("_s"))
     return named.select("seq", "column", "reason", "confidence").unionByName(found)
