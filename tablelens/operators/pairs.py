@@ -28,6 +28,8 @@ from tablelens.operators import kinds as K
 DENSE_LIMIT = 1_000_000
 #: most column values of a dense table (Spark's pivot limit, as for its crosstab)
 PIVOT_LIMIT = 10_000
+#: most column pairs computed as one built-in aggregation (beyond: matrix products per task)
+PAIRS_PER_AGG = 1_000
 
 
 def _num(df: DataFrame, c: str):
@@ -36,15 +38,52 @@ def _num(df: DataFrame, c: str):
 
 # ---------------------------------------------------------------- P7, M1, D5–D7
 
-def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, diagonal: bool = True) -> DataFrame:
+def _gram_sums(v: DataFrame, cols: Sequence[str], means: list[float], pairs: list[tuple[int, int]]) -> DataFrame:
+    """Per-pair sums for many columns: inside each task, numpy matrix
+    products over the Arrow batches give, for every pair at once, the
+    pairwise-complete count and the sums of x, y, xy, x², y² (values shifted
+    by the column means); Spark then adds the per-task partials by pair."""
+    import numpy as np
+    import pandas as pd
+
+    k = len(cols)
+    shift = np.array(means, dtype="float64")
+    iu, ju = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
+
+    def partial(batches):
+        acc = None
+        for pdf in batches:
+            x = pdf.to_numpy(dtype="float64", na_value=np.nan) - shift
+            m = ~np.isnan(x)
+            x0 = np.where(m, x, 0.0)
+            mf = m.astype("float64")
+            part = (mf.T @ mf, x0.T @ mf, (x0 * x0).T @ mf, x0.T @ x0)
+            acc = part if acc is None else tuple(a + b for a, b in zip(acc, part))
+        if acc is None:
+            return
+        cnt, s1, s2, sxy = acc
+        yield pd.DataFrame({"i": iu.astype("int32"), "j": ju.astype("int32"), "n": cnt[iu, ju],
+                            "sa": s1[iu, ju], "sb": s1[ju, iu], "sab": sxy[iu, ju],
+                            "saa": s2[iu, ju], "sbb": s2[ju, iu]})
+
+    schema = "i int, j int, n double, sa double, sb double, sab double, saa double, sbb double"
+    assert k == len(v.columns)
+    return (v.mapInPandas(partial, schema).groupBy("i", "j")
+            .agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "sab", "saa", "sbb")]))
+
+
+def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, diagonal: bool = True,
+                       method: str = "auto") -> DataFrame:
     """Long (col_a, col_b, i, j, r, n) for every pair i <= j of numeric
     columns (i == j only with ``diagonal``), pairwise-complete rows.
 
-    Two passes: column means and null counts (one row fetched), then ONE
-    aggregation of plain sums of the mean-shifted values — Σa, Σb, Σab, Σa²,
-    Σb² per pair over its complete rows. The shift keeps the sums free of
-    cancellation; for columns without nulls the per-pair sums are the same
-    expression for every pair, so Spark computes each once."""
+    Two passes: column means and null counts (one row fetched), then the sums
+    of the mean-shifted values — Σa, Σb, Σab, Σa², Σb² per pair over its
+    complete rows. The shift keeps the sums free of cancellation. Up to
+    ``PAIRS_PER_AGG`` pairs the sums are ONE built-in aggregation (for columns
+    without nulls the per-pair sums are the same expression for every pair,
+    so Spark computes each once); wider tables (or ``method='gram'``) use
+    per-task matrix products instead of one expression per pair."""
     cols = list(cols) if cols is not None else K.numeric_columns(df)
     schema = "col_a string, col_b string, i int, j int, r double, n long"
     pairs = [(i, j) for i in range(len(cols)) for j in range(i if diagonal else i + 1, len(cols))]
@@ -54,21 +93,28 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, diagona
     first = v.agg(F.count(F.lit(1)).alias("_rows"), *[F.avg(c).alias(f"m{k}") for k, c in enumerate(cols)],
                   *[F.count(c).alias(f"n{k}") for k, c in enumerate(cols)]).first()
     rows = first["_rows"]
-    full = [first[f"n{k}"] == rows for k in range(len(cols))]
-    x = [F.col(c) - F.lit(float(first[f"m{k}"] or 0.0)) for k, c in enumerate(cols)]
-    structs = []
-    for i, j in pairs:
-        if full[i] and full[j]:
-            a, b, n = x[i], x[j], F.count(F.lit(1))
-        else:
-            both = F.col(cols[i]).isNotNull() & F.col(cols[j]).isNotNull()
-            a, b = F.when(both, x[i]), F.when(both, x[j])
-            n = F.count(a)
-        structs.append(F.struct(
-            F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"), F.lit(i).alias("i"), F.lit(j).alias("j"),
-            n.alias("n"), F.sum(a).alias("sa"), F.sum(b).alias("sb"), F.sum(a * b).alias("sab"),
-            F.sum(a * a).alias("saa"), F.sum(b * b).alias("sbb")))
-    sums = v.agg(F.array(*structs).alias("_s")).select(F.inline("_s"))
+    means = [float(first[f"m{k}"] or 0.0) for k in range(len(cols))]
+    if method == "gram" or (method == "auto" and len(pairs) > PAIRS_PER_AGG):
+        sums = _gram_sums(v, cols, means, pairs)
+    else:
+        full = [first[f"n{k}"] == rows for k in range(len(cols))]
+        x = [F.col(c) - F.lit(means[k]) for k, c in enumerate(cols)]
+        structs = []
+        for i, j in pairs:
+            if full[i] and full[j]:
+                a, b, n = x[i], x[j], F.count(F.lit(1))
+            else:
+                both = F.col(cols[i]).isNotNull() & F.col(cols[j]).isNotNull()
+                a, b = F.when(both, x[i]), F.when(both, x[j])
+                n = F.count(a)
+            structs.append(F.struct(
+                F.lit(i).alias("i"), F.lit(j).alias("j"),
+                n.cast("double").alias("n"), F.sum(a).alias("sa"), F.sum(b).alias("sb"), F.sum(a * b).alias("sab"),
+                F.sum(a * a).alias("saa"), F.sum(b * b).alias("sbb")))
+        sums = v.agg(F.array(*structs).alias("_s")).select(F.inline("_s"))
+    names = df.sparkSession.createDataFrame([(k, c) for k, c in enumerate(cols)], "k int, name string")
+    sums = (sums.join(F.broadcast(names.select(F.col("k").alias("i"), F.col("name").alias("col_a"))), "i")
+            .join(F.broadcast(names.select(F.col("k").alias("j"), F.col("name").alias("col_b"))), "j"))
     n = F.col("n").cast("double")
     cov = F.col("sab") - F.col("sa") * F.col("sb") / n
     va = F.col("saa") - F.col("sa") * F.col("sa") / n

@@ -255,3 +255,10 @@ SELECT 'l_quantity' AS column1, 'l_returnflag' AS column2, 'numeric_categorical'
 def q_b9_mixed(spark, sf):
     """Mixed dispatch (ANOVA)."""
     return B.bivariate(T_(spark, sf, "lineitem"), "l_quantity", "l_returnflag")
+
+
+@register("p7_correlation_matrix_gram_lineitem",
+          f"SELECT col_a, col_b, i, j, {R('r')} AS r, n FROM ({corr_sql('lineitem', LI_NUM)})")
+def q_p7_gram(spark, sf):
+    """P7 through the wide-table plan: per-task matrix products (numpy over Arrow batches), summed by pair."""
+    return B.correlation_matrix(T_(spark, sf, "lineitem"), method="gram")

@@ -90,3 +90,16 @@ def test_auto_plan_from_counted_table(data, limit):
         want = dict(zip(vals, vals.rank()))
         for value, r in ranks[ranks.g == key].set_index("v")["rank"].items():
             assert r == pytest.approx(want[value])
+
+
+def test_correlation_plans_agree_with_nulls(spark):
+    """The one-aggregation plan and the per-task matrix plan give the same pairwise-complete r."""
+    from tablelens.operators.pairs import correlation_matrix
+    from tablelens.sources.tables import dirty_lineitem
+    d = dirty_lineitem(spark, "/root/testdata/sf0.001").selectExpr(
+        "l_orderkey", "l_linenumber", "quantity", "try_cast(part_text as double) as part_num")
+    a = {(r["col_a"], r["col_b"]): (r["r"], r["n"]) for r in correlation_matrix(d, method="sums").collect()}
+    b = {(r["col_a"], r["col_b"]): (r["r"], r["n"]) for r in correlation_matrix(d, method="gram").collect()}
+    assert a.keys() == b.keys() and len(a) == 10
+    for k in a:
+        assert a[k][1] == b[k][1] and a[k][0] == pytest.approx(b[k][0], rel=1e-9, abs=1e-12)
