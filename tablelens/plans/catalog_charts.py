@@ -80,7 +80,7 @@ p AS (SELECT n, mn, mx, 1.06 * sd * power(n, -0.2) AS h, (mx - mn) / 512 AS w, (
 fb AS (SELECT least(512, CAST(floor(512.0 * (v - mn) / (mx - mn)) AS BIGINT) + 1) AS b, count(*) AS wt FROM v, p GROUP BY 1),
 c AS (SELECT mn + (b - 0.5) * w AS c, wt FROM fb, p),
 g AS (SELECT range AS g FROM range(0, 100))
-SELECT g.g AS point, {R('mn + g.g * step')} AS x,
+SELECT CAST(g.g AS INTEGER) AS point, {R('mn + g.g * step')} AS x,
   {R('sum(wt * exp(-0.5 * ((mn + g.g * step - c) / h) * ((mn + g.g * step - c) / h))) * (1.0 / (n * h * sqrt(2 * pi())))')} AS density
 FROM g, c, p GROUP BY g.g, mn, step, n, h
 """)
@@ -301,7 +301,7 @@ def q_g10(spark, sf):
 
 
 @register("g11_top_impact_lineitem", IMPACT + f"""
-SELECT row_number() OVER (ORDER BY abs_impact DESC, position) AS rank, feature, impact_type, impact_value, strength,
+SELECT CAST(row_number() OVER (ORDER BY abs_impact DESC, position) AS INTEGER) AS rank, feature, impact_type, impact_value, strength,
   {R('abs_impact')} AS abs_impact
 FROM (SELECT *, abs(CASE WHEN impact_type = 'Correlation' THEN round(value, 3) ELSE round(value, 2) END) AS abs_impact FROM imp)
 ORDER BY abs_impact DESC, position LIMIT 5
@@ -320,7 +320,7 @@ WITH rel AS (
     (SELECT avg(o_totalprice) AS m FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY o_orderstatus)
   UNION ALL SELECT 5, 'o_orderpriority', 'Range', max(m) - min(m), max(m) - min(m), count(*) FROM
     (SELECT avg(o_totalprice) AS m FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority))
-SELECT row_number() OVER (ORDER BY strength DESC, position) AS rank, feature, impact_type, {R('strength')} AS strength, {R('value')} AS value
+SELECT CAST(row_number() OVER (ORDER BY strength DESC, position) AS INTEGER) AS rank, feature, impact_type, {R('strength')} AS strength, {R('value')} AS value
 FROM rel WHERE value IS NOT NULL AND groups > 1 ORDER BY strength DESC, position LIMIT 3
 """)
 def q_g12(spark, sf):

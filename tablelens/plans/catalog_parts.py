@@ -29,7 +29,7 @@ def q_v1(spark, sf):
 
 
 @register("v2_check_min_cols_region", """
-SELECT 'min_cols' AS "check", CAST(NULL AS VARCHAR) AS "column", 1.0 AS value,
+SELECT 'min_cols' AS "check", CAST(NULL AS VARCHAR) AS "column", CAST(1 AS DOUBLE) AS value,
   'Too few columns: 1 columns (need at least 2).' AS message
 """)
 def q_v2(spark, sf):
@@ -38,7 +38,7 @@ def q_v2(spark, sf):
 
 
 @register("v3_check_all_null_dirty", """
-SELECT 'all_null' AS "check", CAST(NULL AS VARCHAR) AS "column", 1.0 AS value,
+SELECT 'all_null' AS "check", CAST(NULL AS VARCHAR) AS "column", CAST(1 AS DOUBLE) AS value,
   'Columns with all nulls: [''empty_col'']' AS message FROM (SELECT count(empty_col) AS c FROM """ + D + """) WHERE c = 0
 """)
 def q_v3(spark, sf):

@@ -52,6 +52,23 @@ def rows_key(rows):
     return sorted((tuple(norm(x) for x in r) for r in rows), key=lambda t: repr(t))
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE",
+                 "date": "DATE", "smallint": "SMALLINT", "tinyint": "TINYINT", "array<double>": "DOUBLE[]"}
+
+
+def type_mismatches(sdf, rel) -> list[str]:
+    """Columns whose Spark type does not map to the DuckDB result type."""
+    duck = {d[0]: str(d[1]) for d in rel.description}
+    out = []
+    for f in sdf.schema.fields:
+        want = SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+        got = duck.get(f.name)
+        if got is not None and got != want:
+            out.append(f"{f.name}: spark {f.dataType.simpleString()} vs duck {got}")
+    return out
+
+
 def compare(spark, name, fn, sql, sf_dir, con):
     t = time.time()
     sdf = fn(spark, sf_dir)
@@ -61,6 +78,7 @@ def compare(spark, name, fn, sql, sf_dir, con):
     if sql is None:
         return dict(name=name, ok=None, rows=len(srows), sec=round(ts, 2), note="no oracle")
     rel = con.execute(sql)
+    types = type_mismatches(sdf, rel)
     dcols = [d[0] for d in rel.description]
     drows = rel.fetchall()
     if sorted(cols) != sorted(dcols):
@@ -73,6 +91,8 @@ def compare(spark, name, fn, sql, sf_dir, con):
     if a != b:
         diffs = [(x, y) for x, y in zip(a, b) if x != y][:3]
         return dict(name=name, ok=False, note=f"values differ: {diffs}")
+    if types:
+        return dict(name=name, ok=False, note=f"types differ: {types}")
     return dict(name=name, ok=True, rows=len(srows), sec=round(ts, 2))
 
 
