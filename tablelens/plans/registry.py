@@ -59,3 +59,4 @@ from tablelens.plans import catalog_more  # noqa: E402,F401
 from tablelens.plans import catalog_parts  # noqa: E402,F401
 from tablelens.plans import catalog_text  # noqa: E402,F401
 from tablelens.plans import catalog_summary  # noqa: E402,F401
+from tablelens.plans import catalog_rules  # noqa: E402,F401
