@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelens.functions.frames import agg_by_column, numeric_long, per_column, string_long
+from tablelens.functions.frames import agg_by_column, materialize, numeric_long, per_column, string_long
 from tablelens.functions.quantiles import SMALL_LIMIT, quantiles
 from tablelens.functions.stats import adjusted_kurtosis, adjusted_skewness, num, to_number
 from tablelens.operators import kinds as K
@@ -184,7 +184,11 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, method: st
         val = to_number(c) if isinstance(types[c], T.StringType) else num(c, types[c])
         structs.append(F.struct(F.lit(c).alias("column"), val.alias("value"), raw.isNull().alias("raw_null")))
     long = df.select(F.inline(F.array(*structs)))
-    counts = long.groupBy("column", "value", "raw_null").agg(F.count(F.lit(1)).alias("n")).persist()
+    counted = long.groupBy("column", "value", "raw_null").agg(F.count(F.lit(1)).alias("n"))
+    # small inputs keep the counted table in executor memory; large ones write
+    # it once to the shared folder (no recomputed shuffle after a lost executor)
+    small = df.count() <= SMALL_LIMIT
+    counts = counted.persist() if small else materialize(counted, "summary-counts")
     try:
         v, n = F.col("value"), F.col("n")
         present = v.isNotNull()
@@ -219,7 +223,8 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, method: st
             F.sum(n * d * d).alias("m2"), F.sum(n * d * d * d).alias("m3"), F.sum(n * d * d * d * d).alias("m4"),
             F.sum(F.when((v < F.col("lo")) | (v > F.col("hi")), n).otherwise(0)).alias("outliers")).collect()}
     finally:
-        counts.unpersist()
+        if small:
+            counts.unpersist()
     rows = []
     for c, mean, lo, hi, q1, q2, q3 in lits:
         r, m = a[c], b.get(c)

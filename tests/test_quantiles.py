@@ -103,3 +103,17 @@ def test_correlation_plans_agree_with_nulls(spark):
     assert a.keys() == b.keys() and len(a) == 10
     for k in a:
         assert a[k][1] == b[k][1] and a[k][0] == pytest.approx(b[k][0], rel=1e-9, abs=1e-12)
+
+
+def test_profile_large_path_written_table(spark, monkeypatch):
+    """Above the small limit the counted table is written to the shared folder; same answer."""
+    import tablelens.operators.profile as prof
+    from tablelens.sources.tables import table
+    o = table(spark, "/root/testdata/sf0.001", "orders")
+    a = sorted(tuple(r) for r in prof.numeric_summary(o).collect())
+    monkeypatch.setattr(prof, "SMALL_LIMIT", 10)
+    b = sorted(tuple(r) for r in prof.numeric_summary(o).collect())
+    assert len(a) == len(b)
+    for x, y in zip(a, b):
+        assert x[0] == y[0] and [v for v in x[1:] if not isinstance(v, str)] == pytest.approx(
+            [v for v in y[1:] if not isinstance(v, str)])
