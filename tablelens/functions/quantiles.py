@@ -37,6 +37,8 @@ from tablelens.session import scratch_path
 
 #: groups with more distinct values than this take the range-partitioned plan
 SMALL_LIMIT = 2_000_000
+#: distinct values per range partition in that plan (sizes the number of ranges)
+ROWS_PER_RANGE = 2_000_000
 
 _PID, _PN, _BEFORE, _TOTAL, _CUM = "_tl_pid", "_tl_pn", "_tl_before", "_tl_total", "_tl_cum"
 
@@ -72,7 +74,10 @@ def _ranged(counts: DataFrame, keys: Sequence[str], value: str):
     """Range-partition the distinct table, persist it in the shared folder, and
     return it with the per-(partition, key) totals and offsets."""
     spark = counts.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many ranges as keep each near ROWS_PER_RANGE distinct values (the
+    # counted table is a written copy here, so its row count is cheap)
+    floor_ = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(floor_, -(-counts.count() // ROWS_PER_RANGE))
     ranged = (counts.repartitionByRange(parts, *keys, value)
               .withColumn(_PID, F.spark_partition_id()))
     path = scratch_path(spark, "ranked")
