@@ -53,3 +53,13 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 def per_column(rows) -> dict:
     """Small per-column statistics (one row per column) as a dict keyed by column."""
     return {r["column"]: r for r in rows}
+
+
+def rounded(df: DataFrame, decimals: int | None) -> DataFrame:
+    """Round every double column to ``decimals`` places (display form, as the
+    tables are printed); ``None`` keeps full precision."""
+    if decimals is None:
+        return df
+    from pyspark.sql import types as T
+    return df.select(*[F.round(F.col(f"`{f.name}`"), decimals).alias(f.name)
+                       if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema.fields])

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions import special
+from tablelens.functions.frames import rounded
 from tablelens.functions.quantiles import average_ranks, quantiles
 from tablelens.functions.stats import num, pearson
 from tablelens.operators import kinds as K
@@ -73,7 +74,7 @@ def _gram_sums(v: DataFrame, cols: Sequence[str], means: list[float], pairs: lis
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, diagonal: bool = True,
-                       method: str = "auto") -> DataFrame:
+                       method: str = "auto", decimals: int | None = None) -> DataFrame:
     """Long (col_a, col_b, i, j, r, n) for every pair i <= j of numeric
     columns (i == j only with ``diagonal``), pairwise-complete rows.
 
@@ -121,7 +122,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, diagona
     vb = F.col("sbb") - F.col("sb") * F.col("sb") / n
     r = F.when((n >= 2) & (va > 0) & (vb > 0), cov / F.sqrt(va * vb))
     r = F.when(r > 1.0, F.lit(1.0)).when(r < -1.0, F.lit(-1.0)).otherwise(r)
-    return sums.select("col_a", "col_b", "i", "j", r.alias("r"), F.col("n").cast("long").alias("n"))
+    return rounded(sums.select("col_a", "col_b", "i", "j", r.alias("r"), F.col("n").cast("long").alias("n")), decimals)
 
 
 def correlation_pairs(df: DataFrame, cols: Sequence[str] | None = None,
@@ -353,11 +354,12 @@ def grouped_stats(df: DataFrame, cats: Sequence[str], nums: Sequence[str],
     return base.select(*keys, *stats)
 
 
-def group_statistics(df: DataFrame, cat: str, value: str, method: str = "auto") -> DataFrame:
+def group_statistics(df: DataFrame, cat: str, value: str, method: str = "auto",
+                     decimals: int | None = None) -> DataFrame:
     """Mean, median, std, count of a numeric column per category over rows
-    complete in both."""
+    complete in both (``decimals=3`` for the rounded display table)."""
     g = grouped_stats(df, [cat], [value], ("mean", "median", "std", "count"), True, method)
-    return g.select(F.col("category").alias(cat), "mean", "median", "std", "count")
+    return rounded(g.select(F.col("category").alias(cat), "mean", "median", "std", "count"), decimals)
 
 
 def anova_oneway(df: DataFrame, cat: str, value: str) -> DataFrame:
@@ -390,12 +392,13 @@ def anova_oneway(df: DataFrame, cat: str, value: str) -> DataFrame:
         "f double, p_value double")
 
 
-def groupby_grid(df: DataFrame, max_cats: int = 3, max_nums: int = 3, method: str = "auto") -> DataFrame:
+def groupby_grid(df: DataFrame, max_cats: int = 3, max_nums: int = 3, method: str = "auto",
+                 decimals: int | None = None) -> DataFrame:
     """M2: count, mean, median, std, min, max of the first numeric columns by
     the first text columns (3 × 3 by default, as arguments)."""
     cats = K.categorical_columns(df)[:max_cats]
     nums = K.numeric_columns(df)[:max_nums]
-    return grouped_stats(df, cats, nums, method=method)
+    return rounded(grouped_stats(df, cats, nums, method=method), decimals)
 
 
 # ---------------------------------------------------------------- B9

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelens.functions.frames import agg_by_column, materialize, numeric_long, per_column, string_long
+from tablelens.functions.frames import agg_by_column, materialize, numeric_long, per_column, rounded, string_long
 from tablelens.functions.quantiles import SMALL_LIMIT, quantiles
 from tablelens.functions.stats import adjusted_kurtosis, adjusted_skewness, num, to_number
 from tablelens.operators import kinds as K
@@ -247,11 +247,12 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, method: st
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, method: str = "auto",
-                     rule: str | None = None) -> DataFrame:
+                     rule: str | None = None, decimals: int | None = None) -> DataFrame:
     """Count, mean, std, min, q25, median, q75, max, skewness, kurtosis
-    per numeric column (one scan; see :func:`numeric_summary`)."""
-    return numeric_summary(df, cols, method, rule).select(
-        "column", "count", "mean", "std", "min", "q25", "median", "q75", "max", "skewness", "kurtosis")
+    per numeric column (one scan; see :func:`numeric_summary`). ``decimals=3``
+    gives the rounded display table."""
+    return rounded(numeric_summary(df, cols, method, rule).select(
+        "column", "count", "mean", "std", "min", "q25", "median", "q75", "max", "skewness", "kurtosis"), decimals)
 
 
 def univariate_numeric(df: DataFrame, cols: Sequence[str] | None = None, method: str = "auto",

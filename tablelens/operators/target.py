@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelens.functions.frames import agg_by_column
+from tablelens.functions.frames import agg_by_column, rounded
 from tablelens.functions.stats import adjusted_skewness, num, pearson
 from tablelens.operators import kinds as K
 from tablelens.operators import pairs as B
@@ -72,13 +72,15 @@ def detect_targets(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- G2–G5
 
-def target_by_category(df: DataFrame, target: str, feature: str, method: str = "auto") -> DataFrame:
+def target_by_category(df: DataFrame, target: str, feature: str, method: str = "auto",
+                       decimals: int | None = None) -> DataFrame:
     """G2 (numeric target, text feature) / G3 (text target, numeric feature):
     count, mean, median, std, min, max of the numeric side per category."""
     _check(df, target, feature)
     num_col, cat_col = (target, feature) if _is_num(df, target) else (feature, target)
     g = B.grouped_stats(df, [cat_col], [num_col], method=method)
-    return g.select(F.col("category").alias(cat_col), "count", "mean", "median", "std", "min", "max")
+    return rounded(g.select(F.col("category").alias(cat_col), "count", "mean", "median", "std", "min", "max"),
+                   decimals)
 
 
 def target_analysis_type(df: DataFrame, target: str, feature: str) -> str:

@@ -133,3 +133,11 @@ def test_read_table_tokens_and_types(spark, tmp_path):
     assert types["a"] == "bigint" and types["b_c"] == "string" and types["e"] == "boolean" and types["f"] == "string"
     rows = df.orderBy("a").collect()
     assert rows[1]["b_c"] == "?" and rows[2]["d"] is None and all(r["f"] is None for r in rows)
+
+
+def test_display_rounding(spark):
+    df = spark.createDataFrame([("a", 1.23456), ("a", 2.34567), ("b", 3.0)], "c string, x double")
+    r = B.group_statistics(df, "c", "x", decimals=3).where("c = 'a'").first()
+    assert r["mean"] == 1.790 and r["count"] == 2
+    d = P.describe_numeric(df, decimals=3).first()
+    assert d["mean"] == round((1.23456 + 2.34567 + 3.0) / 3, 3)
