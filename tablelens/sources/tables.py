@@ -8,23 +8,40 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-#: tables with at least this many rows are spread over the cluster when the
-#: scan alone would give fewer tasks than there are cores
+#: tables with at least this many rows (or bytes of input) are spread over the
+#: cluster when the scan alone would give fewer tasks than there are cores
 SPREAD_MIN_ROWS = 100_000
+SPREAD_MIN_BYTES = 3 * 512 * 1024  # about 100k rows of the wider test tables
+
+
+def _input_bytes(df: DataFrame) -> int | None:
+    """Total size of the input files when they are local (None otherwise)."""
+    import os
+    from urllib.parse import urlparse
+    total = 0
+    for f in df.inputFiles():
+        u = urlparse(f)
+        if u.scheme not in ("", "file") or not os.path.exists(u.path):
+            return None
+        total += os.path.getsize(u.path)
+    return total
 
 
 def spread(df: DataFrame, min_rows: int = SPREAD_MIN_ROWS) -> DataFrame:
     """Spread the rows over ``defaultParallelism`` partitions when the scan
     yields fewer (a few big files or one big row group). A scan of many files
-    is returned unchanged, so at cluster scale this is a no-op; the row count
-    of a parquet scan comes from its footers. The rows are hashed on their
+    is returned unchanged, so at cluster scale this is a no-op. Size comes
+    from the input files when they are local, else from the row count (a
+    parquet scan counts from its footers). The rows are hashed on their
     position in the scan, which a re-run reproduces (no sort is needed, as a
     round-robin repartition would add for a retried task)."""
     from pyspark.sql import functions as F
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target or df.count() < min_rows:
+    if df.rdd.getNumPartitions() >= target:
         return df
-    return df.repartition(target, F.monotonically_increasing_id())
+    size = _input_bytes(df)
+    big = size >= SPREAD_MIN_BYTES if size is not None else df.count() >= min_rows
+    return df.repartition(target, F.monotonically_increasing_id()) if big else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, balance: bool = True) -> DataFrame:
