@@ -39,10 +39,38 @@ def _round(c, decimals):
 
 # ---------------------------------------------------------------- P1, P2, P3
 
+#: candidate row hashes that may travel as a broadcast set (≈ 16 bytes each)
+BROADCAST_HASHES = 4_000_000
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Repeats of a whole row, first occurrence not counted (nulls equal)."""
-    g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    return g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
+    """Repeats of a whole row, first occurrence not counted (nulls equal).
+
+    Exact, without shuffling whole rows: phase one shuffles only a 96-bit row
+    hash (``xxhash64`` and ``hash`` of all columns, counted map-side); true
+    duplicates always share a hash, so only rows whose hash repeats can be
+    duplicates. Phase two counts those candidate rows exactly by their full
+    values; they are picked by a broadcast semi-join when the candidate hash
+    set is small (checked), else by a shuffle join. One row, one column."""
+    spark = df.sparkSession
+    if not df.columns:
+        return spark.createDataFrame([(0,)], "duplicate_rows long")
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    hashed = df.select("*", F.xxhash64(*cols).alias("_tl_h1"), F.hash(*cols).alias("_tl_h2"))
+    cand = (hashed.groupBy("_tl_h1", "_tl_h2").agg(F.count(F.lit(1)).alias("_tl_n"))
+            .where(F.col("_tl_n") > 1).select("_tl_h1", "_tl_h2")).persist()
+    try:
+        k = cand.count()
+        if k == 0:
+            dups = 0
+        else:
+            side = F.broadcast(cand) if k <= BROADCAST_HASHES else cand
+            subset = hashed.join(side, ["_tl_h1", "_tl_h2"], "left_semi").drop("_tl_h1", "_tl_h2")
+            g = subset.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_tl_n"))
+            dups = g.agg(F.coalesce(F.sum(F.col("_tl_n") - 1), F.lit(0))).first()[0]
+    finally:
+        cand.unpersist()
+    return spark.createDataFrame([(int(dups),)], "duplicate_rows long")
 
 
 def dataset_info(df: DataFrame) -> DataFrame:

@@ -38,3 +38,15 @@ def test_cleaning_twice_adds_nothing(spark):
 def test_box_whiskers_inside_fences(spark):
     b = D.box_stats(table(spark, SF, "orders"), ["o_totalprice"]).first()
     assert b["lower_fence"] <= b["whisker_low"] <= b["whisker_high"] <= b["upper_fence"]
+
+
+def test_duplicate_rows_two_phase_is_exact(spark, monkeypatch):
+    """Hash-first duplicate counting equals the whole-row grouping, via broadcast and shuffle joins."""
+    import tablelens.operators.profile as prof
+    d = dirty_lineitem(spark, SF)
+    want = d.groupBy(*d.columns).count().agg(F.sum(F.col("count") - 1)).first()[0]
+    assert prof.duplicate_rows(d).first()[0] == want
+    monkeypatch.setattr(prof, "BROADCAST_HASHES", 0)
+    assert prof.duplicate_rows(d).first()[0] == want
+    nulls = spark.createDataFrame([(None, 1), (1, None), (None, 1), (None, None), (None, None)], "a int, b int")
+    assert prof.duplicate_rows(nulls).first()[0] == 2
