@@ -70,6 +70,36 @@ def fill_values(df: DataFrame) -> DataFrame:
     return out
 
 
+def drop_duplicates(df: DataFrame, rows_hint: int | None = None) -> DataFrame:
+    """Whole-row dedupe (nulls compare equal), exact.
+
+    Rows are hashed (96 bits); only hashes that repeat can belong to
+    duplicates. When that candidate set is small enough to broadcast
+    (checked), rows with a unique hash pass through an anti-join without any
+    shuffle and only the candidate rows go through ``dropDuplicates``;
+    otherwise the plain ``dropDuplicates`` shuffles every row — as it also
+    does for a small input (``rows_hint`` at most ``SMALL_LIMIT`` rows)."""
+    from tablelens.functions.quantiles import SMALL_LIMIT
+    from tablelens.operators.profile import BROADCAST_HASHES
+    if not df.columns:
+        return df
+    if rows_hint is not None and rows_hint <= SMALL_LIMIT:
+        return df.dropDuplicates()
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    hashed = df.select("*", F.xxhash64(*cols).alias("_tl_h1"), F.hash(*cols).alias("_tl_h2"))
+    cand = (hashed.groupBy("_tl_h1", "_tl_h2").agg(F.count(F.lit(1)).alias("_tl_n"))
+            .where(F.col("_tl_n") > 1).select("_tl_h1", "_tl_h2"))
+    k = cand.count()
+    if k == 0:
+        return df
+    if k > BROADCAST_HASHES:
+        return df.dropDuplicates()
+    side = F.broadcast(cand)
+    single = hashed.join(side, ["_tl_h1", "_tl_h2"], "left_anti").drop("_tl_h1", "_tl_h2")
+    repeated = hashed.join(side, ["_tl_h1", "_tl_h2"], "left_semi").drop("_tl_h1", "_tl_h2").dropDuplicates()
+    return single.unionByName(repeated)
+
+
 def _missing_counts(df: DataFrame) -> DataFrame:
     nums = set(K.numeric_columns(df))
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -203,7 +233,7 @@ def clean(df: DataFrame, fill: bool = True, dedupe: bool = True, cap: bool = Tru
         out = fill_missing(out, fv)
     if dedupe:
         before = rows if rows is not None else out.count()
-        out = out.dropDuplicates()
+        out = drop_duplicates(out, rows_hint=before)
         if materialize_dedupe:
             out = materialize(out, "deduped")
         audit_rows.append(("duplicates", None, X.DUPLICATES_REMOVED, before - out.count()))

@@ -75,8 +75,8 @@ def q_c2(spark, sf):
 @register("c3_drop_duplicates_dirty", f"SELECT DISTINCT l_orderkey, l_linenumber, {R('quantity')} AS quantity, returnflag, "
           f"part_text, supp_text, empty_col FROM {D}")
 def q_c3(spark, sf):
-    """Whole-row dedupe (nulls compare equal)."""
-    return dirty(spark, sf).dropDuplicates()
+    """Whole-row dedupe (nulls compare equal), hash-first."""
+    return C.drop_duplicates(dirty(spark, sf))
 
 
 @register("c4_cap_outliers_dirty", f"""

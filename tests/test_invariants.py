@@ -50,3 +50,13 @@ def test_duplicate_rows_two_phase_is_exact(spark, monkeypatch):
     assert prof.duplicate_rows(d).first()[0] == want
     nulls = spark.createDataFrame([(None, 1), (1, None), (None, 1), (None, None), (None, None)], "a int, b int")
     assert prof.duplicate_rows(nulls).first()[0] == 2
+
+
+def test_drop_duplicates_hash_path_is_exact(spark, monkeypatch):
+    import tablelens.operators.profile as prof
+    from tablelens.operators.clean import drop_duplicates
+    d = dirty_lineitem(spark, SF)
+    want = sorted(tuple(r) for r in d.dropDuplicates().collect())
+    assert sorted(tuple(r) for r in drop_duplicates(d).collect()) == want
+    monkeypatch.setattr(prof, "BROADCAST_HASHES", 0)
+    assert sorted(tuple(r) for r in drop_duplicates(d).collect()) == want
