@@ -47,11 +47,11 @@ def validate(df: DataFrame, min_rows: int = MIN_ROWS, min_cols: int = MIN_COLS,
     picks a subset (V1 ``min_rows`` … V5 ``high_cardinality``)."""
     texts = K.categorical_columns(df)
     ncols = len(df.columns)
-    stats = table_counts(df, approx)
-    if "duplicates" in checks:  # the only check that needs a shuffle of whole rows
-        stats = stats.withColumn("duplicate_rows", duplicate_rows(df).scalar())
-    else:
-        stats = stats.withColumn("duplicate_rows", F.lit(0).cast("long"))
+    # the counts are one row: fetch it, then build the issues from that row
+    counts = table_counts(df, approx).first()
+    dups = duplicate_rows(df, rows_hint=counts["rows"]).first()[0] if "duplicates" in checks else 0
+    stats = df.sparkSession.createDataFrame([tuple(counts) + (int(dups),)],
+                                            [*counts.asDict().keys(), "duplicate_rows"])
     issue = "struct<check:string,column:string,value:double,message:string>"
 
     def mk(check, column, value, message, cond):

@@ -43,7 +43,7 @@ def _round(c, decimals):
 BROADCAST_HASHES = 4_000_000
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
+def duplicate_rows(df: DataFrame, rows_hint: int | None = None) -> DataFrame:
     """Repeats of a whole row, first occurrence not counted (nulls equal).
 
     Exact, without shuffling whole rows: phase one shuffles only a 96-bit row
@@ -51,10 +51,16 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     duplicates always share a hash, so only rows whose hash repeats can be
     duplicates. Phase two counts those candidate rows exactly by their full
     values; they are picked by a broadcast semi-join when the candidate hash
-    set is small (checked), else by a shuffle join. One row, one column."""
+    set is small (checked), else by a shuffle join. A small input
+    (``rows_hint`` at most ``SMALL_LIMIT``) is grouped on its full rows
+    directly. One row, one column."""
     spark = df.sparkSession
     if not df.columns:
         return spark.createDataFrame([(0,)], "duplicate_rows long")
+    if rows_hint is not None and rows_hint <= SMALL_LIMIT:
+        g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_tl_n"))
+        dups = g.agg(F.coalesce(F.sum(F.col("_tl_n") - 1), F.lit(0))).first()[0]
+        return spark.createDataFrame([(int(dups),)], "duplicate_rows long")
     cols = [F.col(f"`{c}`") for c in df.columns]
     hashed = df.select("*", F.xxhash64(*cols).alias("_tl_h1"), F.hash(*cols).alias("_tl_h2"))
     cand = (hashed.groupBy("_tl_h1", "_tl_h2").agg(F.count(F.lit(1)).alias("_tl_n"))
@@ -85,11 +91,13 @@ def dataset_info(df: DataFrame) -> DataFrame:
         elif isinstance(f.dataType, T.StringType):
             text.append(F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)))
     var = sum(text[1:], text[0]) if text else F.lit(0)
-    base = df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(var).alias("_var"))
-    size = F.col("n_rows") * width + F.coalesce(F.col("_var"), F.lit(0))
-    info = base.select("n_rows", F.lit(len(df.columns)).alias("n_cols"), size.cast("long").alias("size_bytes"),
-                       (size / (1024.0 * 1024.0)).alias("memory_mb"))
-    return info.withColumn("duplicate_rows", duplicate_rows(df).scalar())
+    b = df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(var).alias("_var")).first()
+    rows = int(b["n_rows"])
+    size = rows * width + int(b["_var"] or 0)
+    dups = duplicate_rows(df, rows_hint=rows).first()[0]
+    return df.sparkSession.createDataFrame(
+        [(rows, len(df.columns), size, size / (1024.0 * 1024.0), int(dups))],
+        "n_rows long, n_cols int, size_bytes long, memory_mb double, duplicate_rows long")
 
 
 def missing_per_column(df: DataFrame) -> DataFrame:
