@@ -109,11 +109,20 @@ def target_contingency(df: DataFrame, target: str, feature: str) -> DataFrame:
 
 # ---------------------------------------------------------------- G6, G7
 
+def _class_moments(df: DataFrame, target: str, feature: str) -> DataFrame:
+    """(category, count, mean, std) of the numeric side per category — what
+    G6/G7 read (no medians, so no quantile job)."""
+    _check(df, target, feature)
+    num_col, cat_col = (target, feature) if _is_num(df, target) else (feature, target)
+    g = B.grouped_stats(df, [cat_col], [num_col], stats=("count", "mean", "std"))
+    return g.select("category", "count", "mean", "std")
+
+
 def category_impact(df: DataFrame, target: str, feature: str, method: str = "auto") -> DataFrame:
     """Numeric target by a text feature — best and worst category by mean,
     their range against the mean within-category std, most/least stable
     category by |std/mean|, smallest group and the flags derived from them."""
-    g = target_by_category(df, target, feature, method).withColumnRenamed(feature, "category")
+    g = _class_moments(df, target, feature)
     cv = F.abs(F.try_divide(F.col("std"), F.col("mean")))
     s = g.agg(
         F.min_by("category", F.struct(-F.col("mean"), F.col("category"))).alias("best_category"),
@@ -137,7 +146,7 @@ def class_separation(df: DataFrame, target: str, feature: str, method: str = "au
     """Numeric feature by a text target — highest/lowest class mean and
     range; with two classes Cohen's d, its strength and the midpoint threshold;
     with more, high discrimination when the range exceeds twice the mean std."""
-    g = target_by_category(df, target, feature, method).withColumnRenamed(target, "category")
+    g = _class_moments(df, target, feature)
     s = g.agg(
         F.count(F.lit(1)).alias("classes"),
         F.min_by("category", F.struct(-F.col("mean"), F.col("category"))).alias("highest_class"),
