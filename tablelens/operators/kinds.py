@@ -165,6 +165,25 @@ def apply_conversions(df: DataFrame, decisions: dict[str, str]) -> DataFrame:
     return df.select(*out)
 
 
+def resolve_numeric_many(df: DataFrame, columns: Sequence[str], rule: str = "majority_non_null") -> dict:
+    """``resolve_numeric`` for several columns, deciding every text column in
+    ONE aggregation: column → (expression, is_numeric)."""
+    from tablelens.functions.stats import num
+    texts = [c for c in dict.fromkeys(columns) if isinstance(df.schema[c].dataType, T.StringType)]
+    rules = {r["column"]: r for r in coercion_rules(df, texts).collect()} if texts else {}
+    out = {}
+    for c in dict.fromkeys(columns):
+        dt = df.schema[c].dataType
+        if is_numeric_type(dt):
+            out[c] = (num(c, dt), True)
+        elif c in rules and rules[c][rule]:
+            src = without_sentinels(F.col(c)) if rule == "majority_rows" else F.col(c)
+            out[c] = (to_number(src), True)
+        else:
+            out[c] = (F.col(c), False)
+    return out
+
+
 def resolve_numeric(df: DataFrame, column: str, rule: str = "majority_non_null"):
     """(column expression, is_numeric) for one column under a value rule.
 

@@ -407,8 +407,8 @@ def bivariate(df: DataFrame, col1: str, col2: str, method: str = "auto") -> Data
     """Convert each side by the sentinel-aware majority rule, then run the
     numeric–numeric (Pearson, Spearman), text–text (chi-square) or mixed (group
     statistics + ANOVA) test. One result row with the fields of its type."""
-    e1, n1 = K.resolve_numeric(df, col1, "majority_rows")
-    e2, n2 = K.resolve_numeric(df, col2, "majority_rows")
+    kinds = K.resolve_numeric_many(df, [col1, col2], "majority_rows")  # one pass for both sides
+    (e1, n1), (e2, n2) = kinds[col1], kinds[col2]
     v = df.select(e1.alias(col1), e2.alias(col2)) if col1 != col2 else df.select(e1.alias(col1))
     if n1 and n2:
         p = pearson_test(v, col1, col2)
