@@ -237,11 +237,20 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, method: st
         a = {c: (a[c].asDict() if c in a else dict(empty)) for c in cols}
         keep = [c for c in cols if c not in texts or (a[c]["count"] or 0) > 0.5 * (a[c]["non_null_raw"] or 0)]
         present_counts = counts.where(present & F.col("column").isin(keep))
-        biggest = max([a[c]["unique"] for c in keep], default=0)
+        # plan per column: low-cardinality columns use weighted percentile,
+        # only the big ones pay for the range-partitioned plan
         if method == "auto":
-            method = "percentile" if biggest <= SMALL_LIMIT else "distributed"
-        qs = per_column(quantiles(present_counts, ["column"], "value", (0.25, 0.5, 0.75), method=method,
-                                  weight="n").collect()) if biggest else {}
+            small_cols = [c for c in keep if 0 < a[c]["unique"] <= SMALL_LIMIT]
+            big_cols = [c for c in keep if a[c]["unique"] > SMALL_LIMIT]
+        else:
+            small_cols, big_cols = ([c for c in keep if a[c]["unique"] > 0], []) if method != "distributed" \
+                else ([], [c for c in keep if a[c]["unique"] > 0])
+        qs = {}
+        for group, plan in ((small_cols, "percentile" if method == "auto" else method), (big_cols, "distributed")):
+            if group:
+                part = present_counts.where(F.col("column").isin(group))
+                qs.update(per_column(quantiles(part, ["column"], "value", (0.25, 0.5, 0.75), method=plan,
+                                               weight="n").collect()))
         lits = []
         for c in keep:
             cnt = a[c]["count"] or 0

@@ -117,3 +117,19 @@ def test_profile_large_path_written_table(spark, monkeypatch):
     for x, y in zip(a, b):
         assert x[0] == y[0] and [v for v in x[1:] if not isinstance(v, str)] == pytest.approx(
             [v for v in y[1:] if not isinstance(v, str)])
+
+
+def test_profile_mixed_plans_per_column(spark, monkeypatch):
+    """A limit between the columns' cardinalities mixes both plans in one call; same answer."""
+    import tablelens.operators.profile as prof
+    from tablelens.sources.tables import table
+    o = table(spark, "/root/testdata/sf0.001", "orders")
+    uniq = {r["column"]: r["unique_count"] for r in prof.numeric_summary(o).collect()}
+    a = sorted(tuple(r) for r in prof.numeric_summary(o).collect())
+    limit = sorted(uniq.values())[0]
+    assert limit < max(uniq.values())
+    monkeypatch.setattr(prof, "SMALL_LIMIT", limit)
+    b = sorted(tuple(r) for r in prof.numeric_summary(o).collect())
+    for x, y in zip(a, b):
+        assert x[0] == y[0] and [v for v in x[1:] if not isinstance(v, str)] == pytest.approx(
+            [v for v in y[1:] if not isinstance(v, str)])
