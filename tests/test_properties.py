@@ -1,5 +1,6 @@
 """Property-based checks (hypothesis) against direct numpy/pandas formulas."""
 import math
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -82,3 +83,45 @@ def test_anova_equals_direct_sums(spark, rows):
     assert got["f"] == pytest.approx(f, rel=1e-6)
     assert got["p_value"] == pytest.approx(f_sf(f, k - 1, n - k), rel=1e-6, abs=1e-12)
     assert not math.isnan(got["p_value"])
+
+
+num_rows = st.lists(st.tuples(st.one_of(st.none(), st.floats(-50, 50, allow_nan=False)),
+                              st.one_of(st.none(), st.floats(-50, 50, allow_nan=False)),
+                              st.one_of(st.none(), st.integers(-3, 3).map(float))), min_size=3, max_size=40)
+
+
+@SETTINGS
+@given(rows=num_rows)
+def test_correlation_plans_agree(spark, rows):
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    a = {(r["col_a"], r["col_b"]): (r["r"], r["n"]) for r in B.correlation_matrix(df, method="sums").collect()}
+    g = {(r["col_a"], r["col_b"]): (r["r"], r["n"]) for r in B.correlation_matrix(df, method="gram").collect()}
+    assert a.keys() == g.keys()
+    for k in a:
+        assert a[k][1] == g[k][1]
+        if a[k][0] is None or g[k][0] is None:
+            # undefined in one plan only when a side is (numerically) constant
+            assert (a[k][0] is None) == (g[k][0] is None) or a[k][1] < 3
+        else:
+            assert a[k][0] == pytest.approx(g[k][0], rel=1e-7, abs=1e-9)
+        pdf = pd.DataFrame(rows, columns=["a", "b", "c"]).astype(float)
+        with warnings.catch_warnings():  # degenerate random samples make numpy complain
+            warnings.simplefilter("ignore")
+            want = pdf[k[0]].corr(pdf[k[1]])
+        if a[k][0] is not None and not math.isnan(want):
+            assert a[k][0] == pytest.approx(want, rel=1e-7, abs=1e-9)
+
+
+@SETTINGS
+@given(vals=st.lists(st.one_of(st.none(), st.floats(-1e3, 1e3, allow_nan=False)), min_size=2, max_size=60))
+def test_histogram_counts_and_edges(spark, vals):
+    from tablelens.operators.chartdata import histogram
+    present = [v for v in vals if v is not None]
+    if len(present) < 2:
+        return
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    h = histogram(df, "x").orderBy("bin").collect()
+    assert sum(r["count"] for r in h) == len(present)
+    assert len(h) == min(50, max(10, int(math.sqrt(len(present)))))
+    assert h[0]["lower"] == pytest.approx(min(present)) and h[-1]["upper"] == pytest.approx(max(present))
+    assert all(x["upper"] == pytest.approx(y["lower"]) for x, y in zip(h, h[1:]))
