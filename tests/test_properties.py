@@ -125,3 +125,37 @@ def test_histogram_counts_and_edges(spark, vals):
     assert len(h) == min(50, max(10, int(math.sqrt(len(present)))))
     assert h[0]["lower"] == pytest.approx(min(present)) and h[-1]["upper"] == pytest.approx(max(present))
     assert all(x["upper"] == pytest.approx(y["lower"]) for x, y in zip(h, h[1:]))
+
+
+dirty_rows = st.lists(st.tuples(st.one_of(st.none(), st.sampled_from("xyz")),
+                                st.one_of(st.none(), st.integers(0, 5).map(float), st.just(1000.0))),
+                      min_size=4, max_size=30)
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=dirty_rows)
+def test_cleaning_properties(spark, rows):
+    """Fill → dedupe → cap, in that order: text has no nulls left, numbers none
+    unless the column was empty, the row count drops by exactly the audited
+    duplicates, and every value sits inside the fences. (Capping comes after
+    deduplication, so it may create new equal rows; that order is kept.)"""
+    from tablelens.operators.clean import clean
+    df = spark.createDataFrame(rows, "s string, x double")
+    res = clean(df)
+    got = res.table.collect()
+    assert all(r["s"] is not None for r in got)
+    if any(x is not None for _, x in rows):
+        assert all(r["x"] is not None for r in got)
+    removed = {(r["stage"]): r["n"] for r in res.audit.collect() if r["stage"] == "duplicates"}["duplicates"]
+    assert len(got) == len(rows) - removed
+    xs = [r["x"] for r in got if r["x"] is not None]
+    if xs:
+        filled = pd.Series([x for _, x in rows], dtype="float64")
+        filled = filled.fillna(filled.median())
+        texts = pd.Series([s_ for s_, _ in rows], dtype="object")
+        modes = texts.dropna().value_counts()
+        fill_s = sorted(modes[modes == modes.max()].index)[0] if len(modes) else "Unknown"
+        uniq = pd.DataFrame({"s": texts.fillna(fill_s), "x": filled}).drop_duplicates()
+        q1, q3 = uniq["x"].quantile(0.25), uniq["x"].quantile(0.75)
+        lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        assert all(lo - 1e-9 <= v <= hi + 1e-9 for v in xs)
