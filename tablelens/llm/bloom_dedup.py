@@ -114,7 +114,8 @@ def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.lit(True).alias("kept"), hexed)
     maybe = (marked.filter(FLAG).select("doc_id", SHA).repartition(F.col(SHA), F.col("doc_id"))
              .withColumn("__bd_rn", F.row_number().over(Window.partitionBy(SHA, "doc_id").orderBy("doc_id"))))
-    groups = maybe.groupBy(SHA).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = stored(maybe.groupBy(SHA).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")),
+                    "bloom-groups")   # written, so that the join below can split a group with very many rows
     grouped = maybe.join(groups, SHA).select(
         "doc_id", "keep_id", "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("__bd_rn") == 1)).alias("kept"), hexed)
