@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm import bloom_dedup, histogram_shards, license_rules, markov_secrets
+from tablelens.llm import bloom_dedup, histogram_shards, license_rules, markov_secrets, packing, simhash
 from tablelens.llm.common import read, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+#: place of the public tokenizers' files; ``public_tokenizers.path`` unless set
+TOKENIZERS: dict[str, str] = {}
+
+
+def tokenizer_path(name: str) -> str:
+    if name not in TOKENIZERS:
+        import public_tokenizers
+
+        return public_tokenizers.path(name)
+    return TOKENIZERS[name]
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
@@ -43,6 +55,19 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
                       *[F.concat_ws(",", c).alias(c) for c in ("sentence_ids", "licenses", "unmatched")])
 
 
+@register("op5_best_fit_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents packed into sequences of at most 2048 tokens by vector best-fit."""
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), packing.Capacity(tokens=2048))
+
+
+@register("op7_simhash_pigeonhole")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among documents: SimHash of 4-word shingles, links at 4 or fewer bits."""
+    out = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, distance=4)
+    return out.select("doc_id", simhash.hexed("fp").alias("fingerprint"), "component_id")
+
+
 @register("op8_markov_secrets")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: base rules, and tokens the Markov models call random."""
