@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm import bloom_dedup, histogram_shards, license_rules, markov_secrets, packing, simhash
+from tablelens.llm import bloom_dedup, cover_tree, fm_index, histogram_shards, license_rules, markov_secrets, packing, simhash
 from tablelens.llm.common import read, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+@register("op2_cover_tree_top_k", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.vec::DOUBLE[], c.vec::DOUBLE[]) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s)
+SELECT query_id, CAST(rn AS INTEGER) AS "rank", vec_id, score FROM r WHERE rn <= 5""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best by inner product for every 50th embedding, against all others."""
+    return cover_tree.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 @register("op3_license_rules", license_rules.oracle_sql())
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences named by the sentences of every document."""
@@ -61,6 +73,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), packing.Capacity(tokens=2048))
 
 
+@register("op6_fm_index_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents without the words of 20-word windows that also start earlier."""
+    return fm_index.remove_repeats(read(spark, sf_dir, "documents"), window=20, digest=True)
+
+
 @register("op7_simhash_pigeonhole")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies among documents: SimHash of 4-word shingles, links at 4 or fewer bits."""
