@@ -204,7 +204,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col:
     n = rows.count()
     blocks_n = max(1, -(-n // block_rows))
     blocks = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks_n)).cast("int"))
-    queries = rows.filter(is_query).withColumnRenamed("vec_id", "query_id")
+    queries = rows.filter(is_query).select(*[F.col(a).alias(b) for a, b in (("vec_id", "query_id"), ("vec", "vec"), ("dim", "dim"))])
     home = F.pmod(F.xxhash64("query_id"), F.lit(blocks_n)).cast("int")
     none = F.lit(float("-inf"))
     first = stored(_search(queries.select("query_id", "vec", "dim", home.alias("block"), none.alias("floor")), blocks, k), "top-first")
