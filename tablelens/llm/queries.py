@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm import bloom_dedup, cover_tree, fm_index, histogram_shards, license_rules, markov_secrets, packing, simhash
+from tablelens.llm import bloom_dedup, cover_tree, fm_index, histogram_shards, kneser_ney, license_rules, markov_secrets
+from tablelens.llm import packing, piece_trie, simhash
 from tablelens.llm.common import read, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +68,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
                       *[F.concat_ws(",", c).alias(c) for c in ("sentence_ids", "licenses", "unmatched")])
 
 
+@register("op4_piece_trie")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents encoded to SentencePiece ids and decoded again."""
+    return piece_trie.round_trip(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 @register("op5_best_fit_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents packed into sequences of at most 2048 tokens by vector best-fit."""
@@ -99,6 +106,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
                         m.spans_text(F.col("secret_spans")).alias("spans"))
 
 
+@register("op9_kneser_ney_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under its language's model, and whether it is kept."""
+    out = kneser_ney.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "lang", "n_chars", F.round("perplexity", 5).alias("perplexity"),
+                      F.round("threshold", 5).alias("threshold"), "kept")
+
+
 @register("op10_bloom_dedup", """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
