@@ -71,14 +71,16 @@ def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
 
 
 def fingerprints(df: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) for every row."""
+    """(doc_id, th, fp) for every row; ``th`` is a hash of the text."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = [fingerprint(t, shingle) for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            fp = [fingerprint(t, shingle) for t in b.column(2).to_pylist()]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fp, pa.int64())], names=["doc_id", "th", "fp"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(make, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(
+        make, "doc_id long, th long, fp long")
 
 
 def _unsigned(column: pa.Array) -> np.ndarray:
@@ -282,7 +284,8 @@ def near_links(classes: DataFrame, distance: int) -> DataFrame:
 
 def near_duplicates(df: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, fp, component_id`` (the smallest id reachable)."""
+    """One row per input row: ``doc_id, th, fp, root, component_id`` (the smallest
+    id reachable; ``root`` is the component's smallest fingerprint)."""
     rows = stored(fingerprints(df, shingle, id_col, text_col), "simhash")
     classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     roots = components(near_links(classes, distance), "a", "b")
@@ -290,8 +293,19 @@ def near_duplicates(df: DataFrame, shingle: int = 4, distance: int = 4, id_col:
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = stored(rooted, "simhash-roots")
     least = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
-    names = rooted.join(least, "root").select(F.col("fp").alias("__sh_fp"), "component_id")
-    return rows.join(names, rows["fp"] == names["__sh_fp"]).select("doc_id", "fp", "component_id")
+    names = rooted.join(least, "root").select(F.col("fp").alias("__sh_fp"), "root", "component_id")
+    return rows.join(names, rows["fp"] == names["__sh_fp"]).select("doc_id", "th", "fp", "root", "component_id")
+
+
+def keep_one(df: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row with the smallest id of every component (null ids come last),
+    with the columns of ``df``."""
+    first = near_duplicates(df, shingle, distance, id_col, text_col).groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("w"))
+    first = first.select(F.col("w.doc_id").alias("__sh_id"), F.col("w.th").alias("__sh_w"))
+    marked = df.withColumn("__sh_th", F.xxhash64(F.col(text_col).cast("string")))
+    on = F.col(id_col).cast("long").eqNullSafe(F.col("__sh_id")) & (F.col("__sh_th") == F.col("__sh_w"))
+    return marked.join(first, on).dropDuplicates([id_col, "__sh_th"]).select(*df.columns)
 
 
 def hexed(fp: str = "fp"):
