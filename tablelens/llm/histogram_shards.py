@@ -119,7 +119,8 @@ def _at_or_above(splitters: list[tuple[int, int | None]], lo: int, hi: int) -> C
 def histogram_shards(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text",
                      payload: list[Column] | None = None) -> DataFrame:
     """``df`` (or only the ``payload`` columns of it) with ``shard`` (int) and
-    ``slot`` (long, gapless from 0 within the shard)."""
+    ``slot`` (long, gapless from 0 within the shard); columns of ``df`` with
+    these two names are replaced."""
     keyed, total = shard_keys(df, id_col, text_col, shards, payload)
     size = total / shards
     found = find_splitters(keyed, K, W, [size * i for i in range(1, shards)], max(1.0, size * TOLERANCE))
@@ -133,5 +134,5 @@ def histogram_shards(df: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
         else:  # one group holds the boundary: count inside it, by id
             inside = find_splitters(keyed.filter(F.col(K) == F.lit(s)), ID, W, [target - below], max(1.0, size * TOLERANCE))
             splitters.append((s, inside[0][0]))
-    cut = keyed.withColumn("shard", _at_or_above(splitters, 0, len(splitters)).cast("int"))
+    cut = keyed.drop("slot").withColumn("shard", _at_or_above(splitters, 0, len(splitters)).cast("int"))
     return ranked(cut, ["shard"], [K, ID], "slot", "shard-slots").drop(K, W, ID)
