@@ -174,7 +174,7 @@ def parallel_coordinates(df: DataFrame, cols: Sequence[str] | None = None, fract
     def scale(c):
         lo, hi = s[f"{c}__min"], s[f"{c}__max"]
         if lo is None or hi == lo:
-            return F.lit(0.0)
+            return F.when(F.col(c).isNotNull(), F.lit(0.0))
         return (F.col(c) - F.lit(lo)) / F.lit(hi - lo)
 
     return view.select(*[scale(c).alias(c) for c in cols])

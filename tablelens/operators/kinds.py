@@ -25,7 +25,9 @@ from tablelens.operators import texts as X
 # Date formats tried when a text column is tested as dates.
 DATE_FORMATS = [
     "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd",
-    "MM/dd/yyyy", "dd-MM-yyyy", "MM-dd-yyyy", "yyyyMMdd",
+    "MM/dd/yyyy", "MM-dd-yyyy", "dd-MM-yyyy", "dd/MM/yyyy", "yyyyMMdd",
+    "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "MM-dd-yyyy HH:mm:ss",
+    "dd.MM.yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy",
 ]
 
 
@@ -66,7 +68,10 @@ def dtype_summary(df: DataFrame) -> DataFrame:
 
 # a text can only be one of the dates above if it has this shape; testing it
 # first spares the (costly) failing parses on ordinary text
-DATE_SHAPE = r"^\s*(\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{4}|\d{8})([ T]\d{2}:\d{2}:\d{2})?\s*$"
+DATE_SHAPE = (r"^\s*(\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4}|\d{8}|\d{1,2} \p{L}{3,9} \d{4}|\p{L}{3,9} \d{1,2}, \d{4})"
+              r"([ T]\d{2}:\d{2}(:\d{2})?)?\s*$")
+# ISO 8601 with any of minutes, seconds, a fraction and a zone: Spark's own cast reads it
+ISO_SHAPE = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?)?\s*$"
 
 
 def _stack(df: DataFrame, cols: Sequence[str], exprs) -> DataFrame:
@@ -146,9 +151,10 @@ def coercion_rules(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
 
 
 def to_datetime(c: str):
-    """Text → timestamp by the first of ``DATE_FORMATS`` that parses the whole value."""
+    """Text → timestamp: ISO 8601 in full, else the first of ``DATE_FORMATS``
+    (month first where both readings are dates) that parses the whole value."""
     col = F.col(c)
-    return F.when(col.rlike(DATE_SHAPE), F.coalesce(*[F.try_to_timestamp(col, F.lit(f)) for f in DATE_FORMATS]))
+    return F.when(col.rlike(ISO_SHAPE), F.trim(col).try_cast("timestamp")).when(col.rlike(DATE_SHAPE), F.coalesce(*[F.try_to_timestamp(col, F.lit(f)) for f in DATE_FORMATS]))
 
 
 def apply_conversions(df: DataFrame, decisions: dict[str, str]) -> DataFrame:

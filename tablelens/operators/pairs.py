@@ -6,8 +6,7 @@
   the rows are first collapsed to distinct ``(a, b)`` pairs with a weight, so a
   hot value is one row, and the ranks join onto that small table.
 * Contingency tables are long ``(a, b, n)``; the chi-square statistic needs only
-  the observed cells and the margins. Zero cells are listed only on request and
-  only when the dense table is below a size bound that is checked first.
+  the observed cells and the margins. Zero cells are listed only on request.
 * Tail probabilities are computed on the result rows (one per test).
 """
 
@@ -25,10 +24,8 @@ from tablelens.functions.quantiles import average_ranks, quantiles
 from tablelens.functions.stats import num, pearson
 from tablelens.operators import kinds as K
 
-#: largest dense contingency table (cells) we enumerate to list zero cells
-DENSE_LIMIT = 1_000_000
-#: most column values of a dense table (Spark's pivot limit, as for its crosstab)
-PIVOT_LIMIT = 10_000
+#: column values per literal array when a dense contingency table is listed
+DENSE_STEP = 10_000
 #: most column pairs computed as one built-in aggregation (beyond: matrix products per task)
 PAIRS_PER_AGG = 1_000
 
@@ -250,41 +247,39 @@ def spearman_test(df: DataFrame, a: str, b: str, method: str = "auto") -> DataFr
 
 def contingency(df: DataFrame, a: str, b: str, zeros: bool = False) -> DataFrame:
     """(a, b, n) over rows where both are present. ``zeros=True`` adds
-    the empty cells of the dense table (after checking it has at most
-    ``DENSE_LIMIT`` cells)."""
+    the empty cells: the result is then the whole dense table, as asked."""
     pair = df.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).where(
         F.col("a").isNotNull() & F.col("b").isNotNull())
     cells = pair.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     if not zeros:
         return cells.select(F.col("a").alias(a), F.col("b").alias(b), "n")
-    size = cells.agg(F.count_distinct("a").alias("r"), F.count_distinct("b").alias("c")).first()
-    if size["r"] * size["c"] > DENSE_LIMIT or size["c"] > PIVOT_LIMIT:
-        raise ValueError(f"dense table of {size['r']} × {size['c']} is too large (cells > {DENSE_LIMIT} "
-                         f"or columns > {PIVOT_LIMIT}); use zeros=False")
-    # the crosstab: one row per a-value, one column per b-value (the b-values,
-    # at most DENSE_LIMIT / r of them, are fetched), empty cells 0, back to long
-    bvals = [r["b"] for r in cells.select("b").distinct().orderBy("b").collect()]
+    # every a-value meets every b-value, DENSE_STEP b-values at a time; the
+    # values stay data (never column names), so any text is allowed
+    bvals = [r["b"] for r in cells.select("b").distinct().orderBy("b").toLocalIterator()]
     if not bvals:
         return cells.select(F.col("a").alias(a), F.col("b").alias(b), "n")
-    wide = cells.groupBy("a").pivot("b", bvals).agg(F.first("n")).na.fill(0)
-    names = [c for c in wide.columns if c != "a"]
-    pairs_ = [F.struct(F.lit(v).alias("b"), F.col(f"`{c}`").cast("long").alias("n")) for v, c in zip(bvals, names)]
-    dense = wide.select("a", F.inline(F.array(*pairs_)))
-    return dense.select(F.col("a").alias(a), F.col("b").alias(b), "n")
+    avals = cells.select(F.col("a").alias("_a")).distinct()
+    grid = None
+    for k in range(0, len(bvals), DENSE_STEP):
+        part = avals.select("_a", F.explode(F.lit(bvals[k:k + DENSE_STEP])).alias("_b"))
+        grid = part if grid is None else grid.unionByName(part)
+    dense = grid.join(cells, (F.col("_a") == F.col("a")) & (F.col("_b") == F.col("b")), "left")
+    return dense.select(F.col("_a").alias(a), F.col("_b").alias(b), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def chi_square_stats(cells: DataFrame) -> dict:
     """B5 on a long contingency table ``(a, b, n)`` of observed (non-zero) cells:
     n, dof, chi2 and p, with Yates' continuity correction when dof = 1.
 
-    chi2 = N · (Σ o² / (r_i · c_j) − 1) needs only observed cells and margins;
+    chi2 = Σ (o − e)² / e over the observed cells, plus the expected counts of
+    the empty ones (N − Σ e); it needs only observed cells and margins;
     the 2×2 case lists its four cells (zeros included) from the margins."""
     cells = cells.persist()
     try:
         ra = cells.groupBy("a").agg(F.sum("n").alias("ra"))
         cb = cells.groupBy("b").agg(F.sum("n").alias("cb"))
         tot = cells.agg(F.sum("n").alias("nn"), F.count_distinct("a").alias("r"),
-                        F.count_distinct("b").alias("c")).first()
+                        F.count_distinct("b").alias("c"), F.count(F.lit(1)).alias("cells")).first()
         total, r, c = int(tot["nn"] or 0), int(tot["r"]), int(tot["c"])
         dof = (r - 1) * (c - 1)
         if total == 0:
@@ -302,9 +297,14 @@ def chi_square_stats(cells: DataFrame) -> dict:
                     d = abs(obs.get((ka, kb), 0) - e)
                     chi2 += (d - min(0.5, d)) ** 2 / e
         else:
-            s = cells.join(ra, "a").join(cb, "b").agg(
-                F.sum(F.col("n") * F.col("n") / (F.col("ra") * F.col("cb"))).alias("s")).first()["s"]
-            chi2 = max(total * s - total, 0.0)
+            # doubles (bigint products overflow), and no cancellation: the
+            # observed cells' (o - e)^2 / e, plus what the empty cells expect
+            e = F.col("ra").cast("double") * F.col("cb").cast("double") / F.lit(float(total))
+            s = cells.join(ra, "a").join(cb, "b").select("n", e.alias("e")).agg(
+                F.sum((F.col("n") - F.col("e")) * (F.col("n") - F.col("e")) / F.col("e")).alias("s"),
+                F.sum("e").alias("e")).first()
+            full = int(tot["cells"]) == r * c
+            chi2 = s["s"] + (0.0 if full else max(total - s["e"], 0.0))
     finally:
         cells.unpersist()
     return {"n": total, "dof": dof, "chi2": chi2, "p_value": _nan_none(special.chi2_sf(chi2, dof))}

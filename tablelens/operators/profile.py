@@ -276,13 +276,13 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, method: st
         cnt, total = int(r["count"] or 0), int(r["rows"] or 0)
         std = skew = kurt = None
         if m is not None and cnt >= 2:
-            std = math.sqrt(max(m["m2"], 0.0) / (cnt - 1))
+            std = 0.0 if r["min"] == r["max"] else math.sqrt(max(m["m2"], 0.0) / (cnt - 1))
         if m is not None and cnt >= 3:
             m2, m3 = m["m2"] / cnt, m["m3"] / cnt
-            skew = 0.0 if m2 <= 0 else math.sqrt(cnt * (cnt - 1)) / (cnt - 2) * m3 / m2 ** 1.5
+            skew = 0.0 if m2 <= 0 or r["min"] == r["max"] else math.sqrt(cnt * (cnt - 1)) / (cnt - 2) * m3 / m2 ** 1.5
         if m is not None and cnt >= 4:
             m2, m4 = m["m2"] / cnt, m["m4"] / cnt
-            kurt = 0.0 if m2 <= 0 else (cnt - 1) / ((cnt - 2) * (cnt - 3)) * ((cnt + 1) * (m4 / (m2 * m2) - 3) + 6)
+            kurt = 0.0 if m2 <= 0 or r["min"] == r["max"] else (cnt - 1) / ((cnt - 2) * (cnt - 3)) * ((cnt + 1) * (m4 / (m2 * m2) - 3) + 6)
         missing = total - cnt
         rows.append((c, cnt, mean, q2, std, r["min"], r["max"], q1, q3, skew, kurt, missing,
                      missing * 100.0 / total if total else None,
@@ -388,7 +388,7 @@ def univariate(df: DataFrame, column: str, method: str = "auto") -> DataFrame:
 
 def dataset_stats(df: DataFrame) -> dict[str, DataFrame]:
     """P10: the bundle — info, missing per column, top 3 per text column,
-    correlation pairs. Lazy DataFrames; nothing is computed here."""
+    correlation pairs (building it runs the small statistics jobs of its parts)."""
     from tablelens.operators.pairs import correlation_matrix
     return {
         "info": dataset_info(df),

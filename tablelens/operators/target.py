@@ -153,10 +153,10 @@ def class_separation(df: DataFrame, target: str, feature: str, method: str = "au
         F.max("mean").alias("highest_mean"),
         F.min_by("category", F.struct(F.col("mean"), F.col("category"))).alias("lowest_class"),
         F.min("mean").alias("lowest_mean"), F.avg("std").alias("mean_std"),
-        F.sort_array(F.collect_list(F.struct("category", "mean", "std"))).alias("_two"))
+        F.min(F.struct("category", "mean", "std")).alias("_first"), F.max(F.struct("category", "mean", "std")).alias("_last"))
     two = F.col("classes") == 2
-    m1, m2 = F.col("_two")[0]["mean"], F.col("_two")[1]["mean"]
-    s1, s2 = F.col("_two")[0]["std"], F.col("_two")[1]["std"]
+    m1, m2 = F.col("_first")["mean"], F.col("_last")["mean"]
+    s1, s2 = F.col("_first")["std"], F.col("_last")["std"]
     d = F.try_divide(F.abs(m1 - m2), F.sqrt((s1 * s1 + s2 * s2) / 2))
     rng = F.col("highest_mean") - F.col("lowest_mean")
     return s.select(
@@ -172,32 +172,43 @@ def class_separation(df: DataFrame, target: str, feature: str, method: str = "au
 
 def association_residuals(df: DataFrame, target: str, feature: str) -> DataFrame:
     """Chi-square test of a text feature against a text target, plus the
-    extreme standardised residuals over ALL cells of the dense table (zero
-    cells included; its size is checked first), the smallest cell count and
-    the reading of both."""
-    cells = B.contingency(df, feature, target, zeros=True).select(
+    extreme standardised residuals over ALL cells of the dense table (empty
+    cells from the margins; the dense table is never built), the smallest cell
+    count and the reading of both."""
+    cells = B.contingency(df, feature, target).select(
         F.col(feature).alias("a"), F.col(target).alias("b"), "n").persist()
     try:
-        st = B.chi_square_stats(cells.where(F.col("n") > 0))
-        ra = cells.groupBy("a").agg(F.sum("n").alias("ra"))
-        cb = cells.groupBy("b").agg(F.sum("n").alias("cb"))
-        total = float(st["n"] or 0)
-        e = F.col("ra") * F.col("cb") / F.lit(total)
-        full = cells.join(ra, "a").join(cb, "b").select("n", e.alias("e"))
+        st = B.chi_square_stats(cells)
+        ra = cells.groupBy("a").agg(F.sum("n").cast("double").alias("ra"), F.count(F.lit(1)).alias("seen"))
+        by_size = Window.orderBy(F.desc("cb"), "b")     # over the classes, not the rows
+        cb = cells.groupBy("b").agg(F.sum("n").cast("double").alias("cb")).withColumn("rank", F.row_number().over(by_size))
+        total = float(st["n"] or 0) or 1.0
+        full = cells.join(ra, "a").join(cb, "b").withColumn("e", F.col("ra") * F.col("cb") / F.lit(total))
         # the residual as first defined on proportions, and the plain Pearson residual
         prop = (F.col("n") / total - F.col("e") / total) / F.sqrt(F.col("e") / total)
         plain = (F.col("n") - F.col("e")) / F.sqrt(F.col("e"))
-        res = full.agg(F.min(prop).alias("mn"), F.max(prop).alias("mx"), F.max(plain).alias("mp"),
-                       F.min("n").alias("mc")).first()
+        res = full.agg(F.min(prop).alias("mn"), F.max(prop).alias("mx"), F.max(plain).alias("mp"), F.min("n").alias("mc"),
+                       F.count(F.lit(1)).alias("cells"), F.count_distinct("a").alias("r"), F.count_distinct("b").alias("c")).first()
+        low, least = res["mn"], res["mc"]
+        if res["cells"] < res["r"] * res["c"]:
+            # an empty cell's residual is -sqrt(e / N): the lowest belongs to the
+            # largest margin product among empty cells, that is, in each row, to
+            # the largest class the row has not (its first missing rank)
+            place = F.row_number().over(Window.partitionBy("a").orderBy("rank"))
+            first = (full.withColumn("place", place).groupBy("a", "ra", "seen")
+                     .agg(F.min(F.when(F.col("place") != F.col("rank"), F.col("place"))).alias("gap"))
+                     .select("ra", F.coalesce("gap", F.col("seen") + 1).cast("int").alias("rank")))
+            top = first.join(cb, "rank").agg(F.max(F.col("ra") * F.col("cb")).alias("e")).first()["e"]
+            low, least = min(low, -((top / total / total) ** 0.5)), 0
     finally:
         cells.unpersist()
     p = st["p_value"]
     assoc = None if p is None else "very strong" if p < 0.001 else "strong" if p < 0.05 else "weak"
     mx = res["mx"]
     pattern = None if mx is None else "strong" if abs(mx) > 2 else "moderate" if abs(mx) > 1 else "weak"
-    mc = int(res["mc"]) if res["mc"] is not None else None
+    mc = int(least) if least is not None else None
     return df.sparkSession.createDataFrame(
-        [(target, feature, st["chi2"], p, st["dof"], assoc, res["mn"], mx, res["mp"], pattern, mc,
+        [(target, feature, st["chi2"], p, st["dof"], assoc, low, mx, res["mp"], pattern, mc,
           None if mc is None else mc < 5)],
         "target string, feature string, chi2 double, p_value double, dof long, association string, "
         "min_residual double, max_residual double, max_pearson_residual double, pattern string, "

@@ -47,18 +47,26 @@ def _decide(df: DataFrame) -> dict[str, str]:
     return out
 
 
-def read_table(spark: SparkSession, path: str, sep: str = ",", null_tokens=CSV_NULL_TOKENS) -> DataFrame:
-    """CSV with a header → typed DataFrame. Raises ``ValueError`` when the
-    file cannot be read."""
+def read_table(spark: SparkSession, path: str, sep: str = ",", null_tokens=CSV_NULL_TOKENS,
+               multi_line: bool = False) -> DataFrame:
+    """CSV with a header → typed DataFrame; a doubled quote inside a quoted
+    field is one quote. ``multi_line`` also allows quoted line breaks; each
+    file is then read by one task, so a large source must be many files.
+    Raises ``ValueError`` when the file cannot be read."""
     try:
         raw = spark.read.option("header", True).option("sep", sep).option("inferSchema", False) \
-            .option("multiLine", False).csv(path)
+            .option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(path)
         cols = raw.columns
     except Exception as e:  # surfaced as the reference does
         raise ValueError(f"Error reading CSV: {e}") from e
     # a dot in a name means struct access to Spark; header names keep their
     # text otherwise
-    names = [c.replace(".", "_") for c in cols]
+    names: list[str] = []
+    for c in cols:
+        name = c.replace(".", "_")
+        while name in names or (name != c and name in cols):   # "a.b" beside "a_b"
+            name += "_"
+        names.append(name)
     text = raw.select(*[F.when(~F.col(f"`{c}`").isin(list(null_tokens)), F.col(f"`{c}`")).alias(n)
                         for c, n in zip(cols, names)])
     cols = names
