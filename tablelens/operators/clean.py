@@ -10,8 +10,10 @@
   unchanged by it); the audit lists the columns where values moved.
 * Type conversion changes the schema, so its decision is the one small result
   fetched to the driver (one row per text column).
-* Numeric columns come out as double (NaN → null), the type every statistic
-  downstream uses.
+* Columns keep their type through filling and dedupe, so no two different rows
+  become equal; the capping stage then turns numbers into doubles (NaN → null).
+  Booleans are neither filled nor capped. Null dates and timestamps take the
+  column's median (of a sketch).
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablelens.functions.frames import materialize, numeric_long, per_column
 from tablelens.functions.quantiles import quantiles
@@ -42,7 +45,7 @@ def fill_values(df: DataFrame) -> DataFrame:
     smallest value; no value → 'Unknown'), median for numeric columns."""
     spark = df.sparkSession
     texts = K.categorical_columns(df)
-    nums = K.numeric_columns(df)
+    nums = _numbers(df)
     parts = []
     if texts:
         vc = value_counts(df, texts)
@@ -113,18 +116,41 @@ def _lit(v, t="double"):
     return F.lit(v).cast(t)
 
 
+def _numbers(df: DataFrame) -> list[str]:
+    """Number columns that are not booleans (which no stage alters)."""
+    return [c for c in K.numeric_columns(df) if not isinstance(df.schema[c].dataType, T.BooleanType)]
+
+
+def _filled(c: str, dt: T.DataType, value):
+    """A column with its nulls filled in its own type: whole numbers stay exact
+    (their median has at most one decimal place, which a decimal holds), so
+    rows that differ stay different for the dedupe that follows."""
+    if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.coalesce(F.col(c), F.lit(value).cast(dt))
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return F.coalesce(num(c, dt), _lit(value))
+    if value is None:
+        return F.col(c)
+    if isinstance(dt, T.DecimalType):
+        wide = T.DecimalType(min(38, dt.precision + 4), min(dt.scale + 2, 37))
+        return F.coalesce(F.col(c).cast(wide), F.lit(str(value)).cast(wide))
+    if float(value).is_integer():
+        return F.coalesce(F.col(c), F.lit(int(value)).cast(dt))
+    return F.coalesce(F.col(c).cast("decimal(20,1)"), F.lit(str(value)).cast("decimal(20,1)"))
+
+
 def fill_missing(df: DataFrame, fills: dict | None = None) -> DataFrame:
     """C1 + C2: one projection with the fill values as literals (``fills`` maps
     column → row of :func:`fill_values`; computed when not given)."""
     fills = fills if fills is not None else per_column(fill_values(df).collect())
-    texts, nums = set(K.categorical_columns(df)), set(K.numeric_columns(df))
+    texts = set(K.categorical_columns(df))
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = []
     for c in df.columns:
         if c in texts:
             cols.append(F.coalesce(F.col(c), _lit(fills[c]["fill_text"], "string")).alias(c))
-        elif c in nums:
-            cols.append(F.coalesce(num(c, types[c]), _lit(fills[c]["fill"])).alias(c))
+        elif c in fills:
+            cols.append(_filled(c, types[c], fills[c]["fill"]).alias(c))
         else:
             cols.append(F.col(c))
     return df.select(*cols)
@@ -133,7 +159,7 @@ def fill_missing(df: DataFrame, fills: dict | None = None) -> DataFrame:
 def cap_outliers(df: DataFrame, bounds: dict | None = None, k: float = 1.5) -> tuple[DataFrame, DataFrame]:
     """C4: clip every numeric column to its Tukey fences (literals from one
     quartile pass); also returns (column, capped) counted before clipping."""
-    nums = K.numeric_columns(df)
+    nums = _numbers(df)
     if not nums:
         return df, df.sparkSession.createDataFrame([], "column string, capped long")
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -167,6 +193,25 @@ def conversions(df: DataFrame) -> dict[str, str]:
     return {r["column"]: r["conversion"] for r in K.coercion_rules(df, texts).collect()}
 
 
+def _clock(c: str, dt: T.DataType):
+    """A date as days, a timestamp as microseconds (of its own wall clock or of UTC)."""
+    if isinstance(dt, T.DateType):
+        return F.unix_date(F.col(c)).cast("long")
+    return F.unix_micros(F.col(c) if isinstance(dt, T.TimestampType) else F.to_utc_timestamp(F.col(c).cast("timestamp"), F.lit("UTC")))
+
+
+def _moment(value, dt: T.DataType):
+    """The text of a day number or of microseconds, castable back to the column's type."""
+    import datetime as d
+
+    if value is None:
+        return None
+    if isinstance(dt, T.DateType):
+        return str(d.date(1970, 1, 1) + d.timedelta(days=value))
+    at = str(d.datetime(1970, 1, 1) + d.timedelta(microseconds=value))
+    return at + "+00:00" if isinstance(dt, T.TimestampType) else at
+
+
 def _fill_stats(df: DataFrame) -> tuple[dict, dict, int]:
     """Fill values, missing counts and the row count in as few passes as the
     size allows: one value-count shuffle for the text modes, and one
@@ -174,7 +219,8 @@ def _fill_stats(df: DataFrame) -> tuple[dict, dict, int]:
     table is too small to hold a group of more than ``SMALL_LIMIT`` values;
     otherwise medians come from the distributed quantile helper)."""
     from tablelens.functions.quantiles import SMALL_LIMIT
-    texts, nums = K.categorical_columns(df), K.numeric_columns(df)
+    texts, nums = K.categorical_columns(df), _numbers(df)
+    dates = K.datetime_columns(df)
     types = {f.name: f.dataType for f in df.schema.fields}
     rows = df.count()
     small = rows <= SMALL_LIMIT
@@ -184,6 +230,8 @@ def _fill_stats(df: DataFrame) -> tuple[dict, dict, int]:
         exprs.append((F.count(F.lit(1)) - F.count(v)).alias(f"miss{k}"))
         if small and c in nums:
             exprs.append(F.percentile(v, F.lit(0.5)).alias(f"med{k}"))
+        if c in dates:   # a date column's median by a sketch of its days or microseconds
+            exprs.append(F.percentile_approx(_clock(c, types[c]), 0.5, 100_000).alias(f"med{k}"))
     one = df.agg(*exprs).first()
     missing = {c: int(one[f"miss{k}"]) for k, c in enumerate(df.columns)}
     fills: dict[str, dict] = {}
@@ -197,6 +245,11 @@ def _fill_stats(df: DataFrame) -> tuple[dict, dict, int]:
             m = meds.get(c)
             fills[c] = {"kind": "numeric", "fill": m, "fill_text": None,
                         "detail": X.FILL_MEDIAN.format(value=m if m is not None else float("nan"))}
+    for k, c in enumerate(df.columns):
+        if c in dates:
+            m = _moment(one[f"med{k}"], types[c])
+            fills[c] = {"kind": "datetime", "fill": m, "fill_text": None,
+                        "detail": X.FILL_MEDIAN.replace("{value:.2f}", str(m) if m is not None else "nan")}
     if texts:
         vc = value_counts(df, texts)
         w = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
@@ -237,7 +290,7 @@ def clean(df: DataFrame, fill: bool = True, dedupe: bool = True, cap: bool = Tru
         if materialize_dedupe:
             out = materialize(out, "deduped")
         audit_rows.append(("duplicates", None, X.DUPLICATES_REMOVED, before - out.count()))
-    nums, texts = K.numeric_columns(out), K.categorical_columns(out)
+    nums, texts = _numbers(out), K.categorical_columns(out)
     types = {f.name: f.dataType for f in out.schema.fields}
     bounds = {}
     if cap and nums:

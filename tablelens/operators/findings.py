@@ -27,6 +27,16 @@ def _rows(spark, topic: str, lines: list[str]) -> DataFrame:
     return spark.createDataFrame([(i + 1, topic, s) for i, s in enumerate(lines)], SCHEMA)
 
 
+def _nan(x) -> float:
+    """Undefined statistics are printed as nan."""
+    return float("nan") if x is None else x
+
+
+def _known_target(df: DataFrame, target: str | None) -> None:
+    if target and target not in df.columns:
+        raise ValueError(f"Target column '{target}' not found")
+
+
 def _side(x: float) -> str:
     return "right" if x > 0 else "left"
 
@@ -42,7 +52,7 @@ def distribution_findings(df: DataFrame, column: str) -> DataFrame:
     if K.kind_of(df.schema[column].dataType) == "numeric":
         u = P.univariate_numeric(df, [column], rule=None).first()
         rows = u["count"] + u["missing_count"]
-        lines.append(X.N1_MEAN_STD.format(mean=u["mean"], std=u["std"]))
+        lines.append(X.N1_MEAN_STD.format(mean=_nan(u["mean"]), std=_nan(u["std"])))
         sk, ku = u["skewness"], u["kurtosis"]
         if sk is not None and abs(sk) > 1:
             lines.append(X.N1_SKEWED.format(side=_side(sk), skew=sk))
@@ -99,14 +109,14 @@ def bivariate_findings(df: DataFrame, col1: str, col2: str) -> DataFrame:
     lines = [X.N3_HEAD.format(a=col1, b=col2)]
     t = r["type"]
     if t == "numeric_numeric":
-        pr, p = r["pearson_r"], r["pearson_p"]
+        pr, p = _nan(r["pearson_r"]), _nan(r["pearson_p"])
         lines += [X.N3_PEARSON.format(r=pr), X.N3_STRENGTH.format(strength=r["correlation_strength"]),
                   X.N3_P.format(p=p), X.N3_REL_SIG if p < 0.05 else X.N3_REL_NOT]
         lines.append(X.N3_LINEAR_STRONG if abs(pr) > 0.7 else X.N3_LINEAR_MODERATE if abs(pr) > 0.3
                      else X.N3_LINEAR_WEAK)
     elif t == "categorical_categorical":
-        p = r["p_value"]
-        lines += [X.N3_CHI2.format(chi2=r["chi2"]), X.N3_ASSOCIATION.format(strength=r["association_strength"]),
+        p = _nan(r["p_value"])
+        lines += [X.N3_CHI2.format(chi2=_nan(r["chi2"])), X.N3_ASSOCIATION.format(strength=r["association_strength"]),
                   X.N3_P.format(p=p), X.N3_ASSOC_SIG if p < 0.05 else X.N3_ASSOC_NOT]
     else:
         f, p = r["anova_f"], r["anova_p"]
@@ -125,10 +135,10 @@ def target_findings(df: DataFrame, target: str, feature: str) -> DataFrame:
     if kind == "numeric_target_categorical_feature":
         r = G.category_impact(df, target, feature).first()
         lines += [X.N4_NC_P1, X.N4_NC_IMPACT.format(feature=feature, target=target),
-                  X.N4_NC_BEST.format(category=r["best_category"], mean=r["best_mean"]),
-                  X.N4_NC_WORST.format(category=r["worst_category"], mean=r["worst_mean"]),
-                  X.N4_NC_RANGE.format(range=r["impact_range"]),
-                  X.N4_NC_HIGH.format(std=r["mean_std"]) if r["impact"] == "high" else X.N4_NC_MODERATE,
+                  X.N4_NC_BEST.format(category=r["best_category"], mean=_nan(r["best_mean"])),
+                  X.N4_NC_WORST.format(category=r["worst_category"], mean=_nan(r["worst_mean"])),
+                  X.N4_NC_RANGE.format(range=_nan(r["impact_range"])),
+                  X.N4_NC_HIGH.format(std=_nan(r["mean_std"])) if r["impact"] == "high" else X.N4_NC_MODERATE,
                   X.N4_NC_P2, X.N4_NC_STABLE.format(category=r["most_stable"]),
                   X.N4_NC_UNSTABLE.format(category=r["least_stable"]),
                   (X.N4_NC_SMALL if r["small_sample"] else X.N4_NC_GOOD).format(n=r["min_count"])]
@@ -140,30 +150,30 @@ def target_findings(df: DataFrame, target: str, feature: str) -> DataFrame:
     elif kind == "categorical_target_numeric_feature":
         r = G.class_separation(df, target, feature).first()
         lines += [X.N4_CN_P1, X.N4_CN_VARIES.format(feature=feature, target=target),
-                  X.N4_CN_HIGHEST.format(category=r["highest_class"], mean=r["highest_mean"]),
-                  X.N4_CN_LOWEST.format(category=r["lowest_class"], mean=r["lowest_mean"]),
-                  X.N4_CN_RANGE.format(range=r["feature_range"]), X.N4_CN_P2]
+                  X.N4_CN_HIGHEST.format(category=r["highest_class"], mean=_nan(r["highest_mean"])),
+                  X.N4_CN_LOWEST.format(category=r["lowest_class"], mean=_nan(r["lowest_mean"])),
+                  X.N4_CN_RANGE.format(range=_nan(r["feature_range"])), X.N4_CN_P2]
         if r["classes"] == 2:
-            lines.append(X.N4_CN_D.format(d=r["cohens_d"]))
+            lines.append(X.N4_CN_D.format(d=_nan(r["cohens_d"])))
             lines.append({"strong": X.N4_CN_STRONG, "moderate": X.N4_CN_MODERATE,
-                          "weak": X.N4_CN_WEAK}[r["separation"]])
-            lines.append(X.N4_CN_THRESHOLD.format(t=r["threshold"]))
+                          "weak": X.N4_CN_WEAK}[r["separation"] or "weak"])
+            lines.append(X.N4_CN_THRESHOLD.format(t=_nan(r["threshold"])))
         else:
-            lines += [X.N4_CN_MULTI.format(n=r["classes"]), X.N4_CN_DISCRIMINATION.format(range=r["feature_range"]),
+            lines += [X.N4_CN_MULTI.format(n=r["classes"]), X.N4_CN_DISCRIMINATION.format(range=_nan(r["feature_range"])),
                       X.N4_CN_HIGH if r["discrimination"] == "high" else X.N4_CN_SOME]
     elif kind == "categorical_target_categorical_feature":
         r = G.association_residuals(df, target, feature).first()
-        lines += [X.N4_CC_P1, X.N4_CC_CHI2.format(chi2=r["chi2"]), X.N4_CC_P.format(p=r["p_value"]),
+        lines += [X.N4_CC_P1, X.N4_CC_CHI2.format(chi2=_nan(r["chi2"])), X.N4_CC_P.format(p=_nan(r["p_value"])),
                   X.N4_CC_DOF.format(dof=r["dof"]),
                   {"very strong": X.N4_CC_VERY_STRONG, "strong": X.N4_CC_STRONG,
-                   "weak": X.N4_CC_WEAK}[r["association"]],
-                  X.N4_CC_P2, X.N4_CC_RANGE.format(lo=r["min_residual"], hi=r["max_residual"]),
+                   "weak": X.N4_CC_WEAK}[r["association"] or "weak"],
+                  X.N4_CC_P2, X.N4_CC_RANGE.format(lo=_nan(r["min_residual"]), hi=_nan(r["max_residual"])),
                   {"strong": X.N4_CC_PATTERN_STRONG, "moderate": X.N4_CC_PATTERN_MODERATE,
-                   "weak": X.N4_CC_PATTERN_WEAK}[r["pattern"]],
+                   "weak": X.N4_CC_PATTERN_WEAK}[r["pattern"] or "weak"],
                   X.N4_CC_SMALL.format(n=r["min_count"]) if r["small_counts"] else X.N4_CC_GOOD]
     else:
         r = G.correlation_reading(df, target, feature).first()
-        c = r["correlation"]
+        c = _nan(r["correlation"])
         lines += [X.N4_NN_P1, X.N4_NN_R.format(r=c),
                   X.N4_NN_RELATION.format(strength=r["strength"], direction=r["direction"]),
                   {"high": X.N4_NN_HIGH, "moderate": X.N4_NN_MODERATE, "low": X.N4_NN_LOW}[r["predictive_power"]],
@@ -173,7 +183,7 @@ def target_findings(df: DataFrame, target: str, feature: str) -> DataFrame:
             lines.append((X.N4_NN_INCREASE if c > 0 else X.N4_NN_DECREASE).format(feature=feature, target=target))
         else:
             lines += [X.N4_NN_LIMITED.format(feature=feature, target=target), X.N4_NN_NONLINEAR]
-        lines.append(X.N4_NN_EXPLAINED.format(r2=r["r_squared"], target=target, feature=feature))
+        lines.append(X.N4_NN_EXPLAINED.format(r2=_nan(r["r_squared"]), target=target, feature=feature))
         lines.append({"high": X.N4_NN_EXPLAIN_HIGH, "moderate": X.N4_NN_EXPLAIN_MODERATE,
                       "low": X.N4_NN_EXPLAIN_LOW}[r["explanatory_power"]])
     return _rows(df.sparkSession, "target", lines)
@@ -206,13 +216,14 @@ def _overview(df: DataFrame, target: str | None, with_dups: bool):
 def dataset_findings(df: DataFrame, target: str | None = None) -> DataFrame:
     """Numbered data-quality, target, distribution, cardinality and
     correlation findings."""
+    _known_target(df, target)
     nums, cats, ms, _, desc, catp, strong, moderate, tgt = _overview(df, target, False)
     rows = ms["n_rows"]
     mp = ms["missing_pct"] or 0.0
     out = [(X.N5_MISSING_ALERT if mp > 10 else X.N5_MISSING_SOME if mp > 5 else X.N5_MISSING_LOW).format(pct=mp)]
     if tgt is not None:
         out.append(X.N5_TARGET.format(target=target, kind=tgt["type"], n=tgt["unique"]))
-        out.append(X.N5_TARGET_STATS.format(mean=tgt["mean"], std=tgt["std"]) if tgt["type"] == "numeric"
+        out.append(X.N5_TARGET_STATS.format(mean=_nan(tgt["mean"]), std=_nan(tgt["std"])) if tgt["type"] == "numeric"
                    else X.N5_TARGET_MODE.format(value=tgt["most_common"]))
     if nums:
         out.append(X.N5_NUMERIC.format(n=len(nums)))
@@ -238,6 +249,7 @@ def dataset_findings(df: DataFrame, target: str | None = None) -> DataFrame:
 def executive_summary(df: DataFrame, target: str | None = None) -> DataFrame:
     """The nine-section summary (overview, quality, variables, target,
     statistics, relations, top features, recommendations, actions)."""
+    _known_target(df, target)
     nums, cats, ms, info, desc, catp, strong, moderate, tgt = _overview(df, target, True)
     rows, mp = ms["n_rows"], ms["missing_pct"] or 0.0
     s = [X.N6_TITLE, X.N6_SIZE.format(rows=rows, cols=len(df.columns)),
@@ -255,11 +267,11 @@ def executive_summary(df: DataFrame, target: str | None = None) -> DataFrame:
         s += [X.N6_TARGET.format(target=target), X.N6_TYPE.format(kind=tgt["type"].title()),
               X.N6_UNIQUE.format(n=tgt["unique"])]
         if tgt["type"] == "numeric":
-            s += [X.N6_RANGE.format(lo=tgt["min"], hi=tgt["max"]), X.N6_AVERAGE.format(mean=tgt["mean"], std=tgt["std"]),
+            s += [X.N6_RANGE.format(lo=_nan(tgt["min"]), hi=_nan(tgt["max"])), X.N6_AVERAGE.format(mean=_nan(tgt["mean"]), std=_nan(tgt["std"])),
                   X.N6_SKEWED.format(side=tgt["skew_direction"]) if tgt["skewed"] else X.N6_NORMAL]
             ranking = G.feature_ranking(df, target, 3).collect()
         else:
-            s += [X.N6_MOST_COMMON.format(value=tgt["most_common"], pct=tgt["most_common_pct"]),
+            s += [X.N6_MOST_COMMON.format(value=tgt["most_common"], pct=_nan(tgt["most_common_pct"])),
                   X.N6_IMBALANCE if tgt["imbalanced"] else X.N6_BALANCED]
     s.append(X.N6_FINDINGS)
     if nums:

@@ -44,7 +44,7 @@ def q_s4(spark, sf):
     return S.sample_values(dirty(spark, sf), "quantity", 5, ["l_orderkey", "l_linenumber", "quantity"])
 
 
-@register("s5_write_results_roundtrip", numeric_profile_sql("lineitem", ["l_quantity", "l_discount"]))
+@register("s5_write_results_roundtrip", numeric_profile_sql("lineitem", ["l_quantity", "l_discount"], exact=True), exact=True)
 def q_s5(spark, sf):
     """A result table written to parquet and read back."""
     res = P.univariate_numeric(T_(spark, sf, "lineitem"), ["l_quantity", "l_discount"])

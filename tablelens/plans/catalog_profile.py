@@ -17,7 +17,11 @@ KIND = ("CASE WHEN data_type IN ('BIGINT','INTEGER','DOUBLE','FLOAT','SMALLINT',
         "WHEN data_type IN ('TIMESTAMP','DATE','TIMESTAMP WITH TIME ZONE') THEN 'datetime' ELSE 'other' END")
 
 
-def numeric_profile_sql(src: str, cols: list[str], exprs: dict[str, str] | None = None) -> str:
+ROUNDED = R
+
+
+def numeric_profile_sql(src: str, cols: list[str], exprs: dict[str, str] | None = None, exact: bool = False) -> str:
+    R = (lambda x: f"({x})") if exact else ROUNDED  # noqa: N806
     return f"""
 WITH long AS ({long(src, cols, exprs=exprs)}),
 s AS (
@@ -43,7 +47,7 @@ FROM s JOIN o USING ("column")
 """
 
 
-@register("u1_univariate_numeric_lineitem", numeric_profile_sql("lineitem", LINEITEM_NUM))
+@register("u1_univariate_numeric_lineitem", numeric_profile_sql("lineitem", LINEITEM_NUM, exact=True), exact=True)
 def q_u1_lineitem(spark, sf):
     """U1+U2 for every numeric lineitem column: moments, exact quartiles, IQR outliers."""
     return P.univariate_numeric(T_(spark, sf, "lineitem"))

@@ -19,10 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def register(name: str, sql: str | None = None):
+def register(name: str, sql: str | None = None, exact: bool = False):
+    """``exact``: doubles as computed (a mean that lies on a rounding tie
+    would otherwise depend on the last bit of a sum)."""
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return round_doubles(fn(spark, sf_dir))
+            df = fn(spark, sf_dir)
+            return df if exact else round_doubles(df)
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run

@@ -141,3 +141,70 @@ def test_display_rounding(spark):
     assert r["mean"] == 1.790 and r["count"] == 2
     d = P.describe_numeric(df, decimals=3).first()
     assert d["mean"] == round((1.23456 + 2.34567 + 3.0) / 3, 3)
+
+
+def test_clean_keeps_rows_that_differ_in_large_ids(spark):
+    import datetime
+
+    from tablelens.operators import clean
+    rows = [(2 ** 53 + i, i % 7 != 0, datetime.datetime(2024, 1, 1 + i) if i % 3 else None, float(i)) for i in range(1, 13)]
+    out = clean.clean(spark.createDataFrame(rows, "id long, ok boolean, ts timestamp, x double"))
+    got = out.table.collect()
+    assert len(got) == 12 and out.table.schema["ok"].dataType.simpleString() == "boolean"
+    assert all(r["ts"] is not None for r in got) and sum(not r["ok"] for r in got) == 1
+
+
+def test_contingency_takes_any_class_name(spark):
+    from tablelens.operators import pairs, target
+    rows = [("a", "X"), ("x", "x"), ("`", "a"), ("b", "n"), ("b", "X")] * 3
+    df = spark.createDataFrame(rows, "f string, t string")
+    assert pairs.contingency(df, "f", "t", zeros=True).count() == 16
+    r = target.association_residuals(df, "t", "f").first()
+    n, total = pairs.contingency(df, "f", "t", zeros=True).collect(), 15.0
+    ra, cb = {}, {}
+    for x in n:
+        ra[x["f"]] = ra.get(x["f"], 0) + x["n"]
+        cb[x["t"]] = cb.get(x["t"], 0) + x["n"]
+    res = [(x["n"] - ra[x["f"]] * cb[x["t"]] / total) / total / (ra[x["f"]] * cb[x["t"]] / total ** 2) ** 0.5 for x in n]
+    assert abs(r["min_residual"] - min(res)) < 1e-9 and abs(r["max_residual"] - max(res)) < 1e-9 and r["min_count"] == 0
+
+
+def test_chi_square_with_huge_cells(spark):
+    from tablelens.operators import pairs
+    cells = spark.createDataFrame([("a", "x", 4 * 10 ** 9), ("a", "y", 4 * 10 ** 9), ("b", "x", 4 * 10 ** 9), ("b", "y", 4 * 10 ** 9 + 10 ** 6),
+                                   ("c", "x", 4 * 10 ** 9)], "a string, b string, n long")
+    st = pairs.chi_square_stats(cells)
+    assert st["dof"] == 2 and st["chi2"] > 0 and st["p_value"] == 0.0
+
+
+def test_constant_column_has_no_skew(spark):
+    from tablelens.operators import profile
+    r = profile.univariate_numeric(spark.createDataFrame([(0.1,)] * 10, "x double")).first()
+    assert (r["std"], r["skewness"], r["kurtosis"]) == (0.0, 0.0, 0.0)
+
+
+def test_dates_in_many_forms(spark):
+    from tablelens.operators import kinds
+    texts = ["2024-01-05T10:11:12.5", "2024-01-05 10:11", "01-02-2024", "2024-01-07", "2024-01-05T10:11:12Z", "Jan 5, 2024", "13/02/2024", "soon"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(kinds.to_datetime("t").alias("d")).collect()]
+    assert [g is not None for g in got] == [True] * 7 + [False] and (got[2].month, got[2].day) == (1, 2)
+
+
+def test_csv_quotes(spark, tmp_path):
+    from tablelens.sources import io
+    (tmp_path / "q.csv").write_text('id,text,a.b,a_b\n1,"he said ""hi"", ok",1,2\n2,"two\nlines",3,4\n')
+    rows = io.read_table(spark, str(tmp_path / "q.csv"), multi_line=True)
+    assert [r["text"] for r in rows.collect()] == ['he said "hi", ok', "two\nlines"] and len(set(rows.columns)) == 4
+
+
+def test_findings_survive_undefined_statistics(spark):
+    import pytest
+
+    from tablelens.operators import findings
+    df = spark.createDataFrame([(1.0, None, "a", 5.0), (2.0, None, "b", 5.0), (3.0, None, "b", 5.0)], "x double, void double, c string, k double")
+    assert findings.distribution_findings(df, "void").count() > 0
+    assert findings.bivariate_findings(df, "x", "k").count() > 0
+    assert findings.target_findings(df, "x", "k").count() > 0 and findings.target_findings(df, "x", "c").count() > 0
+    assert findings.dataset_findings(df, "void").count() > 0 and findings.executive_summary(df, "void").count() > 0
+    with pytest.raises(ValueError):
+        findings.dataset_findings(df, "nope")

@@ -63,15 +63,18 @@ def test_chi2_odd_dof_against_lower_series(x, dof):
     assert chi2_sf(x, dof) == pytest.approx(1 - lower, abs=1e-12)
 
 
-def test_pandas_udf_forms(spark):
-    """The multi-row forms (one p-value per result row) agree with the scalar functions."""
-    from pyspark.sql import functions as F
-
-    from tablelens.functions.special import p_chi2, p_correlation, p_f
-    df = spark.createDataFrame([(0.3, 50.0, 3.2, 2.0, 2.5, 2.0, 100.0), (-0.1, 11.0, 7.0, 5.0, 1.0, 3.0, 20.0)],
-                               "r double, n double, x double, k double, f double, d1 double, d2 double")
-    rows = df.select(p_correlation(F.col("r"), F.col("n")).alias("pc"), p_chi2(F.col("x"), F.col("k")).alias("px"),
-                     p_f(F.col("f"), F.col("d1"), F.col("d2")).alias("pf")).collect()
-    assert rows[0]["pc"] == pytest.approx(t_two_sided_from_r(0.3, 50))
-    assert rows[1]["px"] == pytest.approx(chi2_sf(7.0, 5))
-    assert rows[0]["pf"] == pytest.approx(f_sf(2.5, 2, 100))
+@pytest.mark.parametrize("n", [1e6, 1e9, 1e12])
+def test_large_samples_reach_the_normal_limit(n):
+    r = 1 / math.sqrt(n)
+    assert t_two_sided_from_r(r, n) == pytest.approx(math.erfc(math.sqrt(0.5)), rel=2e-6)
+    assert chi2_sf(n, n) == pytest.approx(0.5 - 1 / (3 * math.sqrt(math.pi * n)), abs=1e-9)
+    assert chi2_sf(n + math.sqrt(2 * n), n) == pytest.approx(0.5 * math.erfc(math.sqrt(0.5)), abs=2e-4)
+    assert f_sf(1.0, 2, n) == pytest.approx(math.exp(-1), rel=2e-6)
+
+
+def test_asymptotic_forms_meet_the_fractions(monkeypatch):
+    from tablelens.functions import special
+    points = [(4e5 + 900, 4e5), (4e5 - 900, 4e5), (4.2e5, 4e5)]
+    exact = [chi2_sf(*p) for p in points] + [t_two_sided_from_r(2e-3, 1e6)]
+    monkeypatch.setattr(special, "_LARGE", 1e3)
+    assert [chi2_sf(*p) for p in points] + [t_two_sided_from_r(2e-3, 1e6)] == pytest.approx(exact, rel=1e-8, abs=1e-12)
