@@ -139,16 +139,19 @@ def _filled(c: str, dt: T.DataType, value):
     return F.coalesce(F.col(c).cast("decimal(20,1)"), F.lit(str(value)).cast("decimal(20,1)"))
 
 
-def fill_missing(df: DataFrame, fills: dict | None = None) -> DataFrame:
+def fill_missing(df: DataFrame, fills: dict | None = None, keep_types: bool = False) -> DataFrame:
     """C1 + C2: one projection with the fill values as literals (``fills`` maps
-    column → row of :func:`fill_values`; computed when not given)."""
+    column → row of :func:`fill_values`; computed when not given). Numbers come
+    out as double, or with ``keep_types`` exact in their own type."""
     fills = fills if fills is not None else per_column(fill_values(df).collect())
-    texts = set(K.categorical_columns(df))
+    texts, numbers = set(K.categorical_columns(df)), set(_numbers(df))
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = []
     for c in df.columns:
         if c in texts:
             cols.append(F.coalesce(F.col(c), _lit(fills[c]["fill_text"], "string")).alias(c))
+        elif c in fills and not keep_types and c in numbers:
+            cols.append(F.coalesce(num(c, types[c]), _lit(fills[c]["fill"])).alias(c))
         elif c in fills:
             cols.append(_filled(c, types[c], fills[c]["fill"]).alias(c))
         else:
@@ -283,7 +286,7 @@ def clean(df: DataFrame, fill: bool = True, dedupe: bool = True, cap: bool = Tru
         for c in out.columns:
             if c in fv:
                 audit_rows.append(("missing", c, fv[c]["detail"], miss[c]))
-        out = fill_missing(out, fv)
+        out = fill_missing(out, fv, keep_types=True)
     if dedupe:
         before = rows if rows is not None else out.count()
         out = drop_duplicates(out, rows_hint=before)
