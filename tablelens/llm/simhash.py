@@ -14,7 +14,8 @@ cost least. Every fingerprint is then indexed under its value on each used
 partition and probes the values within t_i of it (only those made by raising
 bits, so that each pair meets once). Members of a bucket are verified by the
 exact bit distance; a bucket gives the links of a spanning forest, never all
-pairs. Components come from ``components``.
+pairs. A bucket of more than ``BLOCK`` rows is cut into blocks that meet two by
+two in tasks of their own. Components come from ``components``.
 
 Defined cases: null, empty and blank texts have fingerprint zero, linked like
 any other; repeated rows share their class; a null id takes no part in the
@@ -40,6 +41,7 @@ WIDTHS = (2, 3, 4, 5)     # numbers of partitions tried
 PROBE_COST = 200.0        # a probe row (shuffled, sorted) against one candidate check
 SHIFTS = 16               # pairs of fingerprints looked at per fingerprint for the estimate
 SMALL = 8                 # buckets up to this size are compared all at once
+BLOCK = 20_000            # rows of a bucket that one task compares with one another block
 
 
 def _bit_counts(digests: bytes) -> np.ndarray:
@@ -247,7 +249,23 @@ def _bucket_links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, distance:
     return np.concatenate(a), np.concatenate(b)
 
 
-def near_links(classes: DataFrame, distance: int) -> DataFrame:
+def dealt_buckets(buckets: DataFrame, block: int) -> DataFrame:
+    """``buckets`` with those of more than ``block`` rows cut up: their rows
+    are dealt to blocks by fingerprint and every two blocks meet under a key of
+    their own, so that each pair of the bucket still meets and no task holds
+    more than about two blocks of it. At most rows / ``block`` buckets are that
+    large; their sizes are written, and joined however Spark finds best."""
+    big = stored(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > block)
+                 .select(F.col("key").alias("big"), F.ceil(F.col("rows") / block).cast("long").alias("blocks")), "simhash-big")
+    marked = buckets.join(big, buckets["key"] == big["big"], "left")
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    others = F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    met = marked.select("key", "fp", "probe", own.alias("own"), F.explode(others).alias("other"))
+    key = F.when(F.col("other").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    return met.select(key.alias("key"), "fp", "probe")
+
+
+def near_links(classes: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
     """(a, b): links between distinct fingerprints, enough to connect every
     pair at most ``distance`` bits apart."""
     n = classes.count()
@@ -279,7 +297,7 @@ def near_links(classes: DataFrame, distance: int) -> DataFrame:
             yield out(tuple(np.concatenate(c) for c in zip(*held)))
 
     buckets = classes.select("fp").mapInArrow(_bucket_rows(plan), "key long, fp long, probe boolean")
-    return buckets.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(link, "a long, b long")
+    return dealt_buckets(buckets, block).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(link, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id",

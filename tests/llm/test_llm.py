@@ -157,7 +157,8 @@ def test_simhash(spark, docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_pigeonhole_finds_every_link(spark):
+@pytest.mark.parametrize("block", [simhash.BLOCK, 7])   # 7: nearly every bucket is cut into blocks
+def test_pigeonhole_finds_every_link(spark, block):
     rnd = random.Random(1)
     seeds = [rnd.getrandbits(64) for _ in range(150)]
     fps = set(seeds)
@@ -165,7 +166,7 @@ def test_pigeonhole_finds_every_link(spark):
         for _ in range(rnd.randrange(12)):
             fps.add(s ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(1, 7))))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    links = simhash.near_links(spark.createDataFrame([(f,) for f in signed], "fp long"), 4).collect()
+    links = simhash.near_links(spark.createDataFrame([(f,) for f in signed], "fp long"), 4, block).collect()
     group = {f: f for f in signed}
 
     def root(x):
