@@ -147,28 +147,29 @@ def repeated_segments(docs: DataFrame, window: int) -> DataFrame:
     return rows.filter((F.col("met") > 1) | (F.col("all") > 1)).select("id", "th", "anchor", "place")
 
 
-def _segment_rows(window: int, hot: frozenset[int], shards: int):
+def _segment_rows(window: int, shards: int):
     """Segments of a batch by shard: each distinct word sequence once, at its
-    earliest place; the places after it come out as repeats (shard -1)."""
+    earliest place; the places after it come out as repeats (shard -1). A
+    segment of a frequent anchor (``hot``) is dealt window by window."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            least: dict[bytes, tuple[int, ...]] = {}     # (id, th, first, n, anchor) of the earliest place
+            least: dict[bytes, tuple[int, ...]] = {}     # (id, th, first, n, anchor, hot) of the earliest place
             again: list[tuple[int, ...]] = []
-            for id_, th, text, anchors, places in zip(*(c.to_pylist() for c in b.columns)):
+            for id_, th, text, segments in zip(*(c.to_pylist() for c in b.columns)):
                 words = text_words(text)
                 pieces = []
-                for a, place in zip(anchors, places):
-                    first, n = place >> 24, place & 0xFFFFFF
-                    pieces.extend([(a, first + i, 1) for i in range(n)] if a in hot else [(a, first, n)])
-                for a, first, n in pieces:
+                for s in segments:
+                    a, hot, first, n = s["anchor"], s["hot"], s["place"] >> 24, s["place"] & 0xFFFFFF
+                    pieces.extend([(a, hot, first + i, 1) for i in range(n)] if hot else [(a, hot, first, n)])
+                for a, hot, first, n in pieces:
                     seq = b" ".join(words[first:first + n + window - 1])
-                    here, had = (id_, th, first, n, a), least.get(seq)
+                    here, had = (id_, th, first, n, a, hot), least.get(seq)
                     if had is None or here < had:
                         least[seq], here = here, had
                     if here is not None and here[:3] != least[seq][:3]:   # a row twice is one document
                         again.append(here)
-            rows = [(xxhash.xxh3_64_intdigest(seq) % shards if h[4] in hot else (h[4] * 0x9E3779B1 >> 8) % shards, seq, *h[:4])
+            rows = [(xxhash.xxh3_64_intdigest(seq) % shards if h[5] else (h[4] * 0x9E3779B1 >> 8) % shards, seq, *h[:4])
                     for seq, h in least.items()]
             rows += [(-1, None, *h[:4]) for h in again]
             kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
@@ -394,14 +395,15 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     # a segment is a few words more than a window; shards follow the number of segments
     shards = max(1, -(-n * (window + 8) // SHARD_WORDS))
     limit = max(1, SHARD_WORDS // (window + 8))
-    # at most n / limit anchors are that frequent: no more than there are shards
-    hot = frozenset(r[0] for r in found.groupBy("anchor").count().filter(F.col("count") > limit).select("anchor").collect())
-    lists = found.groupBy("id", "th").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("place").alias("places"))
+    # the frequent anchors (at most n / limit) are written and joined: their number grows with the input
+    hot = stored(found.groupBy("anchor").count().filter(F.col("count") > limit).select(F.col("anchor").alias("__hot")), "fm-frequent")
+    marked = found.join(hot, found["anchor"] == hot["__hot"], "left").withColumn("hot", F.col("__hot").isNotNull())
+    lists = marked.groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "hot", "place")).alias("segments"))
     packed = docs.mapInArrow(_packed, "id long, th long, z binary")
-    lists = lists.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "anchors", "places")
+    lists = lists.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "segments")
     joined = packed.join(lists, (packed["id"] == lists["__id"]) & (packed["th"] == lists["__th"]))
-    rows = stored(joined.select("id", "th", "z", "anchors", "places").mapInArrow(
-        _unpacked(_segment_rows(window, hot, shards)), "shard int, seq binary, id long, th long, first long, n long"), "fm-shards")
+    rows = stored(joined.select("id", "th", "z", "segments").mapInArrow(
+        _unpacked(_segment_rows(window, shards)), "shard int, seq binary, id long, th long, first long, n long"), "fm-shards")
     known = rows.filter(F.col("shard") < 0).select("id", "th", "first", (F.col("first") + F.col("n") + (window - 1)).alias("end"))
     searched = rows.filter(F.col("shard") >= 0).groupBy("shard").applyInPandas(
         _shard_repeats(window), "id long, th long, first long, end long")
