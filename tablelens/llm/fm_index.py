@@ -156,11 +156,15 @@ def _segment_rows(window: int, shards: int):
         for b in batches:
             least: dict[bytes, tuple[int, ...]] = {}     # (id, th, first, n, anchor, hot) of the earliest place
             again: list[tuple[int, ...]] = []
-            for id_, th, text, segments in zip(*(c.to_pylist() for c in b.columns)):
+            segments = b.column(3)      # one flat array a field: a list of structs is slow to read
+            ends, flat = segments.offsets.to_numpy(), segments.values
+            fields = [flat.field(k).to_pylist() for k in ("anchor", "hot", "place")]
+            for row, (id_, th, text) in enumerate(zip(*(c.to_pylist() for c in b.columns[:3]))):
                 words = text_words(text)
                 pieces = []
-                for s in segments:
-                    a, hot, first, n = s["anchor"], s["hot"], s["place"] >> 24, s["place"] & 0xFFFFFF
+                at = slice(ends[row], ends[row + 1])
+                for a, hot, place in zip(*(f[at] for f in fields)):
+                    first, n = place >> 24, place & 0xFFFFFF
                     pieces.extend([(a, hot, first + i, 1) for i in range(n)] if hot else [(a, hot, first, n)])
                 for a, hot, first, n in pieces:
                     seq = b" ".join(words[first:first + n + window - 1])
