@@ -35,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -207,18 +208,20 @@ class WaveletMatrix:
             bit = (seq >> level & 1).astype(bool)
             self.levels.append((BitVector(bit), int(len(seq) - bit.sum())))
             seq = np.concatenate([seq[~bit], seq[bit]])
+        every = np.arange(symbols, dtype=np.int64)
+        self.start = self._down(every, np.zeros_like(every))   # where each symbol's places begin below the last level
 
-    def rank(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Occurrences of ``symbol`` before ``lo`` and before ``hi`` (as
-        differences from the symbol's own start)."""
-        start = np.zeros_like(lo)
+    def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for k, (bits, zeros) in enumerate(self.levels):
             one = (symbol >> (self.depth - 1 - k) & 1).astype(bool)
-            lo1, hi1, s1 = bits.rank1(lo), bits.rank1(hi), bits.rank1(start)
-            lo = np.where(one, zeros + lo1, lo - lo1)
-            hi = np.where(one, zeros + hi1, hi - hi1)
-            start = np.where(one, zeros + s1, start - s1)
-        return lo - start, hi - start, start
+            ones = bits.rank1(at)
+            at = np.where(one, zeros + ones, at - ones)
+        return at
+
+    def rank(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences of ``symbol`` before ``lo`` and before ``hi``."""
+        start = self.start[symbol]
+        return self._down(symbol, lo) - start, self._down(symbol, hi) - start
 
 
 def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -261,7 +264,7 @@ class FMIndex:
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One step of backward search: the interval of symbol + pattern."""
-        a, b, _ = self.bwt.rank(symbol, lo, hi)
+        a, b = self.bwt.rank(symbol, lo, hi)
         base = self.first[symbol]
         return base + a, base + b
 
@@ -313,12 +316,10 @@ def _shard_repeats(window: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["id", "th", "first", "n"]).sort_values(["id", "th", "first"], kind="stable")
-        seqs = pdf["seq"].tolist()
-        words = [s.split(b" ") for s in seqs]
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        flat = [w for ws in words for w in ws]
-        number = {w: i for i, w in enumerate(dict.fromkeys(flat), 1)}
-        symbols = np.fromiter(map(number.__getitem__, flat), dtype=np.int64, count=len(flat))
+        words = pc.split_pattern(pa.array(pdf["seq"], pa.large_binary()), b" ")
+        lengths = np.diff(words.offsets.to_numpy()).astype(np.int64)
+        flat = words.flatten().dictionary_encode().indices.to_numpy()
+        symbols = flat.astype(np.int64) + 1
         starts = np.cumsum(lengths + 1) - lengths - 1
         text = np.zeros(int((lengths + 1).sum()), dtype=np.int64)
         text[np.arange(len(flat)) + np.repeat(np.arange(len(lengths)), lengths)] = symbols
