@@ -92,6 +92,39 @@ def box_stats(df: DataFrame, cols: Sequence[str] | None = None, method: str = "a
     return view.agg(F.array(*structs).alias("_s")).select(F.inline("_s"))
 
 
+def _complete(df: DataFrame, x: str, y: str) -> DataFrame:
+    v = df.select(_value(df, x).cast("double").alias("x"), _value(df, y).cast("double").alias("y"))
+    return v.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+
+
+def scatter_bins(df: DataFrame, x: str, y: str, bins: int | None = None) -> DataFrame:
+    """The points of a scatter plot as counts on an equal-width grid over
+    the complete rows, ``(x_bin, y_bin, x_lower, y_lower, count)``; cells
+    without points are left out. ``bins`` per axis as in :func:`histogram`. No
+    complete row gives no cell; a constant axis has one bin."""
+    v = _complete(df, x, y)
+    s = v.agg(F.count(F.lit(1)), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if not s[0]:
+        return df.sparkSession.createDataFrame([], "x_bin long, y_bin long, x_lower double, y_lower double, count long")
+    k = bins or bin_count(s[0])
+    cells = v.groupBy(_bin(F.col("x"), s[1], s[2], k).alias("x_bin"), _bin(F.col("y"), s[3], s[4], k).alias("y_bin")).agg(
+        F.count(F.lit(1)).alias("count"))
+
+    def lower(b: str, mn: float, mx: float):
+        return F.lit(mn) + (F.col(b) - 1) * F.lit((mx - mn) / k)
+
+    return cells.select("x_bin", "y_bin", lower("x_bin", s[1], s[2]).alias("x_lower"),
+                        lower("y_bin", s[3], s[4]).alias("y_lower"), "count")
+
+
+def scatter_margins(df: DataFrame, x: str, y: str, bins: int | None = None) -> DataFrame:
+    """The histograms at the sides of a scatter plot, over its complete
+    rows: ``(axis, bin, lower, upper, count)``."""
+    v = _complete(df, x, y)
+    sides = [histogram(v, axis, bins).select(F.lit(axis).alias("axis"), "*") for axis in ("x", "y")]
+    return sides[0].unionByName(sides[1])
+
+
 def grouped_box(df: DataFrame, category: str, column: str, method: str = "auto") -> DataFrame:
     """Box statistics of a numeric column per category.
 

@@ -386,13 +386,15 @@ def univariate(df: DataFrame, column: str, method: str = "auto") -> DataFrame:
 
 # ---------------------------------------------------------------- P10
 
-def dataset_stats(df: DataFrame) -> dict[str, DataFrame]:
+def dataset_stats(df: DataFrame, parts: Sequence[str] = ("info", "missing", "top_values", "correlation")) -> dict[str, DataFrame]:
     """P10: the bundle — info, missing per column, top 3 per text column,
-    correlation pairs (building it runs the small statistics jobs of its parts)."""
+    correlation pairs; only the asked ``parts`` are built (building one runs
+    its small statistics jobs)."""
     from tablelens.operators.pairs import correlation_matrix
-    return {
-        "info": dataset_info(df),
-        "missing": missing_per_column(df),
-        "top_values": top_values(df, None, 3),
-        "correlation": correlation_matrix(df),
+    build = {
+        "info": lambda: dataset_info(df),
+        "missing": lambda: missing_per_column(df),
+        "top_values": lambda: top_values(df, None, 3),
+        "correlation": lambda: correlation_matrix(df),
     }
+    return {p: build[p]() for p in parts}
