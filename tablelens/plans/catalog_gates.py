@@ -1,14 +1,17 @@
 """Registered queries: the plans for large inputs forced on the test tables,
-every part of the P10 bundle, the scatter grid, and cleaning of wide ids."""
+every part of the P10 bundle, the scatter grid, cleaning of wide ids, and the
+other kinds of N3 and N4 findings (fixed values: their sentences)."""
 
 from __future__ import annotations
 
 from tablelens.operators import chartdata as D
 from tablelens.operators import clean as C
+from tablelens.operators import findings as N
 from tablelens.operators import pairs as B
 from tablelens.operators import profile as P
 from tablelens.plans.catalog_charts import hist_sql
-from tablelens.plans.catalog_pairs import corr_sql
+from tablelens.plans.catalog_more import _lines
+from tablelens.plans.catalog_pairs import chi_sql, corr_sql, pearson_sql
 from tablelens.plans.catalog_profile import describe_sql, info_sql, missing_sql, numeric_profile_sql
 from tablelens.plans.registry import ORACLE, T_, register
 from tablelens.plans.sqlgen import R
@@ -118,3 +121,119 @@ def q_c7_wide(spark, sf):
     """C1-C3, C5 without capping: no distinct row is lost, null timestamps are filled, booleans stay."""
     table(spark, sf, "orders", balance=False).createOrReplaceTempView("orders_wide_src")
     return C.clean(spark.sql(WIDE_SQL.format(src="orders_wide_src")), cap=False).table
+
+
+def findings_sql(source: str, topic: str, lines: list[tuple[str, str | None]]) -> str:
+    return (f"WITH s AS ({source}), l AS ({_lines(lines)}) "
+            f"SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS seq, '{topic}' AS topic, finding FROM l")
+
+
+@register("n3_bivariate_findings_numbers_lineitem", findings_sql(pearson_sql("lineitem", "l_discount", "l_tax"), "bivariate", [
+    ("'Bivariate Analysis: l_discount vs l_tax'", None),
+    ("printf('Pearson correlation: r = %.3f', r)", None),
+    ("'Correlation strength: ' || strength", None),
+    ("printf('Statistical significance: p = %.3f', p_value)", None),
+    ("'Statistically significant relationship (p < 0.05)'", "p_value < 0.05"),
+    ("'No statistically significant relationship (p ≥ 0.05)'", "p_value >= 0.05"),
+    ("'Strong linear relationship - good for predictive modeling'", "abs(r) > 0.7"),
+    ("'Moderate linear relationship - worth investigating further'", "abs(r) > 0.3 AND abs(r) <= 0.7"),
+    ("'Weak linear relationship - may need non-linear analysis'", "abs(r) <= 0.3"),
+]))
+def q_n3_numbers(spark, sf):
+    """Two numeric columns in words."""
+    return N.bivariate_findings(T_(spark, sf, "lineitem"), "l_discount", "l_tax")
+
+
+@register("n3_bivariate_findings_texts_orders", findings_sql(chi_sql("orders", "o_orderstatus", "o_orderpriority"), "bivariate", [
+    ("'Bivariate Analysis: o_orderstatus vs o_orderpriority'", None),
+    ("printf('Chi-square statistic: %.3f', chi2)", None),
+    ("'Association strength: ' || association", None),
+    ("printf('Statistical significance: p = %.3f', p_value)", None),
+    ("'Statistically significant association (p < 0.05)'", "p_value < 0.05"),
+    ("'No statistically significant association (p ≥ 0.05)'", "p_value >= 0.05"),
+]))
+def q_n3_texts(spark, sf):
+    """Two text columns in words."""
+    return N.bivariate_findings(T_(spark, sf, "orders"), "o_orderstatus", "o_orderpriority")
+
+
+@register("n4_target_findings_numbers_lineitem", findings_sql(ORACLE["g9_correlation_reading_lineitem"], "target", [
+    ("'Target Variable Impact Analysis: l_quantity → l_extendedprice'", None),
+    ("'Pointer 1: Linear Relationship Strength'", None),
+    ("printf('Correlation coefficient: %.3f', correlation)", None),
+    ("'Relationship: ' || strength || ' ' || direction || ' linear relationship'", None),
+    ("'High predictive power: Feature strongly predicts target variable'", "predictive_power = 'high'"),
+    ("'Moderate predictive power: Feature has some predictive value'", "predictive_power = 'moderate'"),
+    ("'Low predictive power: Feature has limited linear relationship'", "predictive_power = 'low'"),
+    ("'Pointer 2: Strategic Implications and Next Steps'", None),
+    ("'Action: l_quantity is a key driver of l_extendedprice'", "key_driver"),
+    ("'Strategy: ' || CASE WHEN correlation > 0 THEN 'Increase' ELSE 'Decrease' END || ' l_quantity to improve l_extendedprice'", "key_driver"),
+    ("'Investigation: l_quantity has limited direct impact on l_extendedprice'", "NOT key_driver"),
+    ("'Next step: Consider non-linear relationships or interaction effects'", "NOT key_driver"),
+    ("printf('Explained variance: %.1f%% of l_extendedprice variance explained by l_quantity', 100 * r_squared)", None),
+    ("'High explanatory power: Feature accounts for majority of target variation'", "explanatory_power = 'high'"),
+    ("'Moderate explanatory power: Feature explains significant portion of target variation'", "explanatory_power = 'moderate'"),
+    ("'Low explanatory power: Feature explains limited target variation'", "explanatory_power = 'low'"),
+]))
+def q_n4_numbers(spark, sf):
+    """Numeric target by numeric feature in words."""
+    return N.target_findings(T_(spark, sf, "lineitem"), "l_extendedprice", "l_quantity")
+
+
+def _classes_head(target: str, feature: str) -> list[tuple[str, str | None]]:
+    return [
+        (f"'Target Variable Impact Analysis: {feature} → {target}'", None),
+        ("'Pointer 1: Feature Distribution Impact on Target Variable'", None),
+        (f"'{feature} varies significantly across {target} categories'", None),
+        ("printf('Highest feature values: %s (mean: %.2f)', highest_class, highest_mean)", None),
+        ("printf('Lowest feature values: %s (mean: %.2f)', lowest_class, lowest_mean)", None),
+        ("printf('Feature range: %.2f units difference', feature_range)", None),
+        ("'Pointer 2: Predictive Power and Decision Thresholds'", None),
+    ]
+
+
+@register("n4_target_findings_two_classes_lineitem", findings_sql(ORACLE["g7_class_separation_lineitem"], "target", [
+    *_classes_head("l_linestatus", "l_extendedprice"),
+    ("printf('Separation strength: %.2f (Cohen''s d)', cohens_d)", None),
+    ("'Strong separation: Feature is highly predictive'", "separation = 'strong'"),
+    ("'Moderate separation: Feature has good predictive power'", "separation = 'moderate'"),
+    ("'Weak separation: Feature has limited predictive power'", "separation = 'weak'"),
+    ("printf('Suggested threshold: %.2f for classification', threshold)", None),
+]))
+def q_n4_two(spark, sf):
+    """Text target of two classes by numeric feature in words."""
+    return N.target_findings(T_(spark, sf, "lineitem"), "l_linestatus", "l_extendedprice")
+
+
+@register("n4_target_findings_classes_lineitem", findings_sql(ORACLE["g7_class_separation_multiclass"], "target", [
+    *_classes_head("l_returnflag", "l_quantity"),
+    ("'Multi-class analysis: ' || classes || ' target categories'", None),
+    ("printf('Feature discrimination: %.2f range across categories', feature_range)", None),
+    ("'High discrimination: Feature strongly differentiates target categories'", "discrimination = 'high'"),
+    ("'Moderate discrimination: Feature provides some differentiation'", "discrimination = 'moderate'"),
+]))
+def q_n4_classes(spark, sf):
+    """Text target of several classes by numeric feature in words."""
+    return N.target_findings(T_(spark, sf, "lineitem"), "l_returnflag", "l_quantity")
+
+
+@register("n4_target_findings_texts_orders", findings_sql(ORACLE["g8_association_residuals_orders"], "target", [
+    ("'Target Variable Impact Analysis: o_orderpriority → o_orderstatus'", None),
+    ("'Pointer 1: Association Strength Between Variables'", None),
+    ("printf('Chi-square statistic: %.3f', chi2)", None),
+    ("printf('P-value: %.3f', p_value)", None),
+    ("'Degrees of freedom: ' || dof", None),
+    ("'Very strong association: Highly significant relationship'", "association = 'very strong'"),
+    ("'Strong association: Statistically significant relationship'", "association = 'strong'"),
+    ("'Weak association: No significant relationship'", "association = 'weak'"),
+    ("'Pointer 2: Practical Implications for Target Variable'", None),
+    ("printf('Association strength range: %.2f to %.2f (standardized residuals)', min_residual, max_residual)", None),
+    ("'Strong patterns: Some feature-target combinations are highly over-represented'", "pattern = 'strong'"),
+    ("'Moderate patterns: Some feature-target combinations show notable associations'", "pattern = 'moderate'"),
+    ("'Weak patterns: Feature-target combinations are mostly random'", "pattern = 'weak'"),
+    ("'Warning: Some cells have small counts (min: ' || min_count || ') - results may be unreliable'", "small_counts"),
+    ("'Good sample sizes: All combinations have adequate data'", "NOT small_counts"),
+]))
+def q_n4_texts(spark, sf):
+    """Text target by text feature in words."""
+    return N.target_findings(T_(spark, sf, "orders"), "o_orderstatus", "o_orderpriority")
