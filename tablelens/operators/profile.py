@@ -337,12 +337,12 @@ def categorical_profile(df: DataFrame, cols: Sequence[str] | None = None, k: int
     """Unique count, most frequent value and count, and the top-k table per
     text column (one row per (column, rank))."""
     cols = list(cols) if cols is not None else K.categorical_columns(df)
-    vc = value_counts(df, cols)
-    uniq = vc.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
-    top = top_values(df, cols, k, decimals)
-    first = top.where(F.col("rank") == 1).select("column", F.col("value").alias("most_frequent"),
-                                                  F.col("n").alias("most_frequent_count"))
-    return (top.join(uniq, "column").join(first, "column")
+    # asking for n here too keeps both branches on one exchange of the value counts
+    uniq = value_counts(df, cols).groupBy("column").agg(F.count_if(F.col("n") > 0).alias("unique_count"))
+    w = Window.partitionBy("column").orderBy("rank")   # over the k rows left of a column
+    top = (top_values(df, cols, k, decimals).withColumn("most_frequent", F.first("value").over(w))
+           .withColumn("most_frequent_count", F.first("n").over(w)))
+    return (top.join(uniq, "column")
             .select("column", "unique_count", "most_frequent", "most_frequent_count", "rank", "value", "n", "pct"))
 
 
@@ -350,15 +350,14 @@ def univariate_categorical(df: DataFrame, cols: Sequence[str] | None = None) ->
     """U3 summary per text column: unique count, most frequent value and its
     count, missing count and % of rows, non-null total; ``error`` if no value."""
     cols = list(cols) if cols is not None else K.categorical_columns(df)
-    vc = value_counts(df, cols)
-    w = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
-    top1 = (vc.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
-            .select("column", F.col("value").alias("most_frequent"), F.col("n").alias("most_frequent_count")))
-    uniq = vc.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
-    base = agg_by_column(df, cols, [("total_count", lambda c: F.count(c)), ("rows", lambda c: F.count(F.lit(1)))])
-    out = base.join(uniq, "column", "left").join(top1, "column", "left")
+    counted = value_counts(df, cols).groupBy("column").agg(
+        F.count(F.lit(1)).alias("unique_count"), F.sum("n").alias("values"),
+        F.min(F.struct((-F.col("n")).alias("neg"), "value")).alias("top"))
+    base = agg_by_column(df, cols, [("rows", lambda c: F.count(F.lit(1)))])   # reads no column
+    out = base.join(counted, "column", "left").withColumn("total_count", F.coalesce("values", F.lit(0)))
     return out.select(
-        "column", F.coalesce("unique_count", F.lit(0)).alias("unique_count"), "most_frequent", "most_frequent_count",
+        "column", F.coalesce("unique_count", F.lit(0)).alias("unique_count"),
+        F.col("top.value").alias("most_frequent"), (-F.col("top.neg")).alias("most_frequent_count"),
         (F.col("rows") - F.col("total_count")).alias("missing_count"),
         F.try_divide((F.col("rows") - F.col("total_count")) * 100.0, F.col("rows")).alias("missing_pct"),
         "total_count", F.when(F.col("total_count") == 0, F.lit("No valid categorical data")).alias("error"))

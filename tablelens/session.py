@@ -6,9 +6,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+#: written tables of this driver that nobody has removed yet
+_written: list[str] = []
+
 
 def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, app: str = "tablelens") -> SparkSession:
     """Single-JVM session used by tests and bench.py. On a cluster, build the
@@ -55,4 +60,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for a written table."""
     base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "tablelens", f"{name}-{uuid.uuid4().hex}")
+    _written.append(os.path.join(base, "tablelens", f"{name}-{uuid.uuid4().hex}"))
+    return _written[-1]
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Own the intermediate tables written inside the ``with`` block: they are
+    removed when it ends, so results must be saved (or collected) inside. Only
+    paths that ``scratch_path`` gave out in the block are touched."""
+    first = len(_written)
+    try:
+        yield
+    finally:
+        made = _written[first:]
+        del _written[first:]
+        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in made:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)

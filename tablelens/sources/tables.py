@@ -33,15 +33,28 @@ def spread(df: DataFrame, min_rows: int = SPREAD_MIN_ROWS) -> DataFrame:
     is returned unchanged, so at cluster scale this is a no-op. Size comes
     from the input files when they are local, else from the row count (a
     parquet scan counts from its footers). The rows are hashed on their
-    position in the scan, which a re-run reproduces (no sort is needed, as a
-    round-robin repartition would add for a retried task)."""
+    position in the file, which a re-run reproduces (no sort is needed, as a
+    round-robin repartition would add for a retried task); as the position is
+    a plain column of the scan, filters above still reach it."""
     from pyspark.sql import functions as F
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
     size = _input_bytes(df)
     big = size >= SPREAD_MIN_BYTES if size is not None else df.count() >= min_rows
-    return df.repartition(target, F.monotonically_increasing_id()) if big else df
+    if not big:
+        return df
+    return df.repartition(target, F.col("_metadata.row_index") if has_row_index(df) else F.monotonically_increasing_id())
+
+
+def has_row_index(df: DataFrame) -> bool:
+    """Does ``df`` come from one parquet scan, whose rows know their place in the file?"""
+    from pyspark.errors import AnalysisException
+    try:
+        df.select("_metadata.row_index").schema
+    except AnalysisException:
+        return False
+    return True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, balance: bool = True) -> DataFrame:
