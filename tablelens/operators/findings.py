@@ -10,7 +10,7 @@ No table row passes through the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.functions.stats import num
@@ -78,7 +78,12 @@ def distribution_findings(df: DataFrame, column: str) -> DataFrame:
 # ---------------------------------------------------------------- N2
 
 def _pairs(df: DataFrame):
-    m = B.correlation_pairs(df).orderBy("i", "j").collect()
+    """The first three strong and moderate pairs, each with its kind's ``total``."""
+    kind = Window.partitionBy("strength")
+    m = (B.correlation_pairs(df).where(F.col("strength").isin("strong", "moderate"))
+         .withColumn("total", F.count(F.lit(1)).over(kind))
+         .withColumn("place", F.row_number().over(kind.orderBy("i", "j")))
+         .where(F.col("place") <= 3).orderBy("i", "j").collect())
     strong = [r for r in m if r["strength"] == "strong"]
     moderate = [r for r in m if r["strength"] == "moderate"]
     return strong, moderate
@@ -89,12 +94,12 @@ def correlation_findings(df: DataFrame) -> DataFrame:
     strong, moderate = _pairs(df)
     lines = [X.N2_HEAD]
     if strong:
-        lines.append(X.N2_STRONG.format(n=len(strong)))
-        lines += [X.N2_PAIR.format(pair=r["pair"], r=r["r"]) for r in strong[:3]]
+        lines.append(X.N2_STRONG.format(n=strong[0]["total"]))
+        lines += [X.N2_PAIR.format(pair=r["pair"], r=r["r"]) for r in strong]
         lines.append(X.N2_STRONG_NOTE)
     if moderate:
-        lines.append(X.N2_MODERATE.format(n=len(moderate)))
-        lines += [X.N2_PAIR.format(pair=r["pair"], r=r["r"]) for r in moderate[:3]]
+        lines.append(X.N2_MODERATE.format(n=moderate[0]["total"]))
+        lines += [X.N2_PAIR.format(pair=r["pair"], r=r["r"]) for r in moderate]
         lines.append(X.N2_MODERATE_NOTE)
     if not strong and not moderate:
         lines.append(X.N2_NONE)
@@ -238,9 +243,9 @@ def dataset_findings(df: DataFrame, target: str | None = None) -> DataFrame:
             if u > rows * 0.8:
                 out.append(X.N5_CARDINALITY.format(column=c, n=u, pct=u / rows * 100))
     if strong:
-        out.append(X.N5_STRONG.format(n=len(strong)))
+        out.append(X.N5_STRONG.format(n=strong[0]["total"]))
     if moderate:
-        out.append(X.N5_MODERATE.format(n=len(moderate)))
+        out.append(X.N5_MODERATE.format(n=moderate[0]["total"]))
     out.append(X.N5_TARGET_FOCUS.format(target=target) if target
                else X.N5_BUSINESS.format(rows=rows, cols=len(df.columns)))
     return _rows(df.sparkSession, "dataset", [X.N5_ITEM.format(i=i, text=s) for i, s in enumerate(out, 1)])
@@ -284,10 +289,10 @@ def executive_summary(df: DataFrame, target: str | None = None) -> DataFrame:
               for c in cats[:3] if c in catp]
     s.append(X.N6_RELATIONS)
     if strong:
-        s.append(X.N6_STRONG.format(n=len(strong)))
+        s.append(X.N6_STRONG.format(n=strong[0]["total"]))
         s += [X.N6_PAIR.format(pair=r["pair"], r=r["r"]) for r in strong[:2]]
     if moderate:
-        s.append(X.N6_MODERATE.format(n=len(moderate)))
+        s.append(X.N6_MODERATE.format(n=moderate[0]["total"]))
         s += [X.N6_PAIR.format(pair=r["pair"], r=r["r"]) for r in moderate[:2]]
     if not strong and not moderate:
         s.append(X.N6_INDEPENDENT)

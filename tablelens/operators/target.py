@@ -24,6 +24,9 @@ from tablelens.operators import texts as X
 # Name fragments that mark a likely target column.
 TARGET_NAMES = ["target", "label", "y", "class", "category", "outcome", "result", "prediction"]
 
+#: sketch estimates above this rule out 10 or fewer distinct values
+FEW_CLASSES = 16
+
 
 def _is_num(df: DataFrame, c: str) -> bool:
     return K.kind_of(df.schema[c].dataType) == "numeric"
@@ -40,7 +43,10 @@ def _check(df: DataFrame, *cols: str):
 def detect_targets(df: DataFrame) -> DataFrame:
     """G1: (seq, column, reason, confidence). Name match → high; text column
     with 2–10 distinct values → medium; numeric column within [0, 1000] → low.
-    A column can appear more than once. One aggregation pass."""
+    A column can appear more than once. An approximate count rules out most
+    text columns first (at most 10 distinct values touch at most 10 registers
+    of the sketch, so its estimate is never above ``FEW_CLASSES`` for them);
+    only the others are counted exactly, in the pass that takes the ranges."""
     spark = df.sparkSession
     rows = []
     for c in df.columns:
@@ -53,6 +59,9 @@ def detect_targets(df: DataFrame) -> DataFrame:
         return named.select("seq", "column", "reason", "confidence")
     types = {f.name: f.dataType for f in df.schema.fields}
     items = []
+    if texts:
+        about = df.agg(*[F.approx_count_distinct(F.col(c)).alias(f"a{i}") for i, c in enumerate(texts)]).first()
+        texts = [c for i, c in enumerate(texts) if about[i] <= FEW_CLASSES]
     for c in texts:
         d = F.count_distinct(F.col(c))
         items.append(F.when((d >= 2) & (d <= 10), F.struct(
@@ -66,6 +75,8 @@ def detect_targets(df: DataFrame) -> DataFrame:
             F.lit(2).alias("seq"), F.lit(c).alias("column"),
             F.format_string(X.printf(X.TARGET_BY_RANGE), mn.cast("double"), mx.cast("double")).alias("reason"),
             F.lit("low").alias("confidence"))))
+    if not items:
+        return named.select("seq", "column", "reason", "confidence")
     found = df.agg(F.filter(F.array(*items), lambda x: x.isNotNull()).alias("_s")).select(F.inline("_s"))
     return named.select("seq", "column", "reason", "confidence").unionByName(found)
 
