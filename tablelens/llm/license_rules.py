@@ -1,8 +1,12 @@
 """License scans by sentence rules (DataFrame and SQL functions only).
 
-A text is cut into sentences; each is normalised (lower case, runs of anything
-but letters and digits become one space) and looked up among known licence
-sentences, which gives a sequence of sentence identifiers in text order. The
+A text is cut into units at sentence ends and blank lines (a line of comment
+marks only is blank), each unit into parts at its line breaks and after ';' or
+':'. Parts are normalised (lower case, runs of anything but letters and digits
+become one space). A known licence sentence is found where one part, or several
+in a row, make up its words, so notices wrapped at any width, behind comment
+marks or with a ';' inside are found whole, and so is a line of its own. This
+gives a sequence of sentence identifiers in text order. The
 ordered rules are then matched against that sequence: the first rule whose
 identifiers stand there in a row takes them, so that a full licence is not
 reported again by the short notice inside it. Identifiers no rule takes are
@@ -10,7 +14,9 @@ returned as ``unmatched``.
 
 All of it happens inside the row: no shuffle, and no group to skew.
 
-Defined cases: null and empty texts have no sentences (empty lists); repeated
+Defined cases: where known sentences overlap, the one that starts first counts,
+the longest if several start there; comment marks that are words (``REM``,
+``dnl``) are part of the sentence, which is then not found; null and empty texts have no sentences (empty lists); repeated
 rows are scanned one by one; other columns are carried.
 """
 
@@ -86,18 +92,29 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("CC-BY-NC-4.0", ("CCBYNCref",)),
 ]
 
-SPLIT = r"[.!?;:][ \t\r]+|\n+"
+#: ends of units: a sentence end, or a line without letters and digits
+UNIT = r"[.!?][ \t\r\n]+|\n[^a-z0-9\n]*(?=\n)"
+#: ends of parts besides line breaks
+PART = r"[;:][ \t\r]+"
 NOT_WORD = "[^a-z0-9]+"
-#: every known sentence holds one of these words; other sentences are not normalised
+#: every known sentence holds one of these words; other units are not normalised
 HINT = "licen|permission|warrant|rights|redistribut"
 
 
 def sentence_ids(text: Column, known: dict[str, str] = SENTENCES) -> Column:
     """Identifiers of the known sentences, in text order."""
     table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-    hinted = F.filter(F.split(F.lower(text), SPLIT, -1), lambda s: s.rlike(HINT))
-    found = F.transform(hinted, lambda s: F.element_at(table, F.trim(F.regexp_replace(s, NOT_WORD, " "))))
-    return F.filter(found, lambda i: i.isNotNull())
+    longest_first = sorted(known, key=len, reverse=True)
+    found_in = "(?m)^(?:" + "|".join(s.replace(" ", "[ \\n]") for s in longest_first) + ")$"
+
+    def ids(unit: Column) -> Column:
+        words = F.regexp_replace(F.regexp_replace(unit, PART, "\n"), r"[^a-z0-9\n]+", " ")
+        parts = F.trim(F.regexp_replace(words, r" ?\n[ \n]*", "\n"))
+        found = F.regexp_extract_all(parts, F.lit(found_in), F.lit(0))
+        return F.transform(found, lambda s: F.element_at(table, F.replace(s, F.lit("\n"), F.lit(" "))))
+
+    hinted = F.filter(F.split(F.lower(text), UNIT, -1), lambda u: u.rlike(HINT))
+    return F.flatten(F.transform(hinted, ids))
 
 
 def match_rules(ids: Column, rules: list[tuple[str, tuple[str, ...]]] = RULES) -> tuple[Column, Column]:
