@@ -2,8 +2,9 @@
 
 Documents are tokenised inside tasks (the ids of a text are the ids of its
 space-separated words in a row, since the tokenizer drops white space and no
-token crosses it; a bounded per-worker table remembers words). Longer ones are
-cut into pieces of the token capacity.
+token crosses it; a bounded per-worker table remembers words). The tokenizer is
+used as its file sets it up: special strings in a text (``<|endoftext|>``) give
+their own ids. Longer documents are cut into pieces of the token capacity.
 
 A bin has three capacities: tokens, documents and attention cost (the sum of
 squared piece lengths). Pieces of one length are interchangeable, so the plan
@@ -52,7 +53,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {"": b""}
 
     @classmethod
