@@ -115,16 +115,25 @@ def average_ranks(long_df: DataFrame, keys: Sequence[str], value: str = "value",
 def quantiles(long_df: DataFrame, keys: Sequence[str], value: str = "value",
               probs: Sequence[float] = (0.25, 0.5, 0.75), method: str = "auto",
               small_limit: int = SMALL_LIMIT, accuracy: int = 10000,
-              weight: str | None = None, rows_hint: int | None = None) -> DataFrame:
+              weight: str | None = None, rows_hint: int | None = None, lower: bool = False) -> DataFrame:
     """(keys..., quantiles array<double>) in the order of ``probs``; exact unless
     ``method='approx'`` (``percentile_approx`` with the given accuracy).
     ``weight`` names a count column when the rows are already counted;
     ``rows_hint`` is the input's row count when it is known cheaply (a parquet
     scan counts from its footers): at most ``small_limit`` rows go straight to
-    ``percentile``; otherwise the counted table is built once and sized."""
+    ``percentile``; otherwise the counted table is built once and sized.
+    ``lower``: values of the column itself (its type kept), always exact; the
+    small plan then is a window per key over the distinct values."""
     probs = [float(p) for p in probs]
     parr = F.array(*[F.lit(p) for p in probs])
     plan, built = _counted(long_df, keys, value, weight, method, small_limit, rows_hint)
+    if lower and plan != "large":
+        counts = built if built is not None else value_counts(long_df, keys, value, weight)
+        w = Window.partitionBy(*keys)
+        run = (counts.withColumn(_CUM, F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+               .withColumn(_TOTAL, F.sum("n").over(w)))
+        picks = [F.min(F.when(F.col(_CUM) > F.floor(F.lit(p) * (F.col(_TOTAL) - 1)), F.col(value))) for p in probs]
+        return run.groupBy(*keys).agg(F.array(*picks).alias("quantiles"))
     if plan == "approx" and weight is None:
         return long_df.groupBy(*keys).agg(
             F.percentile_approx(value, parr, accuracy).cast("array<double>").alias("quantiles"))
@@ -139,7 +148,7 @@ def quantiles(long_df: DataFrame, keys: Sequence[str], value: str = "value",
     h = F.col("p") * (F.col(_TOTAL) - 1)
     targets = (totals.select(*keys, _TOTAL, F.posexplode(parr).alias("pi", "p"))
                .withColumn("h", h)
-               .withColumn("lo", F.floor("h")).withColumn("hi", F.ceil("h"))
+               .withColumn("lo", F.floor("h")).withColumn("hi", F.col("lo") if lower else F.ceil("h"))
                .withColumn("k", F.explode(F.array_distinct(F.array("lo", "hi")))))
     located = targets.join(part.select(_PID, *keys, _BEFORE, _PN), list(keys)).where(
         (F.col("k") >= F.col(_BEFORE)) & (F.col("k") < F.col(_BEFORE) + F.col(_PN)))
@@ -156,6 +165,6 @@ def quantiles(long_df: DataFrame, keys: Sequence[str], value: str = "value",
         F.max(F.when(F.col("k") == F.col("hi"), F.col(value))).alias("vhi"))
     q = F.when(F.col("hi") == F.col("lo"), F.col("vlo")).otherwise(
         (F.col("hi") - F.col("h")) * F.col("vlo") + (F.col("h") - F.col("lo")) * F.col("vhi"))
-    per_p = per_p.withColumn("q", q.cast("double"))
+    per_p = per_p.withColumn("q", F.col("vlo") if lower else q.cast("double"))
     return per_p.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pi", "q"))), lambda s: s["q"]).alias("quantiles"))

@@ -220,7 +220,9 @@ def _fill_stats(df: DataFrame) -> tuple[dict, dict, int]:
     size allows: one value-count shuffle for the text modes, and one
     aggregation for missing counts (plus medians by ``percentile`` when the
     table is too small to hold a group of more than ``SMALL_LIMIT`` values;
-    otherwise medians come from the distributed quantile helper)."""
+    otherwise medians come from the distributed quantile helper). Dates and
+    timestamps take the exact lower median of their days or microseconds from
+    the quantile helper at any size."""
     from tablelens.functions.quantiles import SMALL_LIMIT
     texts, nums = K.categorical_columns(df), _numbers(df)
     dates = K.datetime_columns(df)
@@ -233,8 +235,6 @@ def _fill_stats(df: DataFrame) -> tuple[dict, dict, int]:
         exprs.append((F.count(F.lit(1)) - F.count(v)).alias(f"miss{k}"))
         if small and c in nums:
             exprs.append(F.percentile(v, F.lit(0.5)).alias(f"med{k}"))
-        if c in dates:   # a date column's median by a sketch of its days or microseconds
-            exprs.append(F.percentile_approx(_clock(c, types[c]), 0.5, 100_000).alias(f"med{k}"))
     one = df.agg(*exprs).first()
     missing = {c: int(one[f"miss{k}"]) for k, c in enumerate(df.columns)}
     fills: dict[str, dict] = {}
@@ -248,9 +248,13 @@ def _fill_stats(df: DataFrame) -> tuple[dict, dict, int]:
             m = meds.get(c)
             fills[c] = {"kind": "numeric", "fill": m, "fill_text": None,
                         "detail": X.FILL_MEDIAN.format(value=m if m is not None else float("nan"))}
-    for k, c in enumerate(df.columns):
-        if c in dates:
-            m = _moment(one[f"med{k}"], types[c])
+    if dates:
+        clocks = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), _clock(c, types[c]).alias("value"))
+                                              for c in dates])))
+        q = quantiles(clocks, ["column"], "value", (0.5,), small_limit=SMALL_LIMIT, rows_hint=rows, lower=True).collect()
+        meds = {r["column"]: r["quantiles"][0] for r in q}
+        for c in dates:
+            m = _moment(meds.get(c), types[c])
             fills[c] = {"kind": "datetime", "fill": m, "fill_text": None,
                         "detail": X.FILL_MEDIAN.replace("{value:.2f}", str(m) if m is not None else "nan")}
     if texts:

@@ -123,6 +123,21 @@ def q_c7_wide(spark, sf):
     return C.clean(spark.sql(WIDE_SQL.format(src="orders_wide_src")), cap=False).table
 
 
+# Every seventh timestamp is null, the others are all different. The same text runs on both sides.
+MOMENTS_SQL = "SELECT 'e' || event_id AS event, CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts END AS ts, event_type FROM {src}"
+
+
+@register("c7_clean_timestamps_events", f"""
+WITH d AS ({MOMENTS_SQL.format(src="events")}),
+m AS (SELECT quantile_disc(ts, 0.5) AS o FROM d)
+SELECT DISTINCT event, coalesce(ts, o) AS ts, event_type FROM d, m
+""")
+def q_c7_moments(spark, sf):
+    """C2, C7 without capping: null timestamps take the exact lower median of many distinct ones."""
+    table(spark, sf, "events", balance=False).createOrReplaceTempView("events_moments_src")
+    return C.clean(spark.sql(MOMENTS_SQL.format(src="events_moments_src")), cap=False).table
+
+
 def findings_sql(source: str, topic: str, lines: list[tuple[str, str | None]]) -> str:
     return (f"WITH s AS ({source}), l AS ({_lines(lines)}) "
             f"SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS seq, '{topic}' AS topic, finding FROM l")
