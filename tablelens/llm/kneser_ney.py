@@ -17,6 +17,10 @@ A shard with many questions is dealt again by block. The answers go back to
 the blocks, which sum them along their texts. Blocks, counts and answers use
 one exchange of the texts. What the model gathers grows with the trusted text.
 
+A limit of the method: perplexity is the only verdict. Toxic words in fluent
+text hardly move it, so nearly all such documents are kept (README has the
+measured recall); this is no toxicity filter.
+
 Characters beyond U+FFFF share 2,048 codes (a 4-gram is one 64-bit number).
 
 Defined cases: a null or empty text has no perplexity and is kept (nothing
