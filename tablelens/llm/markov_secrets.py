@@ -2,9 +2,13 @@
 
 Base rules find assignments, access keys and hex strings. On top of them two
 character Markov models, one of random strings and one of ordinary
-identifiers, are trained from labelled samples; a long token whose transitions
-are likelier under the random model (log-likelihood ratio above the
-thresholds) is reported as kind ``markov``.
+identifiers, are trained: the ordinary one from words of documents labelled
+good, the random one from generated strings (digests of those documents' ids).
+A token whose transitions are likelier under the random model (log-likelihood
+ratio above the thresholds) is reported as kind ``markov``. Tokens of 12
+characters or more are judged; below 20 only those with a letter, since a card
+number, a date or a time stamp is as random as a key to a model of characters.
+Up to 20 transitions the sum alone decides.
 
 The model is one table of 128 x 128 log-ratio entries, whatever the corpus;
 scanning stays inside the row, so there is no shuffle and no group to skew.
@@ -15,6 +19,7 @@ exclusive; repeated rows are scanned one by one; other columns are carried.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -30,7 +35,8 @@ BASE: list[tuple[str, str, int, int]] = [
 ]
 KINDS = [k for k, _, _, _ in BASE] + ["markov"]
 
-TOKEN = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}"   # what the models judge
+# what the models judge
+TOKEN = r"(?<![A-Za-z0-9+/=_-])(?:[A-Za-z0-9+/=_-]{20,}|(?=[0-9+/=_-]*[A-Za-z])[A-Za-z0-9+/=_-]{12,})"
 ORDINARY = r"[A-Za-z][A-Za-z0-9]{3,}"                   # words of the ordinary sample
 MIN_MEAN = 0.4     # nats a transition
 MIN_SUM = 8.0      # nats in all
@@ -49,10 +55,11 @@ class Model:
         return F.split(F.lit(",".join(map(str, self.ratio))), ",").cast("array<int>")
 
 
-def spans_of(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0) -> Column:
-    """Leftmost non-overlapping matches as spans. The pieces between matches
-    give their places: a match starts where the pieces and matches before it
-    end."""
+def spans_of(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0,
+             judge: Callable[[Column], Column] | None = None) -> Column:
+    """Leftmost non-overlapping matches as spans, those whose ``group`` is long
+    enough and passes ``judge``. The pieces between matches give their places:
+    a match starts where the pieces and matches before it end."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     steps = F.arrays_zip(found.alias("m"), parts.alias("g"), F.split(text, pattern, -1).alias("before"))
@@ -61,7 +68,7 @@ def spans_of(text: Column, kind: str, pattern: str, group: int = 0, least: int =
         start = acc["at"] + F.length(x["before"])
         end = start + F.length(x["m"])
         span = F.struct(F.lit(kind).alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end"))
-        keep = F.length(x["g"]) >= least
+        keep = F.length(x["g"]) >= least if judge is None else judge(x["g"])
         return F.struct(end.cast("long").alias("at"),
                         F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
@@ -131,7 +138,7 @@ def find_secrets(df: DataFrame, model: Model, text_col: str = "text") -> DataFra
     out = df.withColumn("__ms_text", text)
     t = F.col("__ms_text")
     base = [spans_of(t, *rule) for rule in BASE]
-    judged = F.filter(spans_of(t, "markov", TOKEN), lambda s: _is_random(F.substring(t, s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int")), model))
+    judged = spans_of(t, "markov", TOKEN, judge=lambda token: _is_random(token, model))
     out = out.withColumn("__ms_base", F.concat(*base)).withColumn("__ms_more", judged)
     order = lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))
     back = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
@@ -141,8 +148,8 @@ def find_secrets(df: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
 
 def _is_random(token: Column, model: Model) -> Column:
-    score = log_ratio(token, model)
-    return (score >= int(MIN_SUM * 1000)) & (score >= F.lit(int(MIN_MEAN * 1000)) * (F.length(token) - 1))
+    least = F.greatest(F.lit(int(MIN_SUM * 1000)), F.lit(int(MIN_MEAN * 1000)) * (F.length(token) - 1))
+    return log_ratio(token, model) >= least
 
 
 def spans_text(spans: Column) -> Column:
