@@ -17,7 +17,7 @@ Scores are exact integers; a node pair is dropped only when its bound is
 
 Defined cases: null vectors, vectors with null or non-finite components and
 empty vectors take no part; vectors meet only vectors of their own length;
-repeated rows are candidates each; a query with fewer candidates than ``k``
+rows without an id are left out; repeated rows are candidates each; a query with fewer candidates than ``k``
 gets all it has; an empty table gives an empty result; other columns are not
 read.
 """
@@ -159,10 +159,10 @@ def dual_top_k(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, x: np.ndarra
 
 
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(vec_id, vec): floor(scale * component) as double, of vectors whose components are all finite."""
+    """(vec_id, vec): floor(scale * component) as double, of vectors with an id whose components are all finite."""
     v = F.col(vec_col).cast("array<double>")
     fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return df.filter(F.coalesce(fine, F.lit(False))).select(
+    return df.filter(F.coalesce(fine, F.lit(False)) & F.col(id_col).cast("long").isNotNull()).select(
         F.col(id_col).cast("long").alias("vec_id"),
         F.transform(v, lambda x: F.floor(x * F.lit(float(scale))).cast("double")).alias("vec"))
 
@@ -187,7 +187,8 @@ def _search(pairs: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
                                          "score": np.concatenate([s for s, _ in found]).astype(np.int64)}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
-    return (pairs.groupBy("dim", "block").cogroup(blocks.groupBy("dim", "block"))
+    keys = ("dim", "block", "part")
+    return (pairs.groupBy(*keys).cogroup(blocks.groupBy(*keys))
             .applyInPandas(meet, "query_id long, vec_id long, score long"))
 
 
@@ -203,17 +204,20 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col:
     rows = stored(integer_vectors(df, id_col, vec_col, scale).withColumn("dim", F.size("vec")), "vectors")
     n = rows.count()
     blocks_n = max(1, -(-n // block_rows))
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks_n)).cast("int"))
+    blocks = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks_n)).cast("int")).withColumn("part", F.lit(0))
     queries = rows.filter(is_query).select(*[F.col(a).alias(b) for a, b in (("vec_id", "query_id"), ("vec", "vec"), ("dim", "dim"))])
     home = F.pmod(F.xxhash64("query_id"), F.lit(blocks_n)).cast("int")
     none = F.lit(float("-inf"))
-    first = stored(_search(queries.select("query_id", "vec", "dim", home.alias("block"), none.alias("floor")), blocks, k), "top-first")
+    first = stored(_search(queries.select("query_id", "vec", "dim", home.alias("block"), F.lit(0).alias("part"), none.alias("floor")), blocks, k), "top-first")
     if blocks_n == 1:
         return _best(first, k).select("query_id", "rank", "vec_id", "score")
     kth = _best(first, k).groupBy("query_id").agg(
         F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(F.lit(None)).cast("double").alias("kth"))
+    parts_n = max(1, -(-queries.count() // QUERY_ROWS))   # a task meets about QUERY_ROWS queries, however many there are
+    part = F.pmod(F.hash("query_id"), F.lit(parts_n)).cast("int")
+    met = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts_n - 1))))
     rest = (queries.join(kth.withColumnRenamed("query_id", "__ct_id"), F.col("query_id") == F.col("__ct_id"), "left")
-            .select("query_id", "vec", "dim", F.coalesce("kth", none).alias("floor"), home.alias("__ct_home"))
+            .select("query_id", "vec", "dim", F.coalesce("kth", none).alias("floor"), home.alias("__ct_home"), part.alias("part"))
             .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks_n - 1))))
             .filter(F.col("block") != F.col("__ct_home")).drop("__ct_home"))
-    return _best(first.unionByName(_search(rest, blocks, k)), k).select("query_id", "rank", "vec_id", "score")
+    return _best(first.unionByName(_search(rest, met, k)), k).select("query_id", "rank", "vec_id", "score")
