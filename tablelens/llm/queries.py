@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm import bloom_dedup, cover_tree, fm_index, histogram_shards, kneser_ney, license_rules, markov_secrets
-from tablelens.llm import packing, piece_trie, simhash
+from tablelens.llm import bloom_dedup, cover_tree, fill_in_middle, fm_index, histogram_shards, importance_resampling, kneser_ney
+from tablelens.llm import license_rules, markov_secrets, packing, piece_trie, simhash
 from tablelens.llm.common import read, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,18 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies among documents; of equal texts the largest doc_id stays."""
     return bloom_dedup.duplicate_groups(read(spark, sf_dir, "documents"))
+
+
+@register("op12_regex_fill_in_middle", fill_in_middle.oracle_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents cut into prefix, middle and suffix and put in another order, and back."""
+    out = fill_in_middle.digests(fill_in_middle.fill_in_middle(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    return out.select("doc_id", F.col("fim_units").alias("n"), F.col("fim_form").alias("form"),
+                      F.col("fim_prefix_chars").alias("prefix_chars"), F.col("fim_middle_chars").alias("middle_chars"),
+                      "output_sha256", "restored_sha256")
+
+
+@register("op13_overlapped_resampling", importance_resampling.oracle_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents drawn towards the n-gram distribution of benchmark."""
+    return importance_resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
