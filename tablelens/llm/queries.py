@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelens.llm import bloom_dedup, cover_tree, fill_in_middle, fm_index, histogram_shards, importance_resampling, kneser_ney
-from tablelens.llm import license_rules, markov_secrets, packing, piece_trie, simhash
+from tablelens.llm import license_rules, markov_secrets, packing, phrase_index, piece_trie, simhash
 from tablelens.llm.common import read, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,6 +123,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_dedup.duplicate_groups(read(spark, sf_dir, "documents"))
 
 
+@register("op11_positional_index", phrase_index.oracle_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with words inside a 10-word window of benchmark, found through a positional index."""
+    out = phrase_index.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+                      (F.col("n_hit") > 0).alias("contaminated"))
+
+
 @register("op12_regex_fill_in_middle", fill_in_middle.oracle_sql())
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents cut into prefix, middle and suffix and put in another order, and back."""
