@@ -33,8 +33,13 @@ CSV_NULL_TOKENS = [
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
+def at(c: str) -> Column:
+    """The column of this very name: dots, spaces and backticks in it are part of the name."""
+    return F.col("`" + c.replace("`", "``") + "`")
+
+
 def col_(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    return at(c) if isinstance(c, str) else c
 
 
 def is_numeric_type(dt: T.DataType) -> bool:

@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelens.functions.frames import agg_by_column, materialize, numeric_long, per_column, rounded, string_long
+from tablelens.functions.frames import agg_by_column, numeric_long, per_column, rounded, string_long
 from tablelens.functions.quantiles import SMALL_LIMIT, quantiles
-from tablelens.functions.stats import adjusted_kurtosis, adjusted_skewness, num, to_number
+from tablelens.functions.selection import Ordinal, OrderStatistics, order_statistics, ordinal
+from tablelens.functions.stats import adjusted_kurtosis, adjusted_skewness, at, num, to_number
 from tablelens.operators import kinds as K
 
 _FIXED_WIDTH = {
@@ -145,10 +146,20 @@ def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     ])
 
 
+def order_values(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75)) -> dict[str, OrderStatistics]:
+    """The exact values around ``probs`` per column, by sketch and bracket."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return order_statistics(df, {c: ordinal(at(c), types[c]) for c in cols}, probs)[0]
+
+
 def quartiles(df: DataFrame, cols: Sequence[str], method: str = "auto") -> DataFrame:
-    """(column, q25, median, q75) exact."""
-    hint = df.count() if method == "auto" else None
-    q = quantiles(numeric_long(df, cols), ["column"], "value", (0.25, 0.5, 0.75), method=method, rows_hint=hint)
+    """(column, q25, median, q75) exact; columns without a value have no row.
+    ``auto`` selects by sketch and bracket and never shuffles a column; the
+    other methods force a plan of :func:`quantiles`."""
+    if method == "auto":
+        rows = [(c, o.linear(0.25), o.linear(0.5), o.linear(0.75)) for c, o in order_values(df, cols).items() if o.n]
+        return df.sparkSession.createDataFrame(rows, "column string, q25 double, median double, q75 double")
+    q = quantiles(numeric_long(df, cols), ["column"], "value", (0.25, 0.5, 0.75), method=method)
     return q.select("column", F.col("quantiles")[0].alias("q25"), F.col("quantiles")[1].alias("median"),
                     F.col("quantiles")[2].alias("q75"))
 
@@ -188,21 +199,36 @@ _SUMMARY_SCHEMA = ("column string, count long, mean double, median double, std d
                    "missing_pct double, outliers long, unique_count long, error string")
 
 
-def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, method: str = "auto",
-                    rule: str | None = "majority_non_null") -> DataFrame:
-    """Every U1 statistic of many numeric columns from ONE scan of the table.
+def distinct_values(df: DataFrame, cols: dict[str, Ordinal]) -> dict[str, int]:
+    """Exact distinct non-null values per column, each compared in its own type.
+    Exactness needs every distinct value once: one shuffle of (column, value),
+    combined before it."""
+    names = list(cols)
+    null = F.lit(None)
+    structs = [F.struct(F.lit(i).alias("c"), (cols[c].value if cols[c].whole else null).cast("long").alias("whole"),
+                        (null if cols[c].whole else cols[c].value).cast("double").alias("real")) for i, c in enumerate(names)]
+    long = df.select(F.inline(F.array(*structs))).where(F.coalesce(F.col("whole").isNotNull() | F.col("real").isNotNull(), F.lit(False)))
+    counts = {r["c"]: r["n"] for r in long.distinct().groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = {c: counts.get(i, 0) for i, c in enumerate(names)}
+    wide = [f.name for f in df.schema.fields if f.name in out and isinstance(f.dataType, T.DecimalType) and not cols[f.name].whole]
+    if wide:   # decimals that neither a long nor a double can tell apart
+        out |= df.agg(*[F.count_distinct(at(c)).alias(c) for c in wide]).first().asDict()
+    return out
 
-    The scan feeds one shuffle into the counted table ``(column, value,
-    raw_null, n)`` (partial aggregation collapses repeated values map-side),
-    which is kept for the rest: a pass for totals, nulls, extremes and distinct
-    counts; the exact quartiles (weighted ``percentile``, or the range-partitioned
-    plan for big groups); a pass for the central moments (two-pass, shifted by
-    the exact mean) and the values outside the fences. The answer has one row
-    per column, assembled from those small results.
+
+def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, method: str = "auto",
+                    rule: str | None = "majority_non_null", distinct: bool = True) -> DataFrame:
+    """Every U1 statistic of many numeric columns, without shuffling a column
+    for anything but the exact distinct count (``distinct=False`` leaves that
+    out). Two scans: one for totals, nulls, extremes and quantile sketches, one
+    that turns the sketches' brackets into exact quartiles and gives the
+    central moments (shifted by the mean) and the values outside the fences.
+    The answer has one row per column, assembled from those small results.
 
     With ``rule='majority_non_null'`` and no explicit columns, text columns
-    join speculatively as numbers (non-numbers become null and cost nothing in
-    the shuffle) and are kept when most of their non-null values convert."""
+    join speculatively as numbers (non-numbers become null) and are kept when
+    most of their non-null values convert. ``method`` other than ``auto``
+    forces a plan of :func:`quantiles` for the quartiles."""
     spark = df.sparkSession
     types = {f.name: f.dataType for f in df.schema.fields}
     texts: list[str] = []
@@ -214,89 +240,71 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, method: st
     cols = list(cols)
     if not cols:
         return spark.createDataFrame([], _SUMMARY_SCHEMA)
-    structs = []
-    for c in cols:
-        raw = F.col(c)
-        val = to_number(c) if isinstance(types[c], T.StringType) else num(c, types[c])
-        structs.append(F.struct(F.lit(c).alias("column"), val.alias("value"), raw.isNull().alias("raw_null")))
-    long = df.select(F.inline(F.array(*structs)))
-    counted = long.groupBy("column", "value", "raw_null").agg(F.count(F.lit(1)).alias("n"))
-    # small inputs keep the counted table in executor memory; large ones write
-    # it once to the shared folder (no recomputed shuffle after a lost executor)
-    small = df.count() <= SMALL_LIMIT
-    counts = counted.persist() if small else materialize(counted, "summary-counts")
-    try:
-        v, n = F.col("value"), F.col("n")
-        present = v.isNotNull()
-        a = {r["column"]: r for r in counts.groupBy("column").agg(
-            F.sum(n).alias("rows"), F.sum(F.when(present, n)).alias("count"),
-            F.sum(F.when(~F.col("raw_null"), n)).alias("non_null_raw"),
-            F.sum(F.when(present, n * v)).alias("s1"), F.min(v).alias("min"), F.max(v).alias("max"),
-            F.count(v).alias("unique")).collect()}
-        empty = {"rows": 0, "count": 0, "non_null_raw": 0, "s1": None, "min": None, "max": None, "unique": 0}
-        a = {c: (a[c].asDict() if c in a else dict(empty)) for c in cols}
-        keep = [c for c in cols if c not in texts or (a[c]["count"] or 0) > 0.5 * (a[c]["non_null_raw"] or 0)]
-        present_counts = counts.where(present & F.col("column").isin(keep))
-        # plan per column: low-cardinality columns use weighted percentile,
-        # only the big ones pay for the range-partitioned plan
-        if method == "auto":
-            small_cols = [c for c in keep if 0 < a[c]["unique"] <= SMALL_LIMIT]
-            big_cols = [c for c in keep if a[c]["unique"] > SMALL_LIMIT]
-        else:
-            small_cols, big_cols = ([c for c in keep if a[c]["unique"] > 0], []) if method != "distributed" \
-                else ([], [c for c in keep if a[c]["unique"] > 0])
-        qs = {}
-        for group, plan in ((small_cols, "percentile" if method == "auto" else method), (big_cols, "distributed")):
-            if group:
-                part = present_counts.where(F.col("column").isin(group))
-                qs.update(per_column(quantiles(part, ["column"], "value", (0.25, 0.5, 0.75), method=plan,
-                                               weight="n").collect()))
-        lits = []
-        for c in keep:
-            cnt = a[c]["count"] or 0
-            mean = a[c]["s1"] / cnt if cnt else None
-            q = qs.get(c)
-            q1, q2, q3 = q["quantiles"] if q else (None, None, None)
-            lo = q1 - 1.5 * (q3 - q1) if q else None
-            hi = q3 + 1.5 * (q3 - q1) if q else None
-            lits.append((c, mean, lo, hi, q1, q2, q3))
-        lit_df = spark.createDataFrame(lits, "column string, mean double, lo double, hi double, "
-                                             "q1 double, q2 double, q3 double")
-        d = v - F.col("mean")
-        b = {r["column"]: r for r in present_counts.join(F.broadcast(lit_df.select("column", "mean", "lo", "hi")),
-                                                          "column").groupBy("column").agg(
-            F.sum(n * d * d).alias("m2"), F.sum(n * d * d * d).alias("m3"), F.sum(n * d * d * d * d).alias("m4"),
-            F.sum(F.when((v < F.col("lo")) | (v > F.col("hi")), n).otherwise(0)).alias("outliers")).collect()}
-    finally:
-        if small:
-            counts.unpersist()
+    values = {c: to_number(c) if isinstance(types[c], T.StringType) else num(c, types[c]) for c in cols}
+    exact = {c: ordinal(values[c], T.DoubleType()) if isinstance(types[c], T.StringType) else ordinal(at(c), types[c]) for c in cols}
+    if texts:   # text columns are looked through before their quartiles are searched
+        numbers = _mostly_numbers(df, texts, values)
+        cols = [c for c in cols if c not in texts or c in numbers]
+    rides: dict = {"rows": (F.count(F.lit(1)), F.sum)}
+    for i, c in enumerate(cols):
+        rides |= {f"min{i}": (F.min(values[c]), F.min), f"max{i}": (F.max(values[c]), F.max)}
+    exact = {c: exact[c] for c in cols}
+    probs = (0.25, 0.5, 0.75)
+    orders, a = order_statistics(df, exact, probs if method == "auto" else (), rides, summary=True, fences=method == "auto")
+    total = int(a["rows"] or 0)
+    if method == "auto":
+        quart = {c: tuple(map(o.linear, probs)) for c, o in orders.items() if o.n}
+    else:
+        view = df.select(*[values[c].alias(c) for c in cols])
+        quart = {r["column"]: (r["q25"], r["median"], r["q75"]) for r in quartiles(view, cols, method).collect()} if cols else {}
+        _outliers_apart(df, values, orders, quart)
+    keep, n = cols, {c: o.n for c, o in orders.items()}
+    unique = distinct_values(df, exact) if distinct and keep else {}
     rows = []
-    for c, mean, lo, hi, q1, q2, q3 in lits:
-        r, m = a[c], b.get(c)
-        cnt, total = int(r["count"] or 0), int(r["rows"] or 0)
+    for c in keep:
+        i, cnt, m = cols.index(c), n[c], orders[c].powers
+        low, high = a[f"min{i}"], a[f"max{i}"]
+        q1, q2, q3 = quart.get(c, (None, None, None))
         std = skew = kurt = None
         if m is not None and cnt >= 2:
-            std = 0.0 if r["min"] == r["max"] else math.sqrt(max(m["m2"], 0.0) / (cnt - 1))
+            std = 0.0 if low == high else math.sqrt(max(m[0], 0.0) / (cnt - 1))
         if m is not None and cnt >= 3:
-            m2, m3 = m["m2"] / cnt, m["m3"] / cnt
-            skew = 0.0 if m2 <= 0 or r["min"] == r["max"] else math.sqrt(cnt * (cnt - 1)) / (cnt - 2) * m3 / m2 ** 1.5
+            m2, m3 = m[0] / cnt, m[1] / cnt
+            skew = 0.0 if m2 <= 0 or low == high else math.sqrt(cnt * (cnt - 1)) / (cnt - 2) * m3 / m2 ** 1.5
         if m is not None and cnt >= 4:
-            m2, m4 = m["m2"] / cnt, m["m4"] / cnt
-            kurt = 0.0 if m2 <= 0 or r["min"] == r["max"] else (cnt - 1) / ((cnt - 2) * (cnt - 3)) * ((cnt + 1) * (m4 / (m2 * m2) - 3) + 6)
+            m2, m4 = m[0] / cnt, m[2] / cnt
+            kurt = 0.0 if m2 <= 0 or low == high else (cnt - 1) / ((cnt - 2) * (cnt - 3)) * ((cnt + 1) * (m4 / (m2 * m2) - 3) + 6)
         missing = total - cnt
-        rows.append((c, cnt, mean, q2, std, r["min"], r["max"], q1, q3, skew, kurt, missing,
-                     missing * 100.0 / total if total else None,
-                     int(m["outliers"]) if (m is not None and cnt > 0 and lo is not None) else None,
-                     int(r["unique"] or 0), "No valid numeric data" if cnt == 0 else None))
+        rows.append((c, cnt, orders[c].mean, q2, std, low, high, q1, q3, skew, kurt, missing,
+                     missing * 100.0 / total if total else None, orders[c].outliers,
+                     unique.get(c, 0) if distinct else None, "No valid numeric data" if cnt == 0 else None))
     return spark.createDataFrame(rows, _SUMMARY_SCHEMA)
 
 
+def _outliers_apart(df: DataFrame, values: dict, orders: dict, quart: dict) -> None:
+    """Outliers by a scan of their own (forced quantile plans)."""
+    outside = []
+    for q1, _, q3 in quart.values():
+        outside.append((_lit(q1 - 1.5 * (q3 - q1)), _lit(q3 + 1.5 * (q3 - q1))))
+    counts = [F.count_if((values[c] < lo) | (values[c] > hi)) for c, (lo, hi) in zip(quart, outside)]
+    for c, k in zip(quart, df.agg(F.array(*counts).alias("k")).first()["k"] if counts else []):
+        orders[c].outliers = int(k)
+
+
+def _mostly_numbers(df: DataFrame, texts: list[str], values: dict) -> list[str]:
+    """Text columns whose non-null values are mostly numbers."""
+    if not texts:
+        return []
+    pairs = [F.struct(F.count(values[c]).alias("n"), F.count(at(c)).alias("raw")) for c in texts]
+    return [c for c, r in zip(texts, df.agg(F.array(*pairs).alias("s")).first()["s"]) if r["n"] > 0.5 * r["raw"]]
+
+
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, method: str = "auto",
                      rule: str | None = None, decimals: int | None = None) -> DataFrame:
     """Count, mean, std, min, q25, median, q75, max, skewness, kurtosis
     per numeric column (one scan; see :func:`numeric_summary`). ``decimals=3``
     gives the rounded display table."""
-    return rounded(numeric_summary(df, cols, method, rule).select(
+    return rounded(numeric_summary(df, cols, method, rule, distinct=False).select(
         "column", "count", "mean", "std", "min", "q25", "median", "q75", "max", "skewness", "kurtosis"), decimals)
 
 
