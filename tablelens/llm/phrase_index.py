@@ -17,9 +17,10 @@ a term that the corpus lacks are dropped before anything is read.
 
 Lists are rows, not arrays, so a word that stands in a third of all documents
 is a longer run of rows and no larger row; every intersection is an equi-join
-on (row, place, term), unique on the index's side. Only the vocabulary may be
-broadcast, below ``BROADCAST_TERMS`` terms and ``BROADCAST_BYTES`` bytes;
-beyond that the words are written and joined by shuffle.
+on (row, place, term), unique on the index's side. The vocabulary is broadcast
+below ``BROADCAST_TERMS`` terms and ``BROADCAST_BYTES`` bytes, tables of test
+phrases and numbers of rows in question below ``BROADCAST_ROWS`` rows (all
+counted first); beyond that they are joined by shuffle.
 
 Defined cases: null and empty texts have no words and are never hit; an item
 without words has no window, one shorter than the window is one window of its
@@ -45,6 +46,7 @@ HEADER = "\x00"     # stands after a text's last word; no word holds it
 
 BROADCAST_TERMS = 1_000_000
 BROADCAST_BYTES = 64 << 20
+BROADCAST_ROWS = 4_000_000      # rows of at most three longs each
 
 
 @dataclass(frozen=True)
@@ -64,6 +66,12 @@ class Index:
         return self.lists().groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` as the broadcast side of a join when it has at most ``limit``
+    rows; a larger one is joined by shuffle."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def words(text: Column | str) -> Column:
     return F.regexp_extract_all(F.translate(text_or_empty(text), UPPER, LOWER), F.lit(WORD), F.lit(0))
 
@@ -124,10 +132,11 @@ def _narrowed(begins: DataFrame, asked: DataFrame, index: Index, slop: int, name
     ``asked`` terms all have a posting at start + offset, give or take ``slop``."""
     shifts = F.explode(F.array(*[F.lit(d) for d in range(-slop, slop + 1)]))
     need = asked.groupBy("phrase").agg(F.count(F.lit(1)).alias("need"))
-    asks = (begins.join(asked.join(need, "phrase"), "phrase").select("*", shifts.alias("shift"))
+    asks = (begins.join(_bounded(asked.join(need, "phrase")), "phrase").select("*", shifts.alias("shift"))
             .withColumn("place", F.col("start") + F.col("offset") + F.col("shift")))
-    lists = (index.lists().join(asked.select("term").distinct(), "term", "left_semi")
-             .join(begins.select("row").distinct(), "row", "left_semi"))
+    # only postings of asked terms in rows that are still in question move
+    lists = (index.lists().join(_bounded(asked.select("term").distinct()), "term", "left_semi")
+             .join(_bounded(begins.select("row").distinct()), "row", "left_semi"))
     met = asks.join(lists, ["row", "place", "term"])
     if slop:
         keys = ["phrase", "row", "start", "distance", "need"]
@@ -143,7 +152,7 @@ def matches(index: Index, wanted: Phrases, slop: int = 0) -> DataFrame:
     how far the furthest term is from its exact place (0: the exact phrase)."""
     order = by_rarity(index, wanted)
     rarest = order.filter(F.col("turn") == 1).select("phrase", "term", "offset")
-    begins = (index.lists().join(rarest, "term").select("phrase", "row", (F.col("place") - F.col("offset")).alias("start"), F.lit(0).alias("distance")))
+    begins = (index.lists().join(_bounded(rarest), "term").select("phrase", "row", (F.col("place") - F.col("offset")).alias("start"), F.lit(0).alias("distance")))
     if slop == 0:
         begins = begins.filter(F.col("start") >= 0)
     begins = stored(begins, "phrase-begins")
@@ -155,7 +164,7 @@ def matches(index: Index, wanted: Phrases, slop: int = 0) -> DataFrame:
     whole = _narrowed(left, rest, index, slop, "phrase-matches")
     pairs = left.join(longer.filter(F.col("length") == 2).select("phrase"), "phrase", "left_semi")
     single = begins.join(alone.select("phrase"), "phrase", "left_semi")
-    return single.unionByName(pairs).unionByName(whole).join(lengths, "phrase")
+    return single.unionByName(pairs).unionByName(whole).join(_bounded(lengths), "phrase")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text",
@@ -167,7 +176,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     found = matches(index, wanted)
     places = found.select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("place"))
     hit = stored(places.distinct().groupBy("row").agg(F.count(F.lit(1)).alias("n_hit")), "phrase-hits")
-    held = found.select("row", "phrase").distinct().join(wanted.members, "phrase").select("row", "item").distinct()
+    held = found.select("row", "phrase").distinct().join(_bounded(wanted.members), "phrase").select("row", "item").distinct()
     named = stored(held.groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items")), "phrase-named")
     return (index.headers().join(hit, "row", "left").join(named, "row", "left")
             .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
