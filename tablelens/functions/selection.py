@@ -99,12 +99,20 @@ class OrderStatistics:
     mean: float | None = None
     powers: tuple[float, float, float] | None = None
     outliers: int | None = None
+    reach: float = 1.5
 
-    def fences(self, k: float = 1.5) -> tuple[float, float] | None:
+    def exact(self, p: float) -> Decimal:
+        """As ``linear``, without rounding (whole numbers and decimals)."""
+        h = Decimal(str(p)) * (self.n - 1)
+        lo, hi = Decimal(self.at[math.floor(h)]), Decimal(self.at[math.ceil(h)])
+        return lo + (h - math.floor(h)) * (hi - lo)
+
+    def fences(self) -> tuple[float, float] | None:
+        """``reach`` quartile distances beyond the quartiles."""
         if not self.n:
             return None
         q1, q3 = self.linear(0.25), self.linear(0.75)
-        return q1 - k * (q3 - q1), q3 + k * (q3 - q1)
+        return q1 - self.reach * (q3 - q1), q3 + self.reach * (q3 - q1)
 
     def lower(self, p: float):
         return self.at[math.floor(p * (self.n - 1))] if self.n else None
@@ -165,7 +173,7 @@ def _read_off(spark, sketches: dict[str, tuple[bytes, bool, list[float]]]) -> di
 
 def order_statistics(df: DataFrame, cols: dict[str, Ordinal], probs: Sequence[float],
                      extra: dict[str, tuple[Column, Callable[[str], Column]]] | None = None,
-                     summary: bool = False, fences: bool = False) -> tuple[dict[str, OrderStatistics], dict]:
+                     summary: bool = False, fences: bool = False, reach: float = 1.5) -> tuple[dict[str, OrderStatistics], dict]:
     """For every column the exact values at the ranks of ``probs``. ``extra``
     names aggregates over ``df`` (and how to merge them) that ride along with
     pass one; their values are the second result. ``summary`` (power sums) and
@@ -187,7 +195,7 @@ def order_statistics(df: DataFrame, cols: dict[str, Ordinal], probs: Sequence[fl
     margin = _margin()
     for i, c in enumerate(names):
         n = int(row[f"n{i}"] or 0)
-        found[c] = OrderStatistics(n, mean=row[f"t{i}"] / n if summary and n else None)
+        found[c] = OrderStatistics(n, mean=row[f"t{i}"] / n if summary and n else None, reach=reach)
         if not n:
             continue
         ranks = sorted({r for p in probs for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
@@ -295,7 +303,7 @@ def _spans(targets) -> list[list]:
     return out
 
 
-def _fence_brackets(o: OrderStatistics, own: dict[int, _Target], scale: int, k: float = 1.5):
+def _fence_brackets(o: OrderStatistics, own: dict[int, _Target], scale: int):
     """Where the two fences must lie, given the quartiles' brackets (None: no bound known)."""
     def ends(p):
         h = p * (o.n - 1)
@@ -308,7 +316,7 @@ def _fence_brackets(o: OrderStatistics, own: dict[int, _Target], scale: int, k:
     (l1, h1), (l3, h3) = ends(0.25), ends(0.75)
     if None in (l1, h1, l3, h3) or not all(map(math.isfinite, (l1, h1, l3, h3))):
         return None
-    slack = 1e-9 * max(abs(l1), abs(h1), abs(l3), abs(h3))   # far beyond the rounding of the sums below
+    k, slack = o.reach, 1e-9 * max(abs(l1), abs(h1), abs(l3), abs(h3))   # far beyond the rounding of the sums below
     return (l1 - k * (h3 - l1) - slack, h1 - k * (l3 - h1) + slack), (l3 + k * (l3 - h1) - slack, h3 + k * (h3 - l1) + slack)
 
 
@@ -391,7 +399,7 @@ def _read_counts(counted: DataFrame, names: dict, cols: dict, found: dict, got:
         c = names[i]
         if any(x == c and isinstance(t, _Target) for (x, _), t in got.items()):
             continue
-        known = OrderStatistics(found[c].n, found[c].at | {k: cols[c].back(t[0]) for (x, k), t in got.items() if x == c})
+        known = OrderStatistics(found[c].n, found[c].at | {k: cols[c].back(t[0]) for (x, k), t in got.items() if x == c}, reach=found[c].reach)
         (a, b), (d, e), (lo, hi) = *walls[i], known.fences()
         if a <= lo <= b and d <= hi <= e:
             limits.append((i, lo, hi, 10.0 ** cols[c].scale))
@@ -405,3 +413,111 @@ def _read_counts(counted: DataFrame, names: dict, cols: dict, found: dict, got:
             o.outliers = int(r["out"])
         if summary:
             o.powers = (r["m2"], r["m3"], r["m4"])
+
+
+# ---------------------------------------------------------------- per group
+
+#: size of a group's sketch: groups of at most so many values are exact at once
+GROUP_SKETCH = 512
+#: steps of the grid on which a group's sketch is read
+GRID = 64
+#: groups (with their brackets) that may be sent to every task
+BROADCAST_GROUPS = 1_000_000
+
+
+def _grid(sketch: str) -> Column:
+    return F.kll_sketch_get_quantile_double(sketch, F.array(*[F.lit(i / GRID) for i in range(GRID + 1)]))
+
+
+def _around(grid: Column, rank: Column) -> tuple[Column, Column]:
+    """The bracket around a relative rank, one grid step and the sketch's error wider."""
+    slack = MARGIN * rank_error(GROUP_SKETCH)
+    low = F.greatest(F.floor((rank - slack) * GRID), F.lit(0)).cast("int")
+    high = F.least(F.ceil((rank + slack) * GRID), F.lit(GRID)).cast("int")
+    return F.get(grid, low), F.get(grid, high)
+
+
+def grouped_medians(long: DataFrame, keys: Sequence[str], aggs: dict[str, Column], value: str = "value") -> DataFrame:
+    """``keys``, the aggregates ``aggs`` and the exact ``median`` of a double
+    column per group, from one grouping whose buffers also hold a quantile
+    sketch. Groups of up to ``GROUP_SKETCH`` values are exact in it; for the
+    others a second scan counts what lies below their brackets and fetches the
+    values inside, narrowed before where a bracket holds more than ``LIMIT``."""
+    from tablelens.functions.frames import materialize
+
+    n, s, q = "_tl_n", "_tl_sketch", "_tl_grid"
+    base = long.groupBy(*keys).agg(*[e.alias(a) for a, e in aggs.items()], F.count(value).alias(n),
+                                   F.kll_sketch_agg_double(value, GROUP_SKETCH).alias(s))
+    some = F.col(n) > 0
+    middle = F.kll_sketch_get_quantile_double(s, F.array(F.lit(0.5), F.lit(0.5 + 0.25 / GROUP_SKETCH)))
+    exact = F.when(some & (F.col(n) <= GROUP_SKETCH), (F.get(middle, F.lit(0)) + F.get(middle, F.lit(1))) / 2)
+    base = materialize(base.select(*keys, *aggs, n, F.when(F.col(n) > GROUP_SKETCH, _grid(s)).alias(q), exact.alias("median")), "grouped")
+    large = base.where(F.col(n) > GROUP_SKETCH)
+    if large.isEmpty():
+        return base.drop(n, q)
+    ranks = F.explode(F.array_distinct(F.array(F.floor((F.col(n) - 1) / 2), F.ceil((F.col(n) - 1) / 2))))
+    targets = large.select(*keys, n, q, ranks.alias("_tl_k"))
+    lo, hi = _around(F.col(q), (F.col("_tl_k") + 0.5) / F.col(n))
+    share = 2 * MARGIN * rank_error(GROUP_SKETCH) + 2 / GRID
+    state = targets.select(*keys, n, "_tl_k", lo.alias("_tl_lo"), hi.alias("_tl_hi"), (share * F.col(n)).alias("_tl_in"))
+    done = None
+    while True:
+        state = materialize(state, "group-brackets")
+        if state.isEmpty():
+            break
+        wide = state.where(F.col("_tl_in") > LIMIT)
+        step = _narrow_groups(long, keys, value, wide) if not wide.isEmpty() else _fetch_groups(long, keys, value, state)
+        step = materialize(step, "group-step")
+        found = step.where(F.col("_tl_v").isNotNull()).select(*keys, "_tl_v")
+        done = found if done is None else done.unionByName(found)
+        rest = state.where(F.col("_tl_in") <= LIMIT) if not wide.isEmpty() else None
+        state = step.where(F.col("_tl_v").isNull()).drop("_tl_v")
+        state = state if rest is None else state.unionByName(rest)
+    mean = done.groupBy(*keys).agg(F.avg("_tl_v").alias("_tl_median"))   # one or two middle values
+    out = base.join(mean, list(keys), "left")
+    return out.select(*keys, *aggs, F.coalesce("median", "_tl_median").alias("median"))
+
+
+def _side(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_GROUPS else df
+
+
+_TARGET = ("_tl_n", "_tl_k", "_tl_lo", "_tl_hi", "_tl_in")
+
+
+def _narrow_groups(long: DataFrame, keys: Sequence[str], value: str, wide: DataFrame) -> DataFrame:
+    """Targets with exact counts around their brackets: the value where a tie
+    at an end settles it (``_tl_v``), else a bracket that is proved and narrower."""
+    v, lo, hi, k = F.col(value), F.col("_tl_lo"), F.col("_tl_hi"), F.col("_tl_k")
+    inner = (v > lo) & (v < hi)
+    met = (long.where(v.isNotNull()).join(_side(wide), list(keys)).groupBy(*keys, *_TARGET)
+           .agg(F.count_if(v < lo).alias("below"), F.count_if(v == lo).alias("first"), F.count_if(inner).alias("inside"),
+                F.count_if((v == hi) & (hi > lo)).alias("last"), F.kll_sketch_agg_double(F.when(inner, v), GROUP_SKETCH).alias("s")))
+    start = F.col("below") + F.col("first")
+    hit = (k >= start) & (k < start + F.col("inside"))
+    a, b = _around(F.col("grid"), (k - start + 0.5) / F.col("inside"))
+    met = met.withColumn("grid", F.when(F.col("inside") > 0, _grid("s")))
+    tie = F.when((k >= F.col("below")) & (k < start), lo).when((k >= start + F.col("inside")) & (k < start + F.col("inside") + F.col("last")), hi)
+    share = 2 * MARGIN * rank_error(GROUP_SKETCH) + 2 / GRID
+    return met.select(
+        *keys, "_tl_n", "_tl_k",
+        F.when(hit, F.greatest(a, lo)).when(k < F.col("below"), F.lit(-math.inf)).otherwise(hi).alias("_tl_lo"),
+        F.when(hit, F.least(b, hi)).when(k < F.col("below"), lo).otherwise(F.lit(math.inf)).alias("_tl_hi"),
+        F.when(hit, share * F.col("inside")).otherwise(F.lit(math.inf)).alias("_tl_in"), tie.alias("_tl_v"))
+
+
+def _fetch_groups(long: DataFrame, keys: Sequence[str], value: str, state: DataFrame) -> DataFrame:
+    """Targets with the value at their rank (``_tl_v``), from the counts below
+    their brackets and of each value inside; a target that its bracket missed
+    comes back with the whole group as its bracket."""
+    v, lo, hi = F.col(value), F.col("_tl_lo"), F.col("_tl_hi")
+    inside = v >= lo
+    met = (long.where(v.isNotNull()).join(_side(state), list(keys)).where(v <= hi)
+           .groupBy(*keys, *_TARGET, F.when(inside, v).alias("_tl_v")).agg(F.count(F.lit(1)).alias("c")))
+    run = Window.partitionBy(*keys, "_tl_k").orderBy(F.asc_nulls_first("_tl_v")).rowsBetween(Window.unboundedPreceding, 0)
+    upto = met.withColumn("upto", F.sum("c").over(run))
+    hit = upto.where((F.col("_tl_k") < F.col("upto")) & (F.col("_tl_k") >= F.col("upto") - F.col("c")) & F.col("_tl_v").isNotNull())
+    got = hit.select(*keys, "_tl_k", "_tl_v")
+    return state.join(got, [*keys, "_tl_k"], "left").select(
+        *keys, "_tl_n", "_tl_k", F.lit(-math.inf).alias("_tl_lo"), F.lit(math.inf).alias("_tl_hi"),
+        F.col("_tl_n").cast("double").alias("_tl_in"), "_tl_v")

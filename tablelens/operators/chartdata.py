@@ -236,10 +236,11 @@ def outlier_rows(df: DataFrame, column: str, method: str = "auto") -> DataFrame:
 
 
 def time_series(df: DataFrame, date_col: str, value_col: str) -> DataFrame:
-    """(date, value) with the date coerced (unparseable → dropped), rows
+    """(date, value) with the date coerced under one reading of the column,
+    the one that reads most values (what it cannot read is dropped), rows
     missing either dropped, sorted by date (a range-partitioned sort)."""
     dt = df.schema[date_col].dataType
-    d = K.to_datetime(date_col) if isinstance(dt, T.StringType) else F.col(date_col).cast("timestamp_ntz") \
+    d = K.to_datetime(date_col, K.commonest_reading(df, date_col)) if isinstance(dt, T.StringType) else F.col(date_col).cast("timestamp_ntz") \
         if isinstance(dt, T.DateType) else F.col(date_col)
     vt = df.schema[value_col].dataType
     val = num(value_col, vt) if K.kind_of(vt) == "numeric" else F.col(value_col)

@@ -1,35 +1,36 @@
 """Cleaning (C1–C7): fill → dedupe → cap → convert, in that order.
 
 * Fill values (mode per text column, median per numeric column) and the
-  capping fences are computed by the distributed operators and travel as ONE
-  broadcast row, so the cleaned table is a lazy projection of the input.
+  capping fences are computed by the distributed operators and applied as
+  literals, so the cleaned table is a lazy projection.
 * Modes come from the shared value-count shuffle with a top-1 per column (no
-  all-values buffer in one task); medians and quartiles from the exact quantile
-  helper.
-* Capping is applied to every numeric column (a column without outliers is
-  unchanged by it); the audit lists the columns where values moved.
+  all-values buffer in one task); medians and quartiles by sketch and bracket
+  (no column is shuffled).
+* Capping touches only columns with values outside their fences; the audit
+  lists them. All other columns keep their type to the end.
 * Type conversion changes the schema, so its decision is the one small result
-  fetched to the driver (one row per text column).
+  fetched to the driver (one row per text column). A date column has one
+  reading, which reads all of its values.
 * Columns keep their type through filling and dedupe, so no two different rows
-  become equal; the capping stage then turns numbers into doubles (NaN → null).
-  Booleans are neither filled nor capped. Null dates and timestamps take the
-  column's median (of a sketch).
+  become equal. Booleans are neither filled nor capped. Null dates and
+  timestamps take the column's exact lower median.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelens.functions.frames import materialize, numeric_long, per_column
-from tablelens.functions.quantiles import quantiles
-from tablelens.functions.stats import num
+from tablelens.functions.frames import materialize, per_column
+from tablelens.functions.selection import OrderStatistics, order_statistics, ordinal
+from tablelens.functions.stats import at, num
 from tablelens.operators import kinds as K
 from tablelens.operators import texts as X
-from tablelens.operators.profile import iqr_bounds, value_counts
+from tablelens.operators.profile import order_values, value_counts
 
 UNKNOWN = "Unknown"
 
@@ -59,14 +60,11 @@ def fill_values(df: DataFrame) -> DataFrame:
             .otherwise(F.format_string(X.printf(X.FILL_MODE), F.col("value"))).alias("detail"))
         parts.append(t)
     if nums:
-        med = quantiles(numeric_long(df, nums), ["column"], "value", (0.5,), rows_hint=df.count())
-        allc = spark.createDataFrame([(c,) for c in nums], "column string")
-        m = allc.join(med, "column", "left").select(
-            "column", F.lit("numeric").alias("kind"), F.col("quantiles")[0].alias("fill"),
-            F.lit(None).cast("string").alias("fill_text"),
-            F.coalesce(F.format_string(X.printf(X.FILL_MEDIAN), F.col("quantiles")[0]),
-                       F.lit(X.FILL_MEDIAN.replace("{value:.2f}", "nan"))).alias("detail"))
-        parts.append(m)
+        rows = []
+        for c, o in order_values(df, nums, (0.5,)).items():
+            m = o.linear(0.5)
+            rows.append((c, "numeric", m, None, X.FILL_MEDIAN.format(value=m if m is not None else float("nan"))))
+        parts.append(spark.createDataFrame(rows, "column string, kind string, fill double, fill_text string, detail string"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -103,15 +101,6 @@ def drop_duplicates(df: DataFrame, rows_hint: int | None = None) -> DataFrame:
     return single.unionByName(repeated)
 
 
-def _missing_counts(df: DataFrame) -> DataFrame:
-    nums = set(K.numeric_columns(df))
-    types = {f.name: f.dataType for f in df.schema.fields}
-    exprs = [F.struct(F.lit(c).alias("column"),
-                      (F.count(F.lit(1)) - F.count(num(c, types[c]) if c in nums else F.col(c)))
-                      .cast("long").alias("missing")) for c in df.columns]
-    return df.agg(F.array(*exprs).alias("_s")).select(F.inline("_s"))
-
-
 def _lit(v, t="double"):
     return F.lit(v).cast(t)
 
@@ -126,65 +115,95 @@ def _filled(c: str, dt: T.DataType, value):
     (their median has at most one decimal place, which a decimal holds), so
     rows that differ stay different for the dedupe that follows."""
     if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.coalesce(F.col(c), F.lit(value).cast(dt))
+        return F.coalesce(at(c), F.lit(value).cast(dt))
     if isinstance(dt, (T.FloatType, T.DoubleType)):
         return F.coalesce(num(c, dt), _lit(value))
     if value is None:
-        return F.col(c)
+        return at(c)
     if isinstance(dt, T.DecimalType):
         wide = T.DecimalType(min(38, dt.precision + 4), min(dt.scale + 2, 37))
-        return F.coalesce(F.col(c).cast(wide), F.lit(str(value)).cast(wide))
-    if float(value).is_integer():
-        return F.coalesce(F.col(c), F.lit(int(value)).cast(dt))
-    return F.coalesce(F.col(c).cast("decimal(20,1)"), F.lit(str(value)).cast("decimal(20,1)"))
+        return F.coalesce(at(c).cast(wide), F.lit(str(value)).cast(wide))
+    if value == int(value):
+        return F.coalesce(at(c), F.lit(int(value)).cast(dt))
+    return F.coalesce(at(c).cast("decimal(20,1)"), F.lit(str(value)).cast("decimal(20,1)"))
 
 
 def fill_missing(df: DataFrame, fills: dict | None = None, keep_types: bool = False) -> DataFrame:
     """C1 + C2: one projection with the fill values as literals (``fills`` maps
-    column → row of :func:`fill_values`; computed when not given). Numbers come
-    out as double, or with ``keep_types`` exact in their own type."""
+    column → row of :func:`fill_values`; computed when not given; columns without
+    one stay as they are). Numbers come out as double, or with ``keep_types`` exact in their own type."""
     fills = fills if fills is not None else per_column(fill_values(df).collect())
     texts, numbers = set(K.categorical_columns(df)), set(_numbers(df))
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = []
     for c in df.columns:
-        if c in texts:
-            cols.append(F.coalesce(F.col(c), _lit(fills[c]["fill_text"], "string")).alias(c))
+        if c in texts and c in fills:
+            cols.append(F.coalesce(at(c), _lit(fills[c]["fill_text"], "string")).alias(c))
         elif c in fills and not keep_types and c in numbers:
             cols.append(F.coalesce(num(c, types[c]), _lit(fills[c]["fill"])).alias(c))
         elif c in fills:
             cols.append(_filled(c, types[c], fills[c]["fill"]).alias(c))
         else:
-            cols.append(F.col(c))
+            cols.append(at(c))
     return df.select(*cols)
 
 
-def cap_outliers(df: DataFrame, bounds: dict | None = None, k: float = 1.5) -> tuple[DataFrame, DataFrame]:
-    """C4: clip every numeric column to its Tukey fences (literals from one
-    quartile pass); also returns (column, capped) counted before clipping."""
-    nums = _numbers(df)
-    if not nums:
-        return df, df.sparkSession.createDataFrame([], "column string, capped long")
+@dataclass(frozen=True)
+class Fence:
+    """Fences of a column: as doubles, and exactly (for types that are not doubles);
+    ``capped`` values lie outside, ``wide`` ones are beyond what doubles tell apart."""
+    lower: float
+    upper: float
+    exact: tuple[Decimal, Decimal] | None
+    capped: int
+    wide: bool
+
+
+def fences_of(df: DataFrame, nums: list[str], k: float = 1.5) -> dict[str, Fence]:
+    """Tukey fences and the values outside them, per numeric column with a
+    value: two scans, one small shuffle (see ``order_statistics``)."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    v = df.select(*[num(c, types[c]).alias(c) if c in nums else F.col(c) for c in df.columns])
-    bounds = bounds if bounds is not None else per_column(iqr_bounds(v, nums, k=k).collect())
+    cols = {c: ordinal(at(c), types[c]) for c in nums}
+    whole = [c for c in nums if cols[c].whole]
+    ends = {f"{e}{i}": (f(cols[c].value), f) for i, c in enumerate(whole) for e, f in (("min", F.min), ("max", F.max))}
+    found, row = order_statistics(df, cols, (0.25, 0.75), ends, fences=True, reach=k)
+    out = {}
+    for c, o in found.items():
+        if not o.n:
+            continue
+        exact, wide = None, False
+        if cols[c].whole:
+            q1, q3 = o.exact(0.25), o.exact(0.75)
+            reach = Decimal(str(k)) * (q3 - q1)
+            exact = (q1 - reach, q3 + reach)
+            i = whole.index(c)
+            wide = max(-row[f"min{i}"], row[f"max{i}"]) > 2 ** 53
+        out[c] = Fence(*o.fences(), exact, o.outliers, wide)
+    return out
 
-    def lohi(c):
-        b = bounds.get(c)
-        return (_lit(b["lower"]), _lit(b["upper"])) if b is not None else (_lit(None), _lit(None))
 
-    def clip(c):
-        lo, hi = lohi(c)
-        return F.when(F.col(c) < lo, lo).when(F.col(c) > hi, hi).otherwise(F.col(c))
+def _clipped(c: str, dt: T.DataType, f: Fence):
+    """A column clipped to its fences. Doubles stay doubles; decimals, and whole
+    numbers that a double cannot hold, take decimals with room for the exact
+    fences; other whole numbers become doubles, as fences have fractions."""
+    if f.exact is not None and (f.wide or isinstance(dt, T.DecimalType)):
+        wide = T.DecimalType(min(38, dt.precision + 3), min(dt.scale + 3, 37)) if isinstance(dt, T.DecimalType) else T.DecimalType(23, 3)
+        v, (lo, hi) = at(c).cast(wide), (F.lit(str(x)).cast(wide) for x in f.exact)
+    else:
+        v, lo, hi = num(c, dt), _lit(f.lower), _lit(f.upper)
+    return F.when(v < lo, lo).when(v > hi, hi).otherwise(v)
 
-    def outside(c):
-        lo, hi = lohi(c)
-        return F.count_if((F.col(c) < lo) | (F.col(c) > hi))
 
-    capped = v.select(*[clip(c).alias(c) if c in nums else F.col(c) for c in df.columns])
-    counts = v.agg(F.array(*[F.struct(F.lit(c).alias("column"), outside(c).alias("capped"))
-                             for c in nums]).alias("_s")).select(F.inline("_s"))
-    return capped, counts
+def cap_outliers(df: DataFrame, fences: dict[str, Fence] | None = None, k: float = 1.5) -> tuple[DataFrame, DataFrame]:
+    """C4: clip the numeric columns that have values outside their Tukey fences
+    (as literals); every other column stays as it is, type and all. Also
+    returns (column, capped), the values outside."""
+    nums = _numbers(df)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    fences = fences if fences is not None else fences_of(df, nums, k)
+    out = df.select(*[_clipped(c, types[c], fences[c]).alias(c) if c in fences and fences[c].capped else at(c) for c in df.columns])
+    rows = [(c, fences[c].capped if c in fences else 0) for c in nums]
+    return out, df.sparkSession.createDataFrame(rows, "column string, capped long")
 
 
 def conversions(df: DataFrame) -> dict[str, str]:
@@ -196,67 +215,42 @@ def conversions(df: DataFrame) -> dict[str, str]:
     return {r["column"]: r["conversion"] for r in K.coercion_rules(df, texts).collect()}
 
 
-def _clock(c: str, dt: T.DataType):
-    """A date as days, a timestamp as microseconds (of its own wall clock or of UTC)."""
-    if isinstance(dt, T.DateType):
-        return F.unix_date(F.col(c)).cast("long")
-    return F.unix_micros(F.col(c) if isinstance(dt, T.TimestampType) else F.to_utc_timestamp(F.col(c).cast("timestamp"), F.lit("UTC")))
+def _exact_median(o: OrderStatistics):
+    """The median in a type that holds it: whole numbers and decimals exactly."""
+    if not o.n:
+        return None
+    return o.exact(0.5) if isinstance(next(iter(o.at.values())), (int, Decimal)) else o.linear(0.5)
 
 
 def _moment(value, dt: T.DataType):
-    """The text of a day number or of microseconds, castable back to the column's type."""
-    import datetime as d
-
+    """A date or timestamp as text that casts back to the column's type."""
     if value is None:
         return None
-    if isinstance(dt, T.DateType):
-        return str(d.date(1970, 1, 1) + d.timedelta(days=value))
-    at = str(d.datetime(1970, 1, 1) + d.timedelta(microseconds=value))
-    return at + "+00:00" if isinstance(dt, T.TimestampType) else at
+    return f"{value}+00:00" if isinstance(dt, T.TimestampType) else str(value)
 
 
 def _fill_stats(df: DataFrame) -> tuple[dict, dict, int]:
-    """Fill values, missing counts and the row count in as few passes as the
-    size allows: one value-count shuffle for the text modes, and one
-    aggregation for missing counts (plus medians by ``percentile`` when the
-    table is too small to hold a group of more than ``SMALL_LIMIT`` values;
-    otherwise medians come from the distributed quantile helper). Dates and
-    timestamps take the exact lower median of their days or microseconds from
-    the quantile helper at any size."""
-    from tablelens.functions.quantiles import SMALL_LIMIT
+    """Fill values, missing counts and the row count: one value-count shuffle
+    for the text modes; exact medians of numbers and exact lower medians of
+    dates and timestamps by sketch and bracket, with the counts riding along."""
     texts, nums = K.categorical_columns(df), _numbers(df)
     dates = K.datetime_columns(df)
     types = {f.name: f.dataType for f in df.schema.fields}
-    rows = df.count()
-    small = rows <= SMALL_LIMIT
-    exprs = [F.count(F.lit(1)).alias("_rows")]
-    for k, c in enumerate(df.columns):
-        v = num(c, types[c]) if c in nums else F.col(c)
-        exprs.append((F.count(F.lit(1)) - F.count(v)).alias(f"miss{k}"))
-        if small and c in nums:
-            exprs.append(F.percentile(v, F.lit(0.5)).alias(f"med{k}"))
-    one = df.agg(*exprs).first()
-    missing = {c: int(one[f"miss{k}"]) for k, c in enumerate(df.columns)}
+    rides = {"rows": (F.count(F.lit(1)), F.sum)}
+    for c in df.columns:
+        rides[f"has {c}"] = (F.count(num(c, types[c]) if c in nums else at(c)), F.sum)
+    orders, row = order_statistics(df, {c: ordinal(at(c), types[c]) for c in nums + dates}, (0.5,), rides)
+    rows = int(row["rows"] or 0)
+    missing = {c: rows - int(row[f"has {c}"] or 0) for c in df.columns}
     fills: dict[str, dict] = {}
-    if nums:
-        if small:
-            meds = {c: one[f"med{k}"] for k, c in enumerate(df.columns) if c in nums}
-        else:
-            q = quantiles(numeric_long(df, nums), ["column"], "value", (0.5,), rows_hint=rows).collect()
-            meds = {r["column"]: r["quantiles"][0] for r in q}
-        for c in nums:
-            m = meds.get(c)
-            fills[c] = {"kind": "numeric", "fill": m, "fill_text": None,
-                        "detail": X.FILL_MEDIAN.format(value=m if m is not None else float("nan"))}
-    if dates:
-        clocks = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), _clock(c, types[c]).alias("value"))
-                                              for c in dates])))
-        q = quantiles(clocks, ["column"], "value", (0.5,), small_limit=SMALL_LIMIT, rows_hint=rows, lower=True).collect()
-        meds = {r["column"]: r["quantiles"][0] for r in q}
-        for c in dates:
-            m = _moment(meds.get(c), types[c])
-            fills[c] = {"kind": "datetime", "fill": m, "fill_text": None,
-                        "detail": X.FILL_MEDIAN.replace("{value:.2f}", str(m) if m is not None else "nan")}
+    for c in nums:
+        m = _exact_median(orders[c])
+        fills[c] = {"kind": "numeric", "fill": m, "fill_text": None,
+                    "detail": X.FILL_MEDIAN.format(value=m if m is not None else float("nan"))}
+    for c in dates:
+        m = _moment(orders[c].lower(0.5), types[c])
+        fills[c] = {"kind": "datetime", "fill": m, "fill_text": None,
+                    "detail": X.FILL_MEDIAN.replace("{value:.2f}", str(m) if m is not None else "nan")}
     if texts:
         vc = value_counts(df, texts)
         w = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
@@ -276,11 +270,11 @@ def clean(df: DataFrame, fill: bool = True, dedupe: bool = True, cap: bool = Tru
 
     Like a fitted imputer, each stage first computes its per-column statistics
     (fill values, fences, conversion decisions: one row per column), then
-    applies them as literals. Passes over the data: the fill statistics (an
-    aggregation and a value-count shuffle), the deduplication (written once to
-    the shared checkpoint folder, since three later passes read it), the
-    quartiles, and ONE aggregation that both counts the values to cap and
-    decides the type conversions."""
+    applies them as literals. Passes over the data: the fill statistics (two
+    scans and a value-count shuffle), the deduplication, written once to the
+    shared checkpoint folder (the rows left and the conversion decisions are
+    observed while it is written), and two scans of the written numbers for
+    the fences and the values outside them."""
     spark = df.sparkSession
     audit_rows: list[tuple] = []
     out = df
@@ -290,42 +284,33 @@ def clean(df: DataFrame, fill: bool = True, dedupe: bool = True, cap: bool = Tru
         for c in out.columns:
             if c in fv:
                 audit_rows.append(("missing", c, fv[c]["detail"], miss[c]))
-        out = fill_missing(out, fv, keep_types=True)
+        out = fill_missing(out, {c: f for c, f in fv.items() if miss[c]}, keep_types=True)
+    texts = K.categorical_columns(out)
+    conv_cols = texts if convert else []
+    rules = K.conversion_exprs(conv_cols)
+    wanted = [F.count(F.lit(1)).alias("rows"), *[e.alias(f"{n} {c}") for c, n, e in rules]]
+    seen = None
     if dedupe:
         before = rows if rows is not None else out.count()
         out = drop_duplicates(out, rows_hint=before)
         if materialize_dedupe:
-            out = materialize(out, "deduped")
-        audit_rows.append(("duplicates", None, X.DUPLICATES_REMOVED, before - out.count()))
-    nums, texts = _numbers(out), K.categorical_columns(out)
-    types = {f.name: f.dataType for f in out.schema.fields}
-    bounds = {}
+            watch = Observation("cleaning")
+            out = materialize(out.observe(watch, *wanted), "deduped")
+            seen = watch.get
+    if seen is None and (conv_cols or dedupe):
+        seen = out.agg(*wanted).first().asDict()
+    if dedupe:
+        audit_rows.append(("duplicates", None, X.DUPLICATES_REMOVED, before - int(seen["rows"])))
+    nums = _numbers(out)
     if cap and nums:
-        v = out.select(*[num(c, types[c]).alias(c) for c in nums])
-        bounds = per_column(iqr_bounds(v, nums).collect())
-    # one pass: values outside the fences (numeric) and the conversion counts (text)
-    stats = []
-    if cap:
-        for c in nums:
-            b = bounds.get(c)
-            if b is not None and b["lower"] is not None:
-                x = num(c, types[c])
-                stats.append(F.count_if((x < _lit(b["lower"])) | (x > _lit(b["upper"]))).alias(f"cap__{c}"))
-    conv_cols = texts if convert else []
-    if conv_cols:
-        rules = K.conversion_exprs(conv_cols)
-        stats += [e.alias(f"{n}__{c}") for c, n, e in rules]
-    row = out.agg(*stats).first() if stats else None
-    if cap:
+        fences = fences_of(out, nums)
         for c in nums:
-            k = row[f"cap__{c}"] if row is not None and f"cap__{c}" in row.asDict() else 0
-            if k:
-                audit_rows.append(("outliers", c, X.CAPPED.format(n=k), int(k)))
-        out, _ = cap_outliers(out, bounds)
+            if c in fences and fences[c].capped:
+                audit_rows.append(("outliers", c, X.CAPPED.format(n=fences[c].capped), fences[c].capped))
+        out, _ = cap_outliers(out, fences)
     if conv_cols:
-        dec = {c: K.conversion_word(row[f"numeric__{c}"], row[f"datetime__{c}"], row[f"non_null__{c}"])
-               for c in conv_cols}
-        out = K.apply_conversions(out, dec)
+        dec = {c: K.conversion_word(seen[f"numeric {c}"], seen[f"readings {c}"], seen[f"non_null {c}"]) for c in conv_cols}
+        out = K.apply_conversions(out, dec, {c: K.first_reading(seen[f"readings {c}"]) for c in conv_cols})
         for c, d in dec.items():
             audit_rows.append(("conversion", c, d, None))
     audit = spark.createDataFrame(audit_rows, "stage string, column string, detail string, n long")

@@ -19,16 +19,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelens.functions.stats import is_numeric_type, to_number, without_sentinels
+from tablelens.functions.stats import at, is_numeric_type, to_number, without_sentinels
 from tablelens.operators import texts as X
 
-# Date formats tried when a text column is tested as dates.
-DATE_FORMATS = [
-    "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd",
-    "MM/dd/yyyy", "MM-dd-yyyy", "dd-MM-yyyy", "dd/MM/yyyy", "yyyyMMdd",
-    "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "MM-dd-yyyy HH:mm:ss",
-    "dd.MM.yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy",
+# The readings of a text date in order of preference (month first
+# where both fit), each with the shape that a value must have for it. A time of
+# day may follow any of them.
+READINGS: list[tuple[str, str]] = [
+    ("yyyy/M/d", r"\d{4}/\d{1,2}/\d{1,2}"),
+    ("M/d/yyyy", r"\d{1,2}/\d{1,2}/\d{4}"),
+    ("d/M/yyyy", r"\d{1,2}/\d{1,2}/\d{4}"),
+    ("M-d-yyyy", r"\d{1,2}-\d{1,2}-\d{4}"),
+    ("d-M-yyyy", r"\d{1,2}-\d{1,2}-\d{4}"),
+    ("M.d.yyyy", r"\d{1,2}\.\d{1,2}\.\d{4}"),
+    ("d.M.yyyy", r"\d{1,2}\.\d{1,2}\.\d{4}"),
+    ("yyyyMMdd", r"\d{8}"),
+    ("d MMM yyyy", r"\d{1,2} \p{L}{3,9} \d{4}"),
+    ("d MMMM yyyy", r"\d{1,2} \p{L}{3,9} \d{4}"),
+    ("MMM d, yyyy", r"\p{L}{3,9} \d{1,2}, \d{4}"),
+    ("MMMM d, yyyy", r"\p{L}{3,9} \d{1,2}, \d{4}"),
 ]
+# ISO 8601 with any of minutes, seconds, a fraction and a zone: Spark's own cast
+# reads it. It is the first reading (bit 0 of a mask; READINGS[i] is bit i + 1).
+ISO_SHAPE = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?)?\s*$"
+CLOCK = r"([ T]\d{1,2}:\d{2}(:\d{2})?)?"
+N_READINGS = len(READINGS) + 1
 
 
 def kind_of(dt: T.DataType) -> str:
@@ -66,14 +81,6 @@ def dtype_summary(df: DataFrame) -> DataFrame:
     return column_kinds(df).select("column", "dtype")
 
 
-# a text can only be one of the dates above if it has this shape; testing it
-# first spares the (costly) failing parses on ordinary text
-DATE_SHAPE = (r"^\s*(\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4}|\d{8}|\d{1,2} \p{L}{3,9} \d{4}|\p{L}{3,9} \d{1,2}, \d{4})"
-              r"([ T]\d{2}:\d{2}(:\d{2})?)?\s*$")
-# ISO 8601 with any of minutes, seconds, a fraction and a zone: Spark's own cast reads it
-ISO_SHAPE = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?)?\s*$"
-
-
 def _stack(df: DataFrame, cols: Sequence[str], exprs) -> DataFrame:
     """One wide aggregation row → one row per column."""
     structs = [F.struct(F.lit(c).alias("column"), *[e(c).alias(n) for n, e in exprs]) for c in cols]
@@ -105,15 +112,13 @@ def conversion_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
     convertible after sentinel removal, convertible as date. One pass."""
     cols = list(cols) if cols is not None else categorical_columns(df)
 
-    def as_date(c):
-        return to_datetime(c)
-
     return _stack(df, cols, [
         ("rows", lambda c: F.count(F.lit(1))),
         ("non_null", lambda c: F.count(F.col(c))),
         ("numeric", lambda c: F.count(to_number(c))),
         ("numeric_no_sentinel", lambda c: F.count(to_number(without_sentinels(F.col(c))))),
-        ("datetime", lambda c: F.count(as_date(c))),
+        ("datetime", lambda c: F.count_if(date_mask(c) != 0)),
+        ("readings", lambda c: F.bit_and(date_mask(c))),
     ])
 
 
@@ -121,17 +126,20 @@ def conversion_exprs(cols: Sequence[str]):
     """(column, name, aggregate) triples deciding the all-or-nothing conversion."""
     out = []
     for c in cols:
-        out += [(c, "non_null", F.count(F.col(c))), (c, "numeric", F.count(to_number(c))),
-                (c, "datetime", F.count(to_datetime(c)))]
+        out += [(c, "non_null", F.count(at(c))), (c, "numeric", F.count(to_number(c))),
+                (c, "readings", F.bit_and(date_mask(c)))]
     return out
 
 
-def conversion_word(numeric: int, datetime: int, non_null: int) -> str:
+def conversion_word(numeric: int, readings: int | None, non_null: int) -> str:
     if numeric == non_null:
         return X.TO_NUMERIC
-    if datetime == non_null:
-        return X.TO_DATETIME
-    return X.KEPT
+    return X.TO_DATETIME if readings else X.KEPT
+
+
+def first_reading(readings: int | None) -> int | None:
+    """The preferred reading (its bit) of those that read every value."""
+    return (readings & -readings).bit_length() - 1 if readings else None
 
 
 def coercion_rules(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -145,29 +153,64 @@ def coercion_rules(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
         .otherwise(False).alias("majority_rows"),
         (F.col("numeric") > 0).alias("any_value"),
         F.when(F.col("numeric") == F.col("non_null"), X.TO_NUMERIC)
-        .when(F.col("datetime") == F.col("non_null"), X.TO_DATETIME)
+        .when(F.col("readings") != 0, X.TO_DATETIME)
         .otherwise(X.KEPT).alias("conversion"),
     )
 
 
-def to_datetime(c: str):
-    """Text → timestamp: ISO 8601 in full, else the first of ``DATE_FORMATS``
-    (month first where both readings are dates) that parses the whole value."""
-    col = F.col(c)
-    return F.when(col.rlike(ISO_SHAPE), F.trim(col).try_cast("timestamp")).when(col.rlike(DATE_SHAPE), F.coalesce(*[F.try_to_timestamp(col, F.lit(f)) for f in DATE_FORMATS]))
+def _read(col, reading: int):
+    """The timestamp that one reading makes of a text, else null."""
+    if reading == 0:
+        return F.when(col.rlike(ISO_SHAPE), F.trim(col).try_cast("timestamp"))
+    fmt, shape = READINGS[reading - 1]
+    plain = F.regexp_replace(F.trim(col), r"T(?=\d{1,2}:)", " ")
+    tries = [F.try_to_timestamp(plain, F.lit(fmt + clock)) for clock in ("", " H:mm", " H:mm:ss")]
+    return F.when(col.rlike(r"^\s*" + shape + CLOCK + r"\s*$"), F.coalesce(*tries))
+
+
+def date_mask(c: str):
+    """Bits of the readings that read this value whole (null stays null). The
+    ``bit_and`` over a column keeps the readings that read every value of it."""
+    col = at(c).cast("string")
+    bits = sum((F.when(_read(col, i).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(1, N_READINGS)),
+               F.when(_read(col, 0).isNotNull(), F.lit(1)).otherwise(F.lit(0)))
+    # a date has a digit and no more than 40 characters: spares the tries on ordinary text
+    return F.when(col.isNotNull(), F.when((F.length(col) <= 40) & col.rlike(r"\d"), bits).otherwise(F.lit(0)))
+
+
+def to_datetime(c: str, reading: int):
+    """Text → timestamp under one reading of the whole column."""
+    return _read(at(c).cast("string"), reading)
+
+
+def date_readings(df: DataFrame, cols: Sequence[str]) -> dict[str, int | None]:
+    """Per text column the reading that reads every value (null: none does), one pass."""
+    if not cols:
+        return {}
+    row = df.agg(*[F.bit_and(date_mask(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    return {c: first_reading(row[f"m{i}"]) for i, c in enumerate(cols)}
+
+
+def commonest_reading(df: DataFrame, c: str) -> int:
+    """The reading that reads most values of a text column (ties: the preferred one)."""
+    row = df.select(date_mask(c).alias("m")).agg(*[F.count_if(F.col("m").bitwiseAND(1 << i) != 0).alias(f"n{i}") for i in range(N_READINGS)]).first()
+    return max(range(N_READINGS), key=lambda i: (row[f"n{i}"], -i))
 
 
-def apply_conversions(df: DataFrame, decisions: dict[str, str]) -> DataFrame:
-    """Cast the columns named in ``decisions`` (column → conversion word)."""
+def apply_conversions(df: DataFrame, decisions: dict[str, str], readings: dict[str, int | None] | None = None) -> DataFrame:
+    """Cast the columns named in ``decisions`` (column → conversion word); dates
+    under one reading a column (``readings``, looked for when not given)."""
+    dates = [c for c in df.columns if decisions.get(c) == X.TO_DATETIME]
+    readings = readings if readings is not None else date_readings(df, dates)
     out = []
     for c in df.columns:
         d = decisions.get(c)
         if d == X.TO_NUMERIC:
             out.append(to_number(c).alias(c))
         elif d == X.TO_DATETIME:
-            out.append(to_datetime(c).alias(c))
+            out.append(to_datetime(c, readings[c]).alias(c))
         else:
-            out.append(F.col(c))
+            out.append(at(c))
     return df.select(*out)
 
 

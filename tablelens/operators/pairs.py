@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tablelens.functions import special
 from tablelens.functions.frames import rounded
 from tablelens.functions.quantiles import average_ranks, quantiles
+from tablelens.functions.selection import grouped_medians
 from tablelens.functions.stats import num, pearson
 from tablelens.operators import kinds as K
 
@@ -331,8 +332,9 @@ def grouped_stats(df: DataFrame, cats: Sequence[str], nums: Sequence[str],
                   stats: Sequence[str] = ("count", "mean", "median", "std", "min", "max"),
                   complete_only: bool = False, method: str = "auto") -> DataFrame:
     """(cat_col, category, num_col, stats...) for every pair of a text column
-    and a numeric column, from one unpivot and one aggregation (medians from
-    the exact quantile helper, keyed the same way). Null categories are dropped."""
+    and a numeric column, from one unpivot and one grouping (medians by a sketch
+    in its buffers, with an exact second scan for large groups; ``method`` forces
+    a plan of the exact quantile helper). Null categories are dropped."""
     types = {f.name: f.dataType for f in df.schema.fields}
     structs = []
     for c in cats:
@@ -345,10 +347,11 @@ def grouped_stats(df: DataFrame, cats: Sequence[str], nums: Sequence[str],
     keys = ["cat_col", "category", "num_col"]
     fns = {"count": F.count("value"), "mean": F.avg("value"), "std": F.stddev_samp("value"),
            "min": F.min("value"), "max": F.max("value"), "var": F.var_samp("value")}
+    if "median" in stats and method == "auto":   # one grouping: the medians' sketches ride with the moments
+        return grouped_medians(long, keys, {s: fns[s] for s in stats if s in fns}).select(*keys, *stats)
     base = long.groupBy(*keys).agg(*[fns[s].alias(s) for s in stats if s in fns])
     if "median" in stats:
-        hint = df.count() if method == "auto" else None
-        med = quantiles(long, keys, "value", (0.5,), method=method, rows_hint=hint).select(
+        med = quantiles(long, keys, "value", (0.5,), method=method).select(
             *keys, F.col("quantiles")[0].alias("median"))
         base = base.join(med, keys, "left")
     return base.select(*keys, *stats)

@@ -96,12 +96,12 @@ def _clip(c, lo, hi):
 
 
 @register("c7_clean_dirty", CLEAN_BASE + f"""
-SELECT {R(_clip('l_orderkey', 'alo', 'ahi'))} AS l_orderkey, {R(_clip('l_linenumber', 'blo', 'bhi'))} AS l_linenumber,
+SELECT CAST({_clip('l_orderkey', 'alo', 'ahi')} AS BIGINT) AS l_orderkey, CAST({_clip('l_linenumber', 'blo', 'bhi')} AS INTEGER) AS l_linenumber,
   {R(_clip('quantity', 'clo', 'chi'))} AS quantity, returnflag, part_text, {R(to_number('supp_text'))} AS supp_text, empty_col
 FROM u, b
 """)
 def q_c7(spark, sf):
-    """Fill (mode/median/'Unknown') → dedupe → cap → convert; the cleaned table itself."""
+    """Fill (mode/median/'Unknown') → dedupe → cap → convert; the cleaned table itself (columns without outliers keep their type)."""
     return C.clean(dirty(spark, sf)).table
 
 

@@ -114,13 +114,15 @@ FROM {src} WHERE o_orderkey % 13 = 0
 
 @register("c7_clean_wide_ids_orders", f"""
 WITH d AS ({WIDE_SQL.format(src="orders")}),
-m AS (SELECT quantile_cont(price, 0.5) AS p, quantile_disc(ordered, 0.5) AS o FROM d)
-SELECT DISTINCT wide_id, {R('coalesce(price, p)')} AS price, seldom, coalesce(ordered, o) AS ordered, o_orderstatus FROM d, m
+m AS (SELECT quantile_cont(price, 0.5) AS p, quantile_disc(ordered, 0.5) AS o FROM d),
+u AS (SELECT DISTINCT wide_id, coalesce(price, p) AS price, seldom, coalesce(ordered, o) AS ordered, o_orderstatus FROM d, m),
+q AS (SELECT quantile_cont(price, 0.25) AS a, quantile_cont(price, 0.75) AS b FROM u)
+SELECT wide_id, {R('least(greatest(price, a - 1.5 * (b - a)), b + 1.5 * (b - a))')} AS price, seldom, ordered, o_orderstatus FROM u, q
 """)
 def q_c7_wide(spark, sf):
-    """C1-C3, C5 without capping: no distinct row is lost, null timestamps are filled, booleans stay."""
+    """Ids beyond a double keep their type and value, no distinct row is lost, null timestamps are filled, booleans stay."""
     table(spark, sf, "orders", balance=False).createOrReplaceTempView("orders_wide_src")
-    return C.clean(spark.sql(WIDE_SQL.format(src="orders_wide_src")), cap=False).table
+    return C.clean(spark.sql(WIDE_SQL.format(src="orders_wide_src"))).table
 
 
 # Every seventh timestamp is null, the others are all different. The same text runs on both sides.
@@ -133,9 +135,9 @@ m AS (SELECT quantile_disc(ts, 0.5) AS o FROM d)
 SELECT DISTINCT event, coalesce(ts, o) AS ts, event_type FROM d, m
 """)
 def q_c7_moments(spark, sf):
-    """C2, C7 without capping: null timestamps take the exact lower median of many distinct ones."""
+    """Null timestamps take the exact lower median of many distinct ones."""
     table(spark, sf, "events", balance=False).createOrReplaceTempView("events_moments_src")
-    return C.clean(spark.sql(MOMENTS_SQL.format(src="events_moments_src")), cap=False).table
+    return C.clean(spark.sql(MOMENTS_SQL.format(src="events_moments_src"))).table
 
 
 def findings_sql(source: str, topic: str, lines: list[tuple[str, str | None]]) -> str:

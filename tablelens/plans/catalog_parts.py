@@ -86,8 +86,8 @@ q AS (SELECT quantile_cont(CAST(l_orderkey AS DOUBLE), 0.25) AS a1, quantile_con
              quantile_cont(quantity, 0.25) AS c1, quantile_cont(quantity, 0.75) AS c3 FROM d),
 b AS (SELECT a1 - 1.5 * (a3 - a1) AS alo, a3 + 1.5 * (a3 - a1) AS ahi, b1 - 1.5 * (b3 - b1) AS blo,
              b3 + 1.5 * (b3 - b1) AS bhi, c1 - 1.5 * (c3 - c1) AS clo, c3 + 1.5 * (c3 - c1) AS chi FROM q)
-SELECT {R(_clip('CAST(l_orderkey AS DOUBLE)', 'alo', 'ahi'))} AS l_orderkey,
-  {R(_clip('CAST(l_linenumber AS DOUBLE)', 'blo', 'bhi'))} AS l_linenumber, {R(_clip('quantity', 'clo', 'chi'))} AS quantity,
+SELECT CAST({_clip('l_orderkey', 'alo', 'ahi')} AS BIGINT) AS l_orderkey,
+  CAST({_clip('l_linenumber', 'blo', 'bhi')} AS INTEGER) AS l_linenumber, {R(_clip('quantity', 'clo', 'chi'))} AS quantity,
   returnflag, part_text, supp_text, empty_col FROM d, b
 """)
 def q_c4(spark, sf):

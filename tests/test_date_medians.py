@@ -1,10 +1,11 @@
-"""Null dates and timestamps take the exact lower median, by both quantile plans."""
+"""Null dates and timestamps take the exact lower median."""
 import datetime as d
 
 import pytest
 from pyspark.sql import functions as F
 
 from tablelens.functions import quantiles as Q
+from tablelens.functions import selection as S
 from tablelens.operators import clean as C
 
 STEP = 7_919_000_001     # microseconds between two timestamps
@@ -24,9 +25,9 @@ def moments(spark, n, nulls=10):
 
 
 @pytest.mark.parametrize("n", [1_000_001, 1_000_002])
-@pytest.mark.parametrize("small_limit", [Q.SMALL_LIMIT, 1000])   # 1000: the range-partitioned plan
-def test_fill_of_many_distinct_timestamps(spark, monkeypatch, n, small_limit):
-    monkeypatch.setattr(Q, "SMALL_LIMIT", small_limit)
+@pytest.mark.parametrize("limit", [S.LIMIT, 1000])   # 1000: brackets are narrowed first
+def test_fill_of_many_distinct_timestamps(spark, monkeypatch, n, limit):
+    monkeypatch.setattr(S, "LIMIT", limit)
     df = moments(spark, n)
     fills, missing, rows = C._fill_stats(df.select("ts", "day", "wall"))
     k = (n - 1) // 2

@@ -186,8 +186,30 @@ def test_constant_column_has_no_skew(spark):
 def test_dates_in_many_forms(spark):
     from tablelens.operators import kinds
     texts = ["2024-01-05T10:11:12.5", "2024-01-05 10:11", "01-02-2024", "2024-01-07", "2024-01-05T10:11:12Z", "Jan 5, 2024", "13/02/2024", "soon"]
-    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(kinds.to_datetime("t").alias("d")).collect()]
-    assert [g is not None for g in got] == [True] * 7 + [False] and (got[2].month, got[2].day) == (1, 2)
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    masks = [r[0] for r in df.select(kinds.date_mask("t")).collect()]
+    assert [m != 0 for m in masks] == [True] * 7 + [False]
+    reading = kinds.first_reading(masks[2])           # month first where both readings fit
+    got = df.limit(3).select(kinds.to_datetime("t", reading)).collect()[2][0]
+    assert (got.month, got.day) == (1, 2)
+
+
+def test_one_reading_a_column(spark):
+    from tablelens.operators import clean, kinds
+    both = ["01/02/2024", "03/04/2024 10:30"]
+    df = spark.createDataFrame([
+        (a, a.replace("/", "-"), "13/02/2024" if i == 1 else a, ["01/02/2024", "03-04-2024"][i % 2], ["2024-01-05", "2024-01-05T10:11:12Z"][i % 2], None if i else "Jan 5, 2024", i)
+        for i, a in enumerate(both * 6)], "month string, dashed string, day string, mixed string, iso string, named string, id int")
+    assert clean.conversions(df) == {"month": "Converted to datetime", "dashed": "Converted to datetime", "day": "Converted to datetime",
+                                     "mixed": "Kept as categorical", "iso": "Converted to datetime", "named": "Converted to datetime"}
+    got = kinds.apply_conversions(df, clean.conversions(df)).where("id < 2").orderBy("id").collect()
+    assert [(r["month"].month, r["month"].day) for r in got] == [(1, 2), (3, 4)] and got[1]["month"].hour == 10
+    assert [(r["day"].month, r["day"].day) for r in got] == [(2, 1), (2, 13)] and got[0]["mixed"] == "01/02/2024"
+    # the example of three ways to write a date in one column stays text, and the series takes its commonest reading
+    three = spark.createDataFrame([("01/02/2024", 1.0), ("13/02/2024", 2.0), ("03-04-2024", 3.0)], "t string, v double")
+    assert clean.conversions(three) == {"t": "Kept as categorical"}
+    from tablelens.operators.chartdata import time_series
+    assert [(r["t"].month, r["t"].day) for r in time_series(three, "t", "v").collect()] == [(2, 1), (2, 13)]
 
 
 def test_csv_quotes(spark, tmp_path):
