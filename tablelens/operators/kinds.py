@@ -23,26 +23,19 @@ from tablelens.functions.stats import at, is_numeric_type, to_number, without_se
 from tablelens.operators import texts as X
 
 # The readings of a text date in order of preference (month first
-# where both fit), each with the shape that a value must have for it. A time of
-# day may follow any of them.
-READINGS: list[tuple[str, str]] = [
-    ("yyyy/M/d", r"\d{4}/\d{1,2}/\d{1,2}"),
-    ("M/d/yyyy", r"\d{1,2}/\d{1,2}/\d{4}"),
-    ("d/M/yyyy", r"\d{1,2}/\d{1,2}/\d{4}"),
-    ("M-d-yyyy", r"\d{1,2}-\d{1,2}-\d{4}"),
-    ("d-M-yyyy", r"\d{1,2}-\d{1,2}-\d{4}"),
-    ("M.d.yyyy", r"\d{1,2}\.\d{1,2}\.\d{4}"),
-    ("d.M.yyyy", r"\d{1,2}\.\d{1,2}\.\d{4}"),
-    ("yyyyMMdd", r"\d{8}"),
-    ("d MMM yyyy", r"\d{1,2} \p{L}{3,9} \d{4}"),
-    ("d MMMM yyyy", r"\d{1,2} \p{L}{3,9} \d{4}"),
-    ("MMM d, yyyy", r"\p{L}{3,9} \d{1,2}, \d{4}"),
-    ("MMMM d, yyyy", r"\p{L}{3,9} \d{1,2}, \d{4}"),
+# where both fit). A time of day may follow any of them.
+READINGS = [
+    "yyyy/M/d", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "M.d.yyyy", "d.M.yyyy", "yyyyMMdd",
+    "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy",
 ]
+CLOCK = "[['T'][ ]H:mm[:ss]]"
+# a text can only have one of these readings if it has this shape; testing it
+# first spares the (costly) failing parses on ordinary text
+DATE_SHAPE = (r"^\s*(\d{4}/\d{1,2}/\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4}|\d{8}|\d{1,2} \p{L}{3,9} \d{4}|\p{L}{3,9} \d{1,2}, \d{4})"
+              r"([ T]\d{1,2}:\d{2}(:\d{2})?)?\s*$")
 # ISO 8601 with any of minutes, seconds, a fraction and a zone: Spark's own cast
 # reads it. It is the first reading (bit 0 of a mask; READINGS[i] is bit i + 1).
 ISO_SHAPE = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?)?\s*$"
-CLOCK = r"([ T]\d{1,2}:\d{2}(:\d{2})?)?"
 N_READINGS = len(READINGS) + 1
 
 
@@ -111,14 +104,14 @@ def conversion_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
     """Per string column: rows, non-null, convertible as number (plain),
     convertible after sentinel removal, convertible as date. One pass."""
     cols = list(cols) if cols is not None else categorical_columns(df)
-
-    return _stack(df, cols, [
+    masks = {c: f"_tl_mask{i}" for i, c in enumerate(cols)}   # computed once a value
+    return _stack(df.select("*", *[date_mask(c).alias(m) for c, m in masks.items()]), cols, [
         ("rows", lambda c: F.count(F.lit(1))),
-        ("non_null", lambda c: F.count(F.col(c))),
+        ("non_null", lambda c: F.count(at(c))),
         ("numeric", lambda c: F.count(to_number(c))),
-        ("numeric_no_sentinel", lambda c: F.count(to_number(without_sentinels(F.col(c))))),
-        ("datetime", lambda c: F.count_if(date_mask(c) != 0)),
-        ("readings", lambda c: F.bit_and(date_mask(c))),
+        ("numeric_no_sentinel", lambda c: F.count(to_number(without_sentinels(at(c))))),
+        ("datetime", lambda c: F.count_if(F.col(masks[c]) != 0)),
+        ("readings", lambda c: F.bit_and(masks[c])),
     ])
 
 
@@ -162,20 +155,16 @@ def _read(col, reading: int):
     """The timestamp that one reading makes of a text, else null."""
     if reading == 0:
         return F.when(col.rlike(ISO_SHAPE), F.trim(col).try_cast("timestamp"))
-    fmt, shape = READINGS[reading - 1]
-    plain = F.regexp_replace(F.trim(col), r"T(?=\d{1,2}:)", " ")
-    tries = [F.try_to_timestamp(plain, F.lit(fmt + clock)) for clock in ("", " H:mm", " H:mm:ss")]
-    return F.when(col.rlike(r"^\s*" + shape + CLOCK + r"\s*$"), F.coalesce(*tries))
+    return F.try_to_timestamp(F.trim(col), F.lit(READINGS[reading - 1] + CLOCK))
 
 
 def date_mask(c: str):
     """Bits of the readings that read this value whole (null stays null). The
     ``bit_and`` over a column keeps the readings that read every value of it."""
     col = at(c).cast("string")
-    bits = sum((F.when(_read(col, i).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(1, N_READINGS)),
-               F.when(_read(col, 0).isNotNull(), F.lit(1)).otherwise(F.lit(0)))
-    # a date has a digit and no more than 40 characters: spares the tries on ordinary text
-    return F.when(col.isNotNull(), F.when((F.length(col) <= 40) & col.rlike(r"\d"), bits).otherwise(F.lit(0)))
+    bits = [F.when(_read(col, i).isNotNull(), 1 << i).otherwise(0) for i in range(N_READINGS)]
+    dates = sum(bits[2:], bits[1])
+    return F.when(col.isNotNull(), F.when(col.rlike(ISO_SHAPE), bits[0]).when(col.rlike(DATE_SHAPE), dates).otherwise(0))
 
 
 def to_datetime(c: str, reading: int):
