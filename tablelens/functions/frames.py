@@ -9,7 +9,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.functions.stats import num
+from tablelens.functions.stats import at, num
 
 
 def agg_by_column(df: DataFrame, cols: Sequence[str],
@@ -36,7 +36,7 @@ def numeric_long(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -
 
 def string_long(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """(keep..., column, value string)."""
-    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]
+    pairs = [F.struct(F.lit(c).alias("column"), at(c).cast("string").alias("value")) for c in cols]
     return df.select(*keep, F.inline(F.array(*pairs)))
 
 
@@ -61,5 +61,5 @@ def rounded(df: DataFrame, decimals: int | None) -> DataFrame:
     if decimals is None:
         return df
     from pyspark.sql import types as T
-    return df.select(*[F.round(F.col(f"`{f.name}`"), decimals).alias(f.name)
-                       if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema.fields])
+    return df.select(*[F.round(at(f.name), decimals).alias(f.name)
+                       if isinstance(f.dataType, T.DoubleType) else at(f.name) for f in df.schema.fields])

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tablelens.functions.frames import materialize, per_column
 from tablelens.functions.quantiles import SMALL_LIMIT, quantiles
-from tablelens.functions.stats import num, to_number
+from tablelens.functions.stats import at, num, to_number
 from tablelens.operators import kinds as K
 from tablelens.operators.profile import quartiles
 
@@ -80,7 +80,7 @@ def box_stats(df: DataFrame, cols: Sequence[str] | None = None, method: str = "a
         q1, med, q3 = (r["q25"], r["median"], r["q75"]) if r else (None, None, None)
         lo = q1 - 1.5 * (q3 - q1) if r else None
         hi = q3 + 1.5 * (q3 - q1) if r else None
-        x = F.col(c)
+        x = at(c)
         inside = (x >= F.lit(lo)) & (x <= F.lit(hi))
         structs.append(F.struct(
             F.lit(c).alias("column"), F.lit(q1).cast("double").alias("q1"), F.lit(med).cast("double").alias("median"),
@@ -134,7 +134,7 @@ def grouped_box(df: DataFrame, category: str, column: str, method: str = "auto")
     The per-category fences join back by broadcast when there are at most
     ``BROADCAST_GROUPS`` categories (checked), otherwise by a shuffle join of
     the counted table."""
-    v = df.select(F.col(category).cast("string").alias("category"), _value(df, column).alias("v")).where(
+    v = df.select(at(category).cast("string").alias("category"), _value(df, column).alias("v")).where(
         F.col("category").isNotNull())
     # written once to the shared folder: read by the sizing job, the quartiles
     # and the final aggregation, and the answer stays a lazy DataFrame
@@ -200,15 +200,15 @@ def parallel_coordinates(df: DataFrame, cols: Sequence[str] | None = None, fract
         raise ValueError("needs at least two numeric columns")
     types = {f.name: f.dataType for f in df.schema.fields}
     view = df.select(*[num(c, types[c]).alias(c) for c in cols])
-    s = view.agg(*[F.min(c).alias(f"{c}__min") for c in cols], *[F.max(c).alias(f"{c}__max") for c in cols]).first()
+    s = view.agg(*[F.min(at(c)).alias(f"{c}__min") for c in cols], *[F.max(at(c)).alias(f"{c}__max") for c in cols]).first()
     if fraction is not None:
         view = view.sample(fraction=fraction, seed=seed)
 
     def scale(c):
         lo, hi = s[f"{c}__min"], s[f"{c}__max"]
         if lo is None or hi == lo:
-            return F.when(F.col(c).isNotNull(), F.lit(0.0))
-        return (F.col(c) - F.lit(lo)) / F.lit(hi - lo)
+            return F.when(at(c).isNotNull(), F.lit(0.0))
+        return (at(c) - F.lit(lo)) / F.lit(hi - lo)
 
     return view.select(*[scale(c).alias(c) for c in cols])
 
@@ -225,7 +225,7 @@ def outlier_rows(df: DataFrame, column: str, method: str = "auto") -> DataFrame:
     if K.kind_of(dt) == "numeric" and not isinstance(dt, T.BooleanType):
         # the fence test on the raw column reaches the parquet scan (row-group
         # skipping); NaN, which compares above every number, is removed after
-        raw = F.col(column)
+        raw = at(column)
         out = df.where((raw < F.lit(lo)) | (raw > F.lit(hi)))
         if isinstance(dt, (T.FloatType, T.DoubleType)):
             out = out.where(~F.isnan(raw))
@@ -240,12 +240,12 @@ def time_series(df: DataFrame, date_col: str, value_col: str) -> DataFrame:
     the one that reads most values (what it cannot read is dropped), rows
     missing either dropped, sorted by date (a range-partitioned sort)."""
     dt = df.schema[date_col].dataType
-    d = K.to_datetime(date_col, K.commonest_reading(df, date_col)) if isinstance(dt, T.StringType) else F.col(date_col).cast("timestamp_ntz") \
-        if isinstance(dt, T.DateType) else F.col(date_col)
+    d = K.to_datetime(date_col, K.commonest_reading(df, date_col)) if isinstance(dt, T.StringType) else at(date_col).cast("timestamp_ntz") \
+        if isinstance(dt, T.DateType) else at(date_col)
     vt = df.schema[value_col].dataType
-    val = num(value_col, vt) if K.kind_of(vt) == "numeric" else F.col(value_col)
+    val = num(value_col, vt) if K.kind_of(vt) == "numeric" else at(value_col)
     # equal (date, value) rows are interchangeable; their scan position breaks
     # the tie so the range-partitioned sort can split a run of them
     return (df.select(d.alias(date_col), val.alias(value_col), F.monotonically_increasing_id().alias("_pos"))
-            .where(F.col(date_col).isNotNull() & F.col(value_col).isNotNull())
-            .orderBy(date_col, value_col, "_pos").drop("_pos"))
+            .where(at(date_col).isNotNull() & at(value_col).isNotNull())
+            .orderBy(at(date_col), at(value_col), "_pos").drop("_pos"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelens.functions.stats import num
+from tablelens.functions.stats import at, num
 from tablelens.operators import kinds as K
 from tablelens.operators import texts as X
 from tablelens.operators.profile import duplicate_rows
@@ -27,7 +27,7 @@ HIGH_CARDINALITY = 0.9
 
 def _present(df, c):
     dt = df.schema[c].dataType
-    return num(c, dt) if isinstance(dt, (T.FloatType, T.DoubleType)) else F.col(c)
+    return num(c, dt) if isinstance(dt, (T.FloatType, T.DoubleType)) else at(c)
 
 
 def table_counts(df: DataFrame, approx: bool = False, present: list[str] | None = None,
@@ -39,9 +39,9 @@ def table_counts(df: DataFrame, approx: bool = False, present: list[str] | None
 
     def distinct(c: str):
         if approx:
-            return F.approx_count_distinct(F.col(c))
-        seen = F.col(c).isNotNull()
-        return F.count_distinct(F.when(seen, F.xxhash64(c)), F.when(seen, F.hash(c)))
+            return F.approx_count_distinct(at(c))
+        seen = at(c).isNotNull()
+        return F.count_distinct(F.when(seen, F.xxhash64(at(c))), F.when(seen, F.hash(at(c))))
 
     return df.agg(F.count(F.lit(1)).alias("rows"),
                   *[F.count(_present(df, c)).alias(f"nn__{c}") for c in present],
@@ -70,7 +70,7 @@ def validate(df: DataFrame, min_rows: int = MIN_ROWS, min_cols: int = MIN_COLS,
                                      value.cast("double").alias("value"), message.alias("message")))
 
     rows = F.col("rows")
-    empty = [F.when(F.col(f"nn__{c}") == 0, F.lit(c)) for c in present]
+    empty = [F.when(at(f"nn__{c}") == 0, F.lit(c)) for c in present]
     empty_list = F.filter(F.array(*empty), lambda x: x.isNotNull()) if empty else F.array().cast("array<string>")
     items = [
         mk("min_rows", None, rows,
@@ -86,9 +86,9 @@ def validate(df: DataFrame, min_rows: int = MIN_ROWS, min_cols: int = MIN_COLS,
            F.col("duplicate_rows") > 0),
     ]
     for c in texts:
-        items.append(mk("high_cardinality", c, F.col(f"nd__{c}"),
+        items.append(mk("high_cardinality", c, at(f"nd__{c}"),
                         F.lit(X.ISSUE_CARDINALITY.format(column=c)),
-                        F.col(f"nd__{c}") >= high_cardinality * rows))
+                        at(f"nd__{c}") >= high_cardinality * rows))
     names = ["min_rows", "min_cols", "all_null", "duplicates"] + ["high_cardinality"] * len(texts)
     items = [i for i, nme in zip(items, names) if nme in checks]
     if not items:

@@ -86,7 +86,7 @@ def drop_duplicates(df: DataFrame, rows_hint: int | None = None) -> DataFrame:
         return df
     if rows_hint is not None and rows_hint <= SMALL_LIMIT:
         return df.dropDuplicates()
-    cols = [F.col(f"`{c}`") for c in df.columns]
+    cols = [at(c) for c in df.columns]
     hashed = df.select("*", F.xxhash64(*cols).alias("_tl_h1"), F.hash(*cols).alias("_tl_h2"))
     cand = materialize(hashed.groupBy("_tl_h1", "_tl_h2").agg(F.count(F.lit(1)).alias("_tl_n"))
                        .where(F.col("_tl_n") > 1).select("_tl_h1", "_tl_h2"), "repeated-hashes")   # hashed once

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelens.functions.stats import num
+from tablelens.functions.stats import at, num
 from tablelens.operators import kinds as K
 from tablelens.operators import pairs as B
 from tablelens.operators import profile as P
@@ -63,7 +63,7 @@ def distribution_findings(df: DataFrame, column: str) -> DataFrame:
         if u["outliers"]:
             lines.append(X.N1_OUTLIERS.format(n=u["outliers"], pct=u["outliers"] / rows * 100))
     else:
-        u = P.univariate_categorical(df.select(F.col(column).cast("string").alias(column)), [column]).first()
+        u = P.univariate_categorical(df.select(at(column).cast("string").alias(column)), [column]).first()
         rows = u["total_count"] + u["missing_count"]
         pct = (u["most_frequent_count"] or 0) / rows * 100 if rows else 0.0
         lines.append(X.N1_UNIQUE.format(n=u["unique_count"]))

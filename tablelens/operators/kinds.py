@@ -87,7 +87,7 @@ def schema_overview(df: DataFrame) -> DataFrame:
 
     def present(c):
         dt = types[c]
-        v = num(c, dt) if isinstance(dt, (T.FloatType, T.DoubleType)) else F.col(c)
+        v = num(c, dt) if isinstance(dt, (T.FloatType, T.DoubleType)) else at(c)
         return v
 
     counts = _stack(df, df.columns, [
@@ -215,10 +215,10 @@ def resolve_numeric_many(df: DataFrame, columns: Sequence[str], rule: str = "maj
         if is_numeric_type(dt):
             out[c] = (num(c, dt), True)
         elif c in rules and rules[c][rule]:
-            src = without_sentinels(F.col(c)) if rule == "majority_rows" else F.col(c)
+            src = without_sentinels(at(c)) if rule == "majority_rows" else at(c)
             out[c] = (to_number(src), True)
         else:
-            out[c] = (F.col(c), False)
+            out[c] = (at(c), False)
     return out
 
 
@@ -232,10 +232,10 @@ def resolve_numeric(df: DataFrame, column: str, rule: str = "majority_non_null")
     if is_numeric_type(dt):
         return num(column, dt), True
     if not isinstance(dt, T.StringType):
-        return F.col(column), False
+        return at(column), False
     row = coercion_rules(df, [column]).first()
     ok = bool(row[rule])
     if not ok:
-        return F.col(column), False
-    src = without_sentinels(F.col(column)) if rule == "majority_rows" else F.col(column)
+        return at(column), False
+    src = without_sentinels(at(column)) if rule == "majority_rows" else at(column)
     return to_number(src), True

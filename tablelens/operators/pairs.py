@@ -22,7 +22,7 @@ from tablelens.functions import special
 from tablelens.functions.frames import rounded
 from tablelens.functions.quantiles import average_ranks, quantiles
 from tablelens.functions.selection import grouped_medians
-from tablelens.functions.stats import num, pearson
+from tablelens.functions.stats import at, num, pearson
 from tablelens.operators import kinds as K
 
 #: column values per literal array when a dense contingency table is listed
@@ -89,21 +89,21 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, diagona
     if not pairs:
         return df.sparkSession.createDataFrame([], schema)
     v = df.select(*[_num(df, c).alias(c) for c in cols])
-    first = v.agg(F.count(F.lit(1)).alias("_rows"), *[F.avg(c).alias(f"m{k}") for k, c in enumerate(cols)],
-                  *[F.count(c).alias(f"n{k}") for k, c in enumerate(cols)]).first()
+    first = v.agg(F.count(F.lit(1)).alias("_rows"), *[F.avg(at(c)).alias(f"m{k}") for k, c in enumerate(cols)],
+                  *[F.count(at(c)).alias(f"n{k}") for k, c in enumerate(cols)]).first()
     rows = first["_rows"]
     means = [float(first[f"m{k}"] or 0.0) for k in range(len(cols))]
     if method == "gram" or (method == "auto" and len(pairs) > PAIRS_PER_AGG):
         sums = _gram_sums(v, cols, means, pairs)
     else:
         full = [first[f"n{k}"] == rows for k in range(len(cols))]
-        x = [F.col(c) - F.lit(means[k]) for k, c in enumerate(cols)]
+        x = [at(c) - F.lit(means[k]) for k, c in enumerate(cols)]
         structs = []
         for i, j in pairs:
             if full[i] and full[j]:
                 a, b, n = x[i], x[j], F.count(F.lit(1))
             else:
-                both = F.col(cols[i]).isNotNull() & F.col(cols[j]).isNotNull()
+                both = at(cols[i]).isNotNull() & at(cols[j]).isNotNull()
                 a, b = F.when(both, x[i]), F.when(both, x[j])
                 n = F.count(a)
             structs.append(F.struct(
@@ -249,7 +249,7 @@ def spearman_test(df: DataFrame, a: str, b: str, method: str = "auto") -> DataFr
 def contingency(df: DataFrame, a: str, b: str, zeros: bool = False) -> DataFrame:
     """(a, b, n) over rows where both are present. ``zeros=True`` adds
     the empty cells: the result is then the whole dense table, as asked."""
-    pair = df.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).where(
+    pair = df.select(at(a).cast("string").alias("a"), at(b).cast("string").alias("b")).where(
         F.col("a").isNotNull() & F.col("b").isNotNull())
     cells = pair.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     if not zeros:
@@ -320,7 +320,7 @@ def chi_square(cells: DataFrame) -> DataFrame:
 
 def chi_square_test(df: DataFrame, a: str, b: str) -> DataFrame:
     """B5 + B6 on two columns."""
-    st = chi_square_stats(contingency(df, a, b).select(F.col(a).alias("a"), F.col(b).alias("b"), "n"))
+    st = chi_square_stats(contingency(df, a, b).select(at(a).alias("a"), at(b).alias("b"), "n"))
     return df.sparkSession.createDataFrame(
         [(a, b, st["n"], st["dof"], st["chi2"], st["p_value"], _association(st["p_value"]))],
         "column1 string, column2 string, n long, dof long, chi2 double, p_value double, association string")
@@ -339,7 +339,7 @@ def grouped_stats(df: DataFrame, cats: Sequence[str], nums: Sequence[str],
     structs = []
     for c in cats:
         for x in nums:
-            structs.append(F.struct(F.lit(c).alias("cat_col"), F.col(c).cast("string").alias("category"),
+            structs.append(F.struct(F.lit(c).alias("cat_col"), at(c).cast("string").alias("category"),
                                     F.lit(x).alias("num_col"), num(x, types[x]).alias("value")))
     long = df.select(F.inline(F.array(*structs))).where(F.col("category").isNotNull())
     if complete_only:
@@ -370,7 +370,7 @@ def anova_oneway(df: DataFrame, cat: str, value: str) -> DataFrame:
     (complete rows); null when undefined (one group, or no spread inside).
     Group (n, mean, variance) in one aggregation, then SSB and SSW in a second
     over the (small) group table."""
-    v = df.select(F.col(cat).cast("string").alias("g"), _num(df, value).alias("x")).where(
+    v = df.select(at(cat).cast("string").alias("g"), _num(df, value).alias("x")).where(
         F.col("g").isNotNull() & F.col("x").isNotNull())
     groups = v.groupBy("g").agg(F.count("x").alias("n"), F.avg("x").alias("m"),
                                 F.coalesce(F.var_samp("x"), F.lit(0.0)).alias("s2")).persist()

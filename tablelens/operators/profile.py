@@ -31,7 +31,7 @@ _FIXED_WIDTH = {
 
 def _present(df: DataFrame, c: str):
     dt = df.schema[c].dataType
-    return num(c, dt) if isinstance(dt, (T.FloatType, T.DoubleType)) else F.col(c)
+    return num(c, dt) if isinstance(dt, (T.FloatType, T.DoubleType)) else at(c)
 
 
 def _round(c, decimals):
@@ -59,10 +59,10 @@ def duplicate_rows(df: DataFrame, rows_hint: int | None = None) -> DataFrame:
     if not df.columns:
         return spark.createDataFrame([(0,)], "duplicate_rows long")
     if rows_hint is not None and rows_hint <= SMALL_LIMIT:
-        g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_tl_n"))
+        g = df.groupBy(*[at(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_tl_n"))
         dups = g.agg(F.coalesce(F.sum(F.col("_tl_n") - 1), F.lit(0))).first()[0]
         return spark.createDataFrame([(int(dups),)], "duplicate_rows long")
-    cols = [F.col(f"`{c}`") for c in df.columns]
+    cols = [at(c) for c in df.columns]
     hashed = df.select("*", F.xxhash64(*cols).alias("_tl_h1"), F.hash(*cols).alias("_tl_h2"))
     cand = (hashed.groupBy("_tl_h1", "_tl_h2").agg(F.count(F.lit(1)).alias("_tl_n"))
             .where(F.col("_tl_n") > 1).select("_tl_h1", "_tl_h2")).persist()
@@ -73,7 +73,7 @@ def duplicate_rows(df: DataFrame, rows_hint: int | None = None) -> DataFrame:
         else:
             side = F.broadcast(cand) if k <= BROADCAST_HASHES else cand
             subset = hashed.join(side, ["_tl_h1", "_tl_h2"], "left_semi").drop("_tl_h1", "_tl_h2")
-            g = subset.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_tl_n"))
+            g = subset.groupBy(*[at(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_tl_n"))
             dups = g.agg(F.coalesce(F.sum(F.col("_tl_n") - 1), F.lit(0))).first()[0]
     finally:
         cand.unpersist()
@@ -90,7 +90,7 @@ def dataset_info(df: DataFrame) -> DataFrame:
         if w is not None:
             width += w
         elif isinstance(f.dataType, T.StringType):
-            text.append(F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)))
+            text.append(F.coalesce(F.octet_length(at(f.name)), F.lit(0)))
     var = sum(text[1:], text[0]) if text else F.lit(0)
     b = df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(var).alias("_var")).first()
     rows = int(b["n_rows"])
@@ -136,13 +136,13 @@ def missing_summary(df: DataFrame) -> DataFrame:
 def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, count, mean, std, min, max, skewness, kurtosis) — one pass."""
     return agg_by_column(df, cols, [
-        ("count", lambda c: F.count(c)),
-        ("mean", lambda c: F.avg(c)),
-        ("std", lambda c: F.stddev_samp(c)),
-        ("min", lambda c: F.min(c)),
-        ("max", lambda c: F.max(c)),
-        ("skewness", lambda c: adjusted_skewness(F.col(c))),
-        ("kurtosis", lambda c: adjusted_kurtosis(F.col(c))),
+        ("count", lambda c: F.count(at(c))),
+        ("mean", lambda c: F.avg(at(c))),
+        ("std", lambda c: F.stddev_samp(at(c))),
+        ("min", lambda c: F.min(at(c))),
+        ("max", lambda c: F.max(at(c))),
+        ("skewness", lambda c: adjusted_skewness(at(c))),
+        ("kurtosis", lambda c: adjusted_kurtosis(at(c))),
     ])
 
 
@@ -191,7 +191,7 @@ def _outside(c: str, bounds: dict):
     b = bounds.get(c)
     if b is None or b["lower"] is None:
         return F.lit(0).cast("long")
-    return F.count_if((F.col(c) < _lit(b["lower"])) | (F.col(c) > _lit(b["upper"])))
+    return F.count_if((at(c) < _lit(b["lower"])) | (at(c) > _lit(b["upper"])))
 
 
 _SUMMARY_SCHEMA = ("column string, count long, mean double, median double, std double, min double, max double, "
@@ -388,7 +388,7 @@ def univariate(df: DataFrame, column: str, method: str = "auto") -> DataFrame:
         _, is_num = K.resolve_numeric(df, column, "majority_non_null")
         if is_num:
             return univariate_numeric(df, [column], method, rule=None)
-    return univariate_categorical(df.select(F.col(column).cast("string").alias(column)), [column])
+    return univariate_categorical(df.select(at(column).cast("string").alias(column)), [column])
 
 
 # ---------------------------------------------------------------- P10

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.functions.frames import agg_by_column, rounded
-from tablelens.functions.stats import adjusted_skewness, num, pearson
+from tablelens.functions.stats import adjusted_skewness, at, num, pearson
 from tablelens.operators import kinds as K
 from tablelens.operators import pairs as B
 from tablelens.operators import texts as X
@@ -60,10 +60,10 @@ def detect_targets(df: DataFrame) -> DataFrame:
     types = {f.name: f.dataType for f in df.schema.fields}
     items = []
     if texts:
-        about = df.agg(*[F.approx_count_distinct(F.col(c)).alias(f"a{i}") for i, c in enumerate(texts)]).first()
+        about = df.agg(*[F.approx_count_distinct(at(c)).alias(f"a{i}") for i, c in enumerate(texts)]).first()
         texts = [c for i, c in enumerate(texts) if about[i] <= FEW_CLASSES]
     for c in texts:
-        d = F.count_distinct(F.col(c))
+        d = F.count_distinct(at(c))
         items.append(F.when((d >= 2) & (d <= 10), F.struct(
             F.lit(1).alias("seq"), F.lit(c).alias("column"),
             F.format_string(X.printf(X.TARGET_BY_CLASSES), d.cast("string")).alias("reason"),
@@ -187,7 +187,7 @@ def association_residuals(df: DataFrame, target: str, feature: str) -> DataFrame
     cells from the margins; the dense table is never built), the smallest cell
     count and the reading of both."""
     cells = B.contingency(df, feature, target).select(
-        F.col(feature).alias("a"), F.col(target).alias("b"), "n").persist()
+        at(feature).alias("a"), at(target).alias("b"), "n").persist()
     try:
         st = B.chi_square_stats(cells)
         ra = cells.groupBy("a").agg(F.sum("n").cast("double").alias("ra"), F.count(F.lit(1)).alias("seen"))
@@ -265,7 +265,7 @@ def _relations(df: DataFrame, target: str, features: Sequence[str], text_only: b
         parts.append(corr.select(F.col("column").alias("feature"), F.lit("Correlation").alias("impact_type"),
                                  "value", F.lit(None).cast("double").alias("mean_std")))
     if t_num and cat_f:  # numeric target, text features: target stats per feature category
-        structs = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("category")) for c in cat_f]
+        structs = [F.struct(F.lit(c).alias("feature"), at(c).cast("string").alias("category")) for c in cat_f]
         long = df.select(num(target, types[target]).alias("y"), F.inline(F.array(*structs))).where(
             F.col("category").isNotNull())
         g = long.groupBy("feature", "category").agg(F.avg("y").alias("m"), F.stddev_samp("y").alias("s"))
@@ -274,7 +274,7 @@ def _relations(df: DataFrame, target: str, features: Sequence[str], text_only: b
         parts.append(rng.select("feature", F.lit("Range").alias("impact_type"), "value", "mean_std", "groups"))
     if not t_num and num_f:  # text target, numeric features: feature stats per target class
         structs = [F.struct(F.lit(c).alias("feature"), num(c, types[c]).alias("x")) for c in num_f]
-        long = df.select(F.col(target).cast("string").alias("category"), F.inline(F.array(*structs))).where(
+        long = df.select(at(target).cast("string").alias("category"), F.inline(F.array(*structs))).where(
             F.col("category").isNotNull())
         g = long.groupBy("feature", "category").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))
         rng = g.groupBy("feature").agg((F.max("m") - F.min("m")).alias("value"), F.avg("s").alias("mean_std"),
@@ -359,7 +359,7 @@ def target_summary(df: DataFrame, target: str) -> DataFrame:
             F.lit(target).alias("target"), F.lit("numeric").alias("type"), "unique", "min", "max", "mean", "std",
             "skewness", (F.abs("skewness") > 1).alias("skewed"),
             F.when(F.abs("skewness") > 1, F.when(F.col("skewness") > 0, "right").otherwise("left")).alias("skew_direction"))
-    c = F.col(target).cast("string")
+    c = at(target).cast("string")
     vc = df.select(c.alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     top = vc.agg(F.count(F.lit(1)).alias("unique"),
                  F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("most_common"),

@@ -14,7 +14,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.functions.stats import CSV_NULL_TOKENS, NUMBER_PATTERN
+from tablelens.functions.stats import CSV_NULL_TOKENS, NUMBER_PATTERN, at
 
 INT_PATTERN = r"^\s*[+-]?\d+\s*$"
 # Spellings of booleans recognised in text files.
@@ -25,7 +25,7 @@ def _decide(df: DataFrame) -> dict[str, str]:
     """Type per text column from one aggregation (one row fetched)."""
     checks = []
     for c in df.columns:
-        v = F.col(f"`{c}`")
+        v = at(c)
         checks += [F.count(v).alias(f"{c}__n"),
                    F.count(F.when(v.rlike(INT_PATTERN) & F.trim(v).try_cast("long").isNotNull(), 1)).alias(f"{c}__i"),
                    F.count(F.when(v.rlike(NUMBER_PATTERN), 1)).alias(f"{c}__d"),
@@ -47,34 +47,36 @@ def _decide(df: DataFrame) -> dict[str, str]:
     return out
 
 
+def _breaks_in_quotes(spark: SparkSession, path: str) -> bool:
+    """A quoted field that goes on over a line break leaves an odd number of
+    quotes on the line where it opens."""
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def read_table(spark: SparkSession, path: str, sep: str = ",", null_tokens=CSV_NULL_TOKENS,
-               multi_line: bool = False) -> DataFrame:
+               multi_line: bool | None = None) -> DataFrame:
     """CSV with a header → typed DataFrame; a doubled quote inside a quoted
-    field is one quote. ``multi_line`` also allows quoted line breaks; each
-    file is then read by one task, so a large source must be many files.
+    field is one quote, and a quoted field may hold line breaks. Whether any
+    does is looked for first (``multi_line`` None): a file without them is
+    split among tasks, one with them is read whole by one task, so a large
+    source of that kind must be many files. Column names stay as they are.
     Raises ``ValueError`` when the file cannot be read."""
     try:
+        if multi_line is None:
+            multi_line = _breaks_in_quotes(spark, path)
         raw = spark.read.option("header", True).option("sep", sep).option("inferSchema", False) \
             .option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(path)
         cols = raw.columns
     except Exception as e:  # surfaced as the reference does
         raise ValueError(f"Error reading CSV: {e}") from e
-    # a dot in a name means struct access to Spark; header names keep their
-    # text otherwise
-    names: list[str] = []
-    for c in cols:
-        name = c.replace(".", "_")
-        while name in names or (name != c and name in cols):   # "a.b" beside "a_b"
-            name += "_"
-        names.append(name)
-    text = raw.select(*[F.when(~F.col(f"`{c}`").isin(list(null_tokens)), F.col(f"`{c}`")).alias(n)
-                        for c, n in zip(cols, names)])
-    cols = names
+    text = raw.select(*[F.when(~at(c).isin(list(null_tokens)), at(c)).alias(c) for c in cols])
     types = _decide(text)
 
     def cast(c):
         t = types[c]
-        v = F.col(f"`{c}`")
+        v = at(c)
         if t == "string":
             return v.alias(c)
         if t == "boolean":
@@ -94,15 +96,15 @@ def read_named(spark: SparkSession, filename: str, base: str) -> DataFrame | Non
 
 def preview(df: DataFrame, n: int = 10, order_by: list[str] | None = None) -> DataFrame:
     """S3: the first n rows (in ``order_by`` order when a fixed answer is needed)."""
-    return (df.orderBy(*order_by) if order_by else df).limit(n)
+    return (df.orderBy(*[at(c) for c in order_by]) if order_by else df).limit(n)
 
 
 def sample_values(df: DataFrame, column: str, n: int = 5, order_by: list[str] | None = None) -> DataFrame:
     """The first n non-null values of a column."""
-    v = df.where(F.col(column).isNotNull())
+    v = df.where(at(column).isNotNull())
     if order_by:
-        v = v.orderBy(*order_by)
-    return v.select(column).limit(n)
+        v = v.orderBy(*[at(c) for c in order_by])
+    return v.select(at(column)).limit(n)
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
