@@ -51,7 +51,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op2_cover_tree_top_k", """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.vec::DOUBLE[], c.vec::DOUBLE[]) AS BIGINT) AS score
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.vec, c.vec), lambda z: CAST(z[1] AS HUGEINT) * z[2])) AS BIGINT) AS score
       FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s)
 SELECT query_id, CAST(rn AS INTEGER) AS "rank", vec_id, score FROM r WHERE rn <= 5""")
