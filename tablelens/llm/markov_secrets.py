@@ -125,11 +125,13 @@ def train(sample: DataFrame) -> Model:
 
 
 def log_ratio(token: Column, model: Model) -> Column:
-    """Sum over a token's transitions, in 1/1000 nat."""
+    """Sum over a token's transitions, in 1/1000 nat: the token is split into
+    its characters once, and each meets its neighbour."""
     table = model.column()
-    steps = F.sequence(F.lit(1), F.length(token) - 1)
-    return F.aggregate(steps, F.lit(0).cast("long"), lambda acc, i: acc + F.element_at(
-        table, F.ascii(F.substring(token, i, F.lit(1))) * 128 + F.ascii(F.substring(token, i + 1, F.lit(1))) + 1))
+    chars = F.split(token, "")
+    step = lambda a, b: F.when(b.isNull(), 0).otherwise(F.element_at(table, F.ascii(a) * 128 + F.ascii(b) + 1))
+    steps = F.zip_with(chars, F.slice(chars, 2, F.greatest(F.length(token) - 1, F.lit(0))), step)
+    return F.aggregate(steps, F.lit(0).cast("long"), lambda acc, x: acc + x)
 
 
 def find_secrets(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
