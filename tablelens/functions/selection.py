@@ -152,7 +152,7 @@ def _merge(c: str, whole: bool) -> Column:
     return (F.kll_merge_agg_bigint if whole else F.kll_merge_agg_double)(c, SKETCH)
 
 
-def _two_levels(view: DataFrame, parts: dict[str, tuple[Column, Callable[[str], Column]]]):
+def two_levels(view: DataFrame, parts: dict[str, tuple[Column, Callable[[str], Column]]]):
     """One row of aggregates, merged first among groups of tasks, then once."""
     fan = max(1, int(view.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     some = view.groupBy((F.spark_partition_id() % fan).alias("_task")).agg(*[e.alias(n) for n, (e, _) in parts.items()])
@@ -189,7 +189,7 @@ def order_statistics(df: DataFrame, cols: dict[str, Ordinal], probs: Sequence[fl
     parts.update({f"x{j}": x for j, x in enumerate(extra.values())})
     if not parts:
         return {}, {}
-    row = _two_levels(df, parts)
+    row = two_levels(df, parts)
     also = {n: row[f"x{j}"] for j, n in enumerate(extra)}
     found, wanted, ask = {}, {}, {}
     margin = _margin()
@@ -266,7 +266,7 @@ def _narrow(view: DataFrame, place: dict, cols: dict, wide: dict) -> dict:
         parts[f"last{b}"] = (F.lit(0) * F.count(v) if hi is None or hi == lo else F.count_if(v == _literal(hi, whole)), F.sum)
         parts[f"inside{b}"] = (F.count_if(above & under), F.sum)
         parts[f"s{b}"] = (_sketch(F.when(above & under, v), whole), lambda n, w=whole: _merge(n, w))
-    row = _two_levels(view, parts)
+    row = two_levels(view, parts)
     margin = _margin()
     out, ask, at_ = {}, {}, {}
     for (c, k), t in wide.items():

@@ -1,9 +1,10 @@
 """Validation (V1–V6): issues as rows ``(check, column, value, message)``.
 
 One aggregation pass gives what the asked checks need (the row count, the
-non-null count of every column, the distinct count of every text column, taken
-on 96-bit hashes so that no text is shuffled); one grouping on all columns gives
-the whole-row duplicates. A check of the schema alone reads no data. The issue
+non-null count of every column, a mergeable distinct-count sketch of every text
+column); text columns that the sketch does not put five standard errors below
+the threshold are counted exactly, on 96-bit hashes so that no text is
+shuffled; one grouping on all columns gives the whole-row duplicates. A check of the schema alone reads no data. The issue
 rows are projected from those two small results: the table is valid when the
 result is empty.
 """
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablelens.functions.selection import two_levels
 from tablelens.functions.stats import at, num
 from tablelens.operators import kinds as K
 from tablelens.operators import texts as X
@@ -30,22 +32,34 @@ def _present(df, c):
     return num(c, dt) if isinstance(dt, (T.FloatType, T.DoubleType)) else at(c)
 
 
-def table_counts(df: DataFrame, approx: bool = False, present: list[str] | None = None,
-                 texts: list[str] | None = None) -> DataFrame:
-    """One row: rows, ``nn__{c}`` non-null per column (of ``present``, default
-    all), ``nd__{c}`` distinct per text column (of ``texts``, default all)."""
+#: size (log2) of the distinct-count sketches, and how many of their standard
+#: errors an estimate must be away from the threshold to settle it
+SKETCH_BITS = 14
+ERRORS = 5
+
+
+def table_counts(df: DataFrame, present: list[str] | None = None, texts: list[str] | None = None) -> dict:
+    """rows, ``nn__{c}`` non-null per column (of ``present``, default all), and
+    ``nd__{c}``, the estimate of a mergeable sketch, per text column (of ``texts``)."""
     present = df.columns if present is None else present
     texts = K.categorical_columns(df) if texts is None else texts
+    parts = {"rows": (F.count(F.lit(1)), F.sum)}
+    parts |= {f"nn__{c}": (F.count(_present(df, c)), F.sum) for c in present}
+    for c in texts:
+        parts[f"nd__{c}"] = (F.hll_sketch_agg(at(c).cast("string"), F.lit(SKETCH_BITS)),
+                             lambda s: F.hll_sketch_estimate(F.hll_union_agg(at(s))))
+    names = {f"p{i}": n for i, n in enumerate(parts)}
+    row = two_levels(df, {p: parts[n] for p, n in names.items()})
+    return {n: int(row[p] or 0) for p, n in names.items()}
 
-    def distinct(c: str):
-        if approx:
-            return F.approx_count_distinct(at(c))
-        seen = at(c).isNotNull()
-        return F.count_distinct(F.when(seen, F.xxhash64(at(c))), F.when(seen, F.hash(at(c))))
 
-    return df.agg(F.count(F.lit(1)).alias("rows"),
-                  *[F.count(_present(df, c)).alias(f"nn__{c}") for c in present],
-                  *[distinct(c).alias(f"nd__{c}") for c in texts])
+def distinct_texts(df: DataFrame, cols: list[str]) -> dict[str, int]:
+    """Exact distinct non-null values, counted on 96-bit hashes (no text is shuffled)."""
+    pairs = [F.struct(F.lit(i).alias("c"), at(c).isNotNull().alias("seen"), F.xxhash64(at(c)).alias("h1"), F.hash(at(c)).alias("h2"))
+             for i, c in enumerate(cols)]
+    hashes = df.select(F.inline(F.array(*pairs))).where("seen").select("c", "h1", "h2").distinct()
+    found = {r["c"]: r["n"] for r in hashes.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {c: found.get(i, 0) for i, c in enumerate(cols)}
 
 
 ALL_CHECKS = ("min_rows", "min_cols", "all_null", "duplicates", "high_cardinality")
@@ -60,7 +74,11 @@ def validate(df: DataFrame, min_rows: int = MIN_ROWS, min_cols: int = MIN_COLS,
     texts = K.categorical_columns(df) if "high_cardinality" in checks else []
     ncols = len(df.columns)
     # the counts are one row: fetch it, then build the issues from that row
-    counts = table_counts(df, approx, present, texts).first().asDict() if set(checks) - {"min_cols"} else {"rows": 0}
+    counts = table_counts(df, present, texts) if set(checks) - {"min_cols"} else {"rows": 0}
+    if not approx:      # only columns that may reach the threshold are counted exactly
+        slack = 1 + ERRORS * 1.04 / 2 ** (SKETCH_BITS / 2)
+        near = [c for c in texts if counts[f"nd__{c}"] * slack >= high_cardinality * counts["rows"]]
+        counts |= {f"nd__{c}": n for c, n in (distinct_texts(df, near) if near else {}).items()}
     dups = duplicate_rows(df, rows_hint=counts["rows"]).first()[0] if "duplicates" in checks else 0
     stats = df.sparkSession.createDataFrame([(*counts.values(), int(dups))], [*counts, "duplicate_rows"])
     issue = "struct<check:string,column:string,value:double,message:string>"

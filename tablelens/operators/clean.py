@@ -3,9 +3,8 @@
 * Fill values (mode per text column, median per numeric column) and the
   capping fences are computed by the distributed operators and applied as
   literals, so the cleaned table is a lazy projection.
-* Modes come from the shared value-count shuffle with a top-1 per column (no
-  all-values buffer in one task); medians and quartiles by sketch and bracket
-  (no column is shuffled).
+* Modes come from frequent-items summaries with an exact second count, medians
+  and quartiles from sketches with exact brackets: no column is shuffled whole.
 * Capping touches only columns with values outside their fences; the audit
   lists them. All other columns keep their type to the end.
 * Type conversion changes the schema, so its decision is the one small result
@@ -21,16 +20,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelens.functions.frames import materialize, per_column
+from tablelens.functions.frequent import top_counts
 from tablelens.functions.selection import OrderStatistics, order_statistics, ordinal
 from tablelens.functions.stats import at, num
 from tablelens.operators import kinds as K
 from tablelens.operators import texts as X
-from tablelens.operators.profile import order_values, value_counts
+from tablelens.operators.profile import order_values
 
 UNKNOWN = "Unknown"
 
@@ -49,9 +49,7 @@ def fill_values(df: DataFrame) -> DataFrame:
     nums = _numbers(df)
     parts = []
     if texts:
-        vc = value_counts(df, texts)
-        w = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
-        mode = vc.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).select("column", "value")
+        mode = top_counts(df, texts, 1).select("column", "value")
         allc = spark.createDataFrame([(c,) for c in texts], "column string")
         t = allc.join(mode, "column", "left").select(
             "column", F.lit("categorical").alias("kind"), F.lit(None).cast("double").alias("fill"),
@@ -252,10 +250,7 @@ def _fill_stats(df: DataFrame) -> tuple[dict, dict, int]:
         fills[c] = {"kind": "datetime", "fill": m, "fill_text": None,
                     "detail": X.FILL_MEDIAN.replace("{value:.2f}", str(m) if m is not None else "nan")}
     if texts:
-        vc = value_counts(df, texts)
-        w = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
-        modes = {r["column"]: r["value"] for r in
-                 vc.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).collect()}
+        modes = {r["column"]: r["value"] for r in top_counts(df, texts, 1).collect()}
         for c in texts:
             m = modes.get(c)
             fills[c] = {"kind": "categorical", "fill": None, "fill_text": m if m is not None else UNKNOWN,
@@ -271,7 +266,7 @@ def clean(df: DataFrame, fill: bool = True, dedupe: bool = True, cap: bool = Tru
     Like a fitted imputer, each stage first computes its per-column statistics
     (fill values, fences, conversion decisions: one row per column), then
     applies them as literals. Passes over the data: the fill statistics (two
-    scans and a value-count shuffle), the deduplication, written once to the
+    scans for numbers, two for texts), the deduplication, written once to the
     shared checkpoint folder (the rows left and the conversion decisions are
     observed while it is written), and two scans of the written numbers for
     the fences and the values outside them."""

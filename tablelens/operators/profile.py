@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablelens.functions.frequent import top_counts
 from tablelens.functions.frames import agg_by_column, numeric_long, per_column, rounded, string_long
 from tablelens.functions.quantiles import SMALL_LIMIT, quantiles
 from tablelens.functions.selection import Ordinal, OrderStatistics, order_statistics, ordinal
@@ -326,12 +327,18 @@ def value_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def top_values(df: DataFrame, cols: Sequence[str] | None = None, k: int | None = 5,
-               decimals: int | None = 2) -> DataFrame:
+               decimals: int | None = 2, method: str = "summary") -> DataFrame:
     """Per column, the k most frequent values (count desc, value
-    asc) with % of ALL rows (nulls in the denominator); k=None keeps every value."""
+    asc) with % of ALL rows (nulls in the denominator); k=None keeps every
+    value. ``summary`` finds them without shuffling the values (see
+    ``top_counts``; its small jobs run here); ``shuffle`` counts every value in
+    one lazy plan."""
     cols = list(cols) if cols is not None else K.categorical_columns(df)
-    vc = value_counts(df, cols)
     rows = df.agg(F.count(F.lit(1))).scalar()  # a scalar subquery, computed once
+    if k is not None and method == "summary":
+        pct = _round(F.try_divide(F.col("n") * 100.0, rows), decimals)
+        return top_counts(df, cols, k).select("column", "rank", "value", "n", pct.alias("pct"))
+    vc = value_counts(df, cols)
     if k is not None:
         w = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
         vc = vc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -348,7 +355,7 @@ def categorical_profile(df: DataFrame, cols: Sequence[str] | None = None, k: int
     # asking for n here too keeps both branches on one exchange of the value counts
     uniq = value_counts(df, cols).groupBy("column").agg(F.count_if(F.col("n") > 0).alias("unique_count"))
     w = Window.partitionBy("column").orderBy("rank")   # over the k rows left of a column
-    top = (top_values(df, cols, k, decimals).withColumn("most_frequent", F.first("value").over(w))
+    top = (top_values(df, cols, k, decimals, "shuffle").withColumn("most_frequent", F.first("value").over(w))
            .withColumn("most_frequent_count", F.first("n").over(w)))
     return (top.join(uniq, "column")
             .select("column", "unique_count", "most_frequent", "most_frequent_count", "rank", "value", "n", "pct"))

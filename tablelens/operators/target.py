@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablelens.functions.frames import agg_by_column, rounded
 from tablelens.functions.stats import adjusted_skewness, at, num, pearson
@@ -352,8 +353,9 @@ def target_summary(df: DataFrame, target: str) -> DataFrame:
     dt = df.schema[target].dataType
     if _is_num(df, target):
         v = num(target, dt)
-        s = df.select(v.alias("v")).agg(
-            F.count_distinct("v").alias("unique"), F.min("v").alias("min"), F.max("v").alias("max"),
+        own = v if isinstance(dt, (T.StringType, T.FloatType, T.DoubleType)) else at(target)   # whole numbers beyond doubles stay apart
+        s = df.select(v.alias("v"), own.alias("own")).agg(
+            F.count_distinct("own").alias("unique"), F.min("v").alias("min"), F.max("v").alias("max"),
             F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), adjusted_skewness(F.col("v")).alias("skewness"))
         return s.select(
             F.lit(target).alias("target"), F.lit("numeric").alias("type"), "unique", "min", "max", "mean", "std",

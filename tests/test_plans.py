@@ -31,13 +31,13 @@ def test_every_query_is_checked_for_cross_joins():
 
 
 def test_top_k_limits_before_the_shuffle(spark):
-    text = plan_text(P.top_values(table(spark, SF, "orders"), None, 3))
+    text = plan_text(P.top_values(table(spark, SF, "orders"), None, 3, method="shuffle"))
     assert text.count("WindowGroupLimit") >= 2  # partial (map side) and final
 
 
 def test_profile_reads_only_needed_columns(spark):
     df = table(spark, SF, "orders").select("o_totalprice", "o_orderpriority")
-    text = plan_text(P.top_values(df, ["o_orderpriority"], 3))
+    text = plan_text(P.top_values(df, ["o_orderpriority"], 3, method="shuffle"))
     assert "ReadSchema: struct<o_orderpriority:string>" in text
 
 
