@@ -64,3 +64,4 @@ from tablelens.plans import catalog_text  # noqa: E402,F401
 from tablelens.plans import catalog_summary  # noqa: E402,F401
 from tablelens.plans import catalog_rules  # noqa: E402,F401
 from tablelens.plans import catalog_gates  # noqa: E402,F401
+from tablelens.plans import catalog_cases  # noqa: E402,F401
