@@ -117,6 +117,22 @@ def scatter_bins(df: DataFrame, x: str, y: str, bins: int | None = None) -> Data
                         lower("y_bin", s[3], s[4]).alias("y_lower"), "count")
 
 
+def bottom_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """A sample of exactly ``n`` rows (all, if fewer): those with the smallest
+    hash of their values. Each task keeps its ``n`` smallest and they are
+    merged, so the sample is the same on every run, whatever the partitions;
+    copies of a row share its hash and stand beside each other."""
+    values = [at(c) for c in df.columns]
+    texts = [F.coalesce(v.cast("string"), F.lit("")) for v in values]
+    picked = df.select("*", F.xxhash64(F.lit(seed), *values).alias("_tl_h"), F.concat_ws("\x1f", *texts).alias("_tl_t"))
+    return picked.orderBy("_tl_h", "_tl_t").limit(n).drop("_tl_h", "_tl_t")
+
+
+def scatter_points(df: DataFrame, x: str, y: str, n: int = 1000, seed: int = 42) -> DataFrame:
+    """At most ``n`` points of the scatter plot, a fixed-size sample of the complete rows."""
+    return bottom_rows(_complete(df, x, y), n, seed)
+
+
 def scatter_margins(df: DataFrame, x: str, y: str, bins: int | None = None) -> DataFrame:
     """The histograms at the sides of a scatter plot, over its complete
     rows: ``(axis, bin, lower, upper, count)``."""
@@ -191,9 +207,10 @@ def density(df: DataFrame, column: str, grid: int = 100, fine_bins: int = 512) -
 
 
 def parallel_coordinates(df: DataFrame, cols: Sequence[str] | None = None, fraction: float | None = None,
-                         seed: int = 42) -> DataFrame:
+                         seed: int = 42, points: int | None = None) -> DataFrame:
     """Every numeric column min-max scaled to [0, 1], one output row per
-    input row (all of them unless a sampling ``fraction`` is given); needs two
+    input row (all of them unless a sampling ``fraction``, or a fixed number of
+    ``points``, is given); the scale is that of all rows; needs two
     numeric columns (two → scatter-matrix data, three or more → parallel axes)."""
     cols = list(cols) if cols is not None else K.numeric_columns(df)
     if len(cols) < 2:
@@ -203,6 +220,8 @@ def parallel_coordinates(df: DataFrame, cols: Sequence[str] | None = None, fract
     s = view.agg(*[F.min(at(c)).alias(f"{c}__min") for c in cols], *[F.max(at(c)).alias(f"{c}__max") for c in cols]).first()
     if fraction is not None:
         view = view.sample(fraction=fraction, seed=seed)
+    if points is not None:
+        view = bottom_rows(view, points, seed)
 
     def scale(c):
         lo, hi = s[f"{c}__min"], s[f"{c}__max"]

@@ -2,9 +2,9 @@
 
 * Correlations of all numeric pairs come from ONE aggregation (pairwise
   complete rows, null when a side is constant).
-* Spearman ranks are exact average ranks from :mod:`tablelens.functions.quantiles`;
-  the rows are first collapsed to distinct ``(a, b)`` pairs with a weight, so a
-  hot value is one row, and the ranks join onto that small table.
+* Spearman ranks are exact average ranks: the rows are first collapsed to
+  distinct ``(a, b)`` pairs with a weight, which take the ranks of either side
+  from a range exchange (:mod:`tablelens.functions.ranges`).
 * Contingency tables are long ``(a, b, n)``; the chi-square statistic needs only
   the observed cells and the margins. Zero cells are listed only on request.
 * Tail probabilities are computed on the result rows (one per test).
@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions import special
-from tablelens.functions.frames import rounded
+from tablelens.functions.frames import materialize, rounded
 from tablelens.functions.quantiles import average_ranks, quantiles
+from tablelens.functions.ranges import numbered, with_average_rank
 from tablelens.functions.selection import grouped_medians
 from tablelens.functions.stats import at, num, pearson
 from tablelens.operators import kinds as K
@@ -201,28 +202,32 @@ def pearson_test(df: DataFrame, a: str, b: str) -> DataFrame:
 def spearman_r(v: DataFrame, method: str = "auto") -> tuple[int, float | None]:
     """(n, rho) of columns x, y (doubles) over complete rows, from exact average ranks.
 
-    The complete rows are shuffled once, into distinct ``(x, y, w)`` pairs
-    (kept while in use); the ranks of each side come from that smaller table
-    and join back onto it. Average ranks of n rows always sum to n(n+1)/2, so
-    one pass of plain weighted sums gives rho."""
-    from tablelens.functions.quantiles import SMALL_LIMIT
+    The complete rows are shuffled once, into distinct ``(x, y, w)`` pairs; a
+    range exchange by x gives them the ranks of x, one by y those of y, and
+    nothing is joined back by value (``method`` ``window`` or ``distributed``
+    forces a plan that does). Average ranks of n rows always sum to n(n+1)/2,
+    so one pass of plain weighted sums gives rho."""
     comp = v.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    pairs = comp.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w")).persist()
-    try:
-        if method == "auto" and pairs.count() <= SMALL_LIMIT:
-            method = "window"  # no side can have more distinct values than there are pairs
-        long = pairs.select("w", F.inline(F.array(
-            F.struct(F.lit("x").alias("column"), F.col("x").alias("value")),
-            F.struct(F.lit("y").alias("column"), F.col("y").alias("value")))))
-        ranks = average_ranks(long, ["column"], "value", method=method, weight="w")
-        rx = ranks.where(F.col("column") == "x").select(F.col("value").alias("x"), F.col("rank").alias("rx"))
-        ry = ranks.where(F.col("column") == "y").select(F.col("value").alias("y"), F.col("rank").alias("ry"))
-        joined = pairs.join(rx, "x").join(ry, "y")
-        row = joined.agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("rx") * F.col("ry")).alias("sxy"),
-                         F.sum(F.col("w") * F.col("rx") * F.col("rx")).alias("sxx"),
-                         F.sum(F.col("w") * F.col("ry") * F.col("ry")).alias("syy")).first()
-    finally:
-        pairs.unpersist()
+    sums = [F.sum("w").alias("n"), F.sum(F.col("w") * F.col("rx") * F.col("ry")).alias("sxy"),
+            F.sum(F.col("w") * F.col("rx") * F.col("rx")).alias("sxx"), F.sum(F.col("w") * F.col("ry") * F.col("ry")).alias("syy")]
+    pairs = comp.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
+    if method == "auto":
+        pairs = materialize(pairs, "pairs")
+        rows = pairs.count()
+        by_x = with_average_rank(pairs, "x", "w", "y", "rx", rows)
+        row = with_average_rank(by_x, "y", "w", "x", "ry", rows).agg(*sums).first()
+    else:
+        pairs = pairs.persist()
+        try:
+            long = pairs.select("w", F.inline(F.array(
+                F.struct(F.lit("x").alias("column"), F.col("x").alias("value")),
+                F.struct(F.lit("y").alias("column"), F.col("y").alias("value")))))
+            ranks = average_ranks(long, ["column"], "value", method=method, weight="w")
+            rx = ranks.where(F.col("column") == "x").select(F.col("value").alias("x"), F.col("rank").alias("rx"))
+            ry = ranks.where(F.col("column") == "y").select(F.col("value").alias("y"), F.col("rank").alias("ry"))
+            row = pairs.join(rx, "x").join(ry, "y").agg(*sums).first()
+        finally:
+            pairs.unpersist()
     n = int(row["n"] or 0)
     if n < 2:
         return n, None
@@ -254,16 +259,17 @@ def contingency(df: DataFrame, a: str, b: str, zeros: bool = False) -> DataFrame
     cells = pair.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     if not zeros:
         return cells.select(F.col("a").alias(a), F.col("b").alias(b), "n")
-    # every a-value meets every b-value, DENSE_STEP b-values at a time; the
-    # values stay data (never column names), so any text is allowed
-    bvals = [r["b"] for r in cells.select("b").distinct().orderBy("b").toLocalIterator()]
-    if not bvals:
+    # every a-value meets every chunk of DENSE_STEP b-values; the values stay
+    # data (never column names, never on the driver), so any text is allowed
+    cells = materialize(cells, "cells")
+    bvals = cells.select("b").distinct()
+    chunks = numbered(bvals, [F.col("b")], "_k").withColumn("_chunk", F.floor(F.col("_k") / DENSE_STEP))
+    chunks = materialize(chunks.groupBy("_chunk").agg(F.collect_list("b").alias("_bs")), "dense-chunks")
+    last = chunks.agg(F.max("_chunk")).first()[0]
+    if last is None:
         return cells.select(F.col("a").alias(a), F.col("b").alias(b), "n")
-    avals = cells.select(F.col("a").alias("_a")).distinct()
-    grid = None
-    for k in range(0, len(bvals), DENSE_STEP):
-        part = avals.select("_a", F.explode(F.lit(bvals[k:k + DENSE_STEP])).alias("_b"))
-        grid = part if grid is None else grid.unionByName(part)
+    grid = (cells.select(F.col("a").alias("_a")).distinct().withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(last).cast("long"))))
+            .join(chunks, "_chunk").select("_a", F.explode("_bs").alias("_b")))
     dense = grid.join(cells, (F.col("_a") == F.col("a")) & (F.col("_b") == F.col("b")), "left")
     return dense.select(F.col("_a").alias(a), F.col("_b").alias(b), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelens.functions.frames import agg_by_column, rounded
+from tablelens.functions.ranges import numbered
 from tablelens.functions.stats import adjusted_skewness, at, num, pearson
 from tablelens.operators import kinds as K
 from tablelens.operators import pairs as B
@@ -192,8 +193,8 @@ def association_residuals(df: DataFrame, target: str, feature: str) -> DataFrame
     try:
         st = B.chi_square_stats(cells)
         ra = cells.groupBy("a").agg(F.sum("n").cast("double").alias("ra"), F.count(F.lit(1)).alias("seen"))
-        by_size = Window.orderBy(F.desc("cb"), "b")     # over the classes, not the rows
-        cb = cells.groupBy("b").agg(F.sum("n").cast("double").alias("cb")).withColumn("rank", F.row_number().over(by_size))
+        cb = numbered(cells.groupBy("b").agg(F.sum("n").cast("double").alias("cb")), [F.desc("cb"), F.asc("b")], "rank")
+        cb = cb.withColumn("rank", (F.col("rank") + 1).cast("int"))
         total = float(st["n"] or 0) or 1.0
         full = cells.join(ra, "a").join(cb, "b").withColumn("e", F.col("ra") * F.col("cb") / F.lit(total))
         # the residual as first defined on proportions, and the plain Pearson residual

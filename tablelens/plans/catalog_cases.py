@@ -244,3 +244,9 @@ def q_n6_text(spark, sf):
 def q_n6_none(spark, sf):
     """The summary without a target."""
     return N.executive_summary(T_(spark, sf, "orders"))
+
+
+@register("d8_scatter_points_lineitem")
+def q_d8_points(spark, sf):
+    """A fixed-size sample of the points, the same whatever the partitions."""
+    return D.scatter_points(T_(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", 1000)
