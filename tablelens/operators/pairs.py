@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tablelens.functions import special
 from tablelens.functions.frames import materialize, rounded
+from tablelens.functions.gram import gram_sums
 from tablelens.functions.quantiles import average_ranks, quantiles
 from tablelens.functions.ranges import numbered, with_average_rank
 from tablelens.functions.selection import grouped_medians
@@ -38,40 +39,6 @@ def _num(df: DataFrame, c: str):
 
 # ---------------------------------------------------------------- P7, M1, D5–D7
 
-def _gram_sums(v: DataFrame, cols: Sequence[str], means: list[float], pairs: list[tuple[int, int]]) -> DataFrame:
-    """Per-pair sums for many columns: inside each task, numpy matrix
-    products over the Arrow batches give, for every pair at once, the
-    pairwise-complete count and the sums of x, y, xy, x², y² (values shifted
-    by the column means); Spark then adds the per-task partials by pair."""
-    import numpy as np
-    import pandas as pd
-
-    k = len(cols)
-    shift = np.array(means, dtype="float64")
-    iu, ju = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
-
-    def partial(batches):
-        acc = None
-        for pdf in batches:
-            x = pdf.to_numpy(dtype="float64", na_value=np.nan) - shift
-            m = ~np.isnan(x)
-            x0 = np.where(m, x, 0.0)
-            mf = m.astype("float64")
-            part = (mf.T @ mf, x0.T @ mf, (x0 * x0).T @ mf, x0.T @ x0)
-            acc = part if acc is None else tuple(a + b for a, b in zip(acc, part))
-        if acc is None:
-            return
-        cnt, s1, s2, sxy = acc
-        yield pd.DataFrame({"i": iu.astype("int32"), "j": ju.astype("int32"), "n": cnt[iu, ju],
-                            "sa": s1[iu, ju], "sb": s1[ju, iu], "sab": sxy[iu, ju],
-                            "saa": s2[iu, ju], "sbb": s2[ju, iu]})
-
-    schema = "i int, j int, n double, sa double, sb double, sab double, saa double, sbb double"
-    assert k == len(v.columns)
-    return (v.mapInPandas(partial, schema).groupBy("i", "j")
-            .agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "sab", "saa", "sbb")]))
-
-
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, diagonal: bool = True,
                        method: str = "auto", decimals: int | None = None) -> DataFrame:
     """Long (col_a, col_b, i, j, r, n) for every pair i <= j of numeric
@@ -83,7 +50,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, diagona
     ``PAIRS_PER_AGG`` pairs the sums are ONE built-in aggregation (for columns
     without nulls the per-pair sums are the same expression for every pair,
     so Spark computes each once); wider tables (or ``method='gram'``) use
-    per-task matrix products instead of one expression per pair."""
+    matrix products of column tiles in the tasks (``gram_sums``)."""
     cols = list(cols) if cols is not None else K.numeric_columns(df)
     schema = "col_a string, col_b string, i int, j int, r double, n long"
     pairs = [(i, j) for i in range(len(cols)) for j in range(i if diagonal else i + 1, len(cols))]
@@ -95,7 +62,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, diagona
     rows = first["_rows"]
     means = [float(first[f"m{k}"] or 0.0) for k in range(len(cols))]
     if method == "gram" or (method == "auto" and len(pairs) > PAIRS_PER_AGG):
-        sums = _gram_sums(v, cols, means, pairs)
+        sums = gram_sums(v, cols, means, diagonal)
     else:
         full = [first[f"n{k}"] == rows for k in range(len(cols))]
         x = [at(c) - F.lit(means[k]) for k, c in enumerate(cols)]
