@@ -64,7 +64,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best_fit_packing", packed),
 ]
 
-#: The language model, the components and the packing plan are beyond SQL; the tests check columns and counts only.
+#: The language model, the components and the packing plan are beyond SQL; the tests hold every stage against a plain version (the classifier against its own verdicts).
 ORACLE_SQL = None
 
 

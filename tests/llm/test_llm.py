@@ -237,7 +237,6 @@ def test_packing(spark, docs, empty):
 
     path = tokenizer_path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     got = packing.pack(docs, path, packing.Capacity(tokens=128)).collect()
     want = []
     for r in rows():
