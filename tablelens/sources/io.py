@@ -56,12 +56,14 @@ def _breaks_in_quotes(spark: SparkSession, path: str) -> bool:
 
 
 def read_table(spark: SparkSession, path: str, sep: str = ",", null_tokens=CSV_NULL_TOKENS,
-               multi_line: bool | None = None) -> DataFrame:
+               multi_line: bool | None = None, plain_names: bool = True) -> DataFrame:
     """CSV with a header → typed DataFrame; a doubled quote inside a quoted
     field is one quote, and a quoted field may hold line breaks. Whether any
     does is looked for first (``multi_line`` None): a file without them is
     split among tasks, one with them is read whole by one task, so a large
-    source of that kind must be many files. Column names stay as they are.
+    source of that kind must be many files. Dots in column names become
+    underscores, which spares callers the backticks (``plain_names=False``
+    keeps the names; the operators take any).
     Raises ``ValueError`` when the file cannot be read."""
     try:
         if multi_line is None:
@@ -71,7 +73,14 @@ def read_table(spark: SparkSession, path: str, sep: str = ",", null_tokens=CSV_N
         cols = raw.columns
     except Exception as e:  # surfaced as the reference does
         raise ValueError(f"Error reading CSV: {e}") from e
-    text = raw.select(*[F.when(~at(c).isin(list(null_tokens)), at(c)).alias(c) for c in cols])
+    names: list[str] = []
+    for c in cols:
+        name = c.replace(".", "_") if plain_names else c
+        while name in names or (name != c and name in cols):   # "a.b" beside "a_b"
+            name += "_"
+        names.append(name)
+    text = raw.select(*[F.when(~at(c).isin(list(null_tokens)), at(c)).alias(n) for c, n in zip(cols, names)])
+    cols = names
     types = _decide(text)
 
     def cast(c):

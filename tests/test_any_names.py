@@ -80,7 +80,7 @@ def test_same_answer(both, case):
 
 def test_read_table_keeps_names_and_line_breaks(spark, tmp_path):
     (tmp_path / "q.csv").write_text('id,te.xt,a b\n1,"two\nlines, ""quoted""",3\n2,plain,4\n')
-    d = io.read_table(spark, str(tmp_path / "q.csv"))
+    d = io.read_table(spark, str(tmp_path / "q.csv"), plain_names=False)
     assert d.columns == ["id", "te.xt", "a b"]
     assert [tuple(r) for r in d.collect()] == [(1, 'two\nlines, "quoted"', 3), (2, "plain", 4)]
     assert io.read_named(spark, "q.csv", str(tmp_path)).count() == 2
