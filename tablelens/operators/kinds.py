@@ -29,6 +29,18 @@ READINGS = [
     "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy",
 ]
 CLOCK = "[['T'][ ]H:mm[:ss]]"
+# what a trimmed text must look like for a reading to be tried: a parse that fails
+# costs many times one that succeeds, so it is kept to days that a month lacks
+_MONTH, _DAY, _CLOCK = r"(0?[1-9]|1[0-2])", r"(0?[1-9]|[12]\d|3[01])", r"([ T]([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d)?)?"
+_SHORT, _LONG = r"\p{L}{3}", r"(\p{L}{4,9}|(?iu:may))"
+READING_SHAPES = ["^" + shape + _CLOCK + r"\z" for shape in [
+    rf"\d{{4}}/{_MONTH}/{_DAY}",
+    *[f"{first}{sep}{second}{sep}" + r"\d{4}" for sep in ("/", "-", r"\.") for first, second in ((_MONTH, _DAY), (_DAY, _MONTH))],
+    r"\d{4}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])",
+    rf"{_DAY} {_SHORT} \d{{4}}", rf"{_DAY} {_LONG} \d{{4}}", rf"{_SHORT} {_DAY}, \d{{4}}", rf"{_LONG} {_DAY}, \d{{4}}",
+]]
+# the mark that a text of each reading holds, and no text of the others does
+READING_MARKS = [next((m for m in "/-.," if m in reading), "") for reading in READINGS]
 # a text can only have one of these readings if it has this shape; testing it
 # first spares the (costly) failing parses on ordinary text
 DATE_SHAPE = (r"^\s*(\d{4}/\d{1,2}/\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4}|\d{8}|\d{1,2} \p{L}{3,9} \d{4}|\p{L}{3,9} \d{1,2}, \d{4})"
@@ -102,17 +114,24 @@ def schema_overview(df: DataFrame) -> DataFrame:
 
 def conversion_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Per string column: rows, non-null, convertible as number (plain),
-    convertible after sentinel removal, convertible as date. One pass."""
+    convertible after sentinel removal, convertible as date. One pass, over one
+    value a row: its code does not grow with the columns, so it gets compiled."""
+    spark = df.sparkSession
     cols = list(cols) if cols is not None else categorical_columns(df)
-    masks = {c: f"_tl_mask{i}" for i, c in enumerate(cols)}   # computed once a value
-    return _stack(df.select("*", *[date_mask(c).alias(m) for c, m in masks.items()]), cols, [
-        ("rows", lambda c: F.count(F.lit(1))),
-        ("non_null", lambda c: F.count(at(c))),
-        ("numeric", lambda c: F.count(to_number(c))),
-        ("numeric_no_sentinel", lambda c: F.count(to_number(without_sentinels(at(c))))),
-        ("datetime", lambda c: F.count_if(F.col(masks[c]) != 0)),
-        ("readings", lambda c: F.bit_and(masks[c])),
-    ])
+    names = spark.range(1).select(F.posexplode(F.array(*[F.lit(c) for c in cols]).cast("array<string>")).alias("pos", "column"))
+    if not cols:
+        df, cols = df.limit(0).select(F.lit(None).cast("string").alias("value")), ["value"]
+    values = df.select(F.posexplode(F.array(*[at(c).cast("string") for c in cols])).alias("pos", "value"))
+    counts = values.select("*", date_mask("value").alias("mask")).groupBy("pos").agg(   # the mask computed once a value
+        F.count(F.lit(1)).alias("rows"),
+        F.count("value").alias("non_null"),
+        F.count(to_number("value")).alias("numeric"),
+        F.count(to_number(without_sentinels("value"))).alias("numeric_no_sentinel"),
+        F.count_if(F.col("mask") != 0).alias("datetime"),
+        F.bit_and("mask").alias("readings"))
+    totals = ["rows", "non_null", "numeric", "numeric_no_sentinel", "datetime"]
+    return names.join(F.broadcast(counts), "pos", "left").select(
+        "column", *[F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in totals], "readings")
 
 
 def conversion_exprs(cols: Sequence[str]):
@@ -162,9 +181,14 @@ def date_mask(c: str):
     """Bits of the readings that read this value whole (null stays null). The
     ``bit_and`` over a column keeps the readings that read every value of it."""
     col = at(c).cast("string")
-    bits = [F.when(_read(col, i).isNotNull(), 1 << i).otherwise(0) for i in range(N_READINGS)]
-    dates = sum(bits[2:], bits[1])
-    return F.when(col.isNotNull(), F.when(col.rlike(ISO_SHAPE), bits[0]).when(col.rlike(DATE_SHAPE), dates).otherwise(0))
+    iso, *bits = [F.when(_read(col, i).isNotNull(), 1 << i).otherwise(0) for i in range(N_READINGS)]
+    marked = {m: F.lit(0) for m in dict.fromkeys(READING_MARKS)}
+    for mark, shape, bit in zip(READING_MARKS, READING_SHAPES, bits):
+        marked[mark] = marked[mark] + F.when(F.trim(col).rlike(shape), bit).otherwise(0)
+    dates = marked.pop("")
+    for mark, some in marked.items():
+        dates = F.when(col.contains(mark), some).otherwise(dates)
+    return F.when(col.isNotNull(), F.when(col.rlike(ISO_SHAPE), iso).when(col.rlike(DATE_SHAPE), dates).otherwise(0))
 
 
 def to_datetime(c: str, reading: int):
@@ -176,8 +200,8 @@ def date_readings(df: DataFrame, cols: Sequence[str]) -> dict[str, int | None]:
     """Per text column the reading that reads every value (null: none does), one pass."""
     if not cols:
         return {}
-    row = df.agg(*[F.bit_and(date_mask(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    return {c: first_reading(row[f"m{i}"]) for i, c in enumerate(cols)}
+    masks = conversion_counts(df, cols).select("column", "readings").collect()
+    return {r["column"]: first_reading(r["readings"]) for r in masks}
 
 
 def commonest_reading(df: DataFrame, c: str) -> int:
