@@ -204,13 +204,14 @@ def cap_outliers(df: DataFrame, fences: dict[str, Fence] | None = None, k: float
     return out, df.sparkSession.createDataFrame(rows, "column string, capped long")
 
 
-def conversions(df: DataFrame) -> dict[str, str]:
+def conversions(df: DataFrame, with_readings: bool = False) -> dict[str, str] | tuple[dict[str, str], dict[str, int | None]]:
     """C5/T5 decision per text column: every value a number → numeric, else
-    every value a date → datetime, else kept (one row per column fetched)."""
+    every value a date → datetime, else kept (one row per column fetched).
+    ``with_readings``: also the reading of each column, seen in the same pass."""
     texts = K.categorical_columns(df)
-    if not texts:
-        return {}
-    return {r["column"]: r["conversion"] for r in K.coercion_rules(df, texts).collect()}
+    seen = K.conversion_counts(df, texts).select("column", "numeric", "readings", "non_null").collect() if texts else []
+    words = {r["column"]: K.conversion_word(r["numeric"], r["readings"], r["non_null"]) for r in seen}
+    return (words, {r["column"]: K.first_reading(r["readings"]) for r in seen}) if with_readings else words
 
 
 def _exact_median(o: OrderStatistics):

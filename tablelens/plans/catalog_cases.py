@@ -69,7 +69,7 @@ SELECT o_orderkey, {', '.join(f'CAST(o_orderdate AS DATE) AS {c}' for c in DATE_
 def q_c5_dates(spark, sf):
     """Each date column is read in the one way that reads all its values; a mixed one stays text."""
     d = _date_texts(spark, sf).drop("o_totalprice")
-    out = K.apply_conversions(d, C.conversions(d))
+    out = K.apply_conversions(d, *C.conversions(d, with_readings=True))
     return out.select("o_orderkey", *[F.to_date(c).alias(c) for c in DATE_TEXTS], F.col("mixed").cast("string").alias("mixed"))
 
 

@@ -102,7 +102,7 @@ SELECT l_orderkey, l_linenumber, {R('quantity')} AS quantity, returnflag, part_t
 def q_c5(spark, sf):
     """All-or-nothing conversion (numbers, else dates, else kept; an all-null text column converts)."""
     d = dirty(spark, sf)
-    return K.apply_conversions(d, C.conversions(d))
+    return K.apply_conversions(d, *C.conversions(d, with_readings=True))
 
 
 @register("t7_dtype_summary_lineitem", f"""

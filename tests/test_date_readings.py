@@ -4,7 +4,9 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+from tablelens.operators import clean as C
 from tablelens.operators import kinds as K
+from tablelens.plans.registry import QUERIES
 
 SHORT = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 LONG = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
@@ -64,3 +66,13 @@ def test_counts_of_empty_tables_and_columns(spark):
     assert K.conversion_counts(empty.select("n")).collect() == [] and K.date_readings(empty, ["c"]) == {"c": None}
     nulls = spark.createDataFrame([(None, "1/2/2024"), (None, None)], "`a.b` string, c string")
     assert [tuple(r) for r in K.conversion_counts(nulls).collect()] == [("a.b", 2, 0, 0, 0, 0, None), ("c", 2, 1, 0, 0, 1, 0b1100)]
+    assert C.conversions(nulls, with_readings=True) == ({"a.b": "Converted to numeric", "c": "Converted to datetime"}, {"a.b": None, "c": 2})
+
+
+@pytest.mark.parametrize("name", ["c5_one_reading_a_date_column_orders", "c5_convert_types_dirty"])
+def test_readings_are_looked_for_once(spark, monkeypatch, name):
+    """The pass that decides a conversion also finds its reading."""
+    def again(df, cols):
+        raise AssertionError("a second pass over the dates")
+    monkeypatch.setattr(K, "date_readings", again)
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
